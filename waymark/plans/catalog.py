@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from waymark.plans import scoring_queries  # noqa: F401
+from waymark.plans import check_queries, scoring_queries  # noqa: F401
 from waymark.plans.registry import QUERIES, SQL  # noqa: F401

@@ -122,10 +122,12 @@ _VIEW_SQL = {
     "chain_v": """SELECT trail_id, stop_index, 0 AS step,
           CASE WHEN tool_name = 'maps_elevation' THEN 'maps_geocode' ELSE tool_name END AS tool_name,
           CASE WHEN tool_name = 'stock_historical_price' THEN CAST(tool_date AS VARCHAR(20)) END AS arg_date,
-          CASE WHEN tool_name <> 'stock_historical_price' THEN address END AS arg_address
+          CASE WHEN tool_name NOT IN ('stock_historical_price', 'python_execute_code') THEN address END AS arg_address,
+          CASE WHEN tool_name = 'python_execute_code'
+               THEN concat('result = int(', CAST(extracted_value - 4 AS VARCHAR), ') + int(', CASE WHEN l_partkey % 3 = 0 THEN '5' ELSE '4' END, ')') END AS arg_code
         FROM stops_v WHERE stop_type = 'tool' AND l_suppkey % 19 <> 0
         UNION ALL
-        SELECT trail_id, stop_index, 1, tool_name, NULL, NULL
+        SELECT trail_id, stop_index, 1, tool_name, NULL, NULL, NULL
         FROM stops_v WHERE stop_type = 'tool' AND l_suppkey % 19 <> 0 AND tool_name = 'maps_elevation'""",
     "deps_v": """SELECT trail_id, stop_index, stop_index - 1 AS dep FROM stops_v
           WHERE stop_index >= 1 AND extracted_value % 13 <> 0 AND extracted_value % 17 <> 0
@@ -215,6 +217,15 @@ def chain(stops_df: DataFrame) -> DataFrame:
     args = F.when(
         F.col("tool_name") == "stock_historical_price",
         F.create_map(F.lit("ticker"), F.lit("ABC"), F.lit("date"), F.col("tool_date").cast("string")),
+    ).when(
+        F.col("tool_name") == "python_execute_code",
+        F.create_map(
+            F.lit("code"),
+            F.concat(
+                F.lit("result = int("), (F.col("extracted_value") - 4).cast("string"), F.lit(") + int("),
+                F.when(F.col("l_partkey") % 3 == 0, "5").otherwise("4"), F.lit(")"),
+            ),
+        ),
     ).otherwise(F.create_map(F.lit("address"), F.col("address")))
     chained = F.create_map(F.lit("__from_previous_as_locations"), F.lit("0"))
 
