@@ -94,8 +94,9 @@ def largest_prime_factor(n: Column, strict: bool = False) -> Column:
     """
 
     def pick(f: Column) -> Column:
-        repeated = F.array_max(f["primes"]) if strict else F.lit(1).cast("bigint")
-        return F.when(f["rest"] > 1, f["rest"]).otherwise(repeated)
+        top = F.array_max(f["primes"])
+        kept = top if strict else F.when(F.pmod(n, top * top) == 0, F.lit(1)).otherwise(top)
+        return F.when(f["rest"] > 1, f["rest"]).otherwise(kept.cast("bigint"))
 
     return F.when(n <= 1, n).otherwise(_within(n, 2, let(_factor(n), pick)))
 
