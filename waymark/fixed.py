@@ -99,3 +99,103 @@ DROPPED_ELEMENTS = [
     "script", "style", "noscript", "template", "canvas", "math", "iframe", "object", "embed",
     "applet", "audio", "video",
 ]
+VOID_ELEMENTS = ["meta", "link", "base", "source", "track", "param", "area", "col", "input"]
+EMPTY_MARKDOWN = "(No readable content found.)"
+
+# Seed quality.
+BAD_TITLE = (
+    r"(?i)^(List of |Lists of |Index of |Outline of |Glossary of |Timeline of |Comparison of |Bibliography of |"
+    r"History of |Deaths in |Template:|Category:|Portal:|Draft:|Wikipedia:|Module:|File:|Help:|Talk:|User:|Special:|"
+    r".*\(disambiguation\)|.*\(journal\)|.*\(magazine\)|.*\(TV series\)|.*\(TV programme\)|.*\(season \d|"
+    r".*\(film series\)|\d{4}\b|ISO \d|IEEE \d|RFC \d)"
+)
+FICTION_TITLE = r"(?i)\(fictional\)|\(comics\)|\(character\)|\(video game\)|\(album\)|\(song\)|\(single\)|\(EP\)"
+TAXONOMY_KEYS = [
+    "kingdom", "phylum", "subphylum", "class", "order", "suborder", "infraorder", "family", "subfamily",
+    "superfamily", "genus", "subgenus", "species", "subspecies", "domain", "clade", "subdivision", "binomial",
+    "binomial name", "authority", "type species", "type genus", "tribe", "subtribe",
+]
+
+# Infobox facts: key pattern, value type, description; the first that matches and survives wins.
+FACT_PATTERNS = [
+    ("elevation", "number", "the elevation listed in the infobox"),
+    ("population", "number", "the population listed in the infobox"),
+    ("area", "number", "the area listed in the infobox"),
+    ("founded|established|inception", "number", "the founding/establishment year in the infobox"),
+    ("coordinates|coord", "coords", "the coordinates listed in the infobox"),
+    ("^capital$", "text", "the capital listed in the infobox"),
+    ("^country$", "text", "the country listed in the infobox"),
+    ("^language|official.lang", "text", "the official language listed in the infobox"),
+    ("height|altitude", "number", "the height listed in the infobox"),
+    ("^length$", "number", "the length listed in the infobox"),
+    ("^capacity|seats$", "number", "the capacity listed in the infobox"),
+    ("^(gdp|GDP)", "number", "the GDP listed in the infobox"),
+    ("^opened$", "number", "the opening year listed in the infobox"),
+    ("^architect$", "text", "the architect listed in the infobox"),
+    ("^location$", "text", "the location listed in the infobox"),
+    ("^(date|start.date|end.date)$", "date", "the date listed in the infobox"),
+]
+
+# Places, countries, tickers, coins.
+PLACE_WORDS = [
+    "city", "town", "village", "county", "district", "province", "state", "island", "mount", "lake", "river",
+    "bridge", "park", "station", "airport", "harbor", "harbour", "port",
+]
+NON_PLACE_WORDS = [
+    "national", "team", "union", "league", "championship", "cup", "sultanate", "dynasty", "empire", "kingdom",
+    "olympique", "athletic", "football", "rugby", "cricket", "university", "institute", "academy", "college",
+    "wikipedia", "disambiguation",
+]
+PLACE_PARTICLES = ["city", "bay", "mount", "new", "san", "los", "el", "la", "fort", "st.", "saint"]
+LOCATION_KEYS = [
+    "location", "city", "capital", "headquarters", "seat", "place", "venue", "ground", "stadium", "birth_place",
+    "birthplace", "death_place", "deathplace", "home_town", "hometown", "native_place", "residence",
+    "coordinates", "coord",
+]
+COORDINATE_PREFIXES = ["coordinates", "coord", "coords", "latd", "latitude"]
+COUNTRY_KEYS = ["country", "nation", "sovereign state"]
+TICKER_KEYS = ["traded_as", "ticker_symbol", "stock_symbol", "trading_symbol"]
+EXCHANGE = r"(?:NYSE|NASDAQ|TSE|LSE|HKEX|SGX|SZSE|SSE|KRX|TSX)[:\s]+([A-Z]{1,5})"
+NOT_TICKERS = [
+    "THE", "AND", "FOR", "INC", "LTD", "PLC", "CO", "USD", "EUR", "GBP", "JPY", "CNY", "HKD", "CAD",
+]
+COIN_KEYS = ["ticker_symbol", "symbol", "code", "ticker symbol"]
+COIN_PAIRS = {
+    "bitcoin": "BTCUSDT", "ethereum": "ETHUSDT", "binance coin": "BNBUSDT", "bnb": "BNBUSDT", "solana": "SOLUSDT",
+    "cardano": "ADAUSDT", "dogecoin": "DOGEUSDT", "ripple": "XRPUSDT", "xrp": "XRPUSDT", "polkadot": "DOTUSDT",
+    "litecoin": "LTCUSDT", "avalanche": "AVAXUSDT", "chainlink": "LINKUSDT", "polygon": "MATICUSDT",
+    "tron": "TRXUSDT", "shiba inu": "SHIBUSDT", "uniswap": "UNIUSDT", "stellar": "XLMUSDT", "monero": "XMRUSDT",
+    "toncoin": "TONUSDT",
+}
+KNOWN_COUNTRIES = [
+    "Afghanistan", "Albania", "Algeria", "Andorra", "Angola", "Argentina", "Armenia", "Australia", "Austria",
+    "Azerbaijan", "Bahamas", "Bahrain", "Bangladesh", "Barbados", "Belarus", "Belgium", "Belize", "Benin", "Bhutan",
+    "Bolivia", "Bosnia and Herzegovina", "Botswana", "Brazil", "Brunei", "Bulgaria", "Burkina Faso", "Burundi",
+    "Cambodia", "Cameroon", "Canada", "Chad", "Chile", "China", "Colombia", "Congo", "Costa Rica", "Croatia", "Cuba",
+    "Cyprus", "Czech Republic", "Denmark", "Djibouti", "Dominican Republic", "Ecuador", "Egypt", "El Salvador",
+    "Estonia", "Ethiopia", "Fiji", "Finland", "France", "Gabon", "Gambia", "Georgia", "Germany", "Ghana", "Greece",
+    "Guatemala", "Guinea", "Guyana", "Haiti", "Honduras", "Hungary", "Iceland", "India", "Indonesia", "Iran", "Iraq",
+    "Ireland", "Israel", "Italy", "Jamaica", "Japan", "Jordan", "Kazakhstan", "Kenya", "Kuwait", "Laos", "Latvia",
+    "Lebanon", "Libya", "Lithuania", "Luxembourg", "Madagascar", "Malaysia", "Mali", "Malta", "Mexico", "Moldova",
+    "Monaco", "Mongolia", "Montenegro", "Morocco", "Mozambique", "Myanmar", "Namibia", "Nepal", "Netherlands",
+    "New Zealand", "Nicaragua", "Niger", "Nigeria", "North Korea", "North Macedonia", "Norway", "Oman", "Pakistan",
+    "Panama", "Paraguay", "Peru", "Philippines", "Poland", "Portugal", "Qatar", "Romania", "Russia", "Rwanda",
+    "Saudi Arabia", "Senegal", "Serbia", "Singapore", "Slovakia", "Slovenia", "Somalia", "South Africa",
+    "South Korea", "Spain", "Sri Lanka", "Sudan", "Suriname", "Sweden", "Switzerland", "Syria", "Taiwan", "Tanzania",
+    "Thailand", "Togo", "Trinidad and Tobago", "Tunisia", "Turkey", "Uganda", "Ukraine", "United Arab Emirates",
+    "United Kingdom", "United States", "Uruguay", "Uzbekistan", "Venezuela", "Vietnam", "Yemen", "Zambia", "Zimbabwe",
+]
+
+# Date sources of the tools that need a day: infobox key words, year pattern in the lead, day in that year, default.
+ANY_YEAR = r"\b(1[89]\d{2}|20[0-2]\d)\b"
+TOOL_DATES = [
+    ("geocode_weather_historical", ["date", "founded", "opened", "established"], ANY_YEAR, "-07-01", None),
+    ("geocode_weather_precipitation", ["date", "founded", "opened", "established"], ANY_YEAR, "-07-01", None),
+    ("historical_snowfall", ["date", "founded", "opened", "established"], ANY_YEAR, "-01-15", None),
+    ("historical_sunshine", ["date", "founded", "opened", "established"], ANY_YEAR, "-06-21", None),
+    ("date_computation", ["date", "founded", "opened"], None, None, None),
+    ("stock_price", ["date", "founded", "ipo", "listed", "opened"], r"\b(20[0-2]\d)\b", "-06-15", "2024-06-15"),
+    ("stock_volume", ["date", "founded", "ipo", "listed", "opened"], r"\b(20[0-2]\d)\b", "-06-15", "2024-06-15"),
+    ("crypto_price", ["date", "released", "launched"], r"\b(20[12]\d)\b", "-06-15", "2024-06-15"),
+    ("crypto_volume", ["date", "released", "launched"], r"\b(20[12]\d)\b", "-06-15", "2024-06-15"),
+]

@@ -13,22 +13,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_index(
+def running_sum(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     bucket: Column,
+    value: Column,
     out: str,
     total: str | None = None,
 ) -> DataFrame:
-    """0-based position of each row inside its key, by ``order``.
+    """Sum of ``value`` over the rows of the key before each row, by ``order``.
 
     ``bucket`` must be non-null and must not decrease along ``order``. ``total`` also adds the
-    number of rows of the key.
+    sum over the whole key.
     """
     keys = list(keys)
-    tagged = df.withColumn("__b", bucket)
-    sizes = tagged.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    tagged = df.withColumn("__b", bucket).withColumn("__v", value.cast("bigint"))
+    sizes = tagged.groupBy(*keys, "__b").agg(F.sum("__v").alias("__n"))
     by_key = Window.partitionBy(*keys)
     offsets = sizes.select(
         *keys,
@@ -39,12 +40,22 @@ def dense_index(
         ).alias("__off"),
         *([F.sum("__n").over(by_key).alias(total)] if total else []),
     )
-    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
-    ranked = tagged.withColumn("__rn", F.row_number().over(inside))
-    placed = ranked.join(offsets, [*keys, "__b"])
-    return placed.withColumn(out, (F.col("__off") + F.col("__rn") - 1).cast("bigint")).drop(
-        "__b", "__off", "__rn"
-    )
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("__rs", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
+    placed = local.join(offsets, [*keys, "__b"])
+    return placed.withColumn(out, (F.col("__off") + F.col("__rs")).cast("bigint")).drop("__b", "__v", "__off", "__rs")
+
+
+def dense_index(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    bucket: Column,
+    out: str,
+    total: str | None = None,
+) -> DataFrame:
+    """0-based position of each row inside its key, by ``order``; see :func:`running_sum`."""
+    return running_sum(df, keys, order, bucket, F.lit(1), out, total)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
@@ -81,3 +92,8 @@ def first_upto(
 def draw_order(seed: int, salt: str, *cols: str) -> Column:
     """Repeatable pseudo-random sort key: md5 over seed, salt and the id columns."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols], F.lit(salt)))
+
+
+def draw_int(seed: int, salt: str, *cols: str) -> Column:
+    """Repeatable pseudo-random integer in 0 .. 2^32-1 from the same md5."""
+    return F.conv(F.substring(draw_order(seed, salt, *cols), 1, 8), 16, 10).cast("bigint")

@@ -110,6 +110,21 @@ CASE trail_id % 6 WHEN 0 THEN CAST(NULL AS VARCHAR(20)) WHEN 1 THEN '' WHEN 2 TH
      WHEN 3 THEN CAST((passcode + 1) % 10 AS VARCHAR(20)) ELSE CAST(passcode AS VARCHAR(20)) END AS answer
 """
 
+# article texts: site chrome, infobox rows (one hidden coordinate pair, one repeated key), links of all kinds
+_WIKI = """
+p_partkey AS k, concat('https://en.wikipedia.org/wiki/Part_', CAST(p_partkey AS VARCHAR(20))) AS url,
+concat('Main menu', chr(10), 'From Wikipedia, the free encyclopedia', chr(10), '# Part ', CAST(p_partkey AS VARCHAR(20)), chr(10), chr(10),
+ '| Country | [Nation ', CAST(p_partkey % 25 AS VARCHAR(20)), '](/wiki/Nation_', CAST(p_partkey % 25 AS VARCHAR(20)), ') |', chr(10), '| --- | --- |', chr(10),
+ '| **Population** | ', CAST(p_size AS VARCHAR(20)), ',', CAST(100 + p_partkey % 900 AS VARCHAR(20)), ' people |', chr(10),
+ '| Coordinates: [x](https://geohack.toolforge.org/x) 12.5; -3.25 | north |', chr(10),
+ CASE p_partkey % 4 WHEN 0 THEN concat('| Traded as | NYSE: AB', chr(CAST(65 + p_partkey % 26 AS INT)), ' |', chr(10))
+      WHEN 1 THEN concat('| Location | Old Harbour ', CAST(p_partkey % 7 AS VARCHAR(20)), ', Far Land |', chr(10)) ELSE '' END,
+ chr(10), '**Founded**: ', CAST(1800 + p_partkey % 230 AS VARCHAR(20)), chr(10), '**Country**: Elsewhere', chr(10), chr(10),
+ '## Overview', chr(10), 'The **part ', CAST(p_partkey AS VARCHAR(20)), '** is a ', p_name, ' near [Part ', CAST(p_partkey DIV 3 AS VARCHAR(20)), '](/wiki/Part_', CAST(p_partkey DIV 3 AS VARCHAR(20)),
+ ') and [Part b (tool)](/wiki/Part_b_(tool)).', chr(10), 'See [File](/wiki/File:X.png), [1987](/wiki/1987), [List](/wiki/List_of_parts) and [next](/wiki/Part_',
+ CAST(p_partkey + 1 AS VARCHAR(20)), '#top).', chr(10), chr(10), '## See also', chr(10), '* [Part c](/wiki/Part_', CAST(p_partkey DIV 5 AS VARCHAR(20)), ')', chr(10)) AS markdown
+"""
+
 # --- SQL side ------------------------------------------------------------------------------
 
 _VIEW_SQL = {
@@ -141,6 +156,7 @@ _VIEW_SQL = {
         FROM stops_v a JOIN stops_v b ON a.trail_id = b.trail_id AND b.stop_index = a.stop_index + 1
         WHERE a.page_url IS NOT NULL AND b.page_url IS NOT NULL AND a.page_url <> b.page_url
         GROUP BY ALL""",
+    "wiki_v": f"SELECT {_WIKI.replace(' DIV ', ' // ')} FROM part",
     "riddles_v": """SELECT doc_id AS trail_id,
           CASE doc_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'extreme' END AS level,
           concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3)) AS seed_title,
@@ -268,6 +284,11 @@ def links(stops_df: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg((F.min("i") + 1).alias("pos"))
 
 
+def wiki(spark: SparkSession, sf: str) -> DataFrame:
+    """Article pages: (k, url, markdown)."""
+    return load(spark, sf, "part").selectExpr(*_exprs(_WIKI))
+
+
 def riddles(spark: SparkSession, sf: str) -> DataFrame:
     text, doc = F.col("text"), F.col("doc_id")
     levels = F.array(*[F.lit(x) for x in ("easy", "medium", "hard", "extreme")])
