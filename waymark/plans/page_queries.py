@@ -139,14 +139,14 @@ def monthly_views(spark, sf):
 
 
 def _seeds(spark, sf):
-    """Every hundredth page is the seed of its own graph."""
-    return views.wiki(spark, sf).where("k % 97 = 11").select(F.col("k").alias("graph_id"), "url")
+    """Every page is the seed of its own graph."""
+    return views.wiki(spark, sf).select(F.col("k").alias("graph_id"), "url")
 
 
 _CRAWL = f"""WITH RECURSIVE {_INFO},
 edge_q AS (SELECT l.k, l.pos, replace(replace(target_url, 'https://en.wikipedia.org/wiki/Part_', ''), 'https://en.wikipedia.org/wiki/', '') AS t FROM wlinks_q l WHERE section <> 'See also'),
 e_q AS (SELECT k, TRY_CAST(t AS BIGINT) AS t FROM edge_q WHERE TRY_CAST(t AS BIGINT) IS NOT NULL AND TRY_CAST(t AS BIGINT) IN (SELECT k FROM wiki_v)),
-crawl_q AS (SELECT k AS graph_id, k, 0 AS depth FROM wiki_v WHERE k % 97 = 11 UNION SELECT c.graph_id, e.t, c.depth + 1 FROM crawl_q c JOIN e_q e ON e.k = c.k WHERE c.depth < 3),
+crawl_q AS (SELECT k AS graph_id, k, 0 AS depth FROM wiki_v UNION SELECT c.graph_id, e.t, c.depth + 1 FROM crawl_q c JOIN e_q e ON e.k = c.k WHERE c.depth < 3),
 level_q AS (SELECT graph_id, k, min(depth) AS depth FROM crawl_q GROUP BY 1, 2)"""
 
 
@@ -382,11 +382,11 @@ def ranked_facts(spark, sf):
     return r.select("url", "description", "value_type", "rank")
 
 
-@query("fact_agreement", """SELECT url, 0 AS pos, CASE k % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END / 3 AS agreement FROM wiki_v WHERE k % 7 <> 0 AND k > 200
-UNION ALL SELECT url, 1, 1.0 FROM wiki_v WHERE k % 7 <> 0 AND k > 200 UNION ALL SELECT url, 3, 0.0 FROM wiki_v WHERE k % 7 <> 0 AND k > 200""")
+@query("fact_agreement", """SELECT url, 0 AS pos, CASE k % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END / 3 AS agreement FROM wiki_v WHERE k % 7 <> 0
+UNION ALL SELECT url, 1, 1.0 FROM wiki_v WHERE k % 7 <> 0 UNION ALL SELECT url, 3, 0.0 FROM wiki_v WHERE k % 7 <> 0""")
 def fact_agreement(spark, sf):
-    w = views.wiki(spark, sf).where("k > 200")
-    f = facts.parse_replies(_replies(spark, sf)).join(w.select("url"), "url", "left_semi")
+    w = views.wiki(spark, sf)
+    f = facts.parse_replies(_replies(spark, sf))
     k = F.col("k")
     tries = F.array(*[
         F.struct(F.lit(0).alias("pos"), F.when(F.lit(i) < 3 - k % 4, F.concat(F.lit("about "), F.format_number(k * 1.001, 2))).otherwise(F.lit("none")).alias("extracted")) for i in range(3)

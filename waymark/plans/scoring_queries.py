@@ -156,12 +156,12 @@ def seen_names(spark, sf):
 
 
 @query("final_answers", """SELECT conv_id, CAST(arg_min(d, turn) AS INTEGER) AS answer FROM (
-  SELECT conv_id, turn, regexp_extract(concat(text, ' final  answer: ', CAST(conv_id % 10 AS VARCHAR)), '(?i)Final\\s+Answer\\s*:\\s*(\\d)', 1) AS d
-  FROM conversations WHERE role = 'assistant' AND turn % 4 = 3) WHERE d <> '' GROUP BY 1""")
+  SELECT conv_id, turn, regexp_extract(CASE WHEN turn % 4 = 3 THEN concat(text, ' final  answer: ', CAST(conv_id % 10 AS VARCHAR)) ELSE text END, '(?i)Final\\s+Answer\\s*:\\s*(\\d)', 1) AS d
+  FROM conversations WHERE role = 'assistant') WHERE d <> '' GROUP BY 1""")
 def final_answers(spark, sf):
     c = views.load(spark, sf, "conversations")
     said = F.concat("text", F.lit(" final  answer: "), (F.col("conv_id") % 10).cast("string"))
-    return scoring.final_answers(c.withColumn("text", F.when(F.col("turn") % 4 == 3, said).otherwise(F.lit("no"))))
+    return scoring.final_answers(c.withColumn("text", F.when(F.col("turn") % 4 == 3, said).otherwise(F.col("text"))))
 
 
 @query("shaped_calls", """SELECT doc_id, md5(CASE WHEN length(text) > 8000 THEN concat(substring(text, 1, 8000), chr(10), '... (truncated)') ELSE text END) AS result_md5,

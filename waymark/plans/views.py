@@ -243,7 +243,7 @@ def chain(stops_df: DataFrame) -> DataFrame:
             ),
         ),
     ).otherwise(F.create_map(F.lit("address"), F.col("address")))
-    chained = F.create_map(F.lit("__from_previous_as_locations"), F.lit("0"))
+    chained = F.create_map(F.lit("__from_previous_as_locations"), F.lit("coords"))
 
     def step(pos: int, name, arguments):
         return F.struct(F.lit(pos).alias("step"), name.alias("tool_name"), arguments.alias("args"))
