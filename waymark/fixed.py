@@ -199,3 +199,24 @@ TOOL_DATES = [
     ("crypto_price", ["date", "released", "launched"], r"\b(20[12]\d)\b", "-06-15", "2024-06-15"),
     ("crypto_volume", ["date", "released", "launched"], r"\b(20[12]\d)\b", "-06-15", "2024-06-15"),
 ]
+
+# Tool templates: planned names, and the order in which others are tried.
+FALLBACK_TEMPLATES = [
+    "geocode_elevation", "nearby_poi_count", "place_rating", "country_population", "country_area",
+    "geocode_weather_historical", "historical_snowfall", "historical_sunshine", "geocode_distance",
+    "geocode_directions_duration", "geocode_weather_precipitation", "math_conversion", "date_computation",
+]
+MARKET_TEMPLATES = ["stock_price", "stock_volume", "crypto_price", "crypto_volume"]
+POI_TYPES = [
+    "museums", "restaurants", "parks", "hotels", "hospitals", "universities", "libraries", "stadiums", "temples", "churches",
+]
+AUGMENT_DATE = "2024-01-15"
+
+# Diamonds: name, source, branch A and B templates; number of diamonds per level.
+DIAMONDS = [
+    ("elevation_poi", "location", "geocode_elevation", "nearby_poi_count"),
+    ("elevation_rating", "location", "geocode_elevation", "place_rating"),
+    ("country_pop_area", "country", "country_population", "country_area"),
+    ("weather_precip", "location", "geocode_weather_historical", "geocode_weather_precipitation"),
+]
+DIAMONDS_PER_LEVEL = [("easy", 1, 1), ("medium", 1, 2), ("hard", 2, 3), ("extreme", 3, 5)]

@@ -6,6 +6,8 @@ text), ``output`` the reply text. A call is a join on the tool and the canonical
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -320,14 +322,16 @@ def resolve_args(args: Column, context: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def replay_chains(chain: DataFrame, replies: DataFrame, max_steps: int | None = None) -> DataFrame:
+def replay_chains(
+    chain: DataFrame, replies: DataFrame, max_steps: int | None = None, keys: Sequence[str] = ("trail_id", "stop_index")
+) -> DataFrame:
     """Value of each stop's tool chain: steps in order, each call a join with its reply.
 
     ``chain(trail_id, stop_index, step, tool_name, args, output_key)``. The chain stops at the first
     unknown call or error, and its value is then null. The steps of one stop (a handful) travel
-    in one row. Returns (trail_id, stop_index, value, calls, error).
+    in one row. Returns the keys of the chains and (value, calls, error).
     """
-    k = ["trail_id", "stop_index"]
+    k = list(keys)
     if max_steps is None:
         max_steps = (chain.agg(F.max("step")).first()[0] or 0) + 1
     known = replies.select("tool_name", args_key(F.col("args")).alias("args_key"), "output", F.col("error").alias("reply_error"))
