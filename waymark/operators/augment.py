@@ -47,12 +47,10 @@ def _source_chains(stops: DataFrame, kinds: DataFrame, seed: int) -> DataFrame:
     placed = stop_places(stops.where("stop_type = 'page' AND page_url <> ''"))
     s = placed.select(*K, "page_url", F.when(is_geocodable(F.col("location")), F.col("location")).alias("location"), "country")
     null = F.lit(None).cast("string")
-    # a handful of fixed templates per stop
-    rows = s.join(kinds)
-    chain = build.template_chain(
-        F.col("template"), F.col("location"), null, F.col("country"), null, null, F.lit(fixed.AUGMENT_DATE), null, draw_int(seed, "poi", *K), null
-    )
-    return rows.withColumn("chain", chain).where("chain IS NOT NULL")
+    dated = ("geocode_weather_historical", "geocode_weather_precipitation")
+    days = F.create_map(*[x for t in dated for x in (F.lit(t), F.lit(fixed.AUGMENT_DATE).cast("date"))])
+    rows = build.template_rows(F.col("location"), null, F.col("country"), null, null, days, null, draw_int(seed, "poi", *K), F.lit(fixed.AUGMENT_DATE))
+    return s.select(*K, "page_url", F.inline(rows)).join(kinds, "template")
 
 
 def _values(chains: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:

@@ -91,20 +91,40 @@ def _weather(location: Column, day: Column, series: str, key: str) -> Column:
     )
 
 
-def template_chain(template: Column, location: Column, other: Column, country: Column, ticker: Column, coin: Column, day: Column, number: Column, draw: Column, reference: Column) -> Column:
-    """Tool chain of a template as an array of steps; null when an input is missing."""
+def template_rows(location: Column, other: Column, country: Column, ticker: Column, coin: Column, days: Column, number: Column, draw: Column, reference: Column) -> Column:
+    """All templates a stop can use, as an array of (template, chain); ``days`` maps templates to days.
+
+    An array per stop and one generator keep the plan flat: no join with a template table and no
+    filter on a large expression.
+    """
+
+    def day_of(name: str) -> Column:
+        return F.try_element_at(days, F.lit(name))
+
+    def trading_day_of(name: str) -> Column:
+        d = day_of(name)
+        return F.date_sub(d, F.greatest(F.weekday(d) - 4, F.lit(0)))
+
     poi = F.get(texts(fixed.POI_TYPES), F.pmod(draw, F.lit(len(fixed.POI_TYPES))).cast("int"))
     factors = F.array(*[F.lit(f) for _a, _b, f in fixed.UNIT_FACTORS])
     factor = F.get(factors, F.pmod(draw, F.lit(len(fixed.UNIT_FACTORS))).cast("int"))
     geocode = _step(0, "maps_geocode", "coords", address=location)
-    days_code = F.concat(F.lit("days_between("), day.cast("string"), F.lit(", "), reference.cast("string"), F.lit(")"))
+    days_code = F.concat(F.lit("days_between("), day_of("date_computation").cast("string"), F.lit(", "), reference.cast("string"), F.lit(")"))
     unit_code = F.concat(F.lit("int("), number.cast("string"), F.lit(" * "), factor.cast("string"), F.lit(")"))
     two_places = location.isNotNull() & other.isNotNull() & (location != other)
+
+    def dated(name: str, steps: Column, needs: Column = location) -> tuple[Column, Column]:
+        return needs.isNotNull() & day_of(name).isNotNull(), steps
+
+    def series(name: str, column: str, key: str) -> tuple[Column, Column]:
+        return dated(name, _weather(location, day_of(name), column, key))
+
+    stock_day, volume_day = trading_day_of("stock_price"), trading_day_of("stock_volume")
     chains = {
         "geocode_elevation": (location.isNotNull(), F.array(geocode, _step(1, "maps_elevation", "elevation", __from_previous_as_locations=F.lit("coords")))),
-        "geocode_weather_historical": (
-            location.isNotNull() & day.isNotNull(),
-            F.array(geocode, _step(1, "weather_historical", "temperature", __from_previous=F.lit("coords"), date=day)),
+        "geocode_weather_historical": dated(
+            "geocode_weather_historical",
+            F.array(geocode, _step(1, "weather_historical", "temperature", __from_previous=F.lit("coords"), date=day_of("geocode_weather_historical"))),
         ),
         "geocode_distance": (
             two_places,
@@ -113,22 +133,23 @@ def template_chain(template: Column, location: Column, other: Column, country: C
                 _step(2, "maps_distance_matrix", "distance_km", __from_previous_as_origins_destinations=F.lit('["coords_a","coords_b"]')),
             ),
         ),
-        "date_computation": (day.isNotNull(), F.array(_step(0, "python_execute_code", "days", code=days_code))),
+        "date_computation": (day_of("date_computation").isNotNull(), F.array(_step(0, "python_execute_code", "days", code=days_code))),
         "geocode_directions_duration": (two_places, F.array(_step(0, "maps_directions", "duration", origin=location, destination=other, mode=F.lit("driving")))),
-        "geocode_weather_precipitation": (location.isNotNull() & day.isNotNull(), _weather(location, day, "precipitation_sum", "precipitation")),
+        "geocode_weather_precipitation": series("geocode_weather_precipitation", "precipitation_sum", "precipitation"),
         "math_conversion": (number.isNotNull(), F.array(_step(0, "python_execute_code", "converted", code=unit_code))),
         "nearby_poi_count": (location.isNotNull(), F.array(_step(0, "maps_search_places", "poi_count", query=F.concat(poi, F.lit(" near "), location)))),
         "place_rating": (location.isNotNull(), F.array(_step(0, "maps_search_places", "place_rating", query=location))),
         "country_population": (country.isNotNull(), F.array(_step(0, "countries_population", "population", country=country))),
         "country_area": (country.isNotNull(), F.array(_step(0, "countries_area", "area_km2", country=country))),
-        "historical_snowfall": (location.isNotNull() & day.isNotNull(), _weather(location, day, "snowfall_sum", "snowfall")),
-        "historical_sunshine": (location.isNotNull() & day.isNotNull(), _weather(location, day, "sunshine_duration", "sunshine")),
-        "stock_price": (ticker.isNotNull() & day.isNotNull(), F.array(_step(0, "stock_historical_price", "stock_price", ticker=ticker, date=day))),
-        "stock_volume": (ticker.isNotNull() & day.isNotNull(), F.array(_step(0, "stock_volume", "stock_volume", ticker=ticker, date=day))),
-        "crypto_price": (coin.isNotNull() & day.isNotNull(), F.array(_step(0, "crypto_historical_price", "crypto_price", symbol=coin, date=day))),
-        "crypto_volume": (coin.isNotNull() & day.isNotNull(), F.array(_step(0, "crypto_volume", "crypto_volume", symbol=coin, date=day))),
+        "historical_snowfall": series("historical_snowfall", "snowfall_sum", "snowfall"),
+        "historical_sunshine": series("historical_sunshine", "sunshine_duration", "sunshine"),
+        "stock_price": dated("stock_price", F.array(_step(0, "stock_historical_price", "stock_price", ticker=ticker, date=stock_day)), ticker),
+        "stock_volume": dated("stock_volume", F.array(_step(0, "stock_volume", "stock_volume", ticker=ticker, date=volume_day)), ticker),
+        "crypto_price": dated("crypto_price", F.array(_step(0, "crypto_historical_price", "crypto_price", symbol=coin, date=day_of("crypto_price"))), coin),
+        "crypto_volume": dated("crypto_volume", F.array(_step(0, "crypto_volume", "crypto_volume", symbol=coin, date=day_of("crypto_volume"))), coin),
     }
-    return F.coalesce(*[F.when((template == name) & F.coalesce(ok, F.lit(False)), steps.cast(CHAIN_TYPE)) for name, (ok, steps) in chains.items()])
+    rows = [F.when(ok, F.struct(F.lit(name).alias("template"), steps.cast(CHAIN_TYPE).alias("chain"))) for name, (ok, steps) in chains.items()]
+    return F.array_compact(F.array(*rows))
 
 
 def templates(spark) -> DataFrame:
@@ -143,15 +164,16 @@ def expand_templates(tool_stops: DataFrame, dates: DataFrame, reference_day: str
     :func:`waymark.operators.facts.tool_dates`. Stock days move to the trading day before. 17 fixed
     rows per stop at most.
     """
-    day = F.when(F.col("template").isin("stock_price", "stock_volume"), F.date_sub("day", F.greatest(F.weekday("day") - 4, F.lit(0)))).otherwise(F.col("day"))
-    rows = tool_stops.join(templates(tool_stops.sparkSession)).join(dates.select(*K, "template", "day"), [*K, "template"], "left")
+    # nine dated templates per stop at most
+    days = dates.groupBy(*K).agg(F.map_from_entries(F.collect_list(F.struct("template", "day"))).alias("days"))
     c = F.col
-    chain = template_chain(
-        c("template"), c("location"), c("other_location"), c("country"), c("ticker"), c("coin"), day, c("number"),
-        draw_int(seed, "template", *K, "template"), F.lit(reference_day),
+    rows = template_rows(
+        c("location"), c("other_location"), c("country"), c("ticker"), c("coin"), c("days"), c("number"), draw_int(seed, "template", *K), F.lit(reference_day)
     )
+    ranks = templates(tool_stops.sparkSession)
+    e = tool_stops.join(days, K, "left").select(*K, "tool_type", F.inline(rows)).join(ranks, "template")
     rank = F.when(c("template") == c("tool_type"), -1).otherwise(c("fallback_rank"))
-    return rows.select(*K, "template", rank.alias("priority"), chain.alias("chain")).where("chain IS NOT NULL")
+    return e.select(*K, "template", rank.alias("priority"), "chain")
 
 
 def choose_templates(expanded: DataFrame) -> DataFrame:
@@ -279,8 +301,7 @@ def insert_stops(stops: DataFrame, insertions: DataFrame) -> DataFrame:
     new = new.withColumn("stop_index", (F.col("__at") + 1 + F.col("seq")).cast("bigint"))
     is_reason = F.col("stop_type") == "reason"
     new = new.withColumn("reason_source_stop", F.when(is_reason, F.col("__at")).cast("bigint"))
-    cols = [c for c in old.columns if c in new.columns]
-    return old.unionByName(new.select(*cols), allowMissingColumns=True)
+    return old.unionByName(new.drop("after", "seq", "__at", "__places"), allowMissingColumns=True)
 
 
 # --- reason stops --------------------------------------------------------------------------

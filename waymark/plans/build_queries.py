@@ -268,14 +268,14 @@ def candidate_tools(spark, sf):
 
 
 @query("candidate_reasons", """WITH taken AS (SELECT DISTINCT trail_id, reason_source_stop AS stop_index FROM stops_v WHERE stop_type = 'reason')
-SELECT s.trail_id, count(*) AS sources FROM stops_v s LEFT JOIN taken USING (trail_id, stop_index) WHERE taken.trail_id IS NULL AND s.stop_type IN ('page', 'tool') AND s.value_type = 'number' AND TRY_CAST(s.value_str AS DOUBLE) >= 100 GROUP BY 1 HAVING count(*) <= 6""")
+SELECT s.trail_id, count(*) AS sources FROM stops_v s LEFT JOIN taken USING (trail_id, stop_index) WHERE taken.trail_id IS NULL AND s.stop_type IN ('page', 'tool') AND s.value_type = 'number' AND TRY_CAST(s.value_str AS DOUBLE) >= 100 GROUP BY 1 HAVING count(*) <= 4""")
 def candidate_reasons(spark, sf):
     """Sources left per trail, where they are few enough to be all drawn."""
     s = views.stops(spark, sf).where("stop_type = 'reason' OR (value_type = 'number' AND try_cast(value_str AS DOUBLE) >= 100)")
-    all_of_them = s.select("trail_id").distinct().withColumn("target", F.lit(6))
+    all_of_them = s.select("trail_id").distinct().withColumn("target", F.lit(4))
     drawn = augment.candidate_reasons(s, all_of_them).groupBy("trail_id").agg(F.count(F.lit(1)).alias("sources"))
     taken = s.where("stop_type = 'reason'").select("trail_id", F.col("reason_source_stop").alias("stop_index")).distinct()
-    n = s.where("stop_type IN ('page', 'tool')").join(taken, ["trail_id", "stop_index"], "left_anti").groupBy("trail_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 6")
+    n = s.where("stop_type IN ('page', 'tool')").join(taken, ["trail_id", "stop_index"], "left_anti").groupBy("trail_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 4")
     return drawn.join(n, "trail_id", "left_semi")
 
 
