@@ -14,6 +14,7 @@ from waymark.operators import build, checks
 from waymark.operators.dims import level_config, table
 from waymark.operators.facts import is_geocodable, stop_places
 from waymark.operators.replies import replay_chains
+from waymark.session import cut_lineage
 
 K = ["trail_id", "stop_index"]
 
@@ -55,6 +56,7 @@ def _source_chains(stops: DataFrame, kinds: DataFrame, seed: int) -> DataFrame:
 
 def _values(chains: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
     """Chains with their replayed values; empty and zero values are dropped."""
+    chains = cut_lineage(chains)
     steps = chains.select(*keys, F.inline("chain"))
     # chains of the templates have at most three steps
     got = replay_chains(steps, replies, max_steps=3, keys=keys).where("value IS NOT NULL").select(*keys, "value")
@@ -113,10 +115,12 @@ def augment(trails: DataFrame, stops: DataFrame, chain: DataFrame, replies: Data
     need = needed_stops(trails, stops)
     tools = candidate_tools(stops, replies, need.where("tool_needed > 0").select("trail_id", F.col("tool_needed").alias("target")), seed)
     ends = stops.groupBy("trail_id").agg(F.max_by("stop_type", "stop_index").alias("t")).where("t = 'compute'").select("trail_id")
-    packed = attach_chains(stops, chain)
+    packed = cut_lineage(attach_chains(stops, chain))
+    tools = cut_lineage(tools)
     s1 = build.insert_stops(packed.where("stop_type <> 'compute'"), tools)
     reasons = candidate_reasons(s1, need.where("reason_needed > 0").select("trail_id", F.col("reason_needed").alias("target")), seed)
-    s2 = build.insert_stops(s1, reasons)
+    reasons = cut_lineage(reasons)
+    s2 = cut_lineage(build.insert_stops(s1, reasons))
     added = tools.select("trail_id").unionByName(reasons.select("trail_id")).groupBy("trail_id").agg(F.count(F.lit(1)).alias("added"))
     rebuilt = build.compute_stops(s2, seed).drop("referenced_stops").join(ends, "trail_id", "left_semi")
     s3 = s2.unionByName(rebuilt, allowMissingColumns=True).join(added, "trail_id", "left_semi").withColumn("stored_index", F.col("stop_index"))

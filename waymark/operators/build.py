@@ -16,6 +16,7 @@ from waymark.functions.values import int_view, to_float
 from waymark.operators import transforms
 from waymark.operators.dims import level_config, table, texts
 from waymark.operators.facts import is_geocodable, page_entities
+from waymark.session import cut_lineage
 
 K = ["trail_id", "stop_index"]
 
@@ -198,7 +199,9 @@ def stops_from_plan(planned: DataFrame, chosen: DataFrame, page_info: DataFrame,
     hinted = F.when(
         (F.col("value_type") == "text") & (F.length("value") < 60) & ~F.rlike("value", F.lit(r"\d")) & is_geocodable(strip(F.col("value"))), strip(F.col("value"))
     )
-    here = pages.join(ents, "url", "left")
+    # used several times below: written once
+    here = cut_lineage(pages.join(ents, "url", "left"))
+    pages = here
     locs = here.select(*K, F.inline(F.array(F.struct(F.lit(0).alias("src"), hinted.alias("value")), F.struct(F.lit(1).alias("src"), F.col("location").alias("value")))))
     locs = locs.where("value IS NOT NULL")
     firsts = locs.groupBy("trail_id", "value").agg(F.min(F.struct("stop_index", "src")).alias("first"))
@@ -214,6 +217,8 @@ def stops_from_plan(planned: DataFrame, chosen: DataFrame, page_info: DataFrame,
     seen = countries.select("trail_id", F.col("value").alias("own_country"), F.col("stop_index").alias("seen_at"))
     tools = tools.join(seen, ["trail_id", "own_country"], "left")
     own = F.when(F.col("seen_at").isNull() | (F.col("seen_at") > F.col("stop_index")), F.col("own_country"))
+    tools = cut_lineage(tools.select(*K, "tool_type", "location", "ticker", "coin", own.alias("own")))
+    own = F.col("own")
     tools = draw_earlier(tools, locations, "other_location", seed)
     tools = draw_earlier(tools, countries, "country", seed, extra=own)
     tools = draw_earlier(tools, numbers, "number", seed)
@@ -314,7 +319,8 @@ def draw_reasons(stops: DataFrame, targets: DataFrame, seed: int = 0, most: int
     result other than 0 and 1, or stays without.
     """
     eligible = stops.where("stop_type IN ('page', 'tool')")
-    rows = transforms.apply_transforms(eligible)
+    # read three times below: written once
+    rows = cut_lineage(transforms.apply_transforms(eligible))
     sources = rows.select(*K).distinct().withColumn("draw", draw_order(seed, "reason", *K))
     drawn = first_per_key(sources, ["trail_id"], [F.col("draw"), F.col("stop_index")], most)
     ranked = drawn.withColumn("rk", F.row_number().over(Window.partitionBy("trail_id").orderBy("draw", "stop_index")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import strip
 from waymark.functions.values import let, number_text, to_float, whole
+from waymark.session import cut_lineage
 
 # --- flattening of reply documents ---------------------------------------------------------
 
@@ -201,7 +202,7 @@ def _truthy(path: str) -> Column:
     return F.when((t != "") & ~F.coalesce(to_float(t) == 0, F.lit(False)), t)
 
 
-def reply_values(replies: DataFrame) -> DataFrame:
+def reply_values(replies: DataFrame, only_places: bool = False) -> DataFrame:
     """Adds ``value``: the single value of each reply as text, by the rule of its tool.
 
     ``replies(tool_name, output_key, output)``. Coordinates become a JSON object; a reply without the
@@ -212,6 +213,13 @@ def reply_values(replies: DataFrame) -> DataFrame:
     lng = F.coalesce(*[_truthy(p) for p in ("$.location.lng", "$.location.longitude", "$.location.lon", "$.lng", "$.longitude")])
     coords = F.when(lat.isNotNull() & lng.isNotNull(), F.to_json(F.struct(lat.alias("latitude"), lng.alias("longitude"))))
 
+    n_places = F.size(F.coalesce(F.try_variant_get("doc", "$.places", "array<variant>"), F.array().cast("array<variant>")))
+    rating = F.coalesce(_num("$.places[0].rating"), F.lit(0.0))
+    if only_places:
+        found = F.when(key == "poi_count", n_places.cast("string")).when(key == "place_rating", number_text(rating))
+        is_doc = F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT"))
+        return replies.withColumn("doc", F.try_parse_json("output")).withColumn("value", F.when((tool == "maps_search_places") & is_doc, found)).drop("doc")
+
     def first(*values: Column) -> Column:
         return number_text(F.coalesce(*values))
 
@@ -226,9 +234,6 @@ def reply_values(replies: DataFrame) -> DataFrame:
     flat = F.coalesce(_truthy("$.distance"), _truthy("$.distance_km"))
     no_route = flat.isNull() & (F.try_variant_get("doc", f"{cell}.status", "string") == "ZERO_RESULTS")
     minutes = F.coalesce(whole(_num("$.routes[0].duration.value") / 60), whole(_num("$.routes[0].duration")))
-    n_places = F.size(F.coalesce(F.try_variant_get("doc", "$.places", "array<variant>"), F.array().cast("array<variant>")))
-    rating = F.coalesce(_num("$.places[0].rating"), F.lit(0.0))
-
     def series(name: str) -> Column:
         return F.coalesce(F.when(_num(f"$.{name}") != 0, _num(f"$.{name}")), _num(f"$.{name}[0]"))
 
@@ -334,7 +339,17 @@ def replay_chains(
     k = list(keys)
     if max_steps is None:
         max_steps = (chain.agg(F.max("step")).first()[0] or 0) + 1
-    known = replies.select("tool_name", args_key(F.col("args")).alias("args_key"), "output", F.col("error").alias("reply_error"))
+    # values are read once per reply; only place searches depend on the output key
+    parsed = reply_values(replies.withColumn("output_key", F.lit("")))
+    for key in ("poi_count", "place_rating"):
+        parsed = reply_values(parsed.withColumnRenamed("value", "__kept").withColumn("output_key", F.lit(key)), only_places=True)
+        parsed = parsed.withColumnRenamed("value", key).withColumnRenamed("__kept", "value")
+    known = cut_lineage(
+        parsed.select(
+            "tool_name", args_key(F.col("args")).alias("args_key"), F.lit(True).alias("answered"), F.col("error").alias("reply_error"),
+            F.col("value").alias("reply_value"), "poi_count", "place_rating",
+        )
+    )
     # a stop's chain is one bounded list of its document
     state = chain.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("step", "tool_name", "output_key", args_key(F.col("args")).alias("args")))).alias("steps"))
     state = state.select(
@@ -350,8 +365,10 @@ def replay_chains(
         # rows without a call get keys of their own, so they do not gather in one task
         idle = F.concat_ws("|", F.lit("idle"), *[F.col(c).cast("string") for c in k])
         keyed = resolved.withColumn("args_key", F.coalesce("args_key", idle)).withColumn("tool_name", F.coalesce("tool_name", F.lit("")))
-        joined = reply_values(keyed.join(known, ["tool_name", "args_key"], "left").withColumnRenamed("value", "last_value"))
-        failed = F.col("live") & (F.col("output").isNull() | F.col("reply_error").isNotNull())
+        joined = keyed.withColumnRenamed("value", "last_value").join(known, ["tool_name", "args_key"], "left")
+        by_key = F.when(F.col("tool_name") == "maps_search_places", F.when(F.col("output_key") == "poi_count", F.col("poi_count")).when(F.col("output_key") == "place_rating", F.col("place_rating")))
+        joined = joined.withColumn("value", F.coalesce(by_key, F.col("reply_value")))
+        failed = F.col("live") & (F.col("answered").isNull() | F.col("reply_error").isNotNull())
         err = F.when(failed, F.coalesce("reply_error", F.concat(F.lit("no reply: "), F.col("tool_name"))))
         got = F.col("live") & ~failed
         # a context key may be set again; the later value stays

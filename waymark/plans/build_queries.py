@@ -9,6 +9,7 @@ from waymark.operators import augment, build, facts, pages
 from waymark.plans import views
 from waymark.plans.page_queries import sql_list
 from waymark.plans.registry import query
+from waymark.session import cut_lineage
 
 P = "https://en.wikipedia.org/wiki/"
 
@@ -93,13 +94,15 @@ def plan_stops(spark, sf):
     s = views.stops(spark, sf).where("stop_type IN ('page', 'tool')")
     kinds = F.array(*[F.lit(k) for k in [*fixed.FALLBACK_TEMPLATES, *fixed.MARKET_TEMPLATES]])
     planned = s.select("trail_id", "stop_index", F.col("stop_type").alias("type"), F.get(kinds, (F.col("l_partkey") % 17).cast("int")).alias("tool_type"), F.col("page_url").alias("url"))
-    info = pages.build_page_info(views.wiki(spark, sf)).drop("pageviews", "raw_markdown")
+    info = cut_lineage(pages.build_page_info(views.wiki(spark, sf)).drop("pageviews", "raw_markdown"))
+    planned = cut_lineage(planned)
     at = planned.where("type = 'page'").select("trail_id", F.struct("trail_id", "stop_index").alias("hint_id"), "url", F.lit("the founding year").alias("hint"))
     chosen = facts.choose_facts(at, facts.infobox_facts(info)).select("trail_id", F.col("hint_id.stop_index").alias("stop_index"), "description", "section", "value", "value_type")
+    chosen = cut_lineage(chosen)
     tools = planned.where("type = 'tool'").select("trail_id", "stop_index", "url")
     year = F.when(F.rlike("value", F.lit(r"^\d{4}$")), F.concat("value", F.lit("-01-01")).try_cast("date"))
     founded = chosen.select("trail_id", "stop_index", year.alias("day")).where("day IS NOT NULL")
-    dates = facts.tool_dates(tools, info.select("url", "infobox", "first_paragraph"), founded)
+    dates = cut_lineage(facts.tool_dates(tools, info.select("url", "infobox", "first_paragraph"), founded))
     out = build.stops_from_plan(planned, chosen, info, dates)
     return out.select("trail_id", "stop_index", "old_index", "stop_type", "value_str", "template", F.size("chain").alias("n_steps"))
 
@@ -281,7 +284,7 @@ def candidate_reasons(spark, sf):
 
 @query("augmented_trails")
 def augmented_trails(spark, sf):
-    s = place_stops(spark, sf)
+    s = cut_lineage(place_stops(spark, sf))
     return augment.augment(views.trails(spark, sf), s, views.chain(s), place_replies(s)).outcome
 
 
@@ -303,8 +306,8 @@ def diamond_branches(spark, sf):
 
 
 def _diamonds(spark, sf):
-    s = place_stops(spark, sf)
-    return s, augment.build_diamonds(views.trails(spark, sf), s, augment.diamond_branches(s, place_replies(s)))
+    s = cut_lineage(place_stops(spark, sf))
+    return s, cut_lineage(augment.build_diamonds(views.trails(spark, sf), s, augment.diamond_branches(s, place_replies(s))))
 
 
 @query("diamond_rows", f"""WITH {_DIAMOND} SELECT trail_id, stop_index AS after, CAST(x.seq AS INTEGER) AS seq, x.role, x.v::DOUBLE AS value_num FROM dq, LATERAL (VALUES (0, 'branch', a::DOUBLE), (1, 'branch', b::DOUBLE), (2, 'merge', CASE WHEN is_add THEN a + floor(b) ELSE abs(a - floor(b)) END::DOUBLE)) x(seq, role, v)""")
