@@ -21,6 +21,16 @@ from waymark.operators.dims import texts
 # --- HTML ----------------------------------------------------------------------------------
 
 
+def _settle(pattern: str):
+    """Repeat a removal where one pass has left new matches."""
+
+    def settle(r: Column) -> Column:
+        again = F.aggregate(F.sequence(F.lit(1), F.lit(32)), r, lambda acc, _i: F.regexp_replace(acc, pattern, ""))
+        return F.when(F.rlike(r, F.lit(pattern)), again).otherwise(r)
+
+    return settle
+
+
 def sanitize_html(html: Column) -> Column:
     """Text-free elements with their content, void elements and comments removed.
 
@@ -29,12 +39,7 @@ def sanitize_html(html: Column) -> Column:
     c = html
     for tag in fixed.DROPPED_ELEMENTS:
         pattern = rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"
-
-        def settle(r: Column, pattern: str = pattern) -> Column:
-            again = F.aggregate(F.sequence(F.lit(1), F.lit(32)), r, lambda acc, _i: F.regexp_replace(acc, pattern, ""))
-            return F.when(F.rlike(r, F.lit(pattern)), again).otherwise(r)
-
-        c = let(F.regexp_replace(c, pattern, ""), settle)
+        c = let(F.regexp_replace(c, pattern, ""), _settle(pattern))
     for tag in fixed.VOID_ELEMENTS:
         c = F.regexp_replace(c, rf"(?i)<{tag}(?:\s[^>]*)?/?>", "")
     return F.regexp_replace(c, r"(?s)<!--.*?-->", "")
