@@ -317,3 +317,12 @@ def test_seeds_cache_and_reports(spark, tmp_path):
 def test_sample_numbers(spark):
     f = spark.createDataFrame([("easy", "sample_009.json"), ("easy", "sample_010.json"), ("hard", "odd.json")], "level string, name string")
     assert {r.level: r.next_number for r in writers.next_sample_number(f).collect()} == {"easy": 11, "hard": 1}
+
+
+def test_insertion_moves_references(spark):
+    kinds = ["page", "page", "page", "page", "reason", "reason", "page"]
+    s = spark.createDataFrame([(1, i, k, {4: 3, 5: 4}.get(i)) for i, k in enumerate(kinds)], "trail_id bigint, stop_index bigint, stop_type string, reason_source_stop bigint")
+    new = spark.createDataFrame([(1, 0, 0, "page"), (1, 3, 0, "reason"), (1, 6, 0, "page")], "trail_id bigint, after bigint, seq int, stop_type string")
+    out = build.insert_stops(s, new).orderBy("stop_index").collect()
+    assert [r.stop_index for r in out] == list(range(10))
+    assert {r.stop_index: r.reason_source_stop for r in out if r.stop_type == "reason"} == {5: 4, 6: 4, 7: 6}

@@ -289,6 +289,8 @@ def insert_stops(stops: DataFrame, insertions: DataFrame) -> DataFrame:
         return index + F.size(F.filter(F.coalesce("__places", none), lambda a: a < index))
 
     # the kind of stop a reason refers to decides whether the reference can follow
+    if "reason_source_stop" not in stops.columns:
+        stops = stops.withColumn("reason_source_stop", F.lit(None).cast("bigint"))
     kinds = stops.select("trail_id", F.col("stop_index").alias("reason_source_stop"), F.col("stop_type").alias("__src_type"))
     s = stops.join(kinds, ["trail_id", "reason_source_stop"], "left").join(places, "trail_id", "left")
     new_index = shifted(F.col("stop_index"))
@@ -298,8 +300,10 @@ def insert_stops(stops: DataFrame, insertions: DataFrame) -> DataFrame:
             F.greatest(F.lit(0), new_index - 1)
         ),
     )
-    old = s.select(
-        "trail_id", new_index.cast("bigint").alias("stop_index"), source.cast("bigint").alias("reason_source_stop"),
+    # new names first: an alias that repeats an input name would be picked up inside the lambdas
+    named = s.withColumns({"__new_index": new_index.cast("bigint"), "__new_source": source.cast("bigint")})
+    old = named.select(
+        "trail_id", F.col("__new_index").alias("stop_index"), F.col("__new_source").alias("reason_source_stop"),
         *[c for c in stops.columns if c not in ("trail_id", "stop_index", "reason_source_stop")],
     )
     new = insertions.join(places, "trail_id").withColumn("__at", shifted(F.col("after")))

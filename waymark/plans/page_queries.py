@@ -473,7 +473,7 @@ _COUNTRY = f"{sql_list(fixed.KNOWN_COUNTRIES)}"
 
 @query("stop_places", f"""WITH s AS (SELECT trail_id, stop_index, CASE l_partkey % 3 WHEN 0 THEN {_COUNTRY}[l_partkey % 152 + 1] WHEN 1 THEN 'National Team' ELSE 'Lake (north)' END AS title,
   CASE WHEN l_partkey % 5 = 0 THEN {_COUNTRY}[l_suppkey % 152 + 1] END AS v FROM stops_v)
-SELECT trail_id, stop_index, CASE WHEN v IS NOT NULL AND v NOT IN ('United Kingdom', 'Bosnia and Herzegovina') AND (array_length(string_split(v, ' ')) < 2 OR regexp_matches(lower(v), 'city|bay|mount|new|san|los|el|la|fort|st\\.|saint|state|port|town')
+SELECT trail_id, stop_index, CASE WHEN v IS NOT NULL AND v <> 'United Kingdom' AND (array_length(string_split(v, ' ')) < 2 OR regexp_matches(lower(v), 'city|bay|mount|new|san|los|el|la|fort|st\\.|saint|state|port|town')
     OR NOT list_bool_and(list_transform(string_split(v, ' '), lambda w: regexp_matches(w, '^[A-Z]')))) THEN v WHEN title = 'Lake (north)' THEN 'Lake' ELSE title END AS location,
   CASE WHEN list_contains({_COUNTRY}, title) THEN title WHEN v IS NOT NULL THEN v END AS country FROM s""")
 def stop_places(spark, sf):
