@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import UPPER, table
 from waymark.llm.exact_dedup import exact_dedup
+from waymark.llm.near_dedup import near_dedup
 from waymark.llm.quality import fit, held_out, score
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +42,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
