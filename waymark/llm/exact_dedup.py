@@ -14,11 +14,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import heavy_keys, located, lower_ascii, salted_join, sized_semi_join, staged
+from waymark.llm.common import heavy_keys, located, lower_ascii, salted_join, settings, sized_semi_join, staged
 from waymark.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk, without space that is reserved per store: many small stores share a disk.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256(text):
@@ -32,24 +37,19 @@ def advance(digests: DataFrame, state_dir: str) -> None:
     earlier calls left there.
     """
     spark = digests.sparkSession
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
+    with settings(spark, STATE):
         held = digests.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n"))
         run = held.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).start()
         run.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
 
 
 def held_state(spark: SparkSession, state_dir: str) -> DataFrame:
     """The keyed state as it is: digest, keep (id, locator), n."""
-    state = spark.read.format("statestore").load(state_dir)
-    keep, n = (f.name for f in state.schema["value"].dataType.fields)
-    return state.select(F.col("key")[state.schema["key"].dataType.fields[0].name].alias("digest"), F.col("value")[keep].alias("keep"), F.col("value")[n].alias("n"))
+    with settings(spark, STATE):
+        state = spark.read.format("statestore").load(state_dir)
+        keep, n = (f.name for f in state.schema["value"].dataType.fields)
+        key = state.schema["key"].dataType.fields[0].name
+        return staged(state.select(F.col("key")[key].alias("digest"), F.col("value")[keep].alias("keep"), F.col("value")[n].alias("n")), "held")
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest=sha256) -> DataFrame:
@@ -68,7 +68,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
     source = digests.inputFiles()
     if source:
         advance(spark.readStream.schema(digests.schema).parquet(source[0].rpartition("/")[0]), folder)
-        state = staged(held_state(spark, folder), "held")
+        state = held_state(spark, folder)
     else:
         state = digests.select("digest", F.struct("id", "locator").alias("keep"), F.lit(1).cast("long").alias("n"))
     copies = state.where("n > 1")
