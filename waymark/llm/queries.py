@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waymark.llm.common import UPPER, table
 from waymark.llm.exact_dedup import exact_dedup
 from waymark.llm.near_dedup import near_dedup
+from waymark.llm.packing import pack
 from waymark.llm.quality import fit, held_out, score
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +49,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_dedup(table(spark, sf_dir, "documents"), width=3, percent=85)
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
