@@ -8,22 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.common import staged, table
 from waymark.llm.exact_dedup import drop_copies
+from waymark.llm.near_dedup import drop_near_copies
+from waymark.llm.packing import pack
+from waymark.llm.quality import keep_good
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One row of each group of equal texts stays: the one with the largest doc_id."""
     return drop_copies(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five words, similarity of 0.8 or more."""
+    return drop_near_copies(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their places in sequences of 2048 tokens."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality classifier", quality), ("exact dedup", exact), ("MinHash near-dedup", near), ("best-fit packing", packing)]
 
-#: The classifier and the packing are beyond SQL; tests hold the stages against brute force.
+#: The classifier, the near-dedup and the packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; each result is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
