@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import UPPER, table
 from waymark.llm.exact_dedup import exact_dedup
+from waymark.llm.html_text import extract
 from waymark.llm.near_dedup import near_dedup
 from waymark.llm.packing import pack
 from waymark.llm.quality import fit, held_out, score
@@ -54,3 +55,8 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
