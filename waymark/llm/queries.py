@@ -13,6 +13,8 @@ from waymark.llm.html_text import extract
 from waymark.llm.near_dedup import near_dedup
 from waymark.llm.packing import pack
 from waymark.llm.quality import fit, held_out, score
+from waymark.llm.warc import page_records, read_warc, write_warc
+from waymark.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,3 +62,24 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    write_warc(page_records(table(spark, sf_dir, "pages")), path)
+    page, refers = F.col("page_id").cast("long").alias("page_id"), F.col("refers_to_page").cast("long").alias("refers_to")
+    whole = read_warc(spark, path).where("warc_type = 'response'")
+    again = read_warc(spark, path, payload=False).where("warc_type = 'revisit'")
+    whole = whole.select(page, F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("warc_type").alias("record_type"), refers)
+    again = again.select(page, F.col("payload_length").alias("payload_bytes"), F.expr("replace(payload_digest, 'sha256:', '')").alias("payload_digest"), F.col("warc_type").alias("record_type"), refers)
+    return whole.unionByName(again)
+
+
+SQL["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
