@@ -14,6 +14,7 @@ from waymark.llm.html_text import extract
 from waymark.llm.near_dedup import near_dedup
 from waymark.llm.packing import pack
 from waymark.llm.quality import fit, held_out, score
+from waymark.llm.url_filter import judge
 from waymark.llm.warc import page_records, read_warc, write_warc
 from waymark.session import scratch_path
 
@@ -104,3 +105,9 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     sum(upto) FILTER (role = 'assistant' OR from_end = 1)::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+    return judge(table(spark, sf_dir, "pages"), rules)
