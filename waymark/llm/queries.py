@@ -14,6 +14,7 @@ from waymark.llm.html_text import extract
 from waymark.llm.near_dedup import near_dedup
 from waymark.llm.packing import pack
 from waymark.llm.quality import fit, held_out, score
+from waymark.llm.topk import search, sign_codes
 from waymark.llm.url_filter import judge
 from waymark.llm.warc import page_records, read_warc, write_warc
 from waymark.session import scratch_path
@@ -111,3 +112,18 @@ FROM s GROUP BY conv_id
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
     return judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = search(codes, codes.where("id % 100 = 0"), k=10)
+    return found.select(F.col("id").alias("query_id"), "rank", F.col("neighbour").alias("vec_id"), "distance")
+
+
+SQL["op6_exact_topk"] = """
+WITH d AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum([CASE WHEN (q.embedding[i] > 0) <> (r.embedding[i] > 0) THEN 1 ELSE 0 END FOR i IN range(1, 65)])::INT AS distance
+    FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d)
+SELECT query_id, rank, vec_id, distance FROM n WHERE rank <= 10
+"""
