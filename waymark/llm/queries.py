@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import UPPER, table
+from waymark.llm.common import UPPER, located, table
 from waymark.llm.chat import digests, examples
 from waymark.llm.exact_dedup import exact_dedup
 from waymark.llm.html_text import extract
 from waymark.llm.near_dedup import near_dedup
 from waymark.llm.packing import pack
+from waymark.llm.pieces import decode, encode, read_model
 from waymark.llm.quality import fit, held_out, score
 from waymark.llm.topk import search, sign_codes
 from waymark.llm.url_filter import judge
@@ -127,3 +128,12 @@ WITH d AS (SELECT q.vec_id AS query_id, r.vec_id, list_sum([CASE WHEN (q.embeddi
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM d)
 SELECT query_id, rank, vec_id, distance FROM n WHERE rank <= 10
 """
+
+
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = table(spark, sf_dir, "documents"), read_model()
+    coded = encode(docs, model)
+    texts = located(docs.select("text"))
+    both = coded.join(texts, "locator")
+    return both.select("doc_id", "ids", F.size("ids").alias("n_ids"), (decode(F.col("ids"), model) == F.coalesce("text", F.lit(""))).alias("round_trip"))
