@@ -36,15 +36,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def located(docs: DataFrame, name: str = "locator") -> DataFrame:
-    """Add the place of each row: file and row number in it. A frame that isn't read from files is written first."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+def place() -> Column:
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def at_rest(docs: DataFrame, name: str = "docs") -> DataFrame:
+    """``docs`` itself if its rows have places in files, else a written copy of it."""
     if docs.inputFiles():
         try:
-            return docs.select("*", place.alias(name))
+            docs.select(place())
+            return docs
         except AnalysisException:  # derived from files, not read as they are
             pass
-    return staged(docs, name).select("*", place.alias(name))
+    return staged(docs, name)
+
+
+def located(docs: DataFrame, name: str = "locator") -> DataFrame:
+    """Add the place of each row: file and row number in it. A frame that isn't read from files is written first."""
+    return at_rest(docs, name).select("*", place().alias(name))
+
+
+def without(docs: DataFrame, gone: DataFrame, n_gone: int) -> DataFrame:
+    """The rows of ``docs``, which lies in files, that are not at the places in ``gone`` (locator)."""
+    name = "__place"
+    while name in docs.columns:
+        name += "_"
+    return sized_semi_join(located(docs, name), gone.select(F.col("locator").alias(name)), [name], n_gone, "left_anti").drop(name)
 
 
 def sized_semi_join(rows: DataFrame, keys: DataFrame, on: list[str], n_keys: int, how: str = "left_semi") -> DataFrame:

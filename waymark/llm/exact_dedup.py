@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import heavy_keys, located, lower_ascii, salted_join, settings, sized_semi_join, staged
+from waymark.llm.common import at_rest, heavy_keys, located, lower_ascii, salted_join, settings, sized_semi_join, staged, without
 from waymark.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -92,6 +92,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ``docs`` is read from files."""
-    gone = staged(exact_dedup(docs, key, text).where(~F.col("kept")).select(F.col("locator").alias("__place")), "copies")
-    return sized_semi_join(located(docs, "__place"), gone, ["__place"], gone.count(), "left_anti").drop("__place")
+    """The rows of ``docs`` that stay, with all their columns."""
+    docs = at_rest(docs)
+    gone = staged(exact_dedup(docs, key, text).where(~F.col("kept")).select("locator"), "copies")
+    return without(docs, gone, gone.count())

@@ -39,7 +39,8 @@ ARTICLE = frozenset(("article", "main"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "title", "legend"}
 RAW = frozenset(("script", "style", "textarea", "title"))
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>)""", re.S)
+#: Comment or declaration, end tag, start tag with attributes; last a tag with an open quote, and what is cut off at the end.
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|/([a-zA-Z][^\s/>]*)[^>]*>|([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|/?[a-zA-Z][^>]*(?:>|\Z)|[!?/][^>]*\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _ARTICLE = re.compile(r"""\b(?:role\s*=\s*["']?(?:main|article)|itemprop\s*=\s*["']?articleBody)\b""", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none", re.I)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import heavy_keys, located, salted_join, sized_semi_join, staged
+from waymark.llm.common import at_rest, heavy_keys, located, salted_join, sized_semi_join, staged, without
 
 ROWS, BANDS = 4, 24
 M = ROWS * BANDS
@@ -268,6 +268,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ``docs`` is read from files."""
-    gone = staged(near_dedup(docs, key, text, width, percent).where(~F.col("kept")).select(F.col("locator").alias("__place")), "near-copies")
-    return sized_semi_join(located(docs, "__place"), gone, ["__place"], gone.count(), "left_anti").drop("__place")
+    """The rows of ``docs`` that stay, with all their columns."""
+    docs = at_rest(docs)
+    gone = staged(near_dedup(docs, key, text, width, percent).where(~F.col("kept")).select("locator"), "near-copies")
+    return without(docs, gone, gone.count())
