@@ -2,103 +2,149 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from waymark import fixed
 from waymark.functions.values import let
 
-# Beyond this the digit jobs by trial division give up (null), as a timed-out transform does.
-TRIAL_LIMIT = 10**12
-
-
-def isqrt(n: Column) -> Column:
-    r = F.floor(F.sqrt(n.cast("double"))).cast("bigint")
-    return F.when(r * r > n, r - 1).otherwise(r)
-
-
-def _small_divisors(n: Column) -> Column:
-    """Divisors d of n with 2 <= d <= sqrt(n), ascending."""
-    top = isqrt(n)
-    return F.when(
-        top >= 2, F.filter(F.sequence(F.lit(2).cast("bigint"), top), lambda d: F.pmod(n, d) == 0)
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def _within(n: Column, low: int, body: Column) -> Column:
-    return F.when((n >= low) & (n <= TRIAL_LIMIT), body)
+_WITNESSES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
+_MOST = 2**63 - 1
+
+
+def _is_prime(n: int) -> bool:
+    """Strong-probable-prime tests to the first twelve prime bases, which decide every 64-bit integer."""
+    if n < 2:
+        return False
+    for p in _WITNESSES:
+        if n % p == 0:
+            return n == p
+    s = ((n - 1) & -(n - 1)).bit_length() - 1
+    for a in _WITNESSES:
+        x = pow(a, (n - 1) >> s, n)
+        if x in (1, n - 1):
+            continue
+        for _ in range(s - 1):
+            x = x * x % n
+            if x == n - 1:
+                break
+        else:
+            return False
+    return True
+
+
+def _split(n: int) -> int:
+    """A proper divisor of an odd composite n, by Pollard's rho with differences gathered before each gcd."""
+    for c in range(1, n):
+        x = y = 2
+        q, divisor = 1, 1
+        while divisor == 1:
+            start = x, y
+            for _ in range(128):
+                x = (x * x + c) % n
+                y = (y * y + c) % n
+                y = (y * y + c) % n
+                q = q * abs(x - y) % n
+            divisor = math.gcd(q, n)
+        if divisor == n:  # too many at once: again one by one
+            x, y = start
+            divisor = 1
+            while divisor == 1:
+                x = (x * x + c) % n
+                y = (y * y + c) % n
+                y = (y * y + c) % n
+                divisor = math.gcd(abs(x - y), n)
+        if divisor != n:
+            return divisor
+    raise ValueError(n)
+
+
+def _factors(n: int) -> list[int]:
+    """Prime factors with repeats, ascending; none below 2."""
+    out = []
+    for p in _SMALL:
+        while n % p == 0 and n > 1:
+            out.append(p)
+            n //= p
+        if p * p > n:
+            break
+    rest = [n] if n > 1 else []
+    while rest:
+        m = rest.pop()
+        if _is_prime(m):
+            out.append(m)
+        else:
+            d = _split(m)
+            rest += [d, m // d]
+    return sorted(out)
+
+
+_SMALL = [p for p in range(2, 1000) if all(p % d for d in range(2, int(p**0.5) + 1))]
+
+
+def _each(f: Callable[[int], object], values: pd.Series) -> pd.Series:
+    """``f`` once per distinct value; null stays null."""
+    known = {v: f(int(v)) for v in values.dropna().unique()}
+    return pd.Series([None if pd.isna(v) else known[v] for v in values], dtype=object)
+
+
+def _next(n: int) -> int | None:
+    c = max(2, n + 1)
+    while c <= _MOST and not _is_prime(c):
+        c += 1 + (c > 2 and c % 2)
+    return c if c <= _MOST else None
+
+
+@F.pandas_udf(LongType())
+def _next_prime(n: pd.Series) -> pd.Series:
+    return _each(_next, n.astype("Int64"))
+
+
+_FACTS = ("divisors", "prime_sum", "largest", "largest_once")
+
+
+def _facts_of(n: int) -> tuple[int | None, ...]:
+    if n < 1:
+        return (0 if n == 0 else None, 0, n, n)
+    found = Counter(_factors(n))
+    top = max(found, default=n)
+    return math.prod(k + 1 for k in found.values()), sum(found), top, 1 if found[top] > 1 else top
+
+
+@F.pandas_udf(StructType([StructField(name, LongType()) for name in _FACTS]))
+def _factor_facts(n: pd.Series) -> pd.DataFrame:
+    rows = _each(_facts_of, n.astype("Int64"))
+    return pd.DataFrame({name: pd.array([None if r is None else r[i] for r in rows], dtype="Int64") for i, name in enumerate(_FACTS)})
 
 
 def next_prime(n: Column) -> Column:
-    """Smallest prime above n; 2 for n < 2."""
-
-    def is_prime(c: Column) -> Column:
-        top = isqrt(c)
-        return (top < 2) | ~F.exists(F.sequence(F.lit(2).cast("bigint"), F.greatest(top, F.lit(2))), lambda d: F.pmod(c, d) == 0)
-
-    # No prime gap is longer than 400 below 2^31, nor than 1,600 in the whole range.
-    width = F.when(n < 2**31, F.lit(400)).otherwise(F.lit(1600))
-    found = F.aggregate(
-        F.sequence(n + 1, n + width),
-        F.lit(None).cast("bigint"),
-        lambda best, c: F.coalesce(best, F.when(is_prime(c), c)),
-    )
-    return F.when(n < 2, F.lit(2).cast("bigint")).otherwise(_within(n, 2, found))
+    """Smallest prime above n; 2 for n < 2; null above the last prime that fits a bigint."""
+    return _next_prime(n.cast("bigint"))
 
 
 def num_divisors(n: Column) -> Column:
-    top = isqrt(n)
-    below = F.size(_small_divisors(n)) + 1
-    square = F.when(top * top == n, F.lit(1)).otherwise(F.lit(0))
-    return F.when(n == 0, F.lit(0)).otherwise(_within(n, 1, 2 * below - square)).cast("bigint")
-
-
-def _factor(n: Column) -> Column:
-    """Struct of the small primes dividing n, and what is left after dividing them out."""
-
-    def primes_of(divisors: Column) -> Column:
-        return F.filter(
-            divisors, lambda d: ~F.exists(divisors, lambda e: (e < d) & (F.pmod(d, e) == 0))
-        )
-
-    def rest_of(primes: Column) -> Column:
-        def strip_prime(acc: Column, p: Column) -> Column:
-            return F.aggregate(
-                F.sequence(F.lit(1), F.lit(40)), acc,
-                lambda a, _i: F.when(F.pmod(a, p) == 0, F.floor(a / p)).otherwise(a),
-            )
-
-        return F.aggregate(primes, n, strip_prime)
-
-    return let(
-        let(_small_divisors(n), primes_of),
-        lambda ps: F.struct(ps.alias("primes"), rest_of(ps).alias("rest")),
-    )
+    """0 for 0, null below."""
+    return _factor_facts(n.cast("bigint"))["divisors"]
 
 
 def sum_prime_factors(n: Column) -> Column:
     """Sum of the distinct prime factors."""
-
-    def total(f: Column) -> Column:
-        small = F.aggregate(f["primes"], F.lit(0).cast("bigint"), lambda a, p: a + p)
-        return small + F.when(f["rest"] > 1, f["rest"]).otherwise(F.lit(0))
-
-    return F.when(n < 2, F.lit(0).cast("bigint")).otherwise(_within(n, 2, let(_factor(n), total)))
+    return _factor_facts(n.cast("bigint"))["prime_sum"]
 
 
 def largest_prime_factor(n: Column, strict: bool = False) -> Column:
-    """Largest prime factor.
+    """Largest prime factor; n itself up to 1.
 
     By default a repeated largest factor (4, 9, 18) gives 1, which later steps reject as
     trivial; ``strict`` gives the factor itself.
     """
-
-    def pick(f: Column) -> Column:
-        top = F.array_max(f["primes"])
-        kept = top if strict else F.when(F.pmod(n, top * top) == 0, F.lit(1)).otherwise(top)
-        return F.when(f["rest"] > 1, f["rest"]).otherwise(kept.cast("bigint"))
-
-    return F.when(n <= 1, n).otherwise(_within(n, 2, let(_factor(n), pick)))
+    return _factor_facts(n.cast("bigint"))["largest" if strict else "largest_once"]
 
 
 def roman_length(n: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.functions.skew import draw_int, draw_order, first_per_key
+from waymark.functions.skew import draw_int, draw_order, first_per_key, first_upto
 from waymark.functions.values import to_float, whole
 from waymark.operators import build, checks
 from waymark.operators.dims import level_config, table
@@ -73,11 +73,9 @@ def candidate_tools(stops: DataFrame, replies: DataFrame, targets: DataFrame, se
     keys = [*K, "template"]
     good = _values(_source_chains(stops, kinds, seed), replies, keys).withColumn("draw", draw_order(seed, "tool", *keys))
     best = first_per_key(good, K, [F.col("draw"), F.col("template")]).withColumn("source_draw", draw_order(seed, "source", *K))
-    most = max(c[3] for c in fixed.LEVEL_CONFIG)
-    first = first_per_key(best, ["trail_id"], [F.col("source_draw"), F.col("stop_index")], most)
-    ranked = first.withColumn("rk", F.row_number().over(Window.partitionBy("trail_id").orderBy("source_draw", "stop_index")))
+    first = first_upto(best.join(targets, "trail_id"), ["trail_id"], [F.col("source_draw"), F.col("stop_index")], F.col("target"))
     num = to_float(F.col("value"))
-    return ranked.join(targets, "trail_id").where("rk <= target").select(
+    return first.select(
         "trail_id", F.col("stop_index").alias("after"), F.lit(0).alias("seq"), F.lit("tool").alias("stop_type"), "page_url", F.col("value").alias("value_str"), num.alias("value_num"),
         F.when(num.isNull(), "string").when(num == F.floor(num), "int").otherwise("float").alias("value_kind"), F.when(num.isNull(), "text").otherwise("number").alias("value_type"),
         F.lit("tool_call").alias("bridge_type"), "template", "chain",
@@ -87,8 +85,7 @@ def candidate_tools(stops: DataFrame, replies: DataFrame, targets: DataFrame, se
 def candidate_reasons(stops: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """Reason stops to insert; stops that feed a reason stop already are passed over."""
     taken = stops.where("stop_type = 'reason' AND reason_source_stop IS NOT NULL").select("trail_id", F.col("reason_source_stop").alias("stop_index")).distinct()
-    most = max(c[5] for c in fixed.LEVEL_CONFIG)
-    return build.draw_reasons(stops.join(taken, K, "left_anti"), targets, seed, most)
+    return build.draw_reasons(stops.join(taken, K, "left_anti"), targets, seed)
 
 
 class Augmented(NamedTuple):
@@ -183,7 +180,6 @@ def build_diamonds(trails: DataFrame, stops: DataFrame, branches: DataFrame, see
     """
     spark = trails.sparkSession
     per_level = table(spark, fixed.DIAMONDS_PER_LEVEL, "level string, lo int, hi int")
-    most = max(hi for _l, _lo, hi in fixed.DIAMONDS_PER_LEVEL)
     wanted = F.col("lo") + F.pmod(draw_int(seed, "diamonds", "trail_id"), F.col("hi") - F.col("lo") + 1)
     quota = trails.select("trail_id", "level").join(per_level, "level", "left").select("trail_id", F.coalesce(wanted, 1 + F.pmod(draw_int(seed, "diamonds", "trail_id"), F.lit(2))).alias("target"))
     a, b = whole(F.col("a")), whole(F.col("b"))
@@ -193,9 +189,7 @@ def build_diamonds(trails: DataFrame, stops: DataFrame, branches: DataFrame, see
     ops = branches.withColumn("merged", merged).withColumn("op", F.when(F.when(add_first, added.isNotNull()).otherwise(gap.isNull()), "add").otherwise("abs_diff")).where("merged IS NOT NULL")
     best = first_per_key(ops.withColumn("draw", draw_order(seed, "diamond", *K, "diamond")), K, [F.col("draw"), F.col("diamond")])
     best = best.withColumn("source_draw", draw_order(seed, "fork", *K))
-    first = first_per_key(best, ["trail_id"], [F.col("source_draw"), F.col("stop_index")], most)
-    ranked = first.withColumn("rk", F.row_number().over(Window.partitionBy("trail_id").orderBy("source_draw", "stop_index")))
-    chosen = ranked.join(quota, "trail_id").where("rk <= target")
+    chosen = first_upto(best.join(quota, "trail_id"), ["trail_id"], [F.col("source_draw"), F.col("stop_index")], F.col("target"))
 
     def row(seq: int, role: str, value):
         return F.struct(F.lit(seq).alias("seq"), F.lit(role).alias("role"), value.cast("double").alias("value_num"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.functions import numbers as nums
-from waymark.functions.skew import dense_index, draw_int, draw_order, first_per_key, running_sum
+from waymark.functions.skew import dense_index, draw_int, draw_order, first_per_key, first_upto, running_sum
 from waymark.functions.text import clean_markdown, strip
 from waymark.functions.values import int_view, to_float
 from waymark.operators import transforms
@@ -266,12 +266,9 @@ def trim(stops: DataFrame, depths: DataFrame) -> DataFrame:
     room = sizes.join(depths, "trail_id").where(F.col("n") + 1 >= F.col("depth_min")).select(
         "trail_id", "n", (F.col("depth") - 1).alias("m"), F.greatest(F.col("depth") - 1 - F.col("others"), F.lit(0)).alias("tools_kept")
     )
-    most = max(hi for _l, _lo, hi, *_ in fixed.LEVEL_CONFIG)
     s = stops.join(room, "trail_id").withColumn("is_tool", F.col("stop_type") == "tool")
     short = s.where("n <= m")
-    long = first_per_key(s.where("n > m"), ["trail_id", "is_tool"], [F.col("stop_index")], most)
-    ranked = long.withColumn("rk", F.row_number().over(Window.partitionBy("trail_id", "is_tool").orderBy("stop_index")))
-    kept = ranked.where(F.when(F.col("is_tool"), F.col("rk") <= F.col("tools_kept")).otherwise(F.col("rk") <= F.col("m"))).drop("rk")
+    kept = first_upto(s.where("n > m"), ["trail_id", "is_tool"], [F.col("stop_index")], F.when(F.col("is_tool"), F.col("tools_kept")).otherwise(F.col("m")))
     return reindex(short.unionByName(kept).drop("n", "m", "tools_kept", "is_tool"))
 
 
@@ -316,8 +313,8 @@ def insert_stops(stops: DataFrame, insertions: DataFrame) -> DataFrame:
 # --- reason stops --------------------------------------------------------------------------
 
 
-def draw_reasons(stops: DataFrame, targets: DataFrame, seed: int = 0, most: int = 6) -> DataFrame:
-    """Reason stops to insert: ``targets(trail_id, target)`` per trail, at most ``most``.
+def draw_reasons(stops: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """Reason stops to insert: ``targets(trail_id, target)`` per trail.
 
     Eligible page and tool stops are drawn first; each then takes its first drawn transform with a
     result other than 0 and 1, or stays without.
@@ -326,9 +323,7 @@ def draw_reasons(stops: DataFrame, targets: DataFrame, seed: int = 0, most: int
     # read three times below: written once
     rows = cut_lineage(transforms.apply_transforms(eligible))
     sources = rows.select(*K).distinct().withColumn("draw", draw_order(seed, "reason", *K))
-    drawn = first_per_key(sources, ["trail_id"], [F.col("draw"), F.col("stop_index")], most)
-    ranked = drawn.withColumn("rk", F.row_number().over(Window.partitionBy("trail_id").orderBy("draw", "stop_index")))
-    picked = ranked.join(targets, "trail_id").where("rk <= target").select(*K)
+    picked = first_upto(sources.join(targets, "trail_id"), ["trail_id"], [F.col("draw"), F.col("stop_index")], F.col("target")).select(*K)
     valid = rows.where("result NOT IN (0, 1)").join(picked, K, "left_semi").withColumn("draw", draw_order(seed, "transform", *K, "transform"))
     best = first_per_key(valid, K, [F.col("draw"), F.col("transform")])
     return best.join(eligible.select(*K, "page_url"), K).select(
@@ -362,7 +357,10 @@ def build_bridges(stops: DataFrame, links: DataFrame, pages: DataFrame) -> DataF
     nxt = stops.select("trail_id", (F.col("stop_index") - 1).alias("stop_index"), F.col("page_url").alias("next_url"), F.lit(True).alias("has_next"))
     direct = links.select(F.col("url").alias("page_url"), F.col("target_url").alias("next_url")).distinct().withColumn("linked", F.lit(True))
     titles = pages.select(F.col("url").alias("next_url"), "title").distinct()
-    s = stops.join(nxt, K, "left").join(direct, ["page_url", "next_url"], "left").join(titles, "next_url", "left")
+    # only stops with a next page look it up: the others share no key and would meet in one task
+    s = stops.join(nxt, K, "left")
+    paged = s.where("next_url <> ''").join(direct, ["page_url", "next_url"], "left").join(titles, "next_url", "left")
+    s = paged.unionByName(s.where("next_url IS NULL OR next_url = ''"), allowMissingColumns=True)
     open_end = F.coalesce(F.col("has_next"), F.lit(False)) & ~F.col("stop_type").isin("tool", "reason")
     to_page = F.coalesce(F.col("next_url"), F.lit("")) != ""
     linked = F.col("linked").isNotNull()

@@ -21,11 +21,22 @@ from waymark.operators.dims import texts
 # --- HTML ----------------------------------------------------------------------------------
 
 
-def _settle(pattern: str):
-    """Repeat a removal where one pass has left new matches."""
+def _settle(pattern: str, tag: str):
+    """Repeat a removal until nothing is left to remove.
+
+    Each pass removes an opening tag at least, so there are as many passes as tags at most; those after
+    the last removal do nothing.
+    """
 
     def settle(r: Column) -> Column:
-        again = F.aggregate(F.sequence(F.lit(1), F.lit(32)), r, lambda acc, _i: F.regexp_replace(acc, pattern, ""))
+        most = F.size(F.split(r, f"(?i)<{tag}"))
+
+        def once(acc: Column, _i: Column) -> Column:
+            more = F.rlike(acc["text"], F.lit(pattern))
+            step = F.struct(F.when(more, F.regexp_replace(acc["text"], pattern, "")).otherwise(acc["text"]).alias("text"), (~more).alias("done"))
+            return F.when(acc["done"], acc).otherwise(step)
+
+        again = F.aggregate(F.sequence(F.lit(1), most), F.struct(r.alias("text"), F.lit(False).alias("done")), once, lambda acc: acc["text"])
         return F.when(F.rlike(r, F.lit(pattern)), again).otherwise(r)
 
     return settle
@@ -39,7 +50,7 @@ def sanitize_html(html: Column) -> Column:
     c = html
     for tag in fixed.DROPPED_ELEMENTS:
         pattern = rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"
-        c = let(F.regexp_replace(c, pattern, ""), _settle(pattern))
+        c = let(F.regexp_replace(c, pattern, ""), _settle(pattern, tag))
     for tag in fixed.VOID_ELEMENTS:
         c = F.regexp_replace(c, rf"(?i)<{tag}(?:\s[^>]*)?/?>", "")
     return F.regexp_replace(c, r"(?s)<!--.*?-->", "")

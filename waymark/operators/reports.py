@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.functions.skew import draw_order, first_per_key
-from waymark.functions.values import round_even
 from waymark.operators.dims import level_order, texts
 
 OVERALL = "Overall"
@@ -69,15 +68,28 @@ def trial_rows(results: DataFrame, rewards: DataFrame, steps: DataFrame, reward_
 def _summary() -> list[Column]:
     n = F.count(F.lit(1))
 
+    # sums are of integers, so no order of the rows changes an average
+
+    def even(total: Column, count: Column, digits: int) -> Column:
+        """total / count in units of the last digit, ties to even."""
+        rest = F.pmod(total, count)
+        whole = ((total - rest).cast("decimal(38,0)") / count.cast("decimal(19,0)")).cast("bigint")
+        up = (rest * 2 > count) | ((rest * 2 == count) & (F.pmod(whole, F.lit(2)) == 1))
+        return (whole + up.cast("bigint")) / F.lit(10**digits)
+
     def mean(c: str) -> Column:
-        return round_even(F.sum(c) / n, 2)
+        return even(F.sum(F.col(c).cast("bigint")) * 100, n, 2)
+
+    def seconds(c: str) -> Column:
+        """Averages of microseconds."""
+        return even(F.sum(F.round(F.col(c) * 1_000_000).cast("bigint")), n * 10_000, 2)
 
     def pct(cond: Column) -> Column:
-        return round_even(F.count_if(cond) / n * 100, 1)
+        return even(F.count_if(cond) * 1000, n, 1)
 
     def rate(c: str) -> Column:
-        return round_even(F.sum(c) / F.count(c) * 100, 1)
-
+        """Averages of rates that have three digits."""
+        return even(F.sum(F.round(F.col(c) * 1000).cast("bigint")), F.count(c), 1)
     status = F.col("status")
     values = [
         n, F.count_if("run_ok"), F.count_if(status == "correct"), F.count_if(status == "incorrect"),
@@ -85,7 +97,7 @@ def _summary() -> list[Column]:
         mean("total_tool_calls"), mean("valid_tool_calls"), mean("right_tool_calls"), mean("golden_chain_length"),
         F.when(F.count("pages_visited") > 0, rate("pages_visited")), F.when(F.count("tools_used") > 0, rate("tools_used")),
         F.when(F.count("intermediate_rate") > 0, rate("intermediate_rate")), mean("agent_steps"), mean("n_total_tokens"),
-        mean("ground_truth_steps"), mean("wall_clock_sec"),
+        mean("ground_truth_steps"), seconds("wall_clock_sec"),
     ]
     return [v.cast("double").alias(name) for v, name in zip(values, METRICS)]
 

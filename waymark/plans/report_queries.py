@@ -9,20 +9,35 @@ from waymark.plans import views
 from waymark.plans.registry import query
 from waymark.plans.scoring_queries import REWARD_SQL, rewards
 
-_PCT = "CAST(printf('%.1f', {0}) AS DOUBLE)"
-_AVG = "CAST(printf('%.2f', CAST(sum({0}) AS DOUBLE) / count(*)) AS DOUBLE)"
+def _even(total: str, count: str, digits: int) -> str:
+    """total / count of integers in units of the last digit, ties to even."""
+    t, n = f"CAST({total} AS BIGINT)", f"CAST({count} AS BIGINT)"
+    return f"(({t} // {n} + CASE WHEN 2 * ({t} % {n}) > {n} OR (2 * ({t} % {n}) = {n} AND ({t} // {n}) % 2 = 1) THEN 1 ELSE 0 END) / {10**digits}::DOUBLE)"
+
+
+def _pct(condition: str) -> str:
+    return _even(f"(count(*) FILTER ({condition})) * 1000", "count(*)", 1)
+
+
+def _rate(column: str) -> str:
+    return _even(f"sum(CAST(round({column} * 1000) AS BIGINT))", f"count({column})", 1)
+
+
+def _avg(column: str) -> str:
+    return _even(f"sum({column}) * 100", "count(*)", 2)
+
 
 _TRIALS = REWARD_SQL + """, trials_q AS (SELECT *, concat(level, '-', CAST(trial_id AS VARCHAR)) AS task_name, trial_id % 11 <> 0 AS run_ok,
   trial_id % 29 AS agent_steps, trial_id % 1000 AS n_total_tokens, (trial_id % 600)::DOUBLE AS wall_clock_sec FROM reward_q)"""
 
 _SUMMARY = f"""count(*)::DOUBLE AS "Total Cases", count(*) FILTER (run_ok)::DOUBLE AS "Run OK", count(*) FILTER (status = 'correct')::DOUBLE AS "Correct",
  count(*) FILTER (status = 'incorrect')::DOUBLE AS "Incorrect", count(*) FILTER (status = 'unknown')::DOUBLE AS "Unknown",
- {_PCT.format("count(*) FILTER (status = 'correct') / count(*) * 100")} AS "Accuracy (%)", {_PCT.format("count(*) FILTER (answered = 1) / count(*) * 100")} AS "Answered (%)",
- {_AVG.format('total_tool_calls')} AS "Avg Tool Calls", {_AVG.format('valid_tool_calls')} AS "Avg Valid Tool Calls", {_AVG.format('right_tool_calls')} AS "Avg Right Tool Calls",
- {_AVG.format('golden_chain_length')} AS "Avg Golden Chain Len", {_PCT.format('sum(pages_visited) / count(pages_visited) * 100')} AS "Avg Pages Visited (%)",
- {_PCT.format('sum(tools_used) / count(tools_used) * 100')} AS "Avg Tools Used (%)", {_PCT.format('sum(intermediate_rate) / count(intermediate_rate) * 100')} AS "Avg Intermediate Value Rate (%)",
- {_AVG.format('agent_steps')} AS "Avg Iterations (agent steps)", {_AVG.format('n_total_tokens')} AS "Avg Tokens (total)", {_AVG.format('ground_truth_steps')} AS "Avg Ground Truth Steps",
- {_AVG.format('wall_clock_sec')} AS "Avg Wall Clock (sec)" """
+ {_pct("status = 'correct'")} AS "Accuracy (%)", {_pct("answered = 1")} AS "Answered (%)",
+ {_avg('total_tool_calls')} AS "Avg Tool Calls", {_avg('valid_tool_calls')} AS "Avg Valid Tool Calls", {_avg('right_tool_calls')} AS "Avg Right Tool Calls",
+ {_avg('golden_chain_length')} AS "Avg Golden Chain Len", {_rate('pages_visited')} AS "Avg Pages Visited (%)",
+ {_rate('tools_used')} AS "Avg Tools Used (%)", {_rate('intermediate_rate')} AS "Avg Intermediate Value Rate (%)",
+ {_avg('agent_steps')} AS "Avg Iterations (agent steps)", {_avg('n_total_tokens')} AS "Avg Tokens (total)", {_avg('ground_truth_steps')} AS "Avg Ground Truth Steps",
+ {_even('sum(CAST(round(wall_clock_sec * 1000000) AS BIGINT))', 'count(*) * 10000', 2)} AS "Avg Wall Clock (sec)" """
 
 
 def _trials(spark, sf):

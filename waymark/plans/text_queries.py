@@ -292,6 +292,6 @@ _NORM = "regexp_extract(replace(rtrim({0}, '/'), '://en.m.wikipedia', '://en.wik
 @query("visits_stream", f"""SELECT DISTINCT l.trial_id, {_NORM.format('l.url')} AS page FROM tool_log_v l WHERE url IS NOT NULL AND EXISTS (SELECT 1 FROM stops_v s WHERE s.trail_id = l.trial_id AND s.stop_type = 'page' AND s.page_url = {_NORM.format('l.url')})""")
 def visits_stream(spark, sf):
     stops = views.stops(spark, sf)
-    return _stream_once(spark, sf, lambda log: tool_log.running_visits(log, stops)).select("trial_id", "page")
+    return _stream_once(spark, sf, lambda log: tool_log.running_visits(log, stops)).select("trial_id", "page").distinct()
 
 

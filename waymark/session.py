@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,15 +27,16 @@ def local_session(cpus: int = 8, app: str = "waymark") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the cluster leaves it unset (local tests) is a folder of our own made, once
-    per session.
+    A local session, whose driver and executors are one process, may leave it unset: a folder of our own is then made, once
+    per session. A cluster has to name it, since a folder of one machine would lose data there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("waymark.shared.dir", None)
     if not base:
-        base = spark.conf.get("waymark.shared.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.conf.set("waymark.shared.dir", base)
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that driver and executors of {master} share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("waymark.shared.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.functions.text import visit_url
+from waymark.session import cut_lineage
 from waymark.sources.readers import TOOL_LOG_SCHEMA
 
 LATENESS = "10 minutes"
@@ -47,13 +48,16 @@ def call_sessions(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
 def running_visits(log: DataFrame, stops: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """First visit of each golden page per trial, as it happens; the table of golden pages is static.
 
-    Counting these rows per trial gives the running visit rate without a growing set per trial.
+    Counting these rows per trial gives the running visit rate without a growing set per trial. On a stream a key is kept for
+    ``lateness`` (a trial's time limit by default), so state doesn't grow with the age of the stream: a visit after that comes again.
     """
     golden = stops.where("stop_type = 'page' AND page_url <> ''").select(F.col("trail_id").alias("trial_id"), visit_url(F.col("page_url")).alias("page")).distinct()
     seen = log.where("url <> ''").select("trial_id", "ts", visit_url(F.col("url")).alias("page"))
+    if log.isStreaming:  # once, not with every micro-batch
+        golden = cut_lineage(golden)
     hits = seen.join(golden, ["trial_id", "page"], "left_semi")
     if log.isStreaming:
-        return hits.withWatermark("ts", lateness).dropDuplicates(["trial_id", "page"])
+        return hits.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["trial_id", "page"])
     return hits.groupBy("trial_id", "page").agg(F.min("ts").alias("ts"))
 
 
