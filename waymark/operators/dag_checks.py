@@ -6,6 +6,8 @@ that is no integer.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,36 +112,46 @@ def check_clues(riddles: DataFrame, stops: DataFrame, deps: DataFrame) -> DataFr
     )
 
 
-def unreachable_stops(stops: DataFrame, deps: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def unreachable_stops(stops: DataFrame, deps: DataFrame) -> DataFrame:
     """Stops that no root reaches. Roots have no dependencies; without any, stop 0 is the root.
 
     A stop with an earlier dependency inside the trail always leads back to a root or to a
     stop all of whose entries point forward or outside. Trails without such a dead-end stop are
-    reachable as a whole, so only the other trails are walked, level by level, with a checkpoint
-    and a bounded loop; nothing but an emptiness test reaches the driver.
+    reachable as a whole, so only the other trails are walked. Each round marks the stops next to a reached one, points
+    every other stop to one of its dependencies and doubles these pointers, so that a chain of any length is walked in a number of
+    steps that grows with its logarithm; rounds end when nothing new is reached.
     """
     # each dependency-bearing stop: has it an earlier, existing dependency?
     back = F.coalesce((F.col("dep") >= 0) & (F.col("dep") < F.col("stop_index")), F.lit(False))
     per_stop = deps.groupBy(*K).agg(F.max(back).alias("leads_back"))
     # stop 0 with dependencies is no root, so its trail is suspect as well
     suspects = per_stop.where("NOT leads_back").select("trail_id").distinct()
-    s = stops.join(suspects, "trail_id", "left_semi").select(*K)
-    e = deps.join(suspects, "trail_id", "left_semi").where("dep IS NOT NULL").select("trail_id", "dep", "stop_index")
-    roots = s.join(deps.select(*K).distinct(), K, "left_anti")
+    s = cut_lineage(stops.join(suspects, "trail_id", "left_semi").select(*K).distinct())
+    e = cut_lineage(deps.join(suspects, "trail_id", "left_semi").where("dep IS NOT NULL").select("trail_id", "dep", "stop_index"))
+    roots = s.join(e.select(*K).distinct(), K, "left_anti").join(deps.where("dep IS NULL").select(*K).distinct(), K, "left_anti")
     rootless = s.select("trail_id").distinct().join(roots.select("trail_id").distinct(), "trail_id", "left_anti")
-    reached = roots.unionByName(rootless.select("trail_id", F.lit(0).cast("bigint").alias("stop_index")))
-    s, e = cut_lineage(s), cut_lineage(e)
-    reached = cut_lineage(reached)
-    frontier = reached
-    for _ in range(max_rounds):
-        nxt = e.join(frontier.withColumnRenamed("stop_index", "dep"), ["trail_id", "dep"]).select(*K).distinct()
-        frontier = cut_lineage(nxt.join(reached, K, "left_anti"))
-        if frontier.isEmpty():
-            break
-        reached = cut_lineage(reached.unionByName(frontier))
-    else:
-        raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")
-    return s.join(reached, K, "left_anti")
+    first = roots.unionByName(rootless.select("trail_id", F.lit(0).cast("bigint").alias("stop_index"))).withColumn("ok", F.lit(True))
+    nodes = s.unionByName(e.select(*K)).distinct()
+    state = cut_lineage(nodes.join(first, K, "left").select(*K, F.coalesce("ok", F.lit(False)).alias("ok")))
+    longest = state.groupBy("trail_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    reached = state.where("ok").count()
+    while True:
+        other = state.select("trail_id", F.col("stop_index").alias("dep"), F.col("ok").alias("dep_ok"))
+        # an earlier dependency if there is one: pointers then run towards the start of the trail
+        leads = e.join(other, ["trail_id", "dep"]).groupBy(*K).agg(
+            F.max("dep_ok").alias("next"), F.min(F.struct((F.col("dep") >= F.col("stop_index")).alias("later"), "dep")).alias("to")
+        )
+        ptr = cut_lineage(state.join(leads, K, "left").select(*K, (F.col("ok") | F.coalesce("next", F.lit(False))).alias("ok"), F.col("to.dep").alias("ptr")))
+        for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
+            there = ptr.select("trail_id", F.col("stop_index").alias("ptr"), F.col("ok").alias("ptr_ok"), F.col("ptr").alias("beyond"))
+            ptr = cut_lineage(
+                ptr.join(there, ["trail_id", "ptr"], "left").select(*K, (F.col("ok") | F.coalesce("ptr_ok", F.lit(False))).alias("ok"), F.coalesce("beyond", "ptr").alias("ptr"))
+            )
+        state = ptr.select(*K, "ok")
+        now = state.where("ok").count()
+        if now == reached:
+            return s.join(state.where("ok"), K, "left_anti")
+        reached = now
 
 
 def check_reachability(stops: DataFrame, deps: DataFrame) -> DataFrame:

@@ -344,12 +344,12 @@ def replay_chains(
     for key in ("poi_count", "place_rating"):
         parsed = reply_values(parsed.withColumnRenamed("value", "__kept").withColumn("output_key", F.lit(key)), only_places=True)
         parsed = parsed.withColumnRenamed("value", key).withColumnRenamed("__kept", "value")
-    known = cut_lineage(
-        parsed.select(
-            "tool_name", args_key(F.col("args")).alias("args_key"), F.lit(True).alias("answered"), F.col("error").alias("reply_error"),
-            F.col("value").alias("reply_value"), "poi_count", "place_rating",
-        )
+    # one reply per call, so that a stop stays one row: of repeated ones a good one, then the least by its texts
+    reply = F.struct(
+        F.col("error").isNotNull().alias("failed"), F.col("error").alias("reply_error"), F.col("value").alias("reply_value"), F.col("poi_count").alias("poi_count"), F.col("place_rating").alias("place_rating")
     )
+    known = parsed.select("tool_name", args_key(F.col("args")).alias("args_key"), reply.alias("reply")).groupBy("tool_name", "args_key").agg(F.min("reply").alias("reply"))
+    known = cut_lineage(known.select("tool_name", "args_key", F.lit(True).alias("answered"), "reply.reply_error", "reply.reply_value", "reply.poi_count", "reply.place_rating"))
     # a stop's chain is one bounded list of its document
     state = chain.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("step", "tool_name", "output_key", args_key(F.col("args")).alias("args")))).alias("steps"))
     state = state.select(
