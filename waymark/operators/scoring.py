@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.skew import dense_index, first_upto
+from waymark.functions.skew import first_upto, running_sum
 from waymark.functions.text import strip, visit_url
 from waymark.functions.values import fixed_point, let, parse_number, share, to_float, whole
 
@@ -208,19 +208,16 @@ def right_tool_calls(chain: DataFrame, log: DataFrame) -> DataFrame:
     alone = per_class.where("rivals = 1").select(*key, F.least("steps", "calls").alias("right"))
     contested = per_class.where("rivals > 1").select(*key, "g_key")
 
-    # contested classes: walk calls in order against the steps they fit
-    fit_pairs = fits.join(contested, [*key, "g_key"], "left_semi").select(*key, "g_key", "c_key")
+    # contested classes: calls that fit the same golden classes are interchangeable, so each such group keeps as many calls,
+    # in log order, as there are contested steps; what is left is walked in one row per (trial, tool)
     g_rows = g.join(contested, [*key, "g_key"], "left_semi").select(*key, "g_key", F.struct("stop_index", "step").alias("at"))
-    bound = g_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("bound"))
-    c_rows = l.select(*key, "c_key", "seq").join(fit_pairs.select(*key, "c_key").distinct(), [*key, "c_key"], "left_semi").join(bound, key)
-    c_rows = first_upto(c_rows, [*key, "c_key"], [F.col("seq")], F.col("bound")).drop("bound")
-    walked = (
-        c_rows.join(fit_pairs, [*key, "c_key"])
-        .join(g_rows, [*key, "g_key"])
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "at"))).alias("pairs"))
-        .select(*key, _greedy(F.col("pairs")).alias("right"))
-    )
+    g_ids = g_rows.groupBy(*key, "g_key").agg(F.min("at").alias("cls"))
+    sets = fits.join(g_ids, [*key, "g_key"]).groupBy(*key, "c_key").agg(F.array_sort(F.collect_list("cls")).alias("fit"))
+    steps = g_rows.join(g_ids, [*key, "g_key"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "cls"))).alias("steps"))
+    c_rows = l.select(*key, "c_key", "seq").join(sets, [*key, "c_key"]).join(steps.select(*key, F.size("steps").alias("bound")), key)
+    c_rows = first_upto(c_rows.drop("c_key"), [*key, "fit"], [F.col("seq")], F.col("bound")).drop("bound")
+    calls = c_rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "fit"))).alias("calls"))
+    walked = calls.join(steps, key).select(*key, _greedy(F.col("calls"), F.col("steps")).alias("right"))
     found = alone.unionByName(walked).groupBy("trial_id").agg(F.sum("right").alias("right"))
     golden = g.groupBy("trial_id").agg(F.count(F.lit(1)).alias("golden_chain_length"))
     return golden.join(found, "trial_id", "left").select(
@@ -228,26 +225,23 @@ def right_tool_calls(chain: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def _greedy(pairs: Column) -> Column:
-    """Number of matches when sorted (call, step) pairs are taken while both ends are free."""
-    place = "struct<stop_index:bigint,step:int>"
-    start = F.struct(F.lit(None).cast("bigint").alias("call"), F.array().cast(f"array<{place}>").alias("used"))
+def _greedy(calls: Column, steps: Column) -> Column:
+    """Number of steps that are taken when each call, in order, takes the first free step of a class it fits."""
+    none = F.filter(F.transform(steps, lambda s: s["at"]), lambda _s: F.lit(False))
 
-    def take(acc: Column, p: Column) -> Column:
-        at = F.struct(p["at"]["stop_index"].cast("bigint").alias("stop_index"), p["at"]["step"].cast("int").alias("step"))
-        free = ~F.equal_null(acc["call"], p["seq"]) & ~F.array_contains(acc["used"], at)
-        return F.struct(
-            F.when(free, p["seq"]).otherwise(acc["call"]).alias("call"),
-            F.when(free, F.array_append(acc["used"], at)).otherwise(acc["used"]).alias("used"),
-        )
+    def take(used: Column, call: Column) -> Column:
+        free = F.filter(steps, lambda s: F.array_contains(call["fit"], s["cls"]) & ~F.array_contains(used, s["at"]))
+        return F.when((F.size(used) < F.size(steps)) & (F.size(free) > 0), F.array_append(used, F.try_element_at(free, F.lit(1))["at"])).otherwise(used)
 
-    return F.aggregate(pairs, start, take, lambda acc: F.size(acc["used"]).cast("bigint"))
+    return F.size(F.aggregate(calls, none, take)).cast("bigint")
 
 
 # --- intermediate values -------------------------------------------------------------------
 
-# Stops per array of sought texts; stops beyond it are found by an equi-join on text pieces.
-VALUES_PER_ARRAY = 64
+# Stops whose sought texts travel in one array, least length of a window over a trial's joined previews, and windows per salt.
+STOPS_PER_ARRAY = 64
+WINDOW = 2048
+WINDOWS_PER_SALT = 16
 
 
 def value_forms(value: Column) -> Column:
@@ -262,59 +256,44 @@ def value_forms(value: Column) -> Column:
     )
 
 
-def _found_forms(wanted: DataFrame, log: DataFrame) -> DataFrame:
-    """(trial, form) pairs where the form occurs in the trial's previews joined by blanks.
+def _windows(log: DataFrame, reach: DataFrame) -> DataFrame:
+    """Windows (trial_id, block, text) over each trial's previews joined by blanks; neighbours share ``reach - 1`` characters.
 
-    Three exact ways: arrays of sought texts against each preview (first stops of a trail);
-    equi-join on all pieces of the sought lengths (stops beyond, so that a long trail with a
-    long log never multiplies out); texts with blanks, which may run across previews, against
-    each preview glued to as many following ones as the text has blanks.
+    Any text of up to ``reach(trial_id, reach)`` characters that occurs in the joined previews lies inside a window. A
+    window is at least as long as what it shares, so previews are copied twice at most.
     """
-    previews = log.select("trial_id", "seq", F.coalesce("result_preview", F.lit("")).alias("text"))
-    single = wanted.where(~F.contains("form", F.lit(" ")))
+    previews = log.select("trial_id", "seq", F.concat(F.coalesce("result_preview", F.lit("")), F.lit(" ")).alias("text"))
+    placed = running_sum(previews.join(reach, "trial_id"), ["trial_id"], [F.col("seq")], F.floor(F.col("seq") / 4096), F.length("text"), "start")
+    size, shared = F.greatest(F.lit(WINDOW), F.col("reach")).cast("bigint"), F.col("reach").cast("bigint") - 1
+    end = F.col("start") + F.length("text")
+    sized = placed.withColumns({"size": size, "shared": shared, "end": end})
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("start") - F.col("size") - F.col("shared")) / F.col("size")) + 1)
+    pieces = sized.withColumn("block", F.explode(F.sequence(first, F.floor((F.col("end") - 1) / F.col("size")))))
+    low = F.greatest(F.col("start"), F.col("block") * F.col("size"))
+    high = F.least(F.col("end"), (F.col("block") + 1) * F.col("size") + F.col("shared"))
+    cut = pieces.select("trial_id", "block", "start", F.substring("text", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("part")).where("part <> ''")
+    return cut.groupBy("trial_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), "").alias("text"))
 
-    near = single.where(F.col("stop_index") < VALUES_PER_ARRAY).groupBy("trial_id").agg(F.collect_set("form").alias("forms"))
-    by_array = (
-        previews.select("trial_id", "text").distinct()
-        .join(near, "trial_id")
-        .select("trial_id", F.explode(F.filter("forms", lambda f: F.contains(F.col("text"), f))).alias("form"))
-        .distinct()
-    )
 
-    far = single.where(F.col("stop_index") >= VALUES_PER_ARRAY).select("trial_id", "form").distinct()
-    lengths = far.groupBy("trial_id").agg(F.collect_set(F.length("form")).alias("lengths"))
-    spots = F.sequence(F.lit(1), F.length("text") - F.col("len") + 1)
-    pieces = (
-        previews.select("trial_id", "text").distinct()
-        .join(lengths, "trial_id")
-        .select("trial_id", "text", F.explode("lengths").alias("len"))
-        .where(F.length("text") >= F.col("len"))
-        .select("trial_id", F.explode(F.transform(spots, lambda i: F.substring(F.col("text"), i, F.col("len")))).alias("form"))
-        .distinct()
-    )
-    by_piece = far.join(pieces, ["trial_id", "form"], "left_semi")
+def _found_forms(wanted: DataFrame, log: DataFrame) -> DataFrame:
+    """(trial, form) pairs where the form occurs in the trial's previews joined by blanks.
 
-    blanks = F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit("")))
-    spaced = wanted.where(F.contains("form", F.lit(" "))).groupBy("trial_id", F.floor(F.col("stop_index") / VALUES_PER_ARRAY).alias("part")).agg(
-        F.collect_set("form").alias("forms"), F.max(blanks).alias("reach")
-    )
-    reach = spaced.groupBy("trial_id").agg(F.max("reach").alias("reach"))
-    placed = dense_index(
-        previews.join(reach, "trial_id"), ["trial_id"], [F.col("seq")], F.floor(F.col("seq") / 4096), "at"
-    )
-    glued = (
-        placed.select("trial_id", "text", "at", F.explode(F.sequence(F.lit(0), F.col("reach").cast("int"))).alias("k"))
-        .groupBy("trial_id", (F.col("at") - F.col("k")).alias("start"))
-        .agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("parts"))
-        .select("trial_id", F.array_join(F.col("parts.text"), " ").alias("text"))
-        .distinct()
-    )
-    by_glue = (
-        glued.join(spaced, "trial_id")
+    The sought texts of a trial travel in arrays of bounded size and meet the windows of its log; the windows of a long
+    log are dealt over salts, and its arrays go to each of them.
+    """
+    part = F.floor(F.col("stop_index") / STOPS_PER_ARRAY)
+    sought = wanted.groupBy("trial_id", part.alias("part")).agg(F.collect_set("form").alias("forms"), F.max(F.length("form")).alias("longest"))
+    reach = sought.groupBy("trial_id").agg(F.max("longest").alias("reach"))
+    chars = log.groupBy("trial_id").agg(F.sum(F.length(F.coalesce("result_preview", F.lit(""))) + 1).alias("chars"))
+    salts = chars.select("trial_id", F.ceil(F.col("chars") / (WINDOW * WINDOWS_PER_SALT)).cast("int").alias("salts"))
+    windows = _windows(log, reach).join(salts, "trial_id").withColumn("salt", F.pmod(F.col("block"), F.col("salts")).cast("int"))
+    arrays = sought.join(salts, "trial_id").select("trial_id", "forms", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return (
+        windows.select("trial_id", "salt", "text")
+        .join(arrays, ["trial_id", "salt"])
         .select("trial_id", F.explode(F.filter("forms", lambda f: F.contains(F.col("text"), f))).alias("form"))
         .distinct()
     )
-    return by_array.unionByName(by_piece).unionByName(by_glue).distinct()
 
 
 def intermediate_values(stops: DataFrame, log: DataFrame) -> DataFrame:
