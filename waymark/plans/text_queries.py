@@ -161,29 +161,50 @@ def target_lengths(spark, sf):
 # --- files ---------------------------------------------------------------------------------
 
 
+_FULL_STOPS = """full_q AS (SELECT CAST(s.trail_id AS VARCHAR) AS trail_id, stop_index, stored_index, stop_type, page_url,
+  concat('target ', stop_index, ' "q" \\ é') AS extraction_target, CASE WHEN stop_index % 2 = 0 THEN 'infobox' END AS extraction_section, value_kind, value_str, value_num, value_type, bridge_type,
+  target_url, search_query, CASE WHEN stop_index % 3 = 0 THEN page_url END AS expected_result_url, expression, CASE WHEN stop_type = 'compute' THEN concat('print(', stop_index, ')') END AS expression_code,
+  CASE WHEN stop_type = 'compute' THEN [0, stop_index] END AS referenced_stops, concat('because ', stop_type) AS reasoning,
+  CASE WHEN stop_type = 'reason' THEN 'digit_sum' END AS reason_transform, CASE WHEN stop_type = 'reason' THEN 'x = 1' END AS reason_code, reason_source_stop FROM stops_v s)"""
+
+
+def _full(stops):
+    """Stops with a value in every stored field."""
+    i, kind = F.col("stop_index"), F.col("stop_type")
+    return stops.withColumns({
+        "extraction_target": F.concat(F.lit("target "), i.cast("string"), F.lit(' "q" \\ é')), "extraction_section": F.when(i % 2 == 0, "infobox"), "expected_result_url": F.when(i % 3 == 0, F.col("page_url")),
+        "expression_code": F.when(kind == "compute", F.concat(F.lit("print("), i.cast("string"), F.lit(")"))), "referenced_stops": F.when(kind == "compute", F.array(F.lit(0).cast("bigint"), i)),
+        "reasoning": F.concat(F.lit("because "), kind), "reason_transform": F.when(kind == "reason", "digit_sum"), "reason_code": F.when(kind == "reason", "x = 1"),
+    })
+
+
 def _stored(spark, sf):
     """The corpus written as documents to the shared folder and read back."""
-    s = views.stops(spark, sf)
+    s = _full(views.stops(spark, sf))
     t = views.trails(spark, sf).withColumn("riddle", F.concat(F.lit('Say "'), "seed_title", F.lit('"')))
+    t = t.withColumns({"generated_at": F.concat(F.lit("day "), F.col("trail_id").cast("string")), "metadata": F.concat(F.lit('{"sample_id":'), F.col("trail_id").cast("string"), F.lit(',"theme":"x"}'))})
+    c = views.chain(s).withColumn("output_key", F.concat(F.lit("key"), F.col("step").cast("string"))).withColumn("expected_output", F.col("tool_name"))
     path = scratch_path(spark, "trails")
-    writers.write_trails(writers.trail_documents(t, s, views.chain(s), views.deps(s)), path)
+    writers.write_trails(writers.trail_documents(t, s, c, views.deps(s)), path)
     return readers.read_document_lines(spark, path)
 
 
-@query("stored_trails", "SELECT CAST(trail_id AS VARCHAR) AS trail_id, level, passcode, seed_title, concat('Say \"', seed_title, '\"') AS riddle FROM trails_v")
+@query("stored_trails", """SELECT CAST(trail_id AS VARCHAR) AS trail_id, concat_ws('/', level, CAST(trail_id AS VARCHAR)) AS sample_id, level, passcode, seed_url, seed_title, concat('Say "', seed_title, '"') AS riddle,
+  concat('day ', CAST(trail_id AS VARCHAR)) AS generated_at, concat('{"sample_id":', CAST(trail_id AS VARCHAR), ',"theme":"x"}') AS metadata FROM trails_v""")
 def stored_trails(spark, sf):
-    return readers.trails(_stored(spark, sf)).select("trail_id", "level", "passcode", "seed_title", "riddle")
+    return readers.trails(_stored(spark, sf))
 
 
-@query("stored_stops", "SELECT CAST(trail_id AS VARCHAR) AS trail_id, stop_index, stored_index, stop_type, page_url, value_kind, value_str, value_num, value_type, bridge_type, target_url, search_query, expression, reason_source_stop FROM stops_v")
+@query("stored_stops", f"WITH {_FULL_STOPS} SELECT * FROM full_q")
 def stored_stops(spark, sf):
-    return readers.stops(_stored(spark, sf)).drop("extraction_target", "extraction_section", "expected_result_url", "reason_transform")
+    return readers.stops(_stored(spark, sf))
 
 
-@query("stored_chains", "SELECT CAST(trail_id AS VARCHAR) AS trail_id, stop_index, step, tool_name, arg_address, arg_code FROM chain_v")
+@query("stored_chains", """SELECT CAST(trail_id AS VARCHAR) AS trail_id, stop_index, step, tool_name, arg_address, arg_code, concat('key', CAST(step AS VARCHAR)) AS output_key, tool_name AS expected_output FROM chain_v""")
 def stored_chains(spark, sf):
     c = readers.chain(_stored(spark, sf))
-    return c.select("trail_id", "stop_index", "step", "tool_name", F.try_element_at("args", F.lit("address")).alias("arg_address"), F.try_element_at("args", F.lit("code")).alias("arg_code"))
+    arg = lambda name: F.try_element_at("args", F.lit(name)).alias(f"arg_{name}")
+    return c.select("trail_id", "stop_index", "step", "tool_name", arg("address"), arg("code"), "output_key", "expected_output")
 
 
 @query("stored_deps", "SELECT CAST(trail_id AS VARCHAR) AS trail_id, stop_index, dep FROM deps_v")

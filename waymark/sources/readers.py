@@ -84,7 +84,9 @@ def stops(documents: DataFrame) -> DataFrame:
         F.when(kind != "null", shown).alias("value_str"), number.alias("value_num"), text_of("$.extracted_value_type", "text").alias("value_type"),
         text_of("$.bridge.bridge_type", "link_follow").alias("bridge_type"), text_of("$.bridge.target_url").alias("target_url"), text_of("$.bridge.search_query").alias("search_query"),
         text_of("$.bridge.expected_result_url").alias("expected_result_url"), text_of("$.bridge.expression").alias("expression"),
-        text_of("$.reason_transform").alias("reason_transform"), _v("$.reason_source_stop", "bigint").alias("reason_source_stop"),
+        text_of("$.bridge.expression_code").alias("expression_code"), _v("$.bridge.referenced_stops", "array<bigint>").alias("referenced_stops"),
+        text_of("$.reasoning", "").alias("reasoning"), text_of("$.reason_transform").alias("reason_transform"), text_of("$.reason_code").alias("reason_code"),
+        _v("$.reason_source_stop", "bigint").alias("reason_source_stop"),
     )
 
 
@@ -92,7 +94,7 @@ def chain(documents: DataFrame) -> DataFrame:
     """One row per tool-chain step; argument values as texts."""
     s = _stop_rows(documents).select("trail_id", "stop_index", F.posexplode(_v("$.bridge.tool_chain", "array<variant>")).alias("step", "doc"))
     args = F.transform_values(_v("$.arguments", "map<string,variant>"), lambda _k, v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
-    return s.select("trail_id", "stop_index", "step", F.coalesce(_v("$.tool_name", "string"), F.lit("")).alias("tool_name"), args.alias("args"), _v("$.output_key", "string").alias("output_key"))
+    return s.select("trail_id", "stop_index", "step", F.coalesce(_v("$.tool_name", "string"), F.lit("")).alias("tool_name"), args.alias("args"), _v("$.output_key", "string").alias("output_key"), _v("$.expected_output", "string").alias("expected_output"))
 
 
 def deps(documents: DataFrame) -> DataFrame:

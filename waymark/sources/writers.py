@@ -2,46 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
 
 K = ["trail_id", "stop_index"]
+#: Files of a task, at most: the table of templates is broadcast.
+MOST_TEMPLATES = 1000
+
+
+def _of(df: DataFrame, name: str, kind: str = "string") -> Column:
+    """A column of ``df``, null where it has none of that name."""
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+
+
+def _parsed(rows: Column) -> Column:
+    return F.transform(F.coalesce(rows, F.array().cast("array<string>")), lambda j: F.parse_json(j))
 
 
 def trail_documents(trails: DataFrame, stops: DataFrame, chain: DataFrame, deps: DataFrame) -> DataFrame:
-    """One nested row per trail. A trail is one document, so its stops share a row by definition."""
-    steps = chain.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("step", F.to_json(F.struct("tool_name", F.col("args").alias("arguments"))).alias("j")))).alias("steps"))
+    """(level, value): one JSON document per trail with every stored field. A trail is one document, so its stops share a row by definition.
+
+    Fields that a table has no column for are null. A value keeps its JSON kind; one that JSON can't write as a number (NaN) is written as text.
+    """
+    full = {"ignoreNullFields": "false"}
+    call = F.struct("tool_name", F.col("args").alias("arguments"), _of(chain, "output_key").alias("output_key"), _of(chain, "expected_output").alias("expected_output"))
+    steps = chain.select(*K, "step", F.to_json(call, full).alias("j")).groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("step", "j"))).alias("steps"))
     edges = deps.groupBy(*K).agg(F.array_sort(F.collect_list("dep")).alias("depends_on"))
     s = stops.join(steps, K, "left").join(edges, K, "left")
-    # a value keeps its JSON kind by being put in as text
-    value = F.when(F.col("value_kind") == "null", "null").when(F.col("value_kind") == "string", F.to_json(F.struct(F.col("value_str").alias("v")))).otherwise(F.col("value_str"))
-    value = F.when(F.col("value_kind") == "string", F.regexp_extract(value, r'(?s)^\{"v":(.*)\}$', 1)).otherwise(value)
+    text = F.col("value_str").cast("variant")
+    value = F.when(F.col("value_kind") == "null", F.parse_json(F.lit("null"))).when(F.col("value_kind") == "string", text).otherwise(F.coalesce(F.try_parse_json("value_str"), text))
+    bridge = F.struct(
+        *[_of(s, n).alias(n) for n in ("bridge_type", "target_url", "search_query", "expected_result_url", "expression", "expression_code")],
+        _of(s, "referenced_stops", "array<bigint>").alias("referenced_stops"), _parsed(F.col("steps.j")).alias("tool_chain"),
+    )
+    stop = F.struct(
+        F.col("stored_index").alias("index"), *[_of(s, n).alias(n) for n in ("stop_type", "page_url", "extraction_target", "extraction_section")],
+        value.alias("extracted_value"), F.col("value_type").alias("extracted_value_type"), *[_of(s, n).alias(n) for n in ("reasoning", "reason_transform", "reason_code")],
+        _of(s, "reason_source_stop", "bigint").alias("reason_source_stop"), F.coalesce("depends_on", F.array().cast("array<bigint>")).alias("depends_on"), bridge.alias("bridge"),
+    )
+    packed = s.select("trail_id", "stop_index", F.to_json(stop, full).alias("j")).groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("stop_index", "j"))).alias("stops"))
+    t = trails.join(packed, "trail_id", "left")
+    document = F.struct(
+        F.col("trail_id").cast("string").alias("trail_id"), *[_of(t, n).alias(n) for n in ("seed_url", "seed_title", "riddle", "generated_at")], F.col("passcode"),
+        F.try_parse_json(_of(t, "metadata")).alias("metadata"), F.struct("level").alias("difficulty"), _parsed(F.col("stops.j")).alias("stops"),
+    )
+    return t.select("level", F.to_json(document, full).alias("value"))
 
-    def quoted(c: str) -> Column:
-        return F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null"))
 
-    def field(name: str, text: Column) -> Column:
-        return F.concat(F.lit(f'"{name}":'), F.when(text == "", "null").otherwise(F.coalesce(text, F.lit("null"))))
+def write_files(files: DataFrame, path: str) -> None:
+    """Write each row (rel_path, content) as a file of its own below ``path``; a repeated attempt writes the same file again."""
 
-    bridge = F.concat(
-        F.lit("{"), F.concat_ws(",", *[field(n, quoted(n)) for n in ("bridge_type", "target_url", "search_query", "expression")],
-        field("tool_chain", F.concat(F.lit("["), F.array_join(F.coalesce(F.col("steps.j"), F.array().cast("array<string>")), ","), F.lit("]")))), F.lit("}"),
-    )
-    dep_text = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("depends_on", F.array().cast("array<bigint>")), lambda d: d.cast("string")), ","), F.lit("]"))
-    js = F.concat(
-        F.lit("{"),
-        F.concat_ws(
-            ",", field("index", F.col("stored_index").cast("string")), *[field(n, quoted(c)) for n, c in (("stop_type", "stop_type"), ("page_url", "page_url"), ("extracted_value_type", "value_type"))],
-            field("extracted_value", value), field("reason_source_stop", F.col("reason_source_stop").cast("string")), field("depends_on", dep_text), field("bridge", bridge),
-        ),
-        F.lit("}"),
-    )
-    packed = s.groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("stop_index", js.alias("j")))).alias("stops"))
-    head = F.to_json(F.struct(F.col("trail_id").cast("string").alias("trail_id"), "seed_url", "seed_title", "passcode", "riddle", F.struct("level").alias("difficulty")), {"ignoreNullFields": "false"})
-    body = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"stops":['), F.array_join(F.coalesce(F.col("stops.j"), F.array().cast("array<string>")), ","), F.lit("]}"))
-    return trails.join(packed, "trail_id", "left").select("level", body.alias("value"))
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for row in batch.to_pylist():
+                target = f"{base}/{row['rel_path']}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write((row["content"] or "").encode())
+            yield batch.select(["rel_path"])
+
+    files.select("rel_path", "content").mapInArrow(put, "rel_path string").write.format("noop").mode("overwrite").save()
 
 
 def write_trails(documents: DataFrame, path: str) -> None:
@@ -62,8 +89,11 @@ def write_pages(page_info: DataFrame, path: str) -> None:
 def task_files(tasks: DataFrame, templates: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
     """File rows of accepted puzzles: ``templates(rel_path, content)`` filled per task.
 
-    ``templates`` is the small set of files of one task. Placeholders in braces take the values of the task.
+    ``templates`` is the set of files of one task. Placeholders in braces take the values of the task.
     """
+    n = templates.count()
+    if n > MOST_TEMPLATES:
+        raise ValueError(f"a task has {n} files; more than {MOST_TEMPLATES} aren't sent to every executor")
     ok = task_verdicts(tasks, existing, overwrite).where("reason IS NULL").select("task_id")
     t = tasks.join(ok, "task_id", "left_semi")
     timeout = F.when(F.col("level").isin(fixed.LEVELS), F.lit(f"{fixed.TRIAL_SECONDS}.0")).otherwise("900.0")
