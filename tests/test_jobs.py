@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import numbers as nums
 from waymark.functions import values as vals
-from waymark.functions.skew import dense_index, first_upto, running_sum
+from waymark.functions.skew import dense_index, first_upto, numbered, running_sum
 from waymark.operators import augment, build, dag_checks, facts, graph, pages, replies, reports, riddles, scoring
 from waymark.sources import readers, writers
 
@@ -30,6 +30,18 @@ def test_dense_index_on_a_hot_key(spark):
         assert [got[(k, a, b)] for a, b in mine] == [(i, len(mine)) for i in range(len(mine))]
 
 
+def test_numbered_splits_hot_keys(spark):
+    rnd = random.Random(2)
+    rows = [("hot" if rnd.random() < 0.5 else f"k{i % 7}", rnd.randrange(10_000), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, a int, b int")
+    for limit in (10**6, 400):
+        out = numbered(df, ["k"], [F.col("a"), F.col("b")], F.floor(F.col("a") / 500), "i", "n", hot_rows=limit)
+        got = {(r.k, r.a, r.b): (r.i, r.n) for r in out.collect()}
+        for k in {r[0] for r in rows}:
+            mine = sorted((a, b) for kk, a, b in rows if kk == k)
+            assert [got[(k, a, b)] for a, b in mine] == [(i, len(mine)) for i in range(len(mine))]
+
+
 def test_running_sum_and_column_limit(spark):
     df = spark.createDataFrame([("x", i, i % 3) for i in range(200)], "k string, a int, v int")
     got = {r.a: r.s for r in running_sum(df, ["k"], [F.col("a")], F.floor(F.col("a") / 16), F.col("v"), "s").collect()}
@@ -326,3 +338,68 @@ def test_insertion_moves_references(spark):
     out = build.insert_stops(s, new).orderBy("stop_index").collect()
     assert [r.stop_index for r in out] == list(range(10))
     assert {r.stop_index: r.reason_source_stop for r in out if r.stop_type == "reason"} == {5: 4, 6: 4, 7: 6}
+
+
+# --- no caps -------------------------------------------------------------------------------
+
+
+def test_primes_beyond_ten_to_the_twelve(spark):
+    ns = [10**12 + 7, 10**12 + 39, 2**61 - 1, 2**63 - 1, (10**9 + 7) * (10**9 + 9), 999983**3, 9223372036854775783]
+    n = F.col("n")
+    df = spark.createDataFrame([(x,) for x in [*ns, None, -3]], "n bigint")
+    got = {r.n: r for r in df.select("n", nums.next_prime(n).alias("np"), nums.num_divisors(n).alias("nd"), nums.sum_prime_factors(n).alias("sp"), nums.largest_prime_factor(n).alias("lp"), nums.largest_prime_factor(n, strict=True).alias("st")).collect()}
+    assert got[10**12 + 7].sp == 34519 + 28969553
+    assert (got[10**12 + 39].nd, got[10**12 + 39].lp, got[10**12 + 7].np) == (2, 10**12 + 39, 10**12 + 39)
+    assert (got[2**61 - 1].nd, got[2**61 - 1].sp) == (2, 2**61 - 1)
+    assert (got[2**63 - 1].nd, got[2**63 - 1].lp) == (96, 649657)
+    assert got[(10**9 + 7) * (10**9 + 9)].sp == 2 * 10**9 + 16
+    assert (got[999983**3].nd, got[999983**3].lp, got[999983**3].st) == (4, 1, 999983)
+    assert got[9223372036854775783].np is None
+    assert (got[None].np, got[None].nd, got[-3].np, got[-3].nd, got[-3].sp, got[-3].lp) == (None, None, 2, None, 0, -3)
+
+
+def test_trim_keeps_what_the_depth_says(spark):
+    stops = spark.createDataFrame([(1, i, "page" if i % 2 else "tool") for i in range(60)], "trail_id bigint, stop_index bigint, stop_type string")
+    depths = spark.createDataFrame([(1, 3, 40)], "trail_id bigint, depth_min int, depth int")
+    kept = build.trim(stops, depths).collect()
+    assert len(kept) == 39
+    assert sorted(r.stop_index for r in kept) == list(range(39))
+
+
+def test_twelve_reasons_are_drawn(spark):
+    stops = spark.createDataFrame([(1, i, "page", f"u{i}", str(1000 + 7 * i), "number") for i in range(40)], "trail_id bigint, stop_index bigint, stop_type string, page_url string, value_str string, value_type string")
+    targets = spark.createDataFrame([(1, 12)], "trail_id bigint, target int")
+    assert build.draw_reasons(stops, targets).count() == 12
+
+
+def test_nested_elements_leave_to_the_last(spark):
+    deep = "<script>z</script>"
+    for _ in range(60):  # each removal joins the parts of another tag
+        deep = f"<scr{deep}ipt>z</script>"
+    assert one(spark, pages.sanitize_html(F.lit(f"a{deep}b"))) == "ab"
+
+
+def test_a_long_chain_is_walked(spark):
+    n = 1500
+    stops = spark.range(n).select(F.lit(1).cast("bigint").alias("trail_id"), F.col("id").alias("stop_index"))
+    # stop i leans on i - 1, but stop 700 on a later one; without a root, stop 0 is the root
+    deps = spark.createDataFrame([(1, i, i - 1) for i in range(1, n) if i != 700] + [(1, 0, 700), (1, 700, 1400)], "trail_id bigint, stop_index bigint, dep bigint")
+    lost = dag_checks.unreachable_stops(stops, deps)
+    assert sorted(r.stop_index for r in lost.collect()) == list(range(700, n))
+
+
+def test_values_across_previews_and_a_hot_trial(spark):
+    words = [f"w{i}" for i in range(3000)]
+    long = " ".join(words[100:400])
+    stops = [(1, 0, long), (1, 1, "w250"), (1, 2, "w9 w10 w11"), (1, 3, "absent words"), (1, 4, "w2999"), (2, 0, "w5 w6"), *[(1, 100 + i, f"w{i * 7}") for i in range(150)]]
+    s = spark.createDataFrame(stops, "trail_id bigint, stop_index bigint, value_str string")
+    log = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)] + [(2, 0, "x w5"), (2, 1, None), (2, 2, "w6")], "trial_id bigint, seq bigint, result_preview string")
+    got = {r.trial_id: (r.intermediate_correct, r.intermediate_total) for r in scoring.intermediate_values(s, log).collect()}
+    assert got == {1: (154, 155), 2: (0, 1)}
+
+
+def test_repeated_replies_do_not_repeat_stops(spark):
+    chain = spark.createDataFrame([(1, 0, 0, "maps_elevation", {"address": "x"}, "result")], "trail_id bigint, stop_index bigint, step int, tool_name string, args map<string,string>, output_key string")
+    reply = ("maps_elevation", {"address": "x"}, '{"elevation": 12}', None)
+    df = spark.createDataFrame([reply, reply, ("maps_elevation", {"address": "x"}, '{"elevation": 13}', None)], "tool_name string, args map<string,string>, output string, error string")
+    assert replies.replay_chains(chain, df).count() == 1

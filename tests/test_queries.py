@@ -1,9 +1,4 @@
-"""Every registered query against its SQL twin on the smallest tables.
-
-Queries that need many minutes of planning in a small session run with WAYMARK_ALL=1.
-"""
-
-import os
+"""Every registered query against its SQL twin on the smallest tables."""
 
 import pytest
 from oracle import compare, connect
@@ -11,7 +6,6 @@ from oracle import compare, connect
 from waymark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"plan_stops", "augmented_trails", "diamond_trails", "diamond_rows", "diamond_totals", "diamond_branches", "group_report", "report_long", "per_trial", "replay_trails", "refreshed_trails", "candidate_tools", "replay_stops"}
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +15,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, con, name):
-    if name in SLOW and not os.environ.get("WAYMARK_ALL"):
-        pytest.skip("slow to plan")
     if name in catalog.SQL:
         message, _n = compare(spark, con, catalog.QUERIES[name], catalog.SQL[name], SF)
         assert message == ""

@@ -58,6 +58,29 @@ def dense_index(
     return running_sum(df, keys, order, bucket, F.lit(1), out, total)
 
 
+#: Rows of a key up to which one task numbers them all.
+HOT_ROWS = 100_000
+
+
+def numbered(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, out: str, total: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """:func:`dense_index` and the size of each key, at the cost of one window where no key is hot.
+
+    Keys are counted first; only those with more than ``hot_rows`` rows are numbered by buckets.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).drop("__n")
+    by_key = Window.partitionBy(*keys)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({out: (F.row_number().over(by_key.orderBy(*order)) - 1).cast("bigint"), total: F.count(F.lit(1)).over(by_key)})
+
+    if sizes.isEmpty():
+        return plain(df)
+    hot = dense_index(df.join(sizes, list(keys), "left_semi"), keys, order, bucket, out, total)
+    return plain(df.join(sizes, list(keys), "left_anti")).unionByName(hot)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """First ``k`` rows of each key.
 

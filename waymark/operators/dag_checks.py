@@ -142,16 +142,20 @@ def unreachable_stops(stops: DataFrame, deps: DataFrame) -> DataFrame:
             F.max("dep_ok").alias("next"), F.min(F.struct((F.col("dep") >= F.col("stop_index")).alias("later"), "dep")).alias("to")
         )
         ptr = cut_lineage(state.join(leads, K, "left").select(*K, (F.col("ok") | F.coalesce("next", F.lit(False))).alias("ok"), F.col("to.dep").alias("ptr")))
-        for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
-            there = ptr.select("trail_id", F.col("stop_index").alias("ptr"), F.col("ok").alias("ptr_ok"), F.col("ptr").alias("beyond"))
-            ptr = cut_lineage(
-                ptr.join(there, ["trail_id", "ptr"], "left").select(*K, (F.col("ok") | F.coalesce("ptr_ok", F.lit(False))).alias("ok"), F.coalesce("beyond", "ptr").alias("ptr"))
-            )
+        if ptr.where("ok").count() == reached:
+            return s.join(ptr.where("ok"), K, "left_anti")
+        # two doublings between checkpoints
+        for _ in range(math.ceil(math.log2(longest) / 2)):
+            ptr = cut_lineage(_doubled(_doubled(ptr)))
         state = ptr.select(*K, "ok")
-        now = state.where("ok").count()
-        if now == reached:
-            return s.join(state.where("ok"), K, "left_anti")
-        reached = now
+        reached = state.where("ok").count()
+
+
+def _doubled(ptr: DataFrame) -> DataFrame:
+    """Pointers to where their targets point; a stop whose target is reached is reached."""
+    there = ptr.select("trail_id", F.col("stop_index").alias("ptr"), F.col("ok").alias("ptr_ok"), F.col("ptr").alias("beyond"))
+    out = ptr.join(there, ["trail_id", "ptr"], "left")
+    return out.select(*K, (F.col("ok") | F.coalesce("ptr_ok", F.lit(False))).alias("ok"), F.coalesce("beyond", "ptr").alias("ptr"))
 
 
 def check_reachability(stops: DataFrame, deps: DataFrame) -> DataFrame:

@@ -24,12 +24,12 @@ from waymark.operators.dims import texts
 def _settle(pattern: str, tag: str):
     """Repeat a removal until nothing is left to remove.
 
-    Each pass removes an opening tag at least, so there are as many passes as tags at most; those after
-    the last removal do nothing.
+    A removal may join the parts of another tag. Each pass removes an opening and a closing tag at least, which bounds
+    the number of passes by the length of the text; those after the last removal do nothing.
     """
 
     def settle(r: Column) -> Column:
-        most = F.size(F.split(r, f"(?i)<{tag}"))
+        most = (F.length(r) / (2 * len(tag) + 5)).cast("int") + 1
 
         def once(acc: Column, _i: Column) -> Column:
             more = F.rlike(acc["text"], F.lit(pattern))

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions.skew import dense_index
+from waymark.functions.skew import numbered
 
 
 def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -216,13 +216,9 @@ def trails(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stops(spark: SparkSession, sf: str) -> DataFrame:
-    lines = dense_index(
-        load(spark, sf, "lineitem"),
-        ["l_orderkey"],
-        [F.col(c) for c in _LINE_ORDER],
-        F.struct("l_linenumber", F.floor(F.col("l_partkey") / 256)),
-        "rn0",
-        total="n",
+    # an order's lines by line number; the buckets serve orders that hold a large share of all lines
+    lines = numbered(
+        load(spark, sf, "lineitem"), ["l_orderkey"], [F.col(c) for c in _LINE_ORDER], F.struct("l_linenumber", F.floor(F.col("l_partkey") / 256)), "rn0", "n"
     ).withColumn("rn", F.col("rn0") + 1)
     return lines.selectExpr(*_exprs(_STOP_1)).selectExpr(*_exprs(_STOP_2)).selectExpr(*_exprs(_STOP_3))
 
