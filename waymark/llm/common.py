@@ -16,6 +16,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows up to which a side may be broadcast; its size is counted first. Beyond it the side is shuffled.
 BROADCAST_ROWS = 50_000
 
+#: Rows with texts that cross to Python at a time.
+TEXT_ROWS = 500
+
 #: Copies of the small side, and sub-groups of the rows, of a hot key.
 SALTS = 32
 
@@ -36,6 +39,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Whole texts cross to Python in batches of few rows, so that a worker's memory holds little beside its longest texts. Sets the session's batch size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
 def place() -> Column:
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 

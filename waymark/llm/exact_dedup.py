@@ -18,11 +18,13 @@ from waymark.llm.common import at_rest, heavy_keys, located, lower_ascii, salted
 from waymark.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: State on disk, without space that is reserved per store: many small stores share a disk.
+#: State on disk, with bounded memory for all stores of an executor and without disk space that each reserves.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
 
 

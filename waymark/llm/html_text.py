@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav"
@@ -198,5 +200,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     kinds = dict(pages.dtypes)
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-    out = rows.mapInPandas(run, f"key {kinds[key]}, url string, text string, n_chars long")
+    out = small_batches(rows).mapInPandas(run, f"key {kinds[key]}, url string, text string, n_chars long")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", "n_chars")

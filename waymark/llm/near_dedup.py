@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import at_rest, heavy_keys, located, salted_join, sized_semi_join, staged, without
+from waymark.llm.common import at_rest, heavy_keys, located, salted_join, sized_semi_join, small_batches, staged, without
 
 ROWS, BANDS = 4, 24
 M = ROWS * BANDS
@@ -163,7 +163,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
 
     kind = dict(docs.dtypes)["id"]
     flat = docs.select("id", F.col("locator.file").alias("file"), F.col("locator.row").alias("row"), "text")
-    out = flat.mapInPandas(sketch, f"id {kind}, file string, row long, n long, cls binary, regs binary")
+    out = small_batches(flat).mapInPandas(sketch, f"id {kind}, file string, row long, n long, cls binary, regs binary")
     return out.select("id", F.struct("file", "row").alias("locator"), "n", "cls", "regs")
 
 

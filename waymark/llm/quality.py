@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import small_batches
+
 PIECE = 512
 LEVEL = 3
 DICTIONARY = 32 * 1024
@@ -92,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Labels that are null, neither 0 nor 1, or contradict each other for a key are left out; repeated ones count once. Where a class
     has no text the model gives every text the same score: 0.5 without labels, else leaning to the class that there is.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     known = labels.where(F.col(key).isNotNull() & ~held_out(F.col(key)) & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key"))
     known = known.agg(F.min(label).cast("int").alias("label"), F.max(label).alias("__other")).where("label = __other").drop("__other")
     total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
