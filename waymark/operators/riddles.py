@@ -167,29 +167,55 @@ def adopt(attempts: DataFrame, trails: DataFrame, min_alignment: float = 0.7) ->
     return kept.unionByName(best.select("trail_id", "attempt", F.col("implied").cast("int").alias("digit"), F.lit("adopted").alias("outcome")))
 
 
-def stop_contexts(stops: DataFrame, pages: DataFrame, links: DataFrame) -> DataFrame:
-    """Context text of each stop for riddle writing: ``pages(url, title, first_paragraph)``, ``links(url, pos, text, target_url)``."""
-    nxt = stops.select("trail_id", (F.col("stop_index") - 1).alias("stop_index"), F.col("page_url").alias("next_url"))
-    text = links.groupBy(F.col("url").alias("page_url"), F.col("target_url").alias("next_url")).agg(F.min_by("text", "pos").alias("link_text"))
-    here = pages.select(F.col("url").alias("page_url"), "title", F.substring("first_paragraph", 1, 300).alias("intro"))
-    there = pages.select(F.col("url").alias("next_url"), F.substring("first_paragraph", 1, 200).alias("next_intro"))
-    s = stops.join(nxt, K, "left").join(here, "page_url", "left").join(there, "next_url", "left").join(text, ["page_url", "next_url"], "left")
-
-    def line(label: str, value: Column) -> Column:
-        return F.when(value != "", F.concat(F.lit(f"{label}: "), value))
+def stop_contexts(stops: DataFrame, pages: DataFrame, links: DataFrame, chain: DataFrame, deps: DataFrame, intro_chars: int = 300, next_chars: int = 200) -> DataFrame:
+    """Context text of each stop for riddle writing: ``pages(url, title, first_paragraph)``, ``links(url, pos, text, target_url)``.
 
-    page, follows = F.col("stop_type") == "page", F.col("bridge_type") == "link_follow"
+    Page, target, value type and section of every stop; tools with their own arguments of tool stops; the clues that a merge, a reason or a
+    compute stop draws on; for page stops with a following one, the way there. ``intro_chars`` and ``next_chars`` cut the introductions.
+    Stops without a page don't take part in the page joins.
+    """
+    nxt = stops.select("trail_id", (F.col("stop_index") - 1).alias("stop_index"), F.col("page_url").alias("next_url"), F.lit(True).alias("has_next"))
+    text = links.groupBy(F.col("url").alias("page_url"), F.col("target_url").alias("next_url")).agg(F.min_by("text", "pos").alias("link_text"))
+    here = pages.select(F.col("url").alias("page_url"), "title", F.substring("first_paragraph", 1, intro_chars).alias("intro"), F.lit(True).alias("known"))
+    there = pages.select(F.col("url").alias("next_url"), F.substring("first_paragraph", 1, next_chars).alias("next_intro"))
+    own = F.map_filter("args", lambda k, _v: ~F.startswith(k, F.lit("__from_previous")))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries(own), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ", ")
+    steps = chain.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("step", "tool_name", shown.alias("args")))).alias("steps"))
+    needs = deps.groupBy(*K).agg(F.array_sort(F.collect_list(F.col("dep") + 1)).alias("clues"))
+    s = stops.join(nxt, K, "left").join(steps, K, "left").join(needs, K, "left")
+    paged = s.where("page_url <> ''").join(here, "page_url", "left")
+    follow = paged.where("next_url <> ''").join(there, "next_url", "left").join(text, ["page_url", "next_url"], "left")
+    s = follow.unionByName(paged.where("next_url IS NULL OR next_url = ''"), allowMissingColumns=True).unionByName(s.where("page_url IS NULL OR page_url = ''"), allowMissingColumns=True)
+
+    def of(name: str, kind: str = "string") -> Column:
+        return (F.col(name) if name in stops.columns else F.lit(None)).cast(kind)
+
+    def line(label: str, value: Column, when: Column | None = None) -> Column:
+        said = F.when(value != "", F.concat(F.lit(f"{label}: "), value))
+        return said if when is None else F.when(when, said)
+
+    def clues(numbers: Column) -> Column:
+        return F.array_join(F.transform(numbers, lambda x: x.cast("string")), ", ")
+
+    kind = F.col("stop_type")
+    leads = (kind == "page") & F.coalesce("has_next", F.lit(False))
+    follows, searches = leads & (F.col("bridge_type") == "link_follow") & (F.col("next_url") != ""), leads & (F.col("bridge_type") == "search_query")
+    calls = F.transform("steps", lambda t: F.when(t["args"] != "", F.concat(F.lit("Arguments of "), t["tool_name"], F.lit(": "), t["args"])))
+    number = (F.col("stop_index") + 1).cast("string")
     lines = F.concat_ws(
         "\n",
-        F.concat(F.lit("Stop "), (F.col("stop_index") + 1).cast("string"), F.lit(" ("), F.col("stop_type"), F.lit(")")),
-        F.coalesce(line("Page", F.col("title")), line("Page URL", F.col("page_url"))), line("Intro", F.col("intro")),
-        line("Target", F.col("extraction_target")), line("Value type", F.col("value_type")),
-        F.when(F.col("stop_type") == "reason", F.concat(F.lit("Transforms clue "), (F.coalesce("reason_source_stop", F.lit(0)) + 1).cast("string"))),
-        F.when(F.col("stop_type") == "compute", line("Expression", F.col("expression"))),
-        F.when(page & follows, line("Link text", F.col("link_text"))), F.when(page & (F.col("bridge_type") == "search_query"), line("Search", F.col("search_query"))),
-        F.when(page, line("Next intro", F.col("next_intro"))),
+        F.concat(F.lit("Stop "), number, F.lit(" ("), kind, F.lit(")")),
+        F.when(F.col("known"), line("Page", F.col("title"))).otherwise(line("Page URL", F.col("page_url"))), line("Intro", F.col("intro")),
+        line("Target", of("extraction_target")), line("Value type", F.col("value_type")), line("Section", of("extraction_section")),
+        line("Tools", F.array_join(F.col("steps.tool_name"), ", "), kind == "tool"), F.when(kind == "tool", F.array_join(F.array_compact(calls), "\n")),
+        line("Merges clues", clues(F.col("clues")), F.size("clues") >= 2),
+        line("Transform", of("reason_transform"), kind == "reason"), line("Transforms clue", (F.coalesce("reason_source_stop", F.lit(0)) + 1).cast("string"), kind == "reason"),
+        line("Expression", F.col("expression"), kind == "compute"), line("Expression code", of("expression_code"), kind == "compute"),
+        line("Refers to clues", clues(F.transform(of("referenced_stops", "array<bigint>"), lambda x: x + 1)), kind == "compute"),
+        F.when(follows, "Next: follow a link").when(searches, "Next: search"), line("Link text", F.col("link_text"), follows), line("Search", F.col("search_query"), searches),
+        line("Next intro", F.col("next_intro"), follows | searches),
     )
-    return s.select(*K, lines.alias("context"))
+    return s.select(*K, F.regexp_replace(lines, "\n+", "\n").alias("context"))
 
 
 def target_lengths(stops: DataFrame) -> DataFrame:

@@ -145,22 +145,6 @@ def adopt_digit(spark, sf):
     return riddles.adopt(a, views.trails(spark, sf))
 
 
-@query("stop_contexts")
-def stop_contexts(spark, sf):
-    s = views.stops(spark, sf).withColumn("extraction_target", F.lit("the size"))
-    w = views.wiki(spark, sf).select("url", F.concat(F.lit("Part "), F.col("k").cast("string")).alias("title"), F.lit("A part.").alias("first_paragraph"))
-    l = views.links(s).select(F.col("src").alias("url"), "pos", F.lit("link").alias("text"), F.col("dst").alias("target_url"))
-    return riddles.stop_contexts(s, w, l)
-
-
-@query("target_lengths", "SELECT trail_id, CASE WHEN count(*) <= 4 THEN '100-200' WHEN count(*) <= 7 THEN '200-350' ELSE '300-500' END AS target_length FROM stops_v GROUP BY 1")
-def target_lengths(spark, sf):
-    return riddles.target_lengths(views.stops(spark, sf))
-
-
-# --- files ---------------------------------------------------------------------------------
-
-
 _FULL_STOPS = """full_q AS (SELECT CAST(s.trail_id AS VARCHAR) AS trail_id, stop_index, stored_index, stop_type, page_url,
   concat('target ', stop_index, ' "q" \\ é') AS extraction_target, CASE WHEN stop_index % 2 = 0 THEN 'infobox' END AS extraction_section, value_kind, value_str, value_num, value_type, bridge_type,
   target_url, search_query, CASE WHEN stop_index % 3 = 0 THEN page_url END AS expected_result_url, expression, CASE WHEN stop_type = 'compute' THEN concat('print(', stop_index, ')') END AS expression_code,
@@ -178,6 +162,39 @@ def _full(stops):
     })
 
 
+@query("stop_contexts", f"""WITH {_FULL_STOPS},
+step_q AS (SELECT trail_id, stop_index, string_agg(tool_name, ', ' ORDER BY step) AS tools, string_agg(CASE WHEN shown <> '' THEN concat('Arguments of ', tool_name, ': ', shown) END, chr(10) ORDER BY step) AS calls
+  FROM (SELECT *, CASE WHEN arg_date IS NOT NULL THEN concat('date=', arg_date, ', ticker=ABC') WHEN arg_code IS NOT NULL THEN concat('code=', arg_code) WHEN arg_address IS NOT NULL THEN concat('address=', arg_address) ELSE '' END AS shown FROM chain_v) GROUP BY 1, 2),
+need_q AS (SELECT trail_id, stop_index, count(*) AS n, string_agg(CAST(dep + 1 AS VARCHAR), ', ' ORDER BY dep) AS clues FROM deps_v GROUP BY 1, 2),
+page_q AS (SELECT url, concat('Part ', CAST(k AS VARCHAR)) AS title FROM wiki_v),
+all_q AS (SELECT f.*, s.trail_id AS trail, x.page_url AS next_url, x.trail_id IS NOT NULL AND f.stop_type = 'page' AS leads, p.title, y.url IS NOT NULL AS next_known, l.src IS NOT NULL AS linked, t.tools, t.calls, d.n AS n_deps, d.clues
+  FROM stops_v s JOIN full_q f ON f.trail_id = CAST(s.trail_id AS VARCHAR) AND f.stop_index = s.stop_index LEFT JOIN stops_v x ON x.trail_id = s.trail_id AND x.stop_index = s.stop_index + 1
+  LEFT JOIN page_q p ON p.url = s.page_url LEFT JOIN page_q y ON y.url = x.page_url AND s.page_url <> '' LEFT JOIN links_v l ON l.src = s.page_url AND l.dst = x.page_url
+  LEFT JOIN step_q t ON t.trail_id = s.trail_id AND t.stop_index = s.stop_index LEFT JOIN need_q d ON d.trail_id = s.trail_id AND d.stop_index = s.stop_index),
+way_q AS (SELECT *, leads AND bridge_type = 'link_follow' AND coalesce(next_url, '') <> '' AS follows, leads AND bridge_type = 'search_query' AS searches FROM all_q)
+SELECT trail AS trail_id, stop_index, regexp_replace(concat_ws(chr(10), concat('Stop ', stop_index + 1, ' (', stop_type, ')'), CASE WHEN title IS NOT NULL THEN concat('Page: ', title) WHEN page_url <> '' THEN concat('Page URL: ', page_url) END,
+  CASE WHEN title IS NOT NULL THEN 'Intro: A part.' END, concat('Target: ', extraction_target), CASE WHEN value_type <> '' THEN concat('Value type: ', value_type) END, CASE WHEN extraction_section <> '' THEN concat('Section: ', extraction_section) END,
+  CASE WHEN stop_type = 'tool' AND tools <> '' THEN concat('Tools: ', tools) END, CASE WHEN stop_type = 'tool' THEN calls END, CASE WHEN n_deps >= 2 THEN concat('Merges clues: ', clues) END,
+  CASE WHEN stop_type = 'reason' AND reason_transform <> '' THEN concat('Transform: ', reason_transform) END, CASE WHEN stop_type = 'reason' THEN concat('Transforms clue: ', coalesce(reason_source_stop, 0) + 1) END,
+  CASE WHEN stop_type = 'compute' AND expression <> '' THEN concat('Expression: ', expression) END, CASE WHEN stop_type = 'compute' AND expression_code <> '' THEN concat('Expression code: ', expression_code) END,
+  CASE WHEN stop_type = 'compute' THEN concat('Refers to clues: 1, ', stop_index + 1) END, CASE WHEN follows THEN 'Next: follow a link' WHEN searches THEN 'Next: search' END,
+  CASE WHEN follows AND linked THEN 'Link text: link' END, CASE WHEN searches AND search_query <> '' THEN concat('Search: ', search_query) END, CASE WHEN (follows OR searches) AND next_known THEN 'Next intro: A part.' END), chr(10) || '+', chr(10), 'g') AS context
+FROM way_q""")
+def stop_contexts(spark, sf):
+    s = _full(views.stops(spark, sf))
+    w = views.wiki(spark, sf).select("url", F.concat(F.lit("Part "), F.col("k").cast("string")).alias("title"), F.lit("A part.").alias("first_paragraph"))
+    l = views.links(s).select(F.col("src").alias("url"), "pos", F.lit("link").alias("text"), F.col("dst").alias("target_url"))
+    return riddles.stop_contexts(s, w, l, views.chain(s), views.deps(s))
+
+
+@query("target_lengths", "SELECT trail_id, CASE WHEN count(*) <= 4 THEN '100-200' WHEN count(*) <= 7 THEN '200-350' ELSE '300-500' END AS target_length FROM stops_v GROUP BY 1")
+def target_lengths(spark, sf):
+    return riddles.target_lengths(views.stops(spark, sf))
+
+
+# --- files ---------------------------------------------------------------------------------
+
+
 def _stored(spark, sf):
     """The corpus written as documents to the shared folder and read back."""
     s = _full(views.stops(spark, sf))
