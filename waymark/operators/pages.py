@@ -142,18 +142,17 @@ def pages_to_markdown(pages: DataFrame, header: bool = False, max_chars: int | N
     front. ``max_chars`` cuts a long text and marks the cut.
     """
     source = pages if header else sanitize_pages(pages)
-    schema = "page_id bigint, markdown string"
+    carried = ["page_id", "title", "language_editions"] if header else ["page_id"]
+    kinds = dict(pages.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in carried], "markdown string"])
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "markdown": [_to_markdown(h, images=not header) for h in b["html"]]})
+            yield b[carried].assign(markdown=[_to_markdown(h, images=not header) for h in b["html"]])
 
-    keep = source.select("page_id", "html")
-    md = keep.mapInPandas(convert, schema)
+    md = source.select(*carried, "html").mapInPandas(convert, schema)
     text = F.col("markdown")
     if header:
-        meta = pages.select("page_id", "title", "language_editions")
-        md = md.join(meta, "page_id")
         text = F.concat(
             F.lit("# "), F.col("title"), F.lit("\n\n**Language editions:** "),
             F.coalesce("language_editions", F.lit(0)).cast("string"), F.lit("\n\n"), text,

@@ -34,14 +34,41 @@ def clean_html(spark, sf):
 @query("page_markdown")
 def page_markdown(spark, sf):
     md = pages.pages_to_markdown(views.load(spark, sf, "pages"))
-    return md.select("page_id", F.length("markdown").alias("n_chars"), F.size(pages.sections(F.col("markdown"))).alias("n_sections"), pages.lead_paragraph(F.col("markdown")).alias("lead"))
+    return md.select("page_id", "markdown", F.size(pages.sections(F.col("markdown"))).alias("n_sections"), pages.lead_paragraph(F.col("markdown")).alias("lead"))
 
 
 @query("page_markdown_header")
 def page_markdown_header(spark, sf):
     p = views.load(spark, sf, "pages").withColumn("title", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).withColumn("language_editions", F.lit(0))
     md = pages.pages_to_markdown(p, header=True, max_chars=100_000)
-    return md.select("page_id", F.length("markdown").alias("n_chars"), F.substring_index("markdown", "\n", 1).alias("first_line"))
+    return md.select("page_id", "markdown")
+
+
+def _known_pages(spark, sf):
+    """Pages whose markdown is known: headings, paragraphs, links, lists, tables, images, entities, hidden parts."""
+    p = views.load(spark, sf, "part")
+    k = F.col("p_partkey").cast("string")
+    html = F.concat(
+        F.lit("<html><head><title>x</title></head><body><script>var a = 1;</script><h1>Part "), k, F.lit("</h1><p>A <b>"), F.col("p_name"), F.lit("</b> &amp; more,<br>by <a href=\"/wiki/Part_"), k,
+        F.lit("\">Part "), k, F.lit("</a>.</p><h2>List</h2><ul><li>one</li><li>two "), k, F.lit("</li></ul><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>"), F.col("p_brand"),
+        F.lit("</td></tr></table><!-- gone --><p>End <img src=\"i.png\" alt=\"pic\"></p></body></html>"),
+    )
+    return p.select(F.col("p_partkey").alias("page_id"), html.alias("html"), F.concat(F.lit("Part "), k).alias("title"), (F.col("p_partkey") % 5).alias("language_editions"))
+
+
+_KNOWN_BODY = """concat('# Part ', k, chr(10), chr(10), 'A **', p_name, '** & more,', chr(10), 'by [Part ', k, '](/wiki/Part_', k, ').', chr(10), chr(10), '## List', chr(10), chr(10), '* one', chr(10), '* two ', k,
+  chr(10), chr(10), '| a | b |', chr(10), '| --- | --- |', chr(10), '| 1 | ', p_brand, ' |', chr(10), chr(10), 'End{0}')"""
+
+
+@query("markdown_known", f"WITH p AS (SELECT *, CAST(p_partkey AS VARCHAR) AS k FROM part) SELECT p_partkey AS page_id, {_KNOWN_BODY.format(' ![pic](i.png)')} AS markdown FROM p")
+def markdown_known(spark, sf):
+    return pages.pages_to_markdown(_known_pages(spark, sf))
+
+
+@query("markdown_header_known", f"""WITH p AS (SELECT *, CAST(p_partkey AS VARCHAR) AS k FROM part)
+SELECT p_partkey AS page_id, concat('# Part ', k, chr(10), chr(10), '**Language editions:** ', p_partkey % 5, chr(10), chr(10), {_KNOWN_BODY.format('')}) AS markdown FROM p""")
+def markdown_header_known(spark, sf):
+    return pages.pages_to_markdown(_known_pages(spark, sf), header=True)
 
 
 @query("normal_urls", """SELECT page_id, CASE WHEN contains(url, '#') THEN split_part(url, '#', 1) ELSE url END AS canonical,
