@@ -233,6 +233,8 @@ PAGES = [
     ("<div class='sidebar'>s</div><div><p>A long text, with marks, and more.</p><p>Next <b>bold</b> words, here.</p></div><div id=comments><p>Nice, very nice!</p></div>", "A long text, with marks, and more.\nNext bold words, here."),
     ("<article><p>Text</p><section class='comments'><p>Reply</p></section><form>Name <input></form><div class='ad-box'>Buy</div></article>", "Text"),
     ("<body class='has-sidebar'><main><p>unclosed<p>again<ul><li>a<li>b</ul></main>", "unclosed\nagain\na\nb"),
+    ("<div><h1>Title</h1><p>" + "Some words, and more of them. " * 9 + "</p><h2>Part</h2><p>Short, though.</p></div><ol class=commentlist><li>Great, great!</ol><h3>More</h3><ul><li><a href=x>Link one</a><li><a href=y>Link two</a></ul>",
+     "Title\n" + ("Some words, and more of them. " * 9).strip() + "\nPart\nShort, though."),
     ("plain &lt;text&gt; &#233;", "plain <text> é"), ("<!-- x --><style>p{}</style>", ""), ("", ""), (None, ""), ("<p>a<b", "a"), ("<title>t</title><textarea><p>x</textarea>", ""),
 ]
 

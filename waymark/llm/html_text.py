@@ -36,7 +36,10 @@ MARKS = frozenset(
     " footer header masthead topbar toolbar notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login share sharing social comment comments comment-list reply replies"
     " discussion disqus respond form search searchbox toc skip complementary contentinfo search disclaimer copyright legal".split()
 )
+#: Starts of such words.
+STEMS = ("comment", "advert", "sidebar", "cookie", "newsletter", "sponsor", "breadcrumb", "pagination", "subscri")
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Elements that an opening tag closes when it meets them open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "title", "legend"}
@@ -72,7 +75,7 @@ def marked(attrs: str) -> bool:
         if name in ("class", "id", "role"):
             for word in _CAMEL.sub(r"\1-\2", value).lower().split():
                 parts = re.split(r"[-_]+", word)
-                if word in MARKS or parts[0] not in ("has", "no", "with", "without") and not MARKS.isdisjoint(parts):
+                if word in MARKS or parts[0] not in ("has", "no", "with", "without") and (not MARKS.isdisjoint(parts) or any(x.startswith(STEMS) for x in parts)):
                     return True
     return False
 
@@ -178,7 +181,14 @@ def content(blocks: list[Block]) -> list[str]:
     least = SHARE * fused.mean()
     marked_article = any(b.article for b, _ in found)
     kept = {key for key, value in zip(keys, fused, strict=True) if (key[1] if marked_article else value >= least and paths[key][0] > 0)}
-    return [t for b, t in found if (b.path, b.article) in kept]
+    out: list[str] = []
+    follows = False
+    for b, t in reversed(found):  # a heading goes with what stands below it
+        heads = bool(b.path) and b.path[-1] in HEADINGS and b.linked < len(t) and not marked_article
+        follows = (b.path, b.article) in kept or heads and follows
+        if follows:
+            out.append(t)
+    return out[::-1]
 
 
 def main_text(html: str | None) -> str:
