@@ -183,7 +183,27 @@ def bfs_levels(spark, sf):
     return graph.crawl(_links(spark, sf), known, _seeds(spark, sf), max_depth=3).select("graph_id", "url", "depth")
 
 
-@query("crawl_budget")
+def _budget_sql(depths: int, pages_paid: int) -> str:
+    """The crawl level by level: frontier f, budget b, paid paths s, level l, visited v."""
+    head = _CRAWL[: _CRAWL.index("\ne_q AS")].replace("WITH RECURSIVE", "WITH")
+    parts = [
+        "e2_q AS (SELECT k, CAST(pos AS INTEGER) AS pos, TRY_CAST(t AS BIGINT) AS t FROM edge_q WHERE TRY_CAST(t AS BIGINT) IN (SELECT k FROM wiki_v))",
+        "f0 AS (SELECT k AS graph_id, k, [0] AS path FROM wiki_v)", "v0 AS (SELECT graph_id, k FROM f0)", f"b0 AS (SELECT k AS graph_id, {pages_paid} AS rest FROM wiki_v)",
+    ]
+    for d in range(depths + 1):
+        parts += [
+            f"s{d} AS (SELECT graph_id, list_sort(list(path)) AS paths FROM f{d} WHERE k % 2 <> 0 GROUP BY 1)",
+            f"""l{d} AS (SELECT f.graph_id, f.k, {d} AS depth, f.path, f.k % 2 <> 0 AS fetched FROM f{d} f JOIN b{d} b ON b.graph_id = f.graph_id LEFT JOIN s{d} s ON s.graph_id = f.graph_id
+              WHERE rest > 0 AND (paths IS NULL OR len(paths) < rest OR f.path <= paths[rest]))""",
+            f"b{d + 1} AS (SELECT b.graph_id, rest - least(coalesce(len(paths), 0), rest) AS rest FROM b{d} b LEFT JOIN s{d} s ON s.graph_id = b.graph_id)",
+            f"g{d} AS (SELECT l.graph_id, e.t AS k, min(list_append(l.path, e.pos)) AS path FROM l{d} l JOIN e2_q e ON e.k = l.k GROUP BY 1, 2)",
+            f"f{d + 1} AS (SELECT g.* FROM g{d} g ANTI JOIN v{d} v ON v.graph_id = g.graph_id AND v.k = g.k)", f"v{d + 1} AS (SELECT * FROM v{d} UNION ALL SELECT graph_id, k FROM f{d + 1})",
+        ]
+    rows = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depths + 1))
+    return f"{head}{', '.join(parts)} SELECT a.graph_id, w.url, a.depth, a.fetched FROM ({rows}) a JOIN wiki_v w ON w.k = a.k"
+
+
+@query("crawl_budget", _budget_sql(3, 5))
 def crawl_budget(spark, sf):
     """Crawl that may read five uncached pages per graph."""
     known = views.wiki(spark, sf).select("url", (F.col("k") % 2 == 0).alias("cached"))
