@@ -202,9 +202,12 @@ def corpus_mix(stops: DataFrame, chain: DataFrame, deps: DataFrame) -> DataFrame
 
 
 def distributions(stops: DataFrame, chain: DataFrame) -> DataFrame:
-    """Rows per stop type, bridge type, value type and tool."""
+    """Rows per stop type, bridge type, value type and tool, and of reason stops per transform."""
     fields = ["stop_type", "bridge_type", "value_type"]
-    tagged = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("item")) for f in fields]))
+    found = [F.struct(F.lit(f).alias("field"), F.col(f).alias("item")) for f in fields]
+    if "reason_transform" in stops.columns:
+        found.append(F.when(F.col("stop_type") == "reason", F.struct(F.lit("reason_transform").alias("field"), F.col("reason_transform").alias("item"))))
+    tagged = F.inline(F.array_compact(F.array(*found)))
     rows = stops.select(tagged).unionByName(chain.select(F.lit("tool").alias("field"), F.col("tool_name").alias("item")))
     return rows.groupBy("field", "item").agg(F.count(F.lit(1)).alias("times"))
 

@@ -122,9 +122,11 @@ def corpus_mix(spark, sf):
 
 
 @query("distributions", """SELECT 'stop_type' AS field, stop_type AS item, count(*) AS times FROM stops_v GROUP BY ALL UNION ALL SELECT 'bridge_type', bridge_type, count(*) FROM stops_v GROUP BY ALL
-UNION ALL SELECT 'value_type', value_type, count(*) FROM stops_v GROUP BY ALL UNION ALL SELECT 'tool', tool_name, count(*) FROM chain_v GROUP BY ALL""")
+UNION ALL SELECT 'value_type', value_type, count(*) FROM stops_v GROUP BY ALL UNION ALL SELECT 'tool', tool_name, count(*) FROM chain_v GROUP BY ALL
+UNION ALL SELECT 'reason_transform', CASE trail_id % 3 WHEN 0 THEN 'digit_sum' WHEN 1 THEN 'next_prime' END, count(*) FROM stops_v WHERE stop_type = 'reason' GROUP BY ALL""")
 def distributions(spark, sf):
-    s = views.stops(spark, sf)
+    t = F.col("trail_id") % 3
+    s = views.stops(spark, sf).withColumn("reason_transform", F.when(t == 0, "digit_sum").when(t == 1, "next_prime"))
     return reports.distributions(s, views.chain(s))
 
 
