@@ -119,6 +119,28 @@ def test_near_dedup_of_a_hot_bucket(spark, monkeypatch):
     assert got == set(brute_components(rows, 3, 85))
 
 
+def test_near_dedup_of_a_long_chain(spark):
+    """Each text is near to its neighbours only; all are one component."""
+    rows = [(i, " ".join(f"w{j}" for j in range(8 * i, 8 * i + 104))) for i in range(500)]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()
+    assert len(got) == 500 and {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
+
+
+def test_components_of_paths(spark):
+    """Two shuffled paths, one with shortcuts, a pair and a hub whose key is the largest."""
+    rnd = random.Random(5)
+    keys = rnd.sample(range(1, 10**9), 2000)
+    edges = [(keys[i], keys[i + 1]) for i in range(1199)] + [(keys[i], keys[i + k]) for i in range(1200, 1797) for k in (1, 2, 3) if i + k < 1800]
+    edges += [(keys[1800], keys[1801]), *((10**9, k) for k in keys[1802:]), (keys[5], keys[5])]
+    frame = spark.createDataFrame([(a.to_bytes(4, "big"), b.to_bytes(4, "big")) for a, b in edges], "a binary, b binary")
+    groups = collections.defaultdict(set)
+    for r in near_dedup.components(frame).collect():
+        groups[bytes(r.root)].add(int.from_bytes(r.cls, "big"))
+    assert {frozenset(g) for g in groups.values()} == {frozenset(keys[:1200]), frozenset(keys[1200:1800]), frozenset(keys[1800:1802]), frozenset([10**9, *keys[1802:]])}
+    assert sum(map(len, groups.values())) == 2001
+    assert near_dedup.components(frame.limit(0)).count() == 0
+
+
 def test_drop_near_copies(spark):
     rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "other"), (4, ""), (5, None)]
     left = near_dedup.drop_near_copies(docs(spark, rows))

@@ -219,19 +219,33 @@ def links(found: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     return rows.mapInPandas(lambda it: by_group(it, GROUP, verify), "a binary, b binary").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(cls, root) for every class with a link: the smallest class reachable. Labels fall to the least neighbour's, then jump to their label's label."""
-    both = staged(edges.union(edges.select("b", "a")).toDF("cls", "to"), "edges")
-    labels = staged(both.groupBy("cls").agg(F.least("cls", F.min("to")).alias("root")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.toDF("to", "root"), "to").groupBy("cls").agg(F.min("root").alias("near"))
-        lower = labels.join(near, "cls").select("cls", "root", F.least("root", "near").alias("low"))
-        jump = lower.join(labels.toDF("low", "next"), "low").select("cls", "root", F.least("low", "next").alias("now"))
-        step = staged(jump, "labels")
-        labels = step.select("cls", F.col("now").alias("root"))
-        if not step.where(F.col("root") != F.col("now")).limit(1).count():
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def components(edges: DataFrame) -> DataFrame:
+    """(cls, root) for every class with a link: all that reach each other have one root, a class of theirs.
+
+    Each class points to its least neighbour. No ring of more than two can form so, and of two the lesser one points to itself. Pointers are
+    followed to their ends, the links between different ends stay, and ends with links go through the same again: half of them at most
+    are left each time, so both loops grow with the logarithm, whatever the links look like. They run until nothing is left to do.
+    """
+    left = staged(edges.union(edges.select("b", "a")).toDF("cls", "to").where("cls != to").distinct(), "edges")
+    rounds = []
+    while True:
+        ends = staged(left.groupBy("cls").agg(F.min("to").alias("root")), "labels")
+        moved = True
+        while moved:
+            over = F.when(F.col("next") == F.col("cls"), F.least("cls", "root")).otherwise(F.col("next"))
+            jump = staged(ends.join(ends.toDF("root", "next"), "root").select("cls", "root", over.alias("now")), "labels")
+            ends, moved = jump.select("cls", F.col("now").alias("root")), bool(jump.where("root != now").limit(1).count())
+        rounds.append(ends)
+        near = left.join(ends, "cls").select(F.col("root").alias("near"), "to")
+        left = near.join(ends.toDF("to", "far"), "to").where("near != far").select(F.col("near").alias("cls"), F.col("far").alias("to")).distinct()
+        left = staged(left, "edges")
+        if not left.limit(1).count():
+            break
+    roots = rounds.pop()
+    while rounds:
+        roots = rounds.pop().join(roots.toDF("root", "top"), "root", "left").select("cls", F.coalesce("top", "root").alias("root"))
+        roots = staged(roots, "labels")
+    return roots
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
