@@ -248,6 +248,17 @@ def test_plan_places_every_piece_once():
         assert len(fill) == len(rooms)
 
 
+def test_encoder_of_long_blanks():
+    """The look-ahead of the pattern runs out of stack on a million blanks; ids stay those of the tokenizers file."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    end = packing.END_OF_TEXT
+    for text in (" " * 2_000_000 + "word", "a" + "\n" * 1_200_000 + " b", " " * 1_100_000 + end + "w", "x" + "\u3000\t" * 600_000 + "." + end + " " * 150_000, " " * 150_000 + "\x1c" + " " * 150_000 + "é"):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 # --- html ----------------------------------------------------------------------------------
 
 PAGES = [

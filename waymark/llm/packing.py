@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,20 @@ END_OF_TEXT = "<|endoftext|>"
 #: What splits a text before merges: the vocabulary's own pattern, without backing up inside words.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
+#: White space as the pattern has it, in runs so long that its look-ahead might run out of stack (seen from a million on).
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}+")
+
+
+def parts(text: str) -> Iterator[str]:
+    """``text`` cut where the pattern splits anyway: before the last blank of each long run that something follows."""
+    at = 0
+    if len(text) >= 100_000:
+        for run in LONG_BLANK.finditer(text):
+            if run.end() < len(text):
+                yield text[at : run.end() - 1]
+                at = run.end() - 1
+    yield text[at:]
+
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, from the rank file of a byte-level vocabulary.
@@ -46,10 +61,12 @@ class Encoder:
         self.encoding = tiktoken.Encoding("byte_level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=self.special)
 
     def encode(self, text: str) -> bytes:
-        if END_OF_TEXT in text:
-            ids = self.encoding.encode(text, allowed_special="all")
-        else:
-            ids = self.encoding.encode_ordinary(text)
+        ids: list[int] = []
+        for k, piece in enumerate(text.split(END_OF_TEXT)):
+            if k:
+                ids.append(self.special[END_OF_TEXT])
+            for part in parts(piece):
+                ids += self.encoding.encode_ordinary(part)
         return np.array(ids, "<u4").tobytes()
 
 
