@@ -281,6 +281,21 @@ def test_html(spark):
     assert html_text.extract(rows.limit(0)).count() == 0
 
 
+PROSE = "Some words, and more of them, stand here. " * 6
+
+
+def test_html_ratios_decide_on_article_pages():
+    links = "<ul>" + "<li><a href=x>Another story to read</a></li>" * 5 + "</ul>"
+    page = f"<body><div>Top of page</div><article><h1>Title</h1><p>{PROSE}</p>{links}<p>{PROSE}</p><ol><li>Salt</li><li>Flour</li></ol></article><div>All rights</div></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", PROSE.strip(), PROSE.strip(), "Salt", "Flour"])
+
+
+@pytest.mark.parametrize("card", ["<article><p>Read this next</p></article>", "<article><a href=x>Read this next</a></article>"])
+def test_html_teaser_article_takes_no_text_away(card):
+    page = f"<body><div id=page><h1>Title</h1><div>{PROSE}</div><div>{PROSE}</div></div>{card}</body>"
+    assert html_text.main_text(page) == "\n".join(["Title", PROSE.strip(), PROSE.strip()])
+
+
 # --- url filter ----------------------------------------------------------------------------
 
 

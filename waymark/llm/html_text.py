@@ -4,7 +4,8 @@ A page is a sequence of text nodes, each below a root-to-leaf path of tags. Per
 is set against the number of nodes (links count against it); paths are smoothed over the paths before and after them by how alike
 they are, both ratios are fused, and nodes on paths above a share of the page's own mean are content. What the markup itself says is part of
 the path: text inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments never
-counts, and where a page marks its article, paths outside of it don't and those inside of it do.
+counts. Where a page marks an article, the share of the page's text inside of it is a weight on the fused ratio: the more of the text it holds, the
+more counts a path inside and the less one outside. The threshold selects the paths on every page.
 
 A page is one row and is worked on in its task; nothing is shuffled.
 """
@@ -53,6 +54,8 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 _PUNCT = re.compile(r"[.,;:!?。，；：！？、…]")
 #: A path's ratio against the page's mean from which it is content, and the reach of the smoothing.
 SHARE, REACH = 0.5, 2
+#: What an article that holds all text adds to the weight of its paths.
+FAVOUR = 3.0
 
 
 @dataclass
@@ -179,12 +182,13 @@ def content(blocks: list[Block]) -> list[str]:
         smooth[k] = weight @ raw[list(near)] / weight.sum()
     fused = np.sqrt(smooth[:, 0] * (1 + smooth[:, 1]))
     least = SHARE * fused.mean()
-    marked_article = any(b.article for b, _ in found)
-    kept = {key for key, value in zip(keys, fused, strict=True) if (key[1] if marked_article else value >= least and paths[key][0] > 0)}
+    inside = sum(paths[key][0] for key in keys if key[1]) / max(1, sum(c for c, _, _ in paths.values()))
+    weight = [1 + FAVOUR * inside if key[1] else 1 - inside for key in keys]
+    kept = {key for key, value, w in zip(keys, fused, weight, strict=True) if w * value >= least and paths[key][0] > 0}
     out: list[str] = []
     follows = False
     for b, t in reversed(found):  # a heading goes with what stands below it
-        heads = bool(b.path) and b.path[-1] in HEADINGS and b.linked < len(t) and not marked_article
+        heads = bool(b.path) and b.path[-1] in HEADINGS and b.linked < len(t)
         follows = (b.path, b.article) in kept or heads and follows
         if follows:
             out.append(t)
