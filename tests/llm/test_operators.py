@@ -296,6 +296,23 @@ def test_html_teaser_article_takes_no_text_away(card):
     assert html_text.main_text(page) == "\n".join(["Title", PROSE.strip(), PROSE.strip()])
 
 
+@pytest.mark.parametrize("outer", ["article", "div"])
+@pytest.mark.parametrize(
+    "tag, attrs, stays",
+    [("section", "id='related-work'", True), ("div", "id='social-history'", True), ("div", "id=commentary", True), ("section", "id='legal-form'", True), ("div", "class=commentary", True),
+     ("div", "id=comments", False), ("div", "class='post-comments'", False), ("div", "role=search", False), ("section", "class=comments", False)],
+)
+def test_html_marks(outer, tag, attrs, stays):
+    page = f"<body><{outer}><p>{PROSE}</p><{tag} {attrs}><p>Other {PROSE}</p></{tag}></{outer}></body>"
+    assert html_text.main_text(page) == "\n".join([PROSE.strip(), "Other " + PROSE.strip()][: 1 + stays])
+
+
+@pytest.mark.parametrize("attrs", ["id='search-and-seizure'", "id='legal-form'", "id=commentary", "id=copyright", "class='related-work'"])
+def test_html_marks_of_headings(attrs):
+    for outer in ("article", "div"):
+        assert html_text.main_text(f"<body><{outer}><h2 {attrs}>Title</h2><p>{PROSE}</p></{outer}></body>") == "Title\n" + PROSE.strip()
+
+
 # --- url filter ----------------------------------------------------------------------------
 
 

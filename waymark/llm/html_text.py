@@ -41,6 +41,8 @@ MARKS = frozenset(
 STEMS = ("comment", "advert", "sidebar", "cookie", "newsletter", "sponsor", "breadcrumb", "pagination", "subscri")
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: What holds an article's own text besides headings.
+OWN = frozenset(("section", "p", "article", "main"))
 #: Elements that an opening tag closes when it meets them open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "title", "legend"}
@@ -69,16 +71,23 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def marked(attrs: str) -> bool:
-    """Do class, id, role or style of a tag say that it holds no content?"""
+def marked(tag: str, attrs: str, article: bool = False) -> bool:
+    """Do class, id, role or style of a tag say that it holds no content?
+
+    Ids are often made from the words of a heading, so they count as a whole only, and not on headings or on sections of an article. Parts
+    of class names count, but not on headings or on what else holds an article's own text.
+    """
+    own = tag in HEADINGS or article and tag in OWN
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), unescape("".join(values))
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _UNSEEN.search(value):
             return True
-        if name in ("class", "id", "role"):
+        if name in ("class", "id", "role") and not (name == "id" and own):
             for word in _CAMEL.sub(r"\1-\2", value).lower().split():
                 parts = re.split(r"[-_]+", word)
-                if word in MARKS or parts[0] not in ("has", "no", "with", "without") and (not MARKS.isdisjoint(parts) or any(x.startswith(STEMS) for x in parts)):
+                if word in MARKS:
+                    return True
+                if name == "class" and not own and parts[0] not in ("has", "no", "with", "without") and (not MARKS.isdisjoint(parts) or any(x.startswith(STEMS) and not x.startswith("commentar") for x in parts)):
                     return True
     return False
 
@@ -119,7 +128,7 @@ class Page:
         if tag in VOID:
             return
         outside, article = self.open[-1][1:] if self.open else (False, False)
-        if tag in OUTSIDE or attrs and tag not in ("body", "html") and marked(attrs):
+        if tag in OUTSIDE or attrs and tag not in ("body", "html") and marked(tag, attrs, article):
             outside = True
         elif not outside and (tag in ARTICLE or attrs and _ARTICLE.search(attrs)):
             article = True
