@@ -15,6 +15,7 @@ from waymark.llm.near_dedup import near_dedup
 from waymark.llm.packing import pack
 from waymark.llm.pieces import decode, encode, read_model
 from waymark.llm.quality import fit, held_out, score
+from waymark.llm.spelling import variants
 from waymark.llm.topk import search, sign_codes
 from waymark.llm.url_filter import judge
 from waymark.llm.warc import page_records, read_warc, write_warc
@@ -137,3 +138,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = located(docs.select("text"))
     both = coded.join(texts, "locator")
     return both.select("doc_id", "ids", F.size("ids").alias("n_ids"), (decode(F.col("ids"), model) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(table(spark, sf_dir, "documents"))
