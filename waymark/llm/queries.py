@@ -11,6 +11,7 @@ from waymark.llm.common import UPPER, located, table
 from waymark.llm.chat import digests, examples
 from waymark.llm.exact_dedup import exact_dedup
 from waymark.llm.html_text import extract
+from waymark.llm.lexical import search as ranked
 from waymark.llm.near_dedup import near_dedup
 from waymark.llm.packing import pack
 from waymark.llm.pieces import decode, encode, read_model
@@ -143,3 +144,24 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SQL["op12_ranked_lexical_search"] = rf"""
+WITH b AS (SELECT row_number() OVER () AS number, item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '{TERM}')) AS term FROM benchmark),
+q AS (SELECT number, item_id, term, count(*) AS times FROM b GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '{TERM}') AS terms FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+t AS (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+f AS (SELECT row, doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM f, s GROUP BY term, docs),
+v AS (SELECT row, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))) AS value FROM f JOIN w USING (term), s),
+c AS (SELECT number, item_id, row, doc_id, sum(times * value)::BIGINT AS score FROM q JOIN v USING (term) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id)::INT AS rank FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
