@@ -11,6 +11,7 @@ from waymark.llm.common import UPPER, located, table
 from waymark.llm.chat import digests, examples
 from waymark.llm.exact_dedup import exact_dedup
 from waymark.llm.html_text import extract
+from waymark.llm.language import predict
 from waymark.llm.lexical import search as ranked
 from waymark.llm.near_dedup import near_dedup
 from waymark.llm.packing import pack
@@ -165,3 +166,8 @@ c AS (SELECT number, item_id, row, doc_id, sum(times * value)::BIGINT AS score F
 r AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id)::INT AS rank FROM c WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict(table(spark, sf_dir, "documents"))
