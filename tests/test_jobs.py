@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from waymark.functions import numbers as nums
 from waymark.functions import values as vals
 from waymark.functions.skew import dense_index, first_upto, numbered, running_sum
 from waymark.operators import augment, build, dag_checks, facts, graph, pages, replies, reports, riddles, scoring
+from waymark.session import scratch_path
 from waymark.sources import readers, writers
+from waymark.streaming import tool_log
 
 
 def one(spark, column):
@@ -403,3 +406,62 @@ def test_repeated_replies_do_not_repeat_stops(spark):
     reply = ("maps_elevation", {"address": "x"}, '{"elevation": 12}', None)
     df = spark.createDataFrame([reply, reply, ("maps_elevation", {"address": "x"}, '{"elevation": 13}', None)], "tool_name string, args map<string,string>, output string, error string")
     assert replies.replay_chains(chain, df).count() == 1
+
+
+def test_right_calls_of_a_hot_trial(spark):
+    n = 10_000
+    chain = spark.range(n).selectExpr("1L trail_id", "id stop_index", "0 step", "'T' tool_name", "map('q', if(id % 2 = 0, 'a', 'ab')) args")
+    log = spark.range(n + 7).selectExpr("1L trial_id", "id seq", "'T' tool", "map('q', if(id % 3 = 0, 'ab', 'abc')) args")
+    assert [tuple(r) for r in scoring.right_tool_calls(chain, log).collect()] == [(1, n, n)]
+
+
+# --- streams -------------------------------------------------------------------------------
+
+
+LOG_LINE = "trial_id bigint, seq bigint, tool string, success boolean, ts double, url string"
+
+
+def lines(spark, path, rows):
+    spark.createDataFrame(rows, LOG_LINE).write.mode("append").json(path)
+    return tool_log.read_log_stream(spark, path)
+
+
+def test_running_visits_equal_the_batch_rate_after_every_round(spark):
+    pages = [(1, i, "page", f"https://x/{i}") for i in range(200)] + [(1, 200, "page", "https://x/7"), (2, 0, "page", "https://x/0"), (3, 0, "page", ""), (4, 0, "tool", "https://x/0")]
+    stops = spark.createDataFrame(pages, "trail_id bigint, stop_index bigint, stop_type string, page_url string")
+    bits = tool_log.golden_bits(stops)
+    assert bits.count() == 201
+    assert bits.groupBy("trial_id", "word", "bit").count().where("count > 1").isEmpty()
+    path, target, state = (scratch_path(spark, x) for x in ("log", "visits", "state"))
+    rows = []
+    for r, ts in enumerate((1e9, 1e3, 2e9)):  # the second round is far too late, the third repeats the first
+        new = [(1, 1000 * r + i, "fetch_webpage", True, ts + i, f"https://x/{i * (r % 2 + 1)}/") for i in range(0, 150, 2)]
+        new += [(2, 1000 * r, "t", True, ts, "https://x/0" if r else None), (9, 1, "t", True, ts, "https://x/0")]
+        rows += new
+        tool_log.keep_visits(lines(spark, path, new), bits, target, state)
+        words = spark.read.schema("trial_id bigint, word int, visited bigint, batch bigint").parquet(target)
+        want = scoring.page_visit_rate(stops, spark.createDataFrame(rows, LOG_LINE))
+        assert sorted(map(tuple, tool_log.visit_rates(words, bits).collect())) == sorted(map(tuple, want.collect()))
+        assert sorted(map(tuple, tool_log.visit_rates(tool_log.visit_words(spark.createDataFrame(rows, LOG_LINE), bits), bits).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_late_rows_are_kept_and_a_repeated_batch_splits_the_same_way(spark):
+    path, target, state = (scratch_path(spark, x) for x in ("log", "late", "state"))
+    heard = tool_log.Arrivals("arrivals")
+    spark.streams.addListener(heard)
+    try:
+        for ts in (10_000.0, 9_000.0, 20_000.0, 9_500.0):
+            stream = lines(spark, path, [(1, i, "t", True, ts + i * 300, None) for i in range(3)] + [(1, 9, "t", True, None, None)])
+            tool_log.split_late(stream, target, state)
+        kept = tool_log.read_split(spark, target, stream.schema)
+        late = sorted((r.batch, r.seq) for r in kept.where("late").collect())
+        # the mark after the first batch is 10,000: what is 600 s behind the latest row
+        assert late == [(b, i) for b in (1, 3) for i in range(3)]
+        assert kept.count() == 16
+        for _ in range(100):  # reports come on another thread
+            if len(heard.batches) == 4:
+                break
+            time.sleep(0.1)
+        assert {b: n for b, (n, _latest) in heard.batches.items()} == dict.fromkeys(range(4), 4)
+    finally:
+        spark.streams.removeListener(heard)

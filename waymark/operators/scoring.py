@@ -211,13 +211,15 @@ def right_tool_calls(chain: DataFrame, log: DataFrame) -> DataFrame:
     # contested classes: calls that fit the same golden classes are interchangeable, so each such group keeps as many calls,
     # in log order, as there are contested steps; what is left is walked in one row per (trial, tool)
     g_rows = g.join(contested, [*key, "g_key"], "left_semi").select(*key, "g_key", F.struct("stop_index", "step").alias("at"))
-    g_ids = g_rows.groupBy(*key, "g_key").agg(F.min("at").alias("cls"))
-    sets = fits.join(g_ids, [*key, "g_key"]).groupBy(*key, "c_key").agg(F.array_sort(F.collect_list("cls")).alias("fit"))
-    steps = g_rows.join(g_ids, [*key, "g_key"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "cls"))).alias("steps"))
-    c_rows = l.select(*key, "c_key", "seq").join(sets, [*key, "c_key"]).join(steps.select(*key, F.size("steps").alias("bound")), key)
+    classes = g_rows.groupBy(*key, "g_key").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    sets = fits.join(classes.select(*key, "g_key", F.get("at", F.lit(0)).alias("first")), [*key, "g_key"])
+    sets = sets.groupBy(*key, "c_key").agg(F.array_sort(F.collect_list("first")).alias("fit"))
+    steps = classes.groupBy(*key).agg(F.array_sort(F.collect_list("at")).alias("classes"))  # by their first step
+    bound = F.aggregate("classes", F.lit(0), lambda n, c: n + F.size(c))
+    c_rows = l.select(*key, "c_key", "seq").join(sets, [*key, "c_key"]).join(steps.select(*key, bound.alias("bound")), key)
     c_rows = first_upto(c_rows.drop("c_key"), [*key, "fit"], [F.col("seq")], F.col("bound")).drop("bound")
     calls = c_rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "fit"))).alias("calls"))
-    walked = calls.join(steps, key).select(*key, _greedy(F.col("calls"), F.col("steps")).alias("right"))
+    walked = calls.join(steps, key).select(*key, _greedy(F.col("calls"), F.col("classes")).alias("right"))
     found = alone.unionByName(walked).groupBy("trial_id").agg(F.sum("right").alias("right"))
     golden = g.groupBy("trial_id").agg(F.count(F.lit(1)).alias("golden_chain_length"))
     return golden.join(found, "trial_id", "left").select(
@@ -225,15 +227,27 @@ def right_tool_calls(chain: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def _greedy(calls: Column, steps: Column) -> Column:
-    """Number of steps that are taken when each call, in order, takes the first free step of a class it fits."""
-    none = F.filter(F.transform(steps, lambda s: s["at"]), lambda _s: F.lit(False))
+def _greedy(calls: Column, classes: Column) -> Column:
+    """Number of steps that are taken when each call, in order, takes the first free step of a class it fits.
 
-    def take(used: Column, call: Column) -> Column:
-        free = F.filter(steps, lambda s: F.array_contains(call["fit"], s["cls"]) & ~F.array_contains(used, s["at"]))
-        return F.when((F.size(used) < F.size(steps)) & (F.size(free) > 0), F.array_append(used, F.try_element_at(free, F.lit(1))["at"])).otherwise(used)
+    ``classes`` are the steps of each class in order, by their first steps; a call names those it fits by these. The steps of a class are
+    taken in order, so one counter per class says what is free: a call compares the next steps of its classes and moves one counter.
+    """
+    numbers = F.transform(classes, lambda c: F.get(c, F.lit(0)))
+    fits = F.transform(calls, lambda call: F.transform(call["fit"], lambda f: (F.array_position(numbers, f) - 1).cast("int")))
+    start = F.struct(F.transform(classes, lambda _c: F.lit(0)).alias("next"), F.lit(0).cast("bigint").alias("taken"))
+
+    def take(state: Column, fit: Column) -> Column:
+        free = F.filter(fit, lambda c: F.get(state["next"], c) < F.size(F.get(classes, c)))
+        first = F.array_min(F.transform(free, lambda c: F.struct(F.get(F.get(classes, c), F.get(state["next"], c)).alias("at"), c.alias("cls"))))
+
+        def moved(pick: Column) -> Column:
+            ahead = F.transform(state["next"], lambda n, c: F.when(c == pick["cls"], n + 1).otherwise(n))
+            return F.when(pick.isNull(), state).otherwise(F.struct(ahead.alias("next"), (state["taken"] + 1).alias("taken")))
+
+        return let(first, moved)
 
-    return F.size(F.aggregate(calls, none, take)).cast("bigint")
+    return let(F.struct(fits.alias("fits")), lambda x: F.aggregate(x["fits"], start, take)["taken"])
 
 
 # --- intermediate values -------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from waymark.operators import checks, dag_checks, reports, scoring
@@ -11,7 +9,6 @@ from waymark.plans import views
 from waymark.plans.registry import query
 from waymark.session import scratch_path
 from waymark.sources import readers, writers
-from waymark.streaming import tool_log
 
 
 def _file(path, **fields):
@@ -139,26 +136,6 @@ def evaluation_output(spark, sf):
     return back.join(F.broadcast(total), how="inner")  # the summary is one row
 
 
-# --- late rows -----------------------------------------------------------------------------
-
-
-@query("late_log_rows", "SELECT count(*) AS late FROM nation")
-def late_log_rows(spark, sf):
-    """A row per nation arrives after the watermark has passed its window."""
-    path, target, state = (scratch_path(spark, n) for n in ("late-log", "late-out", "late-state"))
-    n = views.load(spark, sf, "nation")
-
-    def arrive(rows, second):
-        line = F.struct(F.col("n_nationkey").cast("bigint").alias("trial_id"), F.lit(1).alias("seq"), F.lit("t").alias("tool"), F.lit(True).alias("success"), F.lit(float(second)).alias("ts"))
-        rows.select(F.to_json(line).alias("value")).write.mode("append").text(path)
-        return tool_log.run_once(tool_log.call_windows(tool_log.read_log_stream(spark, path)), target, state)
-
-    arrive(n, 1_000_000)
-    arrive(n, 2_000_000)
-    late = tool_log.late_rows([json.loads(p.json) for p in arrive(n, 1_000_000).recentProgress])
-    return spark.createDataFrame([(late,)], "late bigint")
-
-
 # --- odd rows for checks -------------------------------------------------------------------
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators import riddles
 from waymark.plans import views
 from waymark.plans.registry import query
 from waymark.plans.reply_queries import keyed_chain
-from waymark.session import scratch_path
+from waymark.session import cut_lineage, scratch_path
 from waymark.sources import readers, writers
 from waymark.streaming import tool_log
 
@@ -229,13 +232,18 @@ def stored_deps(spark, sf):
     return readers.deps(_stored(spark, sf))
 
 
-def _log_files(spark, sf):
-    """The tool log as JSON lines in the shared folder, with blank and broken lines among them."""
+def _log_lines(spark, sf):
+    """The tool log as JSON lines (seq, value)."""
     log = views.tool_log(spark, sf).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("args", F.create_map(F.lit("address"), F.col("address")))
-    text = F.to_json(F.struct("trial_id", "seq", "tool", "args", "success", "result_preview", "ts", "url"))
+    return log.select("seq", F.to_json(F.struct("trial_id", "seq", "tool", "args", "success", "result_preview", "ts", "url")).alias("value"))
+
+
+def _log_files(spark, sf):
+    """The lines of the log in the shared folder, with blank and broken lines among them."""
+    text = F.col("value")
     lines = F.when(F.col("seq") % 50 == 7, F.array(text, F.lit(""), F.lit('{"trial_id": 1, "seq"'))).otherwise(F.array(text))
     path = scratch_path(spark, "log")
-    log.select(F.explode(lines).alias("value")).write.text(path)
+    _log_lines(spark, sf).select(F.explode(lines).alias("value")).write.text(path)
     return path
 
 
@@ -330,6 +338,45 @@ _NORM = "regexp_extract(replace(rtrim({0}, '/'), '://en.m.wikipedia', '://en.wik
 @query("visits_stream", f"""SELECT DISTINCT l.trial_id, {_NORM.format('l.url')} AS page FROM tool_log_v l WHERE url IS NOT NULL AND EXISTS (SELECT 1 FROM stops_v s WHERE s.trail_id = l.trial_id AND s.stop_type = 'page' AND s.page_url = {_NORM.format('l.url')})""")
 def visits_stream(spark, sf):
     stops = views.stops(spark, sf)
-    return _stream_once(spark, sf, lambda log: tool_log.running_visits(log, stops)).select("trial_id", "page").distinct()
+    return _stream_once(spark, sf, lambda log: tool_log.running_visits(log, stops)).select("trial_id", "page")
+
+
+_ROUNDS = 3
+
+
+def _arriving(spark, sf, first, rounds=_ROUNDS):
+    """The log in rounds: the rows of a round are written as files below one folder, then ``first`` processes them."""
+    path = scratch_path(spark, "arriving")
+    for r in range(rounds):
+        part = _log_lines(spark, sf).where(F.col("seq") % rounds == r)
+        part.select("value").write.mode("append").text(path)
+        first(tool_log.read_log_stream(spark, path))
+
+
+@query("running_visit_rate", f"""WITH r AS (SELECT unnest(range({_ROUNDS})) AS batch),
+g AS (SELECT DISTINCT trail_id AS trial_id, {_NORM.format('page_url')} AS page FROM stops_v WHERE stop_type = 'page' AND page_url <> ''),
+f AS (SELECT trial_id, {_NORM.format('url')} AS page, min(seq % {_ROUNDS}) AS batch FROM tool_log_v WHERE url <> '' GROUP BY 1, 2),
+h AS (SELECT g.trial_id, r.batch, count(*) AS pages, count(f.page) AS hits FROM g CROSS JOIN r LEFT JOIN f ON f.trial_id = g.trial_id AND f.page = g.page AND f.batch <= r.batch GROUP BY 1, 2)
+SELECT batch, trial_id, pages, hits, CAST(printf('%.3f', hits / pages) AS DOUBLE) AS pages_visited FROM h""")
+def running_visit_rate(spark, sf):
+    """Visit rate of every trial after each of three rounds of the log, whose rows come in no order of time."""
+    target, state = scratch_path(spark, "visits"), scratch_path(spark, "state")
+    bits = cut_lineage(tool_log.golden_bits(views.stops(spark, sf)))
+    _arriving(spark, sf, lambda log: tool_log.keep_visits(log, bits, target, state))
+    words = spark.read.schema("trial_id bigint, word int, visited bigint, batch bigint").parquet(target)
+    after = [tool_log.visit_rates(words.where(F.col("batch") <= b), bits).select(F.lit(b).cast("bigint").alias("batch"), "*") for b in range(_ROUNDS)]
+    return reduce(DataFrame.unionByName, after)
+
+
+@query("late_log_rows", """WITH m AS (SELECT max(ts) - INTERVAL 10 minutes AS mark FROM tool_log_v WHERE seq % 5 <> 0)
+SELECT trial_id, seq, epoch_us(ts) AS ts, tool, CAST(1 AS BIGINT) AS batch FROM tool_log_v, m WHERE seq % 5 = 0 AND ts < mark""")
+def late_log_rows(spark, sf):
+    """A fifth of the log arrives after the rest: the rows of it that are behind the mark."""
+    path, target, state = (scratch_path(spark, n) for n in ("late-log", "late-rows", "late-state"))
+    for late in (False, True):
+        _log_lines(spark, sf).where((F.col("seq") % 5 == 0) == late).select("value").write.mode("append").text(path)
+        tool_log.split_late(tool_log.read_log_stream(spark, path), target, state)
+    rows = tool_log.read_split(spark, target, tool_log.read_log_stream(spark, path).schema)
+    return rows.where("late").select("trial_id", "seq", F.unix_micros("ts").alias("ts"), "tool", "batch")
 
 
