@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import time
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark.functions import numbers as nums
 from waymark.functions import values as vals
 from waymark.functions.skew import dense_index, first_upto, numbered, running_sum
-from waymark.operators import augment, build, dag_checks, facts, graph, pages, replies, reports, riddles, scoring
+from waymark.operators import augment, build, dag_checks, facts, graph, pages, replay, replies, reports, riddles, scoring
 from waymark.session import scratch_path
 from waymark.sources import readers, writers
 from waymark.streaming import tool_log
@@ -148,7 +149,8 @@ def test_right_calls_match_brute_force(spark):
     assert got == want
 
 
-def test_intermediate_values_match_joined_text(spark):
+@pytest.mark.parametrize("few", [scoring.FEW_FORMS, 3, 0])
+def test_intermediate_values_match_joined_text(spark, few):
     rnd = random.Random(3)
     stops, log, want = [], [], {}
     for trial in range(12):
@@ -168,7 +170,7 @@ def test_intermediate_values_match_joined_text(spark):
         want[trial] = (hits, len(values))
     s = spark.createDataFrame(stops, "trail_id bigint, stop_index bigint, value_str string")
     l = spark.createDataFrame(log, "trial_id bigint, seq bigint, result_preview string")
-    got = {r.trial_id: (r.intermediate_correct, r.intermediate_total) for r in scoring.intermediate_values(s, l).collect()}
+    got = {r.trial_id: (r.intermediate_correct, r.intermediate_total) for r in scoring.intermediate_values(s, l, few).collect()}
     assert got == want
 
 
@@ -391,13 +393,14 @@ def test_a_long_chain_is_walked(spark):
     assert sorted(r.stop_index for r in lost.collect()) == list(range(700, n))
 
 
-def test_values_across_previews_and_a_hot_trial(spark):
+@pytest.mark.parametrize("few", [scoring.FEW_FORMS, 0])
+def test_values_across_previews_and_a_hot_trial(spark, few):
     words = [f"w{i}" for i in range(3000)]
     long = " ".join(words[100:400])
     stops = [(1, 0, long), (1, 1, "w250"), (1, 2, "w9 w10 w11"), (1, 3, "absent words"), (1, 4, "w2999"), (2, 0, "w5 w6"), *[(1, 100 + i, f"w{i * 7}") for i in range(150)]]
     s = spark.createDataFrame(stops, "trail_id bigint, stop_index bigint, value_str string")
     log = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)] + [(2, 0, "x w5"), (2, 1, None), (2, 2, "w6")], "trial_id bigint, seq bigint, result_preview string")
-    got = {r.trial_id: (r.intermediate_correct, r.intermediate_total) for r in scoring.intermediate_values(s, log).collect()}
+    got = {r.trial_id: (r.intermediate_correct, r.intermediate_total) for r in scoring.intermediate_values(s, log, few).collect()}
     assert got == {1: (154, 155), 2: (0, 1)}
 
 
@@ -465,3 +468,37 @@ def test_late_rows_are_kept_and_a_repeated_batch_splits_the_same_way(spark):
         assert {b: n for b, (n, _latest) in heard.batches.items()} == dict.fromkeys(range(4), 4)
     finally:
         spark.streams.removeListener(heard)
+
+
+# --- values in pages -----------------------------------------------------------------------
+
+
+def test_numbers_in_pages_match_brute_force(spark):
+    rnd = random.Random(11)
+    some = ["0", "-0", "0.009", "0.5", "-0.5", "0.994", "1.0", "1.009", "99", "100", "101", "-100", "1,000", "1e3", "990.5", "12345678", "-3.25", "+7", ",", "5.", "1e400"]
+    pages_ = [(f"u{i}", " ".join(rnd.choice(some) + rnd.choice([" km", "", ";", "%"]) for _ in range(rnd.randrange(0, 25)))) for i in range(40)]
+    stops = [(i, j, "page", f"u{i % 43}", "number", rnd.choice([*some, "x", None, "inf", "nan"])) for i in range(120) for j in range(3)]
+    s = spark.createDataFrame(stops, "trail_id bigint, stop_index bigint, stop_type string, page_url string, value_type string, value_str string")
+    p = spark.createDataFrame([*pages_, ("u0", "other 77"), ("u42", None)], "url string, markdown string")
+    text = dict(pages_)
+
+    def find(t, want):
+        try:
+            want = float(want)
+        except (TypeError, ValueError):
+            return None
+        for m in re.findall(r"[-+]?[\d,]+\.?\d*", t):
+            try:
+                x = float(m.replace(",", ""))
+            except ValueError:
+                continue
+            if x == 0 if want == 0 else abs(x - want) / max(abs(want), 1) < 0.01:
+                return x
+        return None
+
+    want = {(i, j): find(text[u], v) for i, j, _t, u, _k, v in stops if u in text and u != "u0"}
+    got = {(r.trail_id, r.stop_index): None if r.found is None else float(r.found) for r in facts.verify_values(s, p).collect() if r.trail_id % 43}
+    assert got == want
+    replayed = replay.replay_pages(s, p)
+    assert replayed.count() == len(stops)
+    assert replayed.where("error = 'page not found'").count() == sum(u in ("u40", "u41", "u42") for _i, _j, _t, u, _k, _v in stops)

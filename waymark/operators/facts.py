@@ -139,19 +139,16 @@ def section_text(markdown: Column, section: Column) -> Column:
     return F.coalesce(cut, markdown)
 
 
-def find_value(text: Column, expected: Column, value_type: Column) -> Column:
-    """The stored value as found again in a text, null when it is not there.
+NUMBER = r"[-+]?[\d,]+\.?\d*"
+COORDINATES = r"(-?\d+\.?\d*)\s*[°,]\s*(-?\d+\.?\d*)"
 
-    Numbers give the first number within 1 %; coordinates are ``[lat, lon]`` texts.
-    """
-    want = to_float(expected)
-    number = r"[-+]?[\d,]+\.?\d*"
-    nums = F.transform(F.regexp_extract_all(text, F.lit(number), 0), lambda m: to_float(F.replace(m, F.lit(","), F.lit(""))))
+#: Width of the buckets of numbers, on the scale of :func:`_bucket`, and values of a page that travel in one array.
+WIDTH = 0.0102
+VALUES_PER_ARRAY = 256
 
-    def near(x: Column) -> Column:
-        return F.when(want == 0, x == 0).otherwise(F.abs(x - want) / F.greatest(F.abs(want), F.lit(1.0)) < 0.01)
 
-    as_number = number_text(F.get(F.filter(nums, lambda x: F.coalesce(near(x), F.lit(False))), 0))
+def find_text(text: Column, expected: Column, value_type: Column) -> Column:
+    """A stored value that is no number as found again in a text, null when it is not there; coordinates are ``[lat, lon]`` texts."""
     s = strip(expected)
     as_text = F.when(F.contains(F.lower(text), F.lower(s)), s)
     tail = F.element_at(F.split(s, "/wiki/"), -1)
@@ -159,35 +156,72 @@ def find_value(text: Column, expected: Column, value_type: Column) -> Column:
     year = F.regexp_extract(s, r"\b(\d{4})\b", 1)
     as_date = F.when(F.contains(text, s) | ((year != "") & F.contains(text, year)), s)
     lat, lon = (F.regexp_extract(s, r"^\[\s*(-?[\d.]+)\s*,\s*(-?[\d.]+)\s*\]$", g).try_cast("double") for g in (1, 2))
-    pair = r"(-?\d+\.?\d*)\s*[°,]\s*(-?\d+\.?\d*)"
-    lats, lons = (F.transform(F.regexp_extract_all(text, F.lit(pair), g), lambda m: m.try_cast("double")) for g in (1, 2))
+    lats, lons = (F.transform(F.regexp_extract_all(text, F.lit(COORDINATES), F.lit(g)), lambda m: m.try_cast("double")) for g in (1, 2))
     hits = F.filter(
         F.zip_with(lats, lons, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
         lambda p: F.coalesce((F.abs(p["a"] - lat) < 0.01) & (F.abs(p["b"] - lon) < 0.01), F.lit(False)),
     )
     as_coords = let(F.get(hits, 0), lambda p: F.concat(F.lit("["), p["a"].cast("string"), F.lit(", "), p["b"].cast("string"), F.lit("]")))
-    return (
-        F.when(value_type == "number", as_number)
-        .when(value_type == "url", as_url)
-        .when(value_type == "date", as_date)
-        .when(value_type == "coords", as_coords)
-        .otherwise(as_text)
-    )
+    return F.when(value_type == "url", as_url).when(value_type == "date", as_date).when(value_type == "coords", as_coords).otherwise(as_text)
 
 
-def verify_values(stops: DataFrame, pages: DataFrame, strict: bool = False) -> DataFrame:
-    """Stored values of page stops looked up in their pages: ``pages(url, markdown)``.
+def _bucket(x: Column) -> Column:
+    """Number of the bucket of a number. A number within 1 % of another (within 0.01 below 1) is in its bucket or a neighbouring one.
 
-    The whole page is searched; ``strict`` restricts the search to the stop's section.
+    The scale is sign * log(1 + size): the slope is below 1 / size and below 1, so such a distance is below ``WIDTH`` on it.
     """
-    joined = stops.join(pages.select(F.col("url").alias("page_url"), "markdown"), "page_url")
-    text = F.col("markdown")
-    if strict:
-        section = F.col("extraction_section")
-        in_section = F.coalesce(section, F.lit("")) != ""
-        text = F.when(in_section & (section != "infobox"), section_text(text, section)).otherwise(text)
-    found = find_value(text, F.col("value_str"), F.col("value_type"))
-    return joined.select("trail_id", "stop_index", "value_type", "value_str", found.alias("found"))
+    return F.floor(F.signum(x) * F.log1p(F.abs(x)) / WIDTH)
+
+
+def _find_numbers(asked: DataFrame, texts: DataFrame, place: list[str]) -> DataFrame:
+    """(place, value_str, found): the first number of the text within 1 %, for the numbers in ``asked``.
+
+    The numbers of a text are read once, and meet the sought ones in an equi-join on (place, bucket), so that neither the text nor the
+    numbers of a page travel with every stop that names the page.
+    """
+    said = texts.select(*place, F.posexplode(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))).alias("pos", "said"))
+    numbers = said.select(*place, "pos", to_float(F.replace("said", F.lit(","), F.lit(""))).alias("x")).where(F.col("x").isNotNull())
+    first = numbers.groupBy(*place, "x").agg(F.min("pos").alias("pos")).withColumn("bucket", _bucket(F.col("x")))
+    want, x = F.col("want"), F.col("x")
+    wanted = asked.select(*place, "value_str", to_float(F.col("value_str")).alias("want")).where(~F.isnan("want") & (F.abs("want") < float("inf")))
+    wanted = wanted.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _bucket(want) + d)))
+    near = F.when(want == 0, x == 0).otherwise(F.abs(x - want) / F.greatest(F.abs(want), F.lit(1.0)) < 0.01)
+    hits = wanted.join(first, [*place, "bucket"]).where(near)
+    return hits.groupBy(*place, "value_str").agg(number_text(F.min_by("x", "pos")).alias("found"))
+
+
+def look_up(stops: DataFrame, pages: DataFrame, strict: bool = False) -> DataFrame:
+    """``stops`` with ``there`` (the page exists) and ``found``, the stored value as its page has it (null when it doesn't).
+
+    Numbers give the first number within 1 %. The whole page is searched; ``strict`` restricts the search to the stop's section. Each
+    different value is looked for once per page, and a page's text is joined to arrays of such values, never to the stops. Pages
+    with one url count as one.
+    """
+    section = F.coalesce(F.col("extraction_section"), F.lit("")) if strict else F.lit("")
+    s = stops.withColumn("part", F.when(section == "infobox", "").otherwise(section))
+    place = ["page_url", "part"]
+    asked = s.where("page_url IS NOT NULL").select(*place, "value_type", "value_str").distinct()
+    texts = asked.select(*place).distinct().join(pages.select(F.col("url").alias("page_url"), "markdown").where("markdown IS NOT NULL"), "page_url")
+    texts = texts.select(*place, F.when(F.col("part") != "", section_text(F.col("markdown"), F.col("part"))).otherwise(F.col("markdown")).alias("text"))
+    is_number = F.coalesce(F.col("value_type") == "number", F.lit(False)) & F.col("value_str").isNotNull()
+    numbers = _find_numbers(asked.where(is_number), texts, place).withColumn("value_type", F.lit("number"))
+
+    others = asked.where(~is_number)
+    parts = others.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / VALUES_PER_ARRAY).alias("parts"))
+    arrays = others.join(parts, place).groupBy(*place, F.pmod(F.xxhash64("value_str"), F.col("parts")).alias("array")).agg(F.collect_list(F.struct("value_type", "value_str")).alias("values"))
+    each = F.transform("values", lambda v: F.struct(v["value_type"].alias("value_type"), v["value_str"].alias("value_str"), find_text(F.col("text"), v["value_str"], v["value_type"]).alias("found")))
+    rest = arrays.join(texts, place).select(*place, F.inline(each)).groupBy(*place, "value_type", "value_str").agg(F.max("found").alias("found"))
+
+    known = numbers.unionByName(rest, allowMissingColumns=True).where("found IS NOT NULL").select(*[F.col(c).alias(f"__{c}") for c in (*place, "value_type", "value_str")], "found")
+    there = pages.where("markdown IS NOT NULL").select(F.col("url").alias("page_url")).distinct().withColumn("there", F.lit(True))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*place, "value_type", "value_str")]
+    out = s.join(there, "page_url", "left").join(known, same, "left")
+    return out.select(*stops.columns, F.coalesce("there", F.lit(False)).alias("there"), "found")
+
+
+def verify_values(stops: DataFrame, pages: DataFrame, strict: bool = False) -> DataFrame:
+    """Stored values of the page stops whose pages exist, looked up in them: ``pages(url, markdown)``; see :func:`look_up`."""
+    return look_up(stops, pages, strict).where("there").select("trail_id", "stop_index", "value_type", "value_str", "found")
 
 
 # --- normalisation -------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from waymark.functions.numbers import recompute
 from waymark.functions.values import close, to_float, whole
 from waymark.operators import transforms
-from waymark.operators.facts import find_value
+from waymark.operators.facts import look_up
 from waymark.operators.replies import replay_chains
 
 K = ["trail_id", "stop_index"]
@@ -28,11 +28,10 @@ def _out(df: DataFrame, actual: Column, match: Column, error: Column) -> DataFra
 
 def replay_pages(stops: DataFrame, pages: DataFrame) -> DataFrame:
     """A page stop succeeds once its page exists; the stored value stands in where it is not found."""
-    s = stops.where("stop_type = 'page'").join(pages.select(F.col("url").alias("page_url"), "markdown"), "page_url", "left")
-    found = find_value(F.col("markdown"), F.col("value_str"), F.col("value_type"))
-    there = F.col("markdown").isNotNull()
+    s = look_up(stops.where("stop_type = 'page'"), pages)
+    there = F.col("there")
     error = F.when(F.coalesce("page_url", F.lit("")) == "", "no page URL").when(~there, "page not found")
-    return _out(s, F.when(there, F.coalesce(found, F.col("value_str"))), there, error)
+    return _out(s, F.when(there, F.coalesce("found", "value_str")), there, error)
 
 
 def replay_tools(stops: DataFrame, chain: DataFrame, replies: DataFrame, max_steps: int | None = None) -> DataFrame:

@@ -252,10 +252,11 @@ def _greedy(calls: Column, classes: Column) -> Column:
 
 # --- intermediate values -------------------------------------------------------------------
 
-# Stops whose sought texts travel in one array, least length of a window over a trial's joined previews, and windows per salt.
-STOPS_PER_ARRAY = 64
+# Least length of a window over a trial's joined previews, windows per salt, sought texts of a trial that are searched for one by one, and length of a gram.
 WINDOW = 2048
 WINDOWS_PER_SALT = 16
+FEW_FORMS = 256
+GRAM = 4
 
 
 def value_forms(value: Column) -> Column:
@@ -289,29 +290,50 @@ def _windows(log: DataFrame, reach: DataFrame) -> DataFrame:
     return cut.groupBy("trial_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), "").alias("text"))
 
 
-def _found_forms(wanted: DataFrame, log: DataFrame) -> DataFrame:
+def _grams(text: Column) -> Column:
+    """Distinct runs of 1 to ``GRAM`` characters of a text, found in one pass per length."""
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]
+    return F.array_distinct(F.flatten(F.array(*runs)))
+
+
+def _by_grams(forms: DataFrame, windows: DataFrame) -> DataFrame:
+    """(trial, form) pairs that occur, by an index of grams: work grows with texts and windows, not with their product.
+
+    A sought text is represented by the one of its grams that the fewest other texts of the trial have (a short text by itself). It meets
+    the windows that have this gram in an equi-join on the gram's hash, and is looked for in these alone.
+    """
+    long_ones = F.filter(_grams(F.col("form")), lambda x: F.length(x) == F.least(F.length("form"), F.lit(GRAM)))
+    each = forms.select("trial_id", "form", F.explode(long_ones).alias("text")).withColumn("gram", F.xxhash64("text"))
+    shared = each.groupBy("trial_id", "gram").agg(F.count(F.lit(1)).alias("others"))
+    probes = each.join(shared, ["trial_id", "gram"]).groupBy("trial_id", "form").agg(F.min_by("gram", F.struct("others", "gram")).alias("gram"))
+    indexed = windows.select("trial_id", "block", F.explode(F.transform(_grams(F.col("text")), lambda x: F.xxhash64(x))).alias("gram"))
+    met = indexed.join(probes, ["trial_id", "gram"]).groupBy("trial_id", "block").agg(F.collect_set("form").alias("forms"))
+    found = windows.join(met, ["trial_id", "block"])
+    return found.select("trial_id", F.explode(F.filter("forms", lambda f: F.contains(F.col("text"), f))).alias("form"))
+
+
+def _found_forms(wanted: DataFrame, log: DataFrame, few: int) -> DataFrame:
     """(trial, form) pairs where the form occurs in the trial's previews joined by blanks.
 
-    The sought texts of a trial travel in arrays of bounded size and meet the windows of its log; the windows of a long
-    log are dealt over salts, and its arrays go to each of them.
+    The windows of a trial that seeks ``few`` texts at most are searched for each of them, which takes less than a microsecond a text; those
+    of a long log are dealt over salts, and the texts go to each of them. Trials that seek more go through an index of grams.
     """
-    part = F.floor(F.col("stop_index") / STOPS_PER_ARRAY)
-    sought = wanted.groupBy("trial_id", part.alias("part")).agg(F.collect_set("form").alias("forms"), F.max(F.length("form")).alias("longest"))
-    reach = sought.groupBy("trial_id").agg(F.max("longest").alias("reach"))
+    forms = wanted.select("trial_id", "form").distinct()
+    sizes = forms.groupBy("trial_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("form")).alias("reach"))
     chars = log.groupBy("trial_id").agg(F.sum(F.length(F.coalesce("result_preview", F.lit(""))) + 1).alias("chars"))
     salts = chars.select("trial_id", F.ceil(F.col("chars") / (WINDOW * WINDOWS_PER_SALT)).cast("int").alias("salts"))
-    windows = _windows(log, reach).join(salts, "trial_id").withColumn("salt", F.pmod(F.col("block"), F.col("salts")).cast("int"))
-    arrays = sought.join(salts, "trial_id").select("trial_id", "forms", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return (
-        windows.select("trial_id", "salt", "text")
-        .join(arrays, ["trial_id", "salt"])
-        .select("trial_id", F.explode(F.filter("forms", lambda f: F.contains(F.col("text"), f))).alias("form"))
-        .distinct()
-    )
-
-
-def intermediate_values(stops: DataFrame, log: DataFrame) -> DataFrame:
-    """Golden values per trail, and how many of them occur in the trial's tool results."""
+    windows = _windows(log, sizes.select("trial_id", "reach"))
+    salted = windows.join(salts, "trial_id").withColumn("salt", F.pmod(F.col("block"), F.col("salts")).cast("int"))
+    arrays = forms.join(sizes.where(F.col("n") <= few).select("trial_id"), "trial_id", "left_semi").groupBy("trial_id").agg(F.collect_list("form").alias("forms"))
+    arrays = arrays.join(salts, "trial_id").select("trial_id", "forms", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    one_by_one = salted.select("trial_id", "salt", "text").join(arrays, ["trial_id", "salt"]).select("trial_id", F.explode(F.filter("forms", lambda f: F.contains(F.col("text"), f))).alias("form"))
+    many = sizes.where(F.col("n") > few).select("trial_id")
+    indexed = _by_grams(forms.join(many, "trial_id", "left_semi"), windows.join(many, "trial_id", "left_semi"))
+    return one_by_one.unionByName(indexed).distinct()
+
+
+def intermediate_values(stops: DataFrame, log: DataFrame, few: int = FEW_FORMS) -> DataFrame:
+    """Golden values per trail, and how many of them occur in the trial's tool results. ``few`` changes the plan only (see :func:`_found_forms`)."""
     golden = stops.where("value_str IS NOT NULL").select(
         F.col("trail_id").alias("trial_id"), "stop_index", value_forms(strip(F.col("value_str"))).alias("forms")
     )
@@ -319,7 +341,7 @@ def intermediate_values(stops: DataFrame, log: DataFrame) -> DataFrame:
         "trial_id", "stop_index", F.explode("forms").alias("form")
     )
     hits = (
-        wanted.join(_found_forms(wanted, log), ["trial_id", "form"], "left_semi")
+        wanted.join(_found_forms(wanted, log, few), ["trial_id", "form"], "left_semi")
         .select("trial_id", "stop_index")
         .distinct()
         .groupBy("trial_id")

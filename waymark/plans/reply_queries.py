@@ -278,10 +278,10 @@ def _replay(spark, sf):
 
 
 _REPLAY = f"""{CHAIN_SQL}, src_q AS (SELECT s.*, b.value_str AS src_value, b.value_type AS src_type FROM stops_v s LEFT JOIN stops_v b ON b.trail_id = s.trail_id AND b.stop_index = s.reason_source_stop),
-raw_q AS (SELECT s.trail_id, s.stop_index, s.stop_type, s.value_str AS expected, s.page_url LIKE '%\\_7' ESCAPE '\\' AS gone, v.val, c.trail_id IS NOT NULL AS chained, s.expression, s.l_partkey, src_type,
+raw_q AS (SELECT s.trail_id, s.stop_index, s.stop_type, s.value_str AS expected, s.page_url LIKE '%\\_7' ESCAPE '\\' AS gone, v.val, c.trail_id IS NOT NULL AS chained, s.expression, s.l_partkey, src_type, s.value_type AS src_value_type,
   CAST(abs(trunc(TRY_CAST(src_value AS DOUBLE))) AS BIGINT) AS src_n FROM src_q s LEFT JOIN value_q v ON v.trail_id = s.trail_id AND v.stop_index = s.stop_index
   LEFT JOIN (SELECT DISTINCT trail_id, stop_index FROM chain_v) c ON c.trail_id = s.trail_id AND c.stop_index = s.stop_index),
-act_q AS (SELECT *, CASE stop_type WHEN 'page' THEN CASE WHEN NOT gone THEN CASE WHEN TRY_CAST(expected AS DOUBLE) IS NOT NULL AND abs(12345 - TRY_CAST(expected AS DOUBLE)) / greatest(abs(TRY_CAST(expected AS DOUBLE)), 1) < 0.01 THEN 'near' ELSE 'kept' END END
+act_q AS (SELECT *, CASE stop_type WHEN 'page' THEN CASE WHEN NOT gone THEN CASE WHEN TRY_CAST(expected AS DOUBLE) IS NOT NULL AND abs(12345 - TRY_CAST(expected AS DOUBLE)) / greatest(abs(TRY_CAST(expected AS DOUBLE)), 1) < 0.01 AND src_value_type = 'number' THEN '12345' ELSE expected END END
   WHEN 'tool' THEN val WHEN 'compute' THEN CASE WHEN expression IS NOT NULL THEN CAST((trail_id + 10) % 10 AS VARCHAR) END
   ELSE CASE WHEN l_partkey % 4 <> 0 AND src_type = 'number' AND src_n >= 10 THEN CAST(list_sum(list_transform(string_split(CAST(src_n AS VARCHAR), ''), lambda d: CAST(d AS BIGINT))) AS BIGINT)::VARCHAR END END AS actual FROM raw_q),
 replay_q AS (SELECT trail_id, stop_index, stop_type, expected, actual, CASE stop_type WHEN 'page' THEN NOT gone
@@ -290,34 +290,28 @@ replay_q AS (SELECT trail_id, stop_index, stop_type, expected, actual, CASE stop
   ELSE actual IS NOT NULL AND (expected IS NULL OR coalesce(TRY_CAST(actual AS DOUBLE) = TRY_CAST(expected AS DOUBLE), false)) END AS match FROM act_q)"""
 
 
-@query("replay_stops", f"WITH {_REPLAY} SELECT trail_id, stop_index, stop_type, match, CASE WHEN stop_type <> 'page' THEN actual END AS actual FROM replay_q")
+@query("replay_stops", f"WITH {_REPLAY} SELECT trail_id, stop_index, stop_type, match, actual FROM replay_q")
 def replay_stops(spark, sf):
-    r = _replay(spark, sf)[2]
-    return r.select("trail_id", "stop_index", "stop_type", "match", F.when(F.col("stop_type") != "page", F.col("actual")).alias("actual"))
+    return _replay(spark, sf)[2].select("trail_id", "stop_index", "stop_type", "match", "actual")
 
 
 _TRAIL_REPLAY = f"""{_REPLAY}, last2_q AS (SELECT trail_id, arg_max(stop_type, stop_index) AS t, max(stop_index) AS i FROM replay_q GROUP BY 1),
 trail_q AS (SELECT trail_id, bool_and(CASE WHEN stop_type IN ('tool', 'reason') AND actual IS NOT NULL THEN true ELSE match END) AS success FROM replay_q GROUP BY 1)"""
 
 
-@query("replay_trails", f"""WITH {_TRAIL_REPLAY} SELECT q.trail_id, q.success, CASE WHEN r.stop_type = 'page' THEN NULL ELSE coalesce(CAST(trunc(TRY_CAST(r.actual AS DOUBLE)) AS BIGINT) % 10, -1) END AS passcode
+@query("replay_trails", f"""WITH {_TRAIL_REPLAY} SELECT q.trail_id, q.success, coalesce(CAST(trunc(TRY_CAST(r.actual AS DOUBLE)) AS BIGINT) % 10, -1) AS passcode
 FROM trail_q q JOIN last2_q l USING (trail_id) JOIN replay_q r ON r.trail_id = q.trail_id AND r.stop_index = l.i""")
 def replay_trails(spark, sf):
-    r = _replay(spark, sf)[2]
-    paged = r.groupBy("trail_id").agg(F.max_by("stop_type", "stop_index").alias("last_type"))
-    t = replay.replay_trails(r).join(paged, "trail_id")
-    return t.select("trail_id", "success", F.when(F.col("last_type") != "page", F.col("passcode")).alias("passcode"))
+    return replay.replay_trails(_replay(spark, sf)[2]).select("trail_id", "success", "passcode")
 
 
-@query("refreshed_trails", f"""WITH {_TRAIL_REPLAY}, n AS (SELECT q.trail_id, CAST(trunc(TRY_CAST(r.actual AS DOUBLE)) AS BIGINT) % 10 AS code FROM trail_q q JOIN last2_q l USING (trail_id)
-  JOIN replay_q r ON r.trail_id = q.trail_id AND r.stop_index = l.i WHERE q.success AND l.t = 'compute')
-SELECT t.trail_id, coalesce(code, passcode) AS passcode, coalesce(code <> passcode, false) AS changed FROM trails_v t LEFT JOIN n ON n.trail_id = t.trail_id WHERE t.trail_id % 11 <> 0 OR t.trail_id NOT IN (SELECT trail_id FROM stops_v)""")
+@query("refreshed_trails", f"""WITH {_TRAIL_REPLAY}, n AS (SELECT q.trail_id, coalesce(CAST(trunc(TRY_CAST(r.actual AS DOUBLE)) AS BIGINT) % 10, -1) AS code FROM trail_q q JOIN last2_q l USING (trail_id)
+  JOIN replay_q r ON r.trail_id = q.trail_id AND r.stop_index = l.i WHERE q.success)
+SELECT t.trail_id, coalesce(code, passcode) AS passcode, coalesce(code <> passcode, false) AS changed FROM trails_v t LEFT JOIN n ON n.trail_id = t.trail_id""")
 def refreshed_trails(spark, sf):
     s, _chain, r = _replay(spark, sf)
-    # trails that end in a page or tool stop have no digit to refresh in the view
-    odd = s.select("trail_id").where("trail_id % 11 = 0").distinct()
     trails, _stops = replay.refresh(views.trails(spark, sf), s, r)
-    return trails.join(odd, "trail_id", "left_anti").select("trail_id", "passcode", "changed")
+    return trails.select("trail_id", "passcode", "changed")
 
 
 _TRIALS = """trials_q AS (SELECT s.trail_id, s.stop_index, s.stop_type, t.trial, CASE WHEN l_partkey % 19 = 0 THEN NULL WHEN l_partkey % 7 = 0 AND t.trial = 1 THEN extracted_value * 2 + 5 WHEN l_partkey % 5 = 0 AND t.trial = 0 THEN NULL ELSE extracted_value END AS v,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from waymark.operators import scoring
 from waymark.plans import views
 from waymark.plans.registry import query
+from waymark.session import cut_lineage
 
 
 def _log(spark, sf):
@@ -18,7 +19,7 @@ def _log(spark, sf):
 
 
 def _inputs(spark, sf):
-    stops = views.stops(spark, sf)
+    stops = cut_lineage(views.stops(spark, sf))  # numbered once for all parts
     return views.trails(spark, sf), stops, views.chain(stops), _log(spark, sf), views.answers(spark, sf)
 
 
