@@ -147,6 +147,27 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
+# crc32 byte by byte over a table that its polynomial gives; near words meet by the word with one place left out
+SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE bits AS (SELECT n, 0 AS k, n::BIGINT AS v FROM range(256) r(n)
+    UNION ALL SELECT n, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(v ORDER BY n) AS steps FROM bits WHERE k = 8),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{UPPER.lower()}') AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS n, hex(encode(concat(doc_id, ':', w))) AS x FROM r GROUP BY 1, 2),
+h AS (SELECT w, n, xor(list_reduce([4294967295] || [('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT FOR i IN range(len(x) // 2)],
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM d, crc),
+e AS (SELECT CASE WHEN h % 97 = 0 THEN w[:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM e WHERE len(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+g AS (SELECT word, n, i, word[:i] || '*' || word[i + 2:] AS gap, word[:i] || word[i + 2:] AS less FROM v, LATERAL (SELECT unnest(range(len(word))) AS i)),
+p AS (SELECT a.word, b.word AS near, b.n FROM g a JOIN g b ON a.gap = b.gap AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, v.word, v.n FROM g a JOIN v ON v.word = a.less UNION SELECT v.word, a.word, a.n FROM g a JOIN v ON v.word = a.less),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, encode(near))) AS near, max(n) AS n FROM p GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 2 * v.n THEN near END AS form, CASE WHEN b.n >= 2 * v.n THEN b.n END AS form_n FROM v LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, c.root FROM c JOIN f ON f.form = c.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN c USING (word)
+"""
+
+
 @query
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -170,4 +191,4 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 
 @query
 def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict(table(spark, sf_dir, "documents"))
+    return predict(table(spark, sf_dir, "documents"))
\ No newline at end of file
