@@ -1,5 +1,6 @@
 """Jobs on small fixtures, most of them against brute force."""
 
+import itertools
 import json
 import random
 import re
@@ -502,3 +503,28 @@ def test_numbers_in_pages_match_brute_force(spark):
     replayed = replay.replay_pages(s, p)
     assert replayed.count() == len(stops)
     assert replayed.where("error = 'page not found'").count() == sum(u in ("u40", "u41", "u42") for _i, _j, _t, u, _k, _v in stops)
+
+
+# --- page sets -----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("listed", [0, 2, 5, 1000])
+def test_exact_jaccard_matches_all_pairs(spark, listed):
+    rnd = random.Random(2)
+    rows = [(t, f"p{min(rnd.randrange(12), rnd.randrange(40))}") for t in range(40) for _ in range(rnd.randrange(1, 9))]
+    rows += [(100, "p0"), (101, "p0"), (102, "lone"), (103, "x1"), (103, "x2"), (104, "x1"), (104, "x2"), (105, ""), (106, None)]
+    sets = {}
+    for t, p in rows:
+        if p:
+            sets.setdefault(t, set()).add(p)
+    pairs = [len(a & b) / len(a | b) for a, b in itertools.combinations(sets.values(), 2)]
+    got = reports.exact_page_jaccard(spark.createDataFrame(rows, "trail_id bigint, page_url string"), listed).first()
+    assert got.pairs == len(pairs)
+    assert got.mean_jaccard == pytest.approx(sum(pairs) / len(pairs), rel=1e-12)
+    assert got.disjoint_share == pytest.approx(sum(x == 0 for x in pairs) / len(pairs), rel=1e-12)
+
+
+def test_exact_jaccard_of_few_trails(spark):
+    one_trail = spark.createDataFrame([(1, "a"), (1, "b")], "trail_id bigint, page_url string")
+    assert reports.exact_page_jaccard(one_trail).count() == 0
+    assert reports.exact_page_jaccard(one_trail.limit(0)).count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark import fixed
 from waymark.functions.skew import draw_order, first_per_key
 from waymark.operators.dims import level_order, texts
+from waymark.session import cut_lineage
 
 OVERALL = "Overall"
 METRICS = [
@@ -175,7 +176,8 @@ def page_jaccard(stops: DataFrame, pairs: int = 10_000, seed: int = 0) -> DataFr
 
     def end(salt: str, name: str) -> DataFrame:
         drawn = ids.select(F.col("trail_id").alias(name), draw_order(seed, salt, "trail_id").alias("draw")).orderBy("draw", name).limit(pairs)
-        return drawn.select(name, F.row_number().over(Window.orderBy("draw", name)).alias("pair"))
+        in_order = drawn.agg(F.array_sort(F.collect_list(F.struct("draw", name))).alias("drawn"))  # `pairs` ends at most
+        return in_order.select(F.posexplode("drawn").alias("pair", "end")).select("pair", F.col(f"end.{name}").alias(name))
 
     sample = end("left", "a").join(end("right", "b"), "pair").where("a <> b")
     # both ends at most `pairs` rows, by the limits above
@@ -189,6 +191,59 @@ def page_jaccard(stops: DataFrame, pairs: int = 10_000, seed: int = 0) -> DataFr
     )
 
 
+#: Trails up to which the pairs that share a page are listed; the pages of more trails are counted.
+LISTED = 100
+
+
+def exact_page_jaccard(stops: DataFrame, listed: int = LISTED) -> DataFrame:
+    """Mean Jaccard index and share of disjoint pairs over all pairs of trails, without going through the pairs.
+
+    Pairs that share none of their pages add nothing. Pages of more than ``listed`` trails (popular ones) are handled by counting: let N(S, a)
+    be the number of trails of ``a`` pages that have all popular pages in S. The sum of N(S, a) N(S, b) over all S of k pages counts each
+    pair once for every k of its common popular pages, so inclusion and exclusion over k give the number of pairs for each (a, b, common
+    pages). Pairs that meet on another page are listed (fewer than ``listed`` per row), and what counting took for them is corrected.
+    Work grows with the rows times ``listed``, and with two to the number of popular pages in one trail.
+    """
+    sets = cut_lineage(stops.where("page_url <> ''").select("trail_id", F.col("page_url").alias("page")).distinct())
+    popular = sets.groupBy("page").agg((F.count(F.lit(1)) > listed).alias("popular"))
+    marked = sets.join(popular, "page")
+    trails = cut_lineage(
+        marked.groupBy("trail_id").agg(F.count(F.lit(1)).alias("pages"), F.array_sort(F.collect_list(F.when(F.col("popular"), F.col("page")))).alias("shared"))
+    )
+
+    # pairs by (a, b, common popular pages)
+    classes = trails.where(F.size("shared") > 0).groupBy("pages", "shared").agg(F.count(F.lit(1)).alias("n"))
+    masks = F.sequence(F.lit(1).cast("bigint"), F.expr("shiftleft(1L, size(shared)) - 1"))
+    subset = F.filter("shared", lambda _p, i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(1) == 1)
+    having = classes.withColumn("mask", F.explode(masks)).select(subset.alias("subset"), "pages", "n")
+    sizes = having.groupBy("subset", "pages").agg(F.sum("n").alias("n")).groupBy(F.col("subset")).agg(F.array_sort(F.collect_list(F.struct("pages", "n"))).alias("by_size"))
+    one = sizes.select(F.size("subset").alias("k"), F.posexplode("by_size").alias("at", "x"), "by_size")
+    two = one.select("k", "x", F.explode(F.slice("by_size", F.col("at") + 1, F.size("by_size"))).alias("y"))
+    x, y = F.col("x.n").cast("decimal(38,0)"), F.col("y.n").cast("decimal(38,0)")
+    product = F.when(F.col("x.pages") == F.col("y.pages"), F.expr("CAST(x.n AS DECIMAL(20,0)) * (x.n - 1) / 2")).otherwise(x * y).cast("decimal(38,0)")
+    counted = two.groupBy("k", F.col("x.pages").alias("a"), F.col("y.pages").alias("b")).agg(F.sum(product).alias("times"))
+    signed = counted.withColumn("common", F.explode(F.sequence(F.lit(1), F.col("k")))).withColumn("ways", F.expr("factorial(k) / factorial(common) / factorial(k - common) * if((k - common) % 2 = 0, 1, -1)"))
+    cells = signed.groupBy("a", "b", "common").agg(F.sum(F.col("ways").cast("decimal(20,0)") * F.col("times")).cast("double").alias("n"))
+    by_count = cells.select("n", (F.col("common") / (F.col("a") + F.col("b") - F.col("common"))).alias("jaccard"), F.col("n").alias("meeting"))
+
+    # pairs that meet on another page
+    rare = marked.where("NOT popular").select("page", "trail_id")
+    met = rare.select("page", F.col("trail_id").alias("t")).join(rare.select("page", F.col("trail_id").alias("u")), "page").where("t < u")
+    met = met.groupBy("t", "u").agg(F.count(F.lit(1)).alias("rare"))
+    both = met.join(trails.toDF("t", "a", "s"), "t").join(trails.toDF("u", "b", "r"), "u").withColumn("common", F.size(F.array_intersect("s", "r")))
+    listed_cells = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "rare").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    every, total = F.col("common") + F.col("rare"), F.col("a") + F.col("b")
+    gain = every / (total - every) - F.col("common") / (total - F.col("common"))
+    by_list = listed_cells.select("n", gain.alias("jaccard"), F.when(F.col("common") == 0, F.col("n")).otherwise(0.0).alias("meeting"))
+
+    sums = by_count.unionByName(by_list).agg(F.coalesce(F.sum(F.col("n") * F.col("jaccard")), F.lit(0.0)).alias("jaccard"), F.coalesce(F.sum("meeting"), F.lit(0.0)).alias("meeting"))
+    pairs = trails.agg(F.count(F.lit(1)).alias("n")).select((F.col("n").cast("decimal(20,0)") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"))
+    # one row each
+    return pairs.join(F.broadcast(sums), how="cross").where("pairs > 0").select(
+        "pairs", (F.col("jaccard") / F.col("pairs")).alias("mean_jaccard"), (1 - F.col("meeting") / F.col("pairs")).alias("disjoint_share")
+    )
+
+
 def corpus_mix(stops: DataFrame, chain: DataFrame, deps: DataFrame) -> DataFrame:
     """Trails, mean stops and mean tool calls by variant (``dag`` when any stop has dependencies)."""
     n = stops.groupBy("trail_id").agg(F.count(F.lit(1)).alias("n"))

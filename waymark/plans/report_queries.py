@@ -113,6 +113,16 @@ def page_jaccard(spark, sf):
     return j.select("pairs", F.round("mean_jaccard", 9).alias("mean_jaccard"), F.round("disjoint_share", 9).alias("disjoint_share"))
 
 
+@query("page_jaccard_exact", """WITH s AS (SELECT DISTINCT trail_id, page_url FROM stops_v WHERE page_url IS NOT NULL), z AS (SELECT trail_id, count(*) AS n FROM s GROUP BY 1),
+j AS (SELECT x.trail_id AS a, y.trail_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.page_url = y.page_url AND x.trail_id < y.trail_id GROUP BY 1, 2),
+p AS (SELECT count(*) * (count(*) - 1) // 2 AS pairs FROM z)
+SELECT any_value(pairs) AS pairs, round(sum(n_both / (za.n + zb.n - n_both)) / any_value(pairs), 9) AS mean_jaccard, round(1 - count(*) / any_value(pairs), 9) AS disjoint_share
+FROM j JOIN z za ON za.trail_id = a JOIN z zb ON zb.trail_id = b, p""")
+def page_jaccard_exact(spark, sf):
+    j = reports.exact_page_jaccard(views.stops(spark, sf))
+    return j.select("pairs", F.round("mean_jaccard", 9).alias("mean_jaccard"), F.round("disjoint_share", 9).alias("disjoint_share"))
+
+
 @query("corpus_mix", """WITH t AS (SELECT trail_id, count(*) AS n FROM stops_v GROUP BY 1), c AS (SELECT trail_id, count(*) AS k FROM chain_v GROUP BY 1)
 SELECT CASE WHEN t.trail_id IN (SELECT trail_id FROM deps_v) THEN 'dag' ELSE 'linear' END AS variant, count(*) AS trails, avg(n) AS mean_stops,
   avg(coalesce(k, 0)) AS mean_tool_calls FROM t LEFT JOIN c USING (trail_id) GROUP BY 1""")
