@@ -320,12 +320,13 @@ def draw_reasons(stops: DataFrame, targets: DataFrame, seed: int = 0) -> DataFra
     result other than 0 and 1, or stays without.
     """
     eligible = stops.where("stop_type IN ('page', 'tool')")
-    # read three times below: written once
-    rows = cut_lineage(transforms.apply_transforms(eligible))
-    sources = rows.select(*K).distinct().withColumn("draw", draw_order(seed, "reason", *K))
-    picked = first_upto(sources.join(targets, "trail_id"), ["trail_id"], [F.col("draw"), F.col("stop_index")], F.col("target")).select(*K)
-    valid = rows.where("result NOT IN (0, 1)").join(picked, K, "left_semi").withColumn("draw", draw_order(seed, "transform", *K, "transform"))
-    best = first_per_key(valid, K, [F.col("draw"), F.col("transform")])
+    sources = transforms.has_transform(eligible).withColumn("draw", draw_order(seed, "reason", *K))
+    picked = first_upto(sources.join(targets, "trail_id"), ["trail_id"], [F.col("draw"), F.col("stop_index")], F.col("target"))
+
+    def drawn(name: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in K], name, F.lit("transform")))
+
+    best = transforms.first_valid(picked, drawn)
     return best.join(eligible.select(*K, "page_url"), K).select(
         "trail_id", F.col("stop_index").alias("after"), F.lit(0).alias("seq"), F.lit("reason").alias("stop_type"), "page_url",
         F.col("result").cast("string").alias("value_str"), F.col("result").cast("double").alias("value_num"), F.lit("int").alias("value_kind"),

@@ -46,11 +46,10 @@ def replay_tools(stops: DataFrame, chain: DataFrame, replies: DataFrame, max_ste
 def replay_code(stops: DataFrame) -> DataFrame:
     """Reason and compute stops recomputed from their closed forms."""
     s = stops.where("stop_type IN ('reason', 'compute')")
-    source = stops.select("trail_id", F.col("stop_index").alias("reason_source_stop"), "value_str", "value_type", F.col("stop_index").alias("src"))
-    results = transforms.apply_transforms(source.withColumn("stop_index", F.col("src"))).select(
-        "trail_id", F.col("stop_index").alias("reason_source_stop"), F.col("transform").alias("reason_transform"), F.col("result")
-    )
-    reason = s.where("stop_type = 'reason'").join(results, ["trail_id", "reason_source_stop", "reason_transform"], "left")
+    source = stops.select("trail_id", F.col("stop_index").alias("reason_source_stop"), F.col("value_str").alias("__value"), F.col("value_type").alias("__kind"))
+    named = s.where("stop_type = 'reason'").join(source, ["trail_id", "reason_source_stop"], "left")
+    asked = named.select(*K, "stop_type", F.col("value_str").alias("stored"), "reason_transform", F.col("__value").alias("value_str"), F.col("__kind").alias("value_type"))
+    reason = transforms.apply_named(asked, "reason_transform").withColumn("value_str", F.col("stored"))
     compute = s.where("stop_type = 'compute'").withColumn("result", recompute(F.col("expression")))
     both = reason.select(*K, "stop_type", "value_str", "result", F.col("reason_transform").alias("code")).unionByName(
         compute.select(*K, "stop_type", "value_str", "result", F.col("expression").alias("code"))

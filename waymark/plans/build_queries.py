@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from waymark import fixed
 from waymark.operators import augment, build, facts, pages
 from waymark.plans import views
+from waymark.plans.number_queries import TRANSFORM_SQL
 from waymark.plans.page_queries import sql_list
 from waymark.plans.registry import query
 from waymark.session import cut_lineage
@@ -153,16 +154,22 @@ e AS (SELECT trail_id, stop_index FROM stops_v WHERE stop_type IN ('page', 'tool
 k AS (SELECT e.*, row_number() OVER (PARTITION BY trail_id ORDER BY md5(concat('0|', trail_id, '|', stop_index, '|reason')), stop_index) AS rk FROM e)"""
 
 
-@query("reason_sources", f"WITH {_REASONS} SELECT k.trail_id, stop_index FROM k JOIN t ON t.trail_id = k.trail_id WHERE rk <= target AND NOT EXISTS (SELECT 1 FROM stops_v s WHERE s.trail_id = k.trail_id AND s.stop_index = k.stop_index AND (s.value_type = 'text' OR TRY_CAST(s.value_str AS DOUBLE) < 100))")
+# sources in drawn order, up to the target; each takes its first drawn transform with a result other than 0 and 1
+_DRAWN = f"""{TRANSFORM_SQL}, {_REASONS},
+drawn_q AS (SELECT k.trail_id, k.stop_index, x.transform, x.result FROM k JOIN t ON t.trail_id = k.trail_id JOIN transforms_q x ON x.trail_id = k.trail_id AND x.stop_index = k.stop_index WHERE rk <= target AND x.result NOT IN (0, 1)
+  QUALIFY row_number() OVER (PARTITION BY k.trail_id, k.stop_index ORDER BY md5(concat('0|', k.trail_id, '|', k.stop_index, '|', x.transform, '|transform')), x.transform) = 1),
+shift_q AS (SELECT *, row_number() OVER (PARTITION BY trail_id ORDER BY stop_index) - 1 AS before FROM drawn_q)"""
+
+
+@query("reason_sources", f"WITH {_DRAWN} SELECT trail_id, stop_index FROM drawn_q")
 def reason_sources(spark, sf):
-    """Drawn sources of reason stops whose value is a number of at least 100 (these always give one)."""
+    """Drawn sources of reason stops."""
     s = views.stops(spark, sf)
     drawn = build.draw_reasons(s, build.reason_targets(s, views.trails(spark, sf)))
-    big = s.where("value_type = 'number' AND try_cast(value_str AS DOUBLE) >= 100").select("trail_id", F.col("stop_index").alias("after"))
-    return drawn.join(big, ["trail_id", "after"], "left_semi").select("trail_id", F.col("after").alias("stop_index"))
+    return drawn.select("trail_id", F.col("after").alias("stop_index"))
 
 
-@query("reason_stops")
+@query("reason_stops", f"""WITH {_DRAWN} SELECT trail_id, stop_index + before + 1 AS stop_index, stop_index + before AS reason_source_stop, transform AS reason_transform, CAST(result AS VARCHAR) AS value_str FROM shift_q""")
 def reason_stops(spark, sf):
     s = views.stops(spark, sf)
     out = build.insert_reasons(s, views.trails(spark, sf))
@@ -270,16 +277,16 @@ def candidate_tools(spark, sf):
     return augment.candidate_tools(s, place_replies(s), need).select("trail_id", "after", "template", "value_num")
 
 
-@query("candidate_reasons", """WITH taken AS (SELECT DISTINCT trail_id, reason_source_stop AS stop_index FROM stops_v WHERE stop_type = 'reason')
-SELECT s.trail_id, count(*) AS sources FROM stops_v s LEFT JOIN taken USING (trail_id, stop_index) WHERE taken.trail_id IS NULL AND s.stop_type IN ('page', 'tool') AND s.value_type = 'number' AND TRY_CAST(s.value_str AS DOUBLE) >= 100 GROUP BY 1 HAVING count(*) <= 4""")
+@query("candidate_reasons", f"""WITH {TRANSFORM_SQL}, taken AS (SELECT DISTINCT trail_id, reason_source_stop AS stop_index FROM stops_v WHERE stop_type = 'reason'),
+e AS (SELECT DISTINCT trail_id, stop_index FROM transforms_q WHERE stop_type IN ('page', 'tool') AND (trail_id, stop_index) NOT IN (SELECT trail_id, stop_index FROM taken)),
+k AS (SELECT *, row_number() OVER (PARTITION BY trail_id ORDER BY md5(concat('0|', trail_id, '|', stop_index, '|reason')), stop_index) AS rk FROM e)
+SELECT trail_id, stop_index AS after, transform, result::DOUBLE AS value_num FROM k JOIN transforms_q x USING (trail_id, stop_index) WHERE rk <= 1 + trail_id % 4 AND result NOT IN (0, 1)
+QUALIFY row_number() OVER (PARTITION BY trail_id, stop_index ORDER BY md5(concat('0|', trail_id, '|', stop_index, '|', transform, '|transform')), transform) = 1""")
 def candidate_reasons(spark, sf):
-    """Sources left per trail, where they are few enough to be all drawn."""
-    s = views.stops(spark, sf).where("stop_type = 'reason' OR (value_type = 'number' AND try_cast(value_str AS DOUBLE) >= 100)")
-    all_of_them = s.select("trail_id").distinct().withColumn("target", F.lit(4))
-    drawn = augment.candidate_reasons(s, all_of_them).groupBy("trail_id").agg(F.count(F.lit(1)).alias("sources"))
-    taken = s.where("stop_type = 'reason'").select("trail_id", F.col("reason_source_stop").alias("stop_index")).distinct()
-    n = s.where("stop_type IN ('page', 'tool')").join(taken, ["trail_id", "stop_index"], "left_anti").groupBy("trail_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 4")
-    return drawn.join(n, "trail_id", "left_semi")
+    """Reason stops that could be added, one to four per trail."""
+    s = views.stops(spark, sf)
+    targets = s.select("trail_id").distinct().withColumn("target", (1 + F.col("trail_id") % 4).cast("int"))
+    return augment.candidate_reasons(s, targets).select("trail_id", "after", F.col("reason_transform").alias("transform"), "value_num")
 
 
 @query("augmented_trails")

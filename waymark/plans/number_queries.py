@@ -73,15 +73,30 @@ def text_transforms(spark, sf):
     )
 
 
-@query("transform_rows", """WITH v AS (SELECT trail_id, stop_index, value_type, value_str, CASE WHEN value_type = 'number' THEN CAST(abs(trunc(TRY_CAST(value_str AS DOUBLE))) AS BIGINT) END AS n FROM stops_v)
-SELECT t.transform, count(*) AS times FROM v, LATERAL (VALUES ('next_prime', n >= 2), ('num_divisors', n >= 4), ('sum_prime_factors', n >= 4),
-  ('largest_prime_factor', n >= 4), ('roman_numeral_letter_count', n BETWEEN 1 AND 3999), ('binary_1bit_count', n >= 2), ('digit_reversal', n >= 10),
-  ('digital_root', n >= 10), ('digit_sum', n >= 10), ('day_of_week', n BETWEEN 1583 AND 2100), ('leap_years_to_2000', n BETWEEN 1583 AND 2100),
-  ('vowel_count', value_type = 'text' AND length(trim(value_str)) >= 2),
-  ('alpha_position_first_letter', value_type = 'text' AND length(trim(value_str)) >= 2 AND regexp_matches(value_str, '^[A-Za-z]'))) t(transform, ok)
-WHERE t.ok GROUP BY 1""")
+TRANSFORM_SQL = f"""{_PRIMES},
+factor_q AS (SELECT n, p, n % (p * p) = 0 AS repeated FROM vals_q JOIN primes_q ON n > 0 AND n % p = 0 AND p <= n),
+fact_q AS (SELECT n, CAST(sum(p) AS BIGINT) AS prime_sum, max(p) AS top, arg_max(repeated, p) AS top_repeated FROM factor_q GROUP BY 1),
+prime_q AS (SELECT v.n, (SELECT min(p) FROM primes_q WHERE p > v.n) AS next_prime, prime_sum, CASE WHEN top_repeated THEN 1 ELSE top END AS largest,
+  (SELECT count(*) FROM range(1, CAST(floor(sqrt(v.n)) AS BIGINT) + 1) r(k) WHERE v.n % k = 0) * 2 - CASE WHEN CAST(floor(sqrt(v.n)) AS BIGINT) ** 2 = v.n THEN 1 ELSE 0 END AS divisors
+  FROM vals_q v JOIN fact_q f ON f.n = v.n),
+tv_q AS (SELECT trail_id, stop_index, stop_type, value_str AS s, value_type = 'text' AND length(trim(value_str)) >= 2 AS is_text,
+  CASE WHEN value_type = 'number' THEN CAST(abs(trunc(TRY_CAST(value_str AS DOUBLE))) AS BIGINT) END AS n FROM stops_v),
+transforms_q AS (SELECT trail_id, stop_index, stop_type, t.transform, t.result::BIGINT AS result FROM tv_q v LEFT JOIN prime_q p ON p.n = v.n, LATERAL (VALUES
+  ('next_prime', CASE WHEN v.n >= 2 THEN next_prime END), ('num_divisors', CASE WHEN v.n >= 4 THEN divisors END), ('sum_prime_factors', CASE WHEN v.n >= 4 THEN prime_sum END),
+  ('largest_prime_factor', CASE WHEN v.n >= 4 THEN largest END),
+  ('roman_numeral_letter_count', CASE WHEN v.n BETWEEN 1 AND 3999 THEN v.n // 1000 + [0,1,2,3,2,1,2,3,4,2][v.n // 100 % 10 + 1] + [0,1,2,3,2,1,2,3,4,2][v.n // 10 % 10 + 1] + [0,1,2,3,2,1,2,3,4,2][v.n % 10 + 1] END),
+  ('binary_1bit_count', CASE WHEN v.n >= 2 THEN bit_count(v.n) END), ('digit_reversal', CASE WHEN v.n >= 10 THEN CAST(reverse(CAST(v.n AS VARCHAR)) AS BIGINT) END),
+  ('digital_root', CASE WHEN v.n >= 10 THEN (v.n - 1) % 9 + 1 END), ('digit_sum', CASE WHEN v.n >= 10 THEN {_DIGITS.replace('(n ', '(v.n ')} END),
+  ('day_of_week', CASE WHEN v.n BETWEEN 1583 AND 2100 THEN isodow(make_date(v.n, 1, 1)) END),
+  ('leap_years_to_2000', CASE WHEN v.n BETWEEN 1583 AND 2100 THEN (SELECT count(*) FROM range(least(v.n, 2000), greatest(v.n, 2000) + 1) r(k) WHERE (k % 4 = 0 AND k % 100 <> 0) OR k % 400 = 0) END),
+  ('vowel_count', CASE WHEN is_text THEN length(regexp_replace(lower(s), '[^aeiou]', '', 'g')) END),
+  ('alpha_position_first_letter', CASE WHEN is_text AND regexp_matches(s, '^[A-Za-z]') THEN ascii(upper(substr(s, 1, 1))) - 64 END)) t(transform, result)
+  WHERE t.result IS NOT NULL)"""
+
+
+@query("transform_rows", f"WITH {TRANSFORM_SQL} SELECT trail_id, stop_index, transform, result FROM transforms_q")
 def transform_rows(spark, sf):
-    return transforms.apply_transforms(views.stops(spark, sf)).groupBy("transform").agg(F.count(F.lit(1)).alias("times"))
+    return transforms.apply_transforms(views.stops(spark, sf))
 
 
 @query("date_gap", """SELECT o_orderkey, abs(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01')) AS days,
