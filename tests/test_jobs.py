@@ -1,20 +1,22 @@
 """Jobs on small fixtures, most of them against brute force."""
 
+import collections
 import itertools
 import json
 import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import numbers as nums
 from waymark.functions import values as vals
 from waymark.functions.skew import dense_index, first_upto, numbered, running_sum
-from waymark.operators import augment, build, dag_checks, facts, graph, pages, replay, replies, reports, riddles, scoring
+from waymark.operators import augment, build, dag_checks, facts, graph, pages, quality, replay, replies, reports, riddles, scoring
 from waymark.session import scratch_path
-from waymark.sources import readers, writers
+from waymark.sources import file_tree, readers, writers
 from waymark.streaming import tool_log
 
 
@@ -528,3 +530,80 @@ def test_exact_jaccard_of_few_trails(spark):
     one_trail = spark.createDataFrame([(1, "a"), (1, "b")], "trail_id bigint, page_url string")
     assert reports.exact_page_jaccard(one_trail).count() == 0
     assert reports.exact_page_jaccard(one_trail.limit(0)).count() == 0
+
+
+# --- majority ------------------------------------------------------------------------------
+
+
+def test_majority_of_hot_and_split_groups(spark):
+    rnd = random.Random(8)
+    rows = [("hot", "most") for _ in range(5001)] + [("hot", f"x{i}") for i in range(5000)] + [("half", "a"), ("half", "b"), ("null", None), ("null", None), ("null", ""), ("one", "")]
+    rows += [(f"g{i}", rnd.choice(["a", "b", None])) for i in range(40) for _ in range(rnd.randrange(1, 6))]
+    rnd.shuffle(rows)
+    count, size = collections.Counter(rows), collections.Counter(k for k, _v in rows)
+    want = sorted((k, n) for (k, _v), n in count.items() if 2 * n > size[k])
+    got = quality.majority(spark.createDataFrame(rows, "k string, v string").repartition(7), "k", "v").collect()
+    assert sorted(map(tuple, got)) == want
+
+
+# --- files that appear all or not at all ---------------------------------------------------
+
+
+def tree(path):
+    return {str(p.relative_to(path)): p.read_text() for p in sorted(path.rglob("*")) if p.is_file() and not str(p.relative_to(path)).startswith("_")}
+
+
+def test_files_of_a_failed_job_never_appear(spark, tmp_path):
+    files = spark.range(40).selectExpr("concat('a', id % 4, '/', id, '.txt') rel_path", "concat('old ', id) content").repartition(4)
+    writers.write_files(files, str(tmp_path))
+    before = tree(tmp_path)
+    assert len(before) == 40
+    assert not list((tmp_path / "_staged").iterdir())
+
+    broken = files.selectExpr("rel_path", "if(rel_path = 'a3/7.txt', raise_error('lost'), concat('new ', content)) content")
+    with pytest.raises(Exception, match="lost"):
+        writers.write_files(broken, str(tmp_path))
+    assert tree(tmp_path) == before
+
+    writers.write_files(files.selectExpr("rel_path", "cast(null as string) content").where("rel_path like 'a1/%'"), str(tmp_path))
+    assert tree(tmp_path) == {k: "" if k.startswith("a1/") else v for k, v in before.items()}
+    writers.write_files(files.limit(0), str(tmp_path))
+
+
+def test_a_lost_attempt_leaves_nothing(spark, tmp_path):
+    sink = file_tree.FileTreeWriter(str(tmp_path), "job")
+    rows = [pa.RecordBatch.from_pydict({"rel_path": [f"t/{i}" for i in range(k, k + 3)], "content": [f"{k}"] * 3}) for k in (0, 10)]
+    lost = sink.write(iter(rows[:1]))  # its executor is gone before the driver hears of it
+    again, other = sink.write(iter(rows[:1])), sink.write(iter(rows[1:]))
+    sink.commit([again, None, other])
+    assert {m["attempt"] for m in file_tree.manifest(str(tmp_path), "job")} == {again.name, other.name}
+    assert tree(tmp_path) == {}
+    # a first publishing stops half-way
+    (tmp_path / "t").mkdir()
+    (tmp_path / "_staged" / "job" / again.name / "t" / "0").rename(tmp_path / "t" / "0")
+    for _ in range(2):
+        file_tree.publish(spark, str(tmp_path), "job")
+        assert tree(tmp_path) == {f"t/{i}": f"{k}" for k in (0, 10) for i in range(k, k + 3)}
+    assert not (tmp_path / "_staged" / "job").exists()
+    assert lost.files == 3
+
+
+def test_a_refresh_writes_changed_parts_only(spark, tmp_path):
+    trails = spark.range(40).selectExpr("id trail_id", "'easy' level", "id % 10 passcode")
+    stops = trails.selectExpr("trail_id", "explode(array(0L, 1L)) stop_index", "'tool' stop_type").selectExpr("*", "string(trail_id) value_str", "double(trail_id) value_num")
+    replay.write_store(trails, stops, str(tmp_path), parts=16)
+    files = lambda: {p: p.stat().st_mtime_ns for n in ("trails", "stops") for p in (tmp_path / n).rglob("*.parquet")}
+    rows = [(t, i, "tool", str(t), "77" if (t, i) == (3, 0) else "9" if (t, i) == (5, 1) else str(t), t != 7, None) for t in range(40) for i in range(2)]
+    rows[14] = (7, 0, "page", "7", "700", False, "page not found")
+    replayed = spark.createDataFrame(rows, "trail_id bigint, stop_index bigint, stop_type string, expected string, actual string, match boolean, error string")
+    before = files()
+    touched = replay.refresh_store(spark, str(tmp_path), replayed)
+    part = {r.trail_id: r.part for r in spark.read.parquet(str(tmp_path / "trails")).collect()}
+    assert set(touched) == {part[3], part[5]}
+    same = {p for p, t in files().items() if before.get(p) == t}
+    assert all(p in same for p in before if int(p.parent.name.split("=")[1]) not in touched)
+    got = {(r.trail_id, r.stop_index): r.value_str for r in spark.read.parquet(str(tmp_path / "stops")).collect()}
+    assert got == {(t, i): "77" if (t, i) == (3, 0) else "9" if (t, i) == (5, 1) else str(t) for t in range(40) for i in range(2)}
+    codes = {r.trail_id: r.passcode for r in spark.read.parquet(str(tmp_path / "trails")).collect()}
+    assert codes == {t: 9 if t == 5 else t % 10 for t in range(40)}
+    assert replay.refresh_store(spark, str(tmp_path), replayed) == []

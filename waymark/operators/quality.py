@@ -6,6 +6,8 @@ the arrival position ``ord``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,23 +78,35 @@ def reject_counts(gated: DataFrame) -> DataFrame:
     return gated.groupBy(F.coalesce("reject_reason", F.lit("passed")).alias("outcome")).agg(F.count(F.lit(1)).alias("pages"))
 
 
+def majority(rows: DataFrame, key: str, *item: str) -> DataFrame:
+    """(key, top): how many rows the item has that more than half of a key's rows share; keys without such an item are left out.
+
+    If an item has more than half of the rows, each bit of its hash has it too, so the bits that are set in most rows name the only candidate:
+    one fixed set of counters per key, added up in any order, instead of a row per item. A second count keeps the candidates that hold.
+    """
+    hashed = rows.select(key, *item, F.xxhash64(*[F.col(c).isNull() for c in item], *item).alias("__h"))
+    bits = [F.sum(F.call_function("shiftright", F.col("__h"), F.lit(i)).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]
+    counted = hashed.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *bits)
+    set_bits = [F.when(F.col(f"b{i}") * 2 > F.col("__n"), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)) for i in range(64)]
+    candidate = reduce(lambda x, y: x.bitwiseOR(y), set_bits)
+    candidates = counted.select(key, candidate.alias("__h"), "__n")
+    held = hashed.join(candidates, [key, "__h"]).groupBy(key, *item).agg(F.count(F.lit(1)).alias("top"), F.first("__n").alias("__n"))
+    return held.where(F.col("top") * 2 > F.col("__n")).select(key, "top")
+
+
 def graph_gate(pages: DataFrame, graphs: DataFrame) -> DataFrame:
     """First reason a crawled graph is unfit (null: fit): ``pages(graph_id, title, infobox)``, ``graphs(graph_id, level)``."""
     box = F.col("infobox")
     prefix = F.lower(F.array_join(F.slice(words(F.col("title")), 1, 2), " "))
     rows = pages.select("graph_id", prefix.alias("prefix"), (F.size(box) > 0).alias("boxed"), ((F.size(box) > 0) & has_number(box)).alias("numeric"))
-    per_prefix = rows.groupBy("graph_id", "prefix").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("boxed").alias("boxed"), F.count_if("numeric").alias("numeric")
-    )
-    sums = per_prefix.groupBy("graph_id").agg(
-        F.sum("n").alias("n"), F.sum("boxed").alias("boxed"), F.sum("numeric").alias("numeric"), F.max("n").alias("top_prefix")
-    )
-    g = graphs.join(level_config(pages.sparkSession), "level").join(sums, "graph_id", "left").fillna(0, ["n", "boxed", "numeric", "top_prefix"])
+    sums = rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("boxed").alias("boxed"), F.count_if("numeric").alias("numeric"))
+    narrow = majority(rows, "graph_id", "prefix").select("graph_id", F.lit(True).alias("narrow"))
+    g = graphs.join(level_config(pages.sparkSession), "level").join(sums, "graph_id", "left").join(narrow, "graph_id", "left").fillna(0, ["n", "boxed", "numeric"])
     need = F.greatest(F.lit(3), F.floor(F.col("depth_min") / 2))
     reason = (
         F.when(F.col("n") < F.col("depth_min"), "few_pages")
         .when(F.col("boxed") < need, "few_infobox_pages")
-        .when((F.col("n") >= 8) & (F.col("top_prefix") / F.col("n") > 0.5), "narrow_topic")
+        .when((F.col("n") >= 8) & F.col("narrow").isNotNull(), "narrow_topic")
         .when(F.col("numeric") < 2, "few_numeric_pages")
     )
     return g.select("graph_id", "level", reason.alias("reject_reason"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.numbers import recompute
@@ -15,6 +15,7 @@ from waymark.functions.values import close, to_float, whole
 from waymark.operators import transforms
 from waymark.operators.facts import look_up
 from waymark.operators.replies import replay_chains
+from waymark.session import cut_lineage
 
 K = ["trail_id", "stop_index"]
 
@@ -118,10 +119,49 @@ def search_stability(stops: DataFrame, search_replies: DataFrame) -> DataFrame:
 
 
 def refresh(trails: DataFrame, stops: DataFrame, replayed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(trails, stops) with replayed tool and compute values and passcodes; failed trails stay as they are."""
+    """(trails, stops) with replayed tool and compute values and passcodes, and whether a row ``changed``; failed trails stay as they are."""
     good = replay_trails(replayed).where("success").select("trail_id", F.col("passcode").alias("new_passcode"))
     new = replayed.where("stop_type IN ('tool', 'compute') AND actual IS NOT NULL").join(good.select("trail_id"), "trail_id", "left_semi").select(*K, "actual")
-    s = stops.join(new, K, "left").withColumn("value_str", F.coalesce("actual", "value_str")).withColumn("value_num", F.coalesce(to_float(F.col("actual")), F.col("value_num"))).drop("actual")
-    t = trails.join(good, "trail_id", "left")
+    return _with_values(trails, good, stops, new)
+
+
+def _with_values(trails: DataFrame, codes: DataFrame, stops: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    s = stops.join(values, K, "left").withColumn("changed", F.coalesce(~F.col("actual").eqNullSafe(F.col("value_str")) & F.col("actual").isNotNull(), F.lit(False)))
+    s = s.withColumn("value_str", F.coalesce("actual", "value_str")).withColumn("value_num", F.coalesce(to_float(F.col("actual")), F.col("value_num"))).drop("actual")
+    t = trails.join(codes, "trail_id", "left")
     t = t.withColumn("changed", F.coalesce(F.col("new_passcode") != F.col("passcode"), F.lit(False))).withColumn("passcode", F.coalesce("new_passcode", "passcode").cast("bigint"))
     return t.drop("new_passcode"), s
+
+
+#: Parts of a store: a change rewrites the parts it is in.
+PARTS = 64
+
+
+def write_store(trails: DataFrame, stops: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Trails and stops as Parquet folders below ``path``, dealt into parts by trail; the number of parts belongs to the store."""
+    for name, rows in (("trails", trails), ("stops", stops)):
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("trail_id"), F.lit(parts)).cast("int"))
+        dealt.repartition("part", F.pmod(F.xxhash64("trail_id", F.lit("file")), F.lit(4))).write.partitionBy("part").parquet(f"{path}/{name}")
+
+
+def refresh_store(spark: SparkSession, path: str, replayed: DataFrame) -> list[int]:
+    """Refresh a store in place (see :func:`refresh`); the parts that were rewritten.
+
+    Only parts with a changed row are written, by dynamic partition overwrite: the files of all others are neither read again nor touched.
+    Their new content is checkpointed before it replaces the old, and a repeated refresh changes nothing more.
+    """
+    good = cut_lineage(replay_trails(replayed).where("success").select("trail_id", F.col("passcode").alias("new_passcode")))
+    new = replayed.where("stop_type IN ('tool', 'compute') AND actual IS NOT NULL").join(good.select("trail_id"), "trail_id", "left_semi").select(*K, "actual")
+    new = cut_lineage(new)
+
+    def now() -> tuple[DataFrame, DataFrame]:
+        return _with_values(spark.read.parquet(f"{path}/trails"), good, spark.read.parquet(f"{path}/stops"), new)
+
+    touched: set[int] = set()
+    for name, rows in zip(("trails", "stops"), now(), strict=True):
+        parts = [r["part"] for r in rows.where("changed").select("part").distinct().collect()]  # at most the parts of the store
+        if parts:
+            fresh = cut_lineage(rows.where(F.col("part").isin(parts)).drop("changed"))
+            fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/{name}")
+        touched.update(parts)
+    return sorted(touched)

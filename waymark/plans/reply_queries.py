@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from waymark.operators import replay, replies
 from waymark.plans import views
 from waymark.plans.registry import query
+from waymark.session import scratch_path
 
 
 def _json(*fields) -> object:
@@ -314,6 +315,17 @@ def refreshed_trails(spark, sf):
     return trails.select("trail_id", "passcode", "changed")
 
 
+@query("refreshed_store", f"""WITH {_TRAIL_REPLAY} SELECT s.trail_id, s.stop_index, CASE WHEN q.success AND s.stop_type IN ('tool', 'compute') THEN coalesce(r.actual, s.value_str) ELSE s.value_str END AS value_str
+FROM stops_v s LEFT JOIN trail_q q ON q.trail_id = s.trail_id LEFT JOIN replay_q r ON r.trail_id = s.trail_id AND r.stop_index = s.stop_index""")
+def refreshed_store(spark, sf):
+    """Stops of a store that is refreshed in place."""
+    s, _chain, r = _replay(spark, sf)
+    path = scratch_path(spark, "store")
+    replay.write_store(views.trails(spark, sf), s.select("trail_id", "stop_index", "stop_type", "value_str", "value_num"), path, parts=8)
+    replay.refresh_store(spark, path, r)
+    return spark.read.parquet(f"{path}/stops").select("trail_id", "stop_index", "value_str")
+
+
 _TRIALS = """trials_q AS (SELECT s.trail_id, s.stop_index, s.stop_type, t.trial, CASE WHEN l_partkey % 19 = 0 THEN NULL WHEN l_partkey % 7 = 0 AND t.trial = 1 THEN extracted_value * 2 + 5 WHEN l_partkey % 5 = 0 AND t.trial = 0 THEN NULL ELSE extracted_value END AS v,
   l_suppkey % 2 = 0 AS has_forecast FROM stops_v s, range(3) t(trial)),
 ref_q AS (SELECT trail_id, stop_index, arg_min(v, trial) FILTER (v IS NOT NULL) AS r FROM trials_q GROUP BY 1, 2),

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
+from waymark.sources.file_tree import write_tree
 
 K = ["trail_id", "stop_index"]
-#: Files of a task, at most: the table of templates is broadcast.
-MOST_TEMPLATES = 1000
 
 
 def _of(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -56,19 +51,8 @@ def trail_documents(trails: DataFrame, stops: DataFrame, chain: DataFrame, deps:
 
 
 def write_files(files: DataFrame, path: str) -> None:
-    """Write each row (rel_path, content) as a file of its own below ``path``; a repeated attempt writes the same file again."""
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(path)
-        for batch in batches:
-            for row in batch.to_pylist():
-                target = f"{base}/{row['rel_path']}"
-                store.create_dir(target.rpartition("/")[0], recursive=True)
-                with store.open_output_stream(target) as out:
-                    out.write((row["content"] or "").encode())
-            yield batch.select(["rel_path"])
-
-    files.select("rel_path", "content").mapInArrow(put, "rel_path string").write.format("noop").mode("overwrite").save()
+    """Write each row (rel_path, content) as a file of its own below ``path``; files appear once all tasks are through (see :mod:`waymark.sources.file_tree`)."""
+    write_tree(files, path)
 
 
 def write_trails(documents: DataFrame, path: str) -> None:
@@ -91,9 +75,6 @@ def task_files(tasks: DataFrame, templates: DataFrame, existing: DataFrame, over
 
     ``templates`` is the set of files of one task. Placeholders in braces take the values of the task.
     """
-    n = templates.count()
-    if n > MOST_TEMPLATES:
-        raise ValueError(f"a task has {n} files; more than {MOST_TEMPLATES} aren't sent to every executor")
     ok = task_verdicts(tasks, existing, overwrite).where("reason IS NULL").select("task_id")
     t = tasks.join(ok, "task_id", "left_semi")
     timeout = F.when(F.col("level").isin(fixed.LEVELS), F.lit(f"{fixed.TRIAL_SECONDS}.0")).otherwise("900.0")
@@ -101,7 +82,9 @@ def task_files(tasks: DataFrame, templates: DataFrame, existing: DataFrame, over
     content = F.col("content")
     for name, value in values.items():
         content = F.replace(content, F.lit("{" + name + "}"), value)
-    return t.join(F.broadcast(templates)).select("task_id", "rel_path", content.alias("content"))
+    # the files of one task travel as an array of their own, not as a table that each executor holds
+    files = templates.agg(F.collect_list(F.struct("rel_path", "content")).alias("files"))
+    return t.join(F.broadcast(files)).select("*", F.inline("files")).select("task_id", "rel_path", content.alias("content"))
 
 
 def task_verdicts(tasks: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
