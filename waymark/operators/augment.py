@@ -121,12 +121,14 @@ def augment(trails: DataFrame, stops: DataFrame, chain: DataFrame, replies: Data
     added = tools.select("trail_id").unionByName(reasons.select("trail_id")).groupBy("trail_id").agg(F.count(F.lit(1)).alias("added"))
     rebuilt = build.compute_stops(s2, seed).drop("referenced_stops").join(ends, "trail_id", "left_semi")
     s3 = s2.unionByName(rebuilt, allowMissingColumns=True).join(added, "trail_id", "left_semi").withColumn("stored_index", F.col("stop_index"))
+    s3 = cut_lineage(s3)
     chain3 = s3.select(*K, F.inline("chain"))
     codes = build.roll_up(s3.withColumn("extraction_section", F.lit(None).cast("string"))).select("trail_id", F.col("passcode").alias("new_code"))
     t3 = trails.join(codes, "trail_id").withColumn("passcode", F.when(F.col("new_code") >= 0, F.col("new_code")).otherwise(F.col("passcode"))).drop("new_code")
+    about = cut_lineage(checks.trail_facts(t3, s3))
     issues = (
-        checks.check_structure(t3, s3)
-        .unionByName(checks.check_passcode(t3, s3))
+        checks.check_structure(t3, s3, about)
+        .unionByName(checks.check_passcode(t3, s3, about))
         .unionByName(checks.check_values(s3, chain3))
         .unionByName(checks.check_bridges(s3, chain3))
         .unionByName(checks.check_tool_steps(chain3))

@@ -14,6 +14,7 @@ from waymark import fixed
 from waymark.functions.text import drop_final_parenthesis, has_citation, is_specific_title, tail_title
 from waymark.functions.values import is_weekend, iso_date, to_float, whole
 from waymark.operators.dims import level_config
+from waymark.session import cut_lineage
 
 CRITICAL, WARNING = "critical", "warning"
 ISSUE_COLUMNS = ["trail_id", "category", "severity", "stop_index", "detail"]
@@ -52,8 +53,9 @@ def last_digit(last: Column) -> Column:
     return F.pmod(whole(to_float(last["value_str"])), F.lit(10))
 
 
-def check_structure(trails: DataFrame, stops: DataFrame) -> DataFrame:
-    facts = trail_facts(trails, stops)
+def check_structure(trails: DataFrame, stops: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """``facts`` are those of :func:`trail_facts` where the caller has them."""
+    facts = trail_facts(trails, stops) if facts is None else facts
     at_trail = issues_of(
         facts,
         issue(F.col("n") == 0, "no_stops", CRITICAL),
@@ -68,8 +70,8 @@ def check_structure(trails: DataFrame, stops: DataFrame) -> DataFrame:
     return at_trail.unionByName(at_stop)
 
 
-def check_passcode(trails: DataFrame, stops: DataFrame) -> DataFrame:
-    facts = trail_facts(trails, stops)
+def check_passcode(trails: DataFrame, stops: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    facts = trail_facts(trails, stops) if facts is None else facts
     code = F.col("passcode")
     valid = F.coalesce((code >= 0) & (code <= 9), F.lit(False))
     digit = last_digit(F.col("last"))
@@ -80,9 +82,9 @@ def check_passcode(trails: DataFrame, stops: DataFrame) -> DataFrame:
     )
 
 
-def check_counts(trails: DataFrame, stops: DataFrame) -> DataFrame:
+def check_counts(trails: DataFrame, stops: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Stop counts against the ranges of the level; levels without ranges are passed over."""
-    facts = trail_facts(trails, stops).join(level_config(trails.sparkSession), "level")
+    facts = (trail_facts(trails, stops) if facts is None else facts).join(level_config(trails.sparkSession), "level")
 
     def outside(n: str, low: str, high: Column) -> Column:
         return (F.col(n) < F.col(low)) | (F.col(n) > high)
@@ -216,10 +218,11 @@ def invalid_documents(documents: DataFrame) -> DataFrame:
 
 def check_trails(trails: DataFrame, stops: DataFrame, chain: DataFrame, deps: DataFrame) -> DataFrame:
     """All static check groups. ``trails`` without a riddle column skips the riddle group."""
+    facts = cut_lineage(trail_facts(trails, stops))  # one row per trail, read by three groups
     parts = [
-        check_structure(trails, stops),
-        check_passcode(trails, stops),
-        check_counts(trails, stops),
+        check_structure(trails, stops, facts),
+        check_passcode(trails, stops, facts),
+        check_counts(trails, stops, facts),
         check_values(stops, chain),
         check_bridges(stops, chain),
         check_tool_steps(chain),

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from waymark.functions.skew import first_upto, running_sum
 from waymark.functions.text import strip, visit_url
-from waymark.functions.values import fixed_point, let, parse_number, share, to_float, whole
+from waymark.functions.values import fixed_point, let, parse_number, round_even, share, to_float, whole
+from waymark.session import cut_lineage
 
 
 def trial_status(trails: DataFrame, answers: DataFrame) -> DataFrame:
@@ -337,6 +338,7 @@ def intermediate_values(stops: DataFrame, log: DataFrame, few: int = FEW_FORMS)
     golden = stops.where("value_str IS NOT NULL").select(
         F.col("trail_id").alias("trial_id"), "stop_index", value_forms(strip(F.col("value_str"))).alias("forms")
     )
+    golden = cut_lineage(golden)  # read for totals, sizes, arrays, probes and hits
     wanted = golden.join(log.select("trial_id").distinct(), "trial_id", "left_semi").select(
         "trial_id", "stop_index", F.explode("forms").alias("form")
     )
@@ -514,14 +516,22 @@ def value_accuracy(per_stop: DataFrame) -> DataFrame:
 
 
 def run_summary(results: DataFrame) -> DataFrame:
-    """One row over all runs: totals, accuracy, mean rates, mean steps, step-limit hits."""
+    """One row over all runs: totals, accuracy, mean rates, mean steps (one digit, ties to even), step-limit hits.
+
+    Rates are summed as decimals, so no order of the rows changes a mean.
+    """
+
+    def mean(rate: str) -> Column:
+        return (F.sum(F.col(rate).cast("decimal(28,18)")).cast("double") / F.count(rate)).alias(f"avg_{rate}")
+
+    runs = F.count(F.lit(1))
     return results.agg(
         F.count(F.lit(1)).alias("total_puzzles"),
         F.count_if("correct").alias("correct"),
-        F.coalesce(F.avg(F.col("correct").cast("int")), F.lit(0.0)).alias("accuracy"),
-        F.avg("page_visit_rate").alias("avg_page_visit_rate"),
-        F.avg("tool_completion_rate").alias("avg_tool_completion_rate"),
-        F.coalesce(F.sum("steps") / F.count(F.lit(1)), F.lit(0.0)).alias("avg_steps"),
+        F.when(runs > 0, F.coalesce(F.sum(F.col("correct").cast("int")), F.lit(0)) / runs).otherwise(0.0).alias("accuracy"),
+        F.when(F.count("page_visit_rate") > 0, mean("page_visit_rate")).alias("avg_page_visit_rate"),
+        F.when(F.count("tool_completion_rate") > 0, mean("tool_completion_rate")).alias("avg_tool_completion_rate"),
+        F.when(runs > 0, round_even(F.coalesce(F.sum(F.col("steps").cast("bigint")), F.lit(0)) / runs, 1)).otherwise(0.0).alias("avg_steps"),
         F.count_if("hit_step_limit").alias("step_limit_hits"),
     )
 

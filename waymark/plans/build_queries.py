@@ -82,11 +82,25 @@ def template_choice(spark, sf):
     return build.choose_templates(build.expand_templates(*_tool_inputs(spark, sf))).select("trail_id", "stop_index", "template")
 
 
-@query("template_chains", """SELECT trail_id, stop_index, CAST(x.step AS INTEGER) AS step, x.tool, x.arg, x.key FROM (SELECT trail_id, stop_index, l_partkey AS p, concat('Lake ', l_partkey % 9) AS a, concat('Lake ', l_partkey % 5) AS b FROM stops_v
-  WHERE stop_type = 'tool' AND l_partkey % 3 <> 0 AND l_partkey % 4 <> 0 AND l_partkey % 9 <> l_partkey % 5), LATERAL (VALUES (0, 'maps_geocode', a, 'coords_a'), (1, 'maps_geocode', b, 'coords_b'), (2, 'maps_distance_matrix', '["coords_a","coords_b"]', 'distance_km')) x(step, tool, arg, key)""")
+@query("template_chains", f"""WITH {_EXPAND}, d AS (SELECT s.trail_id, s.stop_index, concat('Lake ', l_partkey % 9) AS a, concat('Lake ', l_partkey % 5) AS b, CAST(ship_day AS VARCHAR) AS d,
+  CAST(CAST(ship_day - greatest(CAST(isodow(ship_day) AS INTEGER) - 5, 0) AS DATE) AS VARCHAR) AS td, {_DRAW.format(_ID, 'template')} AS n FROM stops_v s WHERE stop_type = 'tool')
+SELECT r.trail_id, r.stop_index, r.template, CAST(x.step AS INTEGER) AS step, x.tool, x.args, x.key FROM r JOIN d ON d.trail_id = r.trail_id AND d.stop_index = r.stop_index, LATERAL (VALUES
+  ('geocode_elevation', 0, 'maps_geocode', concat('address=', a), 'coords'), ('geocode_elevation', 1, 'maps_elevation', '__from_previous_as_locations=coords', 'elevation'),
+  ('geocode_weather_historical', 0, 'maps_geocode', concat('address=', a), 'coords'), ('geocode_weather_historical', 1, 'weather_historical', concat('__from_previous=coords&date=', d), 'temperature'),
+  ('geocode_weather_precipitation', 0, 'maps_geocode', concat('address=', a), 'coords'), ('geocode_weather_precipitation', 1, 'weather_historical', concat('__from_previous=coords&end_date=', d, '&select=["daily.precipitation_sum[0]"]&start_date=', d), 'precipitation'),
+  ('historical_snowfall', 0, 'maps_geocode', concat('address=', a), 'coords'), ('historical_snowfall', 1, 'weather_historical', concat('__from_previous=coords&end_date=', d, '&select=["daily.snowfall_sum[0]"]&start_date=', d), 'snowfall'),
+  ('historical_sunshine', 0, 'maps_geocode', concat('address=', a), 'coords'), ('historical_sunshine', 1, 'weather_historical', concat('__from_previous=coords&end_date=', d, '&select=["daily.sunshine_duration[0]"]&start_date=', d), 'sunshine'),
+  ('geocode_distance', 0, 'maps_geocode', concat('address=', a), 'coords_a'), ('geocode_distance', 1, 'maps_geocode', concat('address=', b), 'coords_b'), ('geocode_distance', 2, 'maps_distance_matrix', '__from_previous_as_origins_destinations=["coords_a","coords_b"]', 'distance_km'),
+  ('geocode_directions_duration', 0, 'maps_directions', concat('destination=', b, '&mode=driving&origin=', a), 'duration'), ('date_computation', 0, 'python_execute_code', concat('code=days_between(', d, ', 2024-01-01)'), 'days'),
+  ('math_conversion', 0, 'python_execute_code', concat('code=int(12.0 * ', ['3.28084', '0.621371', '1.09361', '1.8'][n % 4 + 1], ')'), 'converted'), ('nearby_poi_count', 0, 'maps_search_places', concat('query=', {sql_list(fixed.POI_TYPES)}[n % 10 + 1], ' near ', a), 'poi_count'),
+  ('place_rating', 0, 'maps_search_places', concat('query=', a), 'place_rating'), ('country_population', 0, 'countries_population', 'country=France', 'population'), ('country_area', 0, 'countries_area', 'country=France', 'area_km2'),
+  ('stock_price', 0, 'stock_historical_price', concat('date=', td, '&ticker=ABC'), 'stock_price'), ('stock_volume', 0, 'stock_volume', concat('date=', td, '&ticker=ABC'), 'stock_volume'),
+  ('crypto_price', 0, 'crypto_historical_price', concat('date=', d, '&symbol=BTCUSDT'), 'crypto_price'), ('crypto_volume', 0, 'crypto_volume', concat('date=', d, '&symbol=BTCUSDT'), 'crypto_volume')) x(template, step, tool, args, key) WHERE x.template = r.template""")
 def template_chains(spark, sf):
-    e = build.expand_templates(*_tool_inputs(spark, sf)).where("template = 'geocode_distance'").select("trail_id", "stop_index", F.inline("chain"))
-    return e.select("trail_id", "stop_index", "step", F.col("tool_name").alias("tool"), F.map_values("args")[0].alias("arg"), F.col("output_key").alias("key"))
+    """Steps and arguments of every template that a stop can use."""
+    e = build.expand_templates(*_tool_inputs(spark, sf)).select("trail_id", "stop_index", "template", F.inline("chain"))
+    args = F.array_join(F.array_sort(F.transform(F.map_entries("args"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), "&")
+    return e.select("trail_id", "stop_index", "template", "step", F.col("tool_name").alias("tool"), args.alias("args"), F.col("output_key").alias("key"))
 
 
 @query("plan_stops")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from waymark.operators import checks, dag_checks, repair
 from waymark.plans import views
 from waymark.plans.registry import query
+from waymark.session import cut_lineage
 
 _FACTS = """
 sizes_q AS (SELECT trail_id, count(*) AS n, count(*) FILTER (stop_type = 'tool') AS tools, count(*) FILTER (stop_type = 'reason') AS reasons FROM stops_v GROUP BY 1),
@@ -71,7 +72,7 @@ def _out(issues):
 
 
 def _inputs(spark, sf):
-    stops = views.stops(spark, sf)
+    stops = cut_lineage(views.stops(spark, sf))  # numbered once for all groups of checks
     return views.trails(spark, sf), stops, views.chain(stops), views.deps(stops)
 
 

@@ -95,6 +95,7 @@ def _trials_dir(spark, sf):
     reward = _file(
         at("verifier/reward.json"), status=F.when(k % 2 == 0, "correct").otherwise("unknown"), status_reason=F.when(k % 2 == 1, "empty answer").otherwise(""), answered=(k % 2 == 0).cast("double"),
         agent_answer=(k % 10).cast("string"), expected_answer=(k % 10).cast("string"), total_tool_calls=k % 17, pages_visited=F.when(k % 8 != 0, (k % 5) / F.lit(4.0)), ground_truth_steps=k % 13,
+        valid_tool_calls=k % 11, right_tool_calls=k % 4, golden_chain_length=k % 6, intermediate_correct=k % 3, intermediate_total=F.lit(3), tools_used=F.when(k % 7 != 0, (k % 3) / F.lit(2.0)), intermediate_rate=(k % 4) / F.lit(4.0),
     )
     plain = F.struct(at("verifier/reward.txt").alias("rel_path"), F.concat(F.lit(" "), F.when(k % 10 == 3, "1.0").otherwise("0"), F.lit("\n")).alias("content"))
     turn = F.struct(F.when(k % 3 == 0, "agent").otherwise("user").alias("source"))
@@ -112,27 +113,33 @@ SELECT concat(task_name, '__x') AS trial, task_name, CASE WHEN k % 4 = 3 THEN 'u
   CASE WHEN has_row THEN CASE WHEN k % 2 = 0 THEN 'correct' ELSE 'unknown' END WHEN k % 10 = 3 THEN 'correct' ELSE 'incorrect' END AS status,
   CASE WHEN has_row AND k % 2 = 1 THEN 'empty answer' ELSE '' END AS status_reason, has_row AND k % 2 = 0 AS answered, CASE WHEN has_row THEN CAST(k % 10 AS VARCHAR) END AS agent_answer,
   CASE WHEN has_row THEN CAST(k % 10 AS VARCHAR) ELSE '' END AS expected_answer, CASE WHEN has_row THEN k % 17 ELSE 0 END AS total_tool_calls, CASE WHEN has_row THEN k % 13 ELSE 0 END AS ground_truth_steps,
+  CASE WHEN has_row THEN k % 11 ELSE 0 END AS valid_tool_calls, CASE WHEN has_row THEN k % 4 ELSE 0 END AS right_tool_calls, CASE WHEN has_row THEN k % 6 ELSE 0 END AS golden_chain_length,
+  CASE WHEN has_row THEN k % 3 ELSE 0 END AS intermediate_correct, CASE WHEN has_row THEN 3 ELSE 0 END::BIGINT AS intermediate_total,
+  CASE WHEN has_row AND k % 7 <> 0 THEN (k % 3) / 2.0::DOUBLE END AS tools_used, CASE WHEN has_row THEN (k % 4) / 4.0::DOUBLE END AS intermediate_rate,
   CASE WHEN has_row AND k % 8 <> 0 THEN (k % 5) / 4.0::DOUBLE END AS pages_visited, k * 2 AS n_input_tokens, k % 50 AS n_output_tokens, k * 2 + k % 50 AS n_total_tokens,
   CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS agent_steps, (k % 10 * 60 + 30)::DOUBLE AS wall_clock_sec, 'walker' AS agent, 'm1' AS model FROM c""")
 def trial_rows(spark, sf):
     base = _trials_dir(spark, sf)
     rows = reports.trial_rows(*readers.read_trials(spark, base))
-    rows = rows.drop("valid_tool_calls", "right_tool_calls", "golden_chain_length", "intermediate_correct", "intermediate_total", "tools_used", "intermediate_rate")
     return rows.join(F.broadcast(readers.read_job_config(spark, base)), how="inner")  # a job has one header
 
 
-@query("evaluation_output", """SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 3 = 0 AS correct, c_custkey % 7 AS steps, (SELECT count(*) FROM customer) AS total_puzzles,
-  (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) AS hits FROM customer""")
+@query("evaluation_output", """WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 3 = 0 AS correct, c_custkey % 7 AS steps, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 5) / 4.0::DOUBLE END AS page_visit_rate,
+  (c_custkey % 3) / 2.0::DOUBLE AS tool_completion_rate, c_custkey % 7 = 6 AS hit_step_limit FROM customer)
+SELECT r.*, s.* FROM r, (SELECT count(*) AS total_puzzles, count(*) FILTER (correct) AS hits, round(avg(correct::INT), 9) AS accuracy, round(avg(page_visit_rate), 9) AS avg_page_visit_rate, round(avg(tool_completion_rate), 9) AS avg_tool_completion_rate,
+  round(avg(steps), 1) AS avg_steps, count(*) FILTER (hit_step_limit) AS step_limit_hits FROM r) s""")
 def evaluation_output(spark, sf):
     c = views.load(spark, sf, "customer")
     k = F.col("c_custkey")
     results = c.select(
-        k.cast("string").alias("id"), (k % 3 == 0).alias("correct"), (k % 7).alias("steps"), F.lit(None).cast("double").alias("page_visit_rate"), F.lit(None).cast("double").alias("tool_completion_rate"), (k % 7 == 6).alias("hit_step_limit")
+        k.cast("string").alias("id"), (k % 3 == 0).alias("correct"), (k % 7).alias("steps"), F.when(k % 4 != 0, (k % 5) / F.lit(4.0)).alias("page_visit_rate"), ((k % 3) / F.lit(2.0)).alias("tool_completion_rate"), (k % 7 == 6).alias("hit_step_limit")
     )
     path = scratch_path(spark, "evaluation")
     writers.write_evaluation(scoring.run_summary(results), results, path)
-    back = spark.read.schema("id string, correct boolean, steps bigint").json(f"{path}/results")
-    total = spark.read.schema("total_puzzles bigint, correct bigint").json(f"{path}/summary").withColumnRenamed("correct", "hits")
+    back = spark.read.schema("id string, correct boolean, steps bigint, page_visit_rate double, tool_completion_rate double, hit_step_limit boolean").json(f"{path}/results")
+    means = ("accuracy", "avg_page_visit_rate", "avg_tool_completion_rate")
+    total = spark.read.schema("total_puzzles bigint, correct bigint, accuracy double, avg_page_visit_rate double, avg_tool_completion_rate double, avg_steps double, step_limit_hits bigint").json(f"{path}/summary")
+    total = total.withColumnRenamed("correct", "hits").withColumns({c: F.round(c, 9) for c in means})
     return back.join(F.broadcast(total), how="inner")  # the summary is one row
 
 

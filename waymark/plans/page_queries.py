@@ -450,14 +450,16 @@ def best_facts(spark, sf):
     return facts.best_facts(hints, facts.infobox_facts(_info(spark, sf))).select(F.col("hint_id").alias("k"), "description")
 
 
-@query("chosen_facts", f"""WITH {_INFO}, {_FACTS} SELECT w.k, w.k // 4 AS trail_id, concat('Nation ', w.k % 25) AS value FROM wiki_v w WHERE w.k // 4 NOT IN (SELECT x.k // 4 FROM wiki_v x WHERE x.k % 37 = 0)""")
+@query("chosen_facts", f"""WITH {_INFO}, {_FACTS}, c AS (SELECT w.k, w.k // 4 AS trail_id, CASE w.k % 3 WHEN 1 THEN 'Population' WHEN 2 THEN 'Founded' ELSE 'Country' END AS key FROM wiki_v w WHERE w.k // 4 NOT IN (SELECT x.k // 4 FROM wiki_v x WHERE x.k % 37 = 0))
+SELECT c.k, c.trail_id, CASE WHEN c.key = 'Country' THEN concat('Nation ', c.k % 25) ELSE f.value END AS value, f.value_type FROM c JOIN fact_q f ON f.k = c.k AND f.key = c.key""")
 def chosen_facts(spark, sf):
+    """Facts of all kinds for three kinds of hints (none, a number, a year); some pages have no facts, some values are blank."""
     k = F.col("k")
-    hints = views.wiki(spark, sf).select(F.floor(k / 4).alias("trail_id"), k.alias("hint_id"), "url", F.when(k % 2 == 0, "").otherwise("the country").alias("hint"))
+    hint = F.when(k % 3 == 0, F.when(k % 2 == 0, "").otherwise("the country")).when(k % 3 == 1, "the population").otherwise("the founding/establishment year")
+    hints = views.wiki(spark, sf).select(F.floor(k / 4).alias("trail_id"), k.alias("hint_id"), "url", hint.alias("hint"))
     f = facts.infobox_facts(_info(spark, sf)).where("NOT (try_cast(split_part(url, '_', 2) AS BIGINT) % 37 = 0)")
-    # the number bonus would win the blank hint's page; keep text facts, blank some of them
-    f = f.where("value_type = 'text'").withColumn("value", F.when(F.contains("description", F.lit("location")), F.lit("[1]")).otherwise(F.col("value")))
-    return facts.choose_facts(hints, f).select(F.col("hint_id").alias("k"), "trail_id", "value")
+    f = f.withColumn("value", F.when(F.contains("description", F.lit("location")), F.lit("[1]")).otherwise(F.col("value")))
+    return facts.choose_facts(hints, f).select(F.col("hint_id").alias("k"), "trail_id", "value", "value_type")
 
 
 @query("verified_values", """WITH n AS (SELECT k, CAST(CAST(list_filter(list_transform(regexp_extract_all(replace(markdown, '12.5; -3.25', '12.5, -3.25'), '[-+]?[0-9,]+\\.?[0-9]*'), lambda x: TRY_CAST(replace(x, ',', '') AS DOUBLE)),

@@ -232,9 +232,7 @@ _RUNS = f"""WITH {_METRICS}, runs_q AS (SELECT t.trail_id, t.level, t.trail_id %
   round(avg(steps), 1) AS avg_steps, count(*) FILTER (hit_step_limit) AS step_limit_hits FROM runs_q""")
 def run_summary(spark, sf):
     s = scoring.run_summary(_runs(spark, sf))
-    for c in ("accuracy", "avg_page_visit_rate", "avg_tool_completion_rate"):
-        s = s.withColumn(c, F.round(c, 9))
-    return s.withColumn("avg_steps", F.bround("avg_steps", 1))
+    return s.withColumns({c: F.round(c, 9) for c in ("accuracy", "avg_page_visit_rate", "avg_tool_completion_rate")})
 
 
 @query("accuracy_by_level", _RUNS + """ SELECT level, count(*) AS total, count(*) FILTER (correct) AS correct, avg(correct::INT) AS accuracy FROM runs_q GROUP BY 1""")

@@ -91,9 +91,12 @@ def _plans(spark, sf):
 _PLAN = """pn AS (SELECT trail_id, count(*) AS n FROM stops_v WHERE page_url IS NOT NULL GROUP BY 1)"""
 
 
-@query("plan_steps", f"WITH {_PLAN} SELECT trail_id, n + 1 AS n_steps FROM pn WHERE trail_id % 7 <> 0")
+@query("plan_steps", f"""WITH {_PLAN} SELECT trail_id, CAST(row_number() OVER (PARTITION BY trail_id ORDER BY stop_index) - 1 AS INTEGER) AS pos,
+  CASE WHEN l_partkey % 2 = 0 THEN lower(replace(replace(page_url, 'https://en.wikipedia.org/wiki/', ''), '_', ' ')) ELSE 'other thing' END AS page_or_topic, 'altitude' AS what_to_find, 'maps' AS tool_or_method, 'next' AS result_used_for
+FROM stops_v WHERE page_url IS NOT NULL AND trail_id % 7 <> 0
+UNION ALL SELECT trail_id, CAST(n AS INTEGER), '', 'the sum', CASE WHEN trail_id % 2 = 0 THEN 'modulo' ELSE 'none' END, 'answer' FROM pn WHERE trail_id % 7 <> 0""")
 def plan_steps(spark, sf):
-    return riddles.plan_steps(_plans(spark, sf)).groupBy("trail_id").agg(F.count(F.lit(1)).alias("n_steps"))
+    return riddles.plan_steps(_plans(spark, sf))
 
 
 _KINDS = """tk AS (SELECT DISTINCT c.trail_id, CASE c.tool_name WHEN 'maps_elevation' THEN 'elevation' WHEN 'countries_population' THEN 'population' WHEN 'python_execute_code' THEN 'computation' END AS kind FROM chain_v c
