@@ -350,7 +350,22 @@ def dag_edges(spark, sf):
     return augment.dependencies(s)
 
 
-@query("diamond_trails")
+# the rows of each diamond follow their source; reason stops keep their source where it is no reason stop
+_DIAMOND_TRAILS = f"""{_DIAMOND},
+base_q AS (SELECT s.trail_id, s.stop_index AS k, -1 AS q, s.stop_type, s.value_str, NULL AS role, s.reason_source_stop AS old_src FROM stops_v s WHERE s.stop_type <> 'compute' AND s.trail_id IN (SELECT trail_id FROM dq)
+  UNION ALL SELECT trail_id, stop_index, x.seq, 'tool', CASE WHEN x.v = floor(x.v) THEN CAST(CAST(x.v AS BIGINT) AS VARCHAR) ELSE CAST(x.v AS VARCHAR) END, x.role, NULL
+  FROM dq, LATERAL (VALUES (0, 'branch', a::DOUBLE), (1, 'branch', b::DOUBLE), (2, 'merge', CASE WHEN is_add THEN a + floor(b) ELSE abs(a - floor(b)) END::DOUBLE)) x(seq, role, v)),
+new_q AS (SELECT *, row_number() OVER (PARTITION BY trail_id ORDER BY k, q) - 1 AS stop_index FROM base_q),
+put_q AS (SELECT n.trail_id, n.stop_index, n.stop_type, n.value_str, n.role, CASE WHEN n.stop_type = 'reason' AND n.old_src IS NOT NULL THEN CASE WHEN o.stop_type <> 'reason' THEN o.stop_index ELSE greatest(0, n.stop_index - 1) END END AS src
+  FROM new_q n LEFT JOIN new_q o ON o.trail_id = n.trail_id AND o.k = n.old_src AND o.q = -1),
+{COMPUTE_SQL.replace('stops_v', 'put_q')},
+done_q AS (SELECT trail_id, stop_index, stop_type, role, src, NULL::BIGINT[] AS refs FROM put_q UNION ALL SELECT trail_id, stop_index, 'compute', NULL, NULL, refs FROM compute_q),
+edge_q AS (SELECT d.trail_id, d.stop_index, CASE WHEN d.role = 'branch' THEN [CASE WHEN p.role = 'branch' THEN d.stop_index - 2 ELSE d.stop_index - 1 END] WHEN d.role = 'merge' THEN [d.stop_index - 2, d.stop_index - 1]
+  WHEN d.stop_type = 'reason' AND d.src IS NOT NULL THEN [d.src] WHEN d.stop_type = 'compute' AND len(d.refs) > 0 THEN d.refs WHEN d.stop_index = 0 THEN [] ELSE [d.stop_index - 1] END AS deps
+  FROM done_q d LEFT JOIN done_q p ON p.trail_id = d.trail_id AND p.stop_index = d.stop_index - 1)"""
+
+
+@query("diamond_trails", f"WITH {_DIAMOND_TRAILS} SELECT trail_id, stop_index, unnest(deps) AS dep FROM edge_q")
 def diamond_trails(spark, sf):
     """Trails with their diamonds put in, a rebuilt compute stop and all dependency edges."""
     s, d = _diamonds(spark, sf)
