@@ -303,7 +303,28 @@ def candidate_reasons(spark, sf):
     return augment.candidate_reasons(s, targets).select("trail_id", "after", F.col("reason_transform").alias("transform"), "value_num")
 
 
-@query("augmented_trails")
+# tools go in first, reasons are drawn over what is there then; a compute stop needs two whole values, and rows with a critical issue reject their trail
+_AUGMENTED = f"""{_NEED}, {_PLACE},
+tool_q AS (SELECT rk.trail_id, rk.stop_index, val::DOUBLE AS val FROM rk JOIN need_q n ON n.trail_id = rk.trail_id WHERE rk <= tool_needed),
+base_q AS (SELECT trail_id, stop_index AS k, 0 AS q, stop_type, value_str, value_type, reason_source_stop AS old_src FROM stops_v WHERE stop_type <> 'compute' UNION ALL SELECT trail_id, stop_index, 1, 'tool', CAST(val AS VARCHAR), 'number', NULL FROM tool_q),
+new_q AS (SELECT *, row_number() OVER (PARTITION BY trail_id ORDER BY k, q) - 1 AS stop_index FROM base_q),
+s1_q AS (SELECT n.trail_id, n.stop_index, n.stop_type, n.value_str, n.value_type, CASE WHEN n.stop_type = 'reason' THEN CASE WHEN o.stop_type <> 'reason' THEN o.stop_index ELSE greatest(0, n.stop_index - 1) END END AS src
+  FROM new_q n LEFT JOIN new_q o ON o.trail_id = n.trail_id AND o.k = n.old_src AND o.q = 0),
+{TRANSFORM_SQL.replace('stops_v', 's1_q')},
+free_q AS (SELECT DISTINCT trail_id, stop_index FROM transforms_q WHERE stop_type IN ('page', 'tool') AND (trail_id, stop_index) NOT IN (SELECT trail_id, src FROM s1_q WHERE stop_type = 'reason')),
+order_q AS (SELECT *, row_number() OVER (PARTITION BY trail_id ORDER BY md5(concat('0|', {_ID}, '|reason')), stop_index) AS rk FROM free_q),
+reason_q AS (SELECT DISTINCT o.trail_id, o.stop_index FROM order_q o JOIN need_q n ON n.trail_id = o.trail_id JOIN transforms_q x ON x.trail_id = o.trail_id AND x.stop_index = o.stop_index WHERE rk <= reason_needed AND result NOT IN (0, 1)),
+added_q AS (SELECT trail_id, count(*) AS added, count(*) FILTER (is_reason) AS reasons FROM (SELECT trail_id, false AS is_reason FROM tool_q UNION ALL SELECT trail_id, true FROM reason_q) GROUP BY 1),
+whole_q AS (SELECT trail_id, count(*) AS n FROM s1_q WHERE TRY_CAST(replace(value_str, ',', '') AS DOUBLE) IS NOT NULL GROUP BY 1),
+end_q AS (SELECT trail_id, arg_max(stop_type, stop_index) AS t FROM stops_v GROUP BY 1),
+bad_q AS (SELECT trail_id FROM stops_v WHERE stop_type <> 'compute' AND (value_kind = 'null' OR bridge_type = 'jump' OR (value_kind = 'string' AND contains(value_str, '[')))
+  UNION SELECT trail_id FROM stops_v s WHERE stop_type = 'tool' AND NOT EXISTS (SELECT 1 FROM chain_v c WHERE c.trail_id = s.trail_id AND c.stop_index = s.stop_index)
+  UNION SELECT s.trail_id FROM stops_v s JOIN chain_v c USING (trail_id, stop_index) WHERE c.step = 0 AND s.value_num = 0 AND c.tool_name IN ('stock_historical_price', 'countries_population', 'maps_geocode', 'maps_elevation')
+  UNION SELECT trail_id FROM chain_v WHERE tool_name = 'maps_lookup' OR (tool_name = 'stock_historical_price' AND isodow(CAST(arg_date AS DATE)) >= 6) OR contains(arg_address, '['))"""
+
+
+@query("augmented_trails", f"""WITH {_AUGMENTED} SELECT n.trail_id, CASE WHEN tool_needed = 0 AND reason_needed = 0 THEN 'unchanged' WHEN added IS NULL OR n.trail_id IN (SELECT trail_id FROM bad_q) OR t <> 'compute' OR coalesce(w.n, 0) + reasons < 2 THEN 'rejected' ELSE 'augmented' END AS status,
+  coalesce(added, 0) AS added FROM need_q n LEFT JOIN added_q a ON a.trail_id = n.trail_id LEFT JOIN whole_q w ON w.trail_id = n.trail_id LEFT JOIN end_q e ON e.trail_id = n.trail_id""")
 def augmented_trails(spark, sf):
     s = cut_lineage(place_stops(spark, sf))
     return augment.augment(views.trails(spark, sf), s, views.chain(s), place_replies(s)).outcome
