@@ -205,6 +205,22 @@ def check_packed(rows, capacity):
     return len(by)
 
 
+def test_ids_are_those_of_the_tokenizers_file(tmp_path):
+    path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = ["", "a b", "Ünï 12 <|endoftext|>x", LONG[:900]]
+    same = packing.Checked(path, ranks)
+    want = [same.slowly(t) for t in texts]
+    assert same(texts) == want
+    assert same.agreed
+    with open(ranks, "rb") as f:
+        lines = f.read().splitlines()
+    other = tmp_path / "other"  # a rank file of another vocabulary: its merges are gone
+    other.write_bytes(b"\n".join(lines[:300]))
+    checked = packing.Checked(path, str(other))
+    assert checked(texts) == want
+    assert not checked.agreed
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

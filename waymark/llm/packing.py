@@ -22,6 +22,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from waymark.llm.common import located, small_batches, staged
 
@@ -70,17 +71,36 @@ class Encoder:
         return np.array(ids, "<u4").tobytes()
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, path: str | None = None, ids: bool = False) -> DataFrame:
+class Checked:
+    """Ids by the tokenizers file ``path``, as its library gives them with add_special_tokens=False.
+
+    The rank file of the same vocabulary is several times faster, so it is used as long as it agrees: the first and the longest of the first
+    texts are encoded by both, and where they differ the tokenizers file encodes all.
+    """
+
+    def __init__(self, path: str, ranks: str) -> None:
+        self.exact, self.fast, self.agreed = Tokenizer.from_file(path), Encoder(ranks), None
+
+    def slowly(self, text: str) -> bytes:
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.agreed is None and texts:
+            self.agreed = all(self.fast.encode(t) == self.slowly(t) for t in {texts[0], max(texts, key=len)})
+        return [self.fast.encode(t) if self.agreed else self.slowly(t) for t in texts]
+
+
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = 0, path: str | None = None, ranks: str | None = None, ids: bool = False) -> DataFrame:
     """id, file, row, piece, start, length, ids_crc32 (and ids, if asked for) of each piece of each row of (id, locator, text)."""
-    vocabulary = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    vocabulary = path or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = Encoder(vocabulary)
+        enc = Checked(*vocabulary)
         for batch in batches:
             rows = []
-            for k, text in enumerate(batch["text"]):
-                data = enc.encode(text or "") + tail
+            for k, data in enumerate(enc([text or "" for text in batch["text"]])):
+                data += tail
                 n = len(data) // 4
                 starts = [0, *range(n % capacity or capacity, n, capacity)]
                 for p, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
@@ -156,14 +176,14 @@ def ranked(pieces: DataFrame) -> DataFrame:
     return own.join(F.broadcast(offsets), ["length", "sub"]).withColumn("rank", F.col("before") + F.col("__own")).drop("sub", "before", "__own")
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0, path: str | None = None, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0, path: str | None = None, ranks: str | None = None, ids: bool = False) -> DataFrame:
     """One row per piece: ``key``, piece, start, length, ids_crc32, [ids,] sequence_id, offset.
 
-    ``path`` is the rank file (by default of the public byte-level vocabulary). A null or empty text is its end id alone; texts are read whole;
+    ``path`` is the tokenizers file, ``ranks`` the rank file of the same vocabulary (by default those of the public byte-level one; see :class:`Checked`). A null or empty text is its end id alone; texts are read whole;
     repeated rows are packed once each, rows with a null key too. Other columns aren't read. An empty table gives no sequence.
     """
     rows = located(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))
-    pieces = staged(token_pieces(rows, capacity, end, path, ids), "pieces")
+    pieces = staged(token_pieces(rows, capacity, end, path, ranks, ids), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = plan(counts, capacity)
     starts = (slots["length"].to_numpy(np.int64) << 44) + slots["first"].to_numpy(np.int64)
