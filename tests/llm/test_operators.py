@@ -221,9 +221,12 @@ def test_ids_are_those_of_the_tokenizers_file(tmp_path):
     assert not checked.agreed
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("ranked_rows", [65_536, 3])
+def test_packing(spark, ranked_rows, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "RANKED_ROWS", ranked_rows)
+
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["a  b", " lead", "trail ", "x \n y", "<|endoftext|> z", "tab\tnew\n\nline  ", "é ñ 日本", *[f"word {i} " * (i % 50) for i in range(150)]]
     rows = [*ODD, *enumerate(texts, 100)]

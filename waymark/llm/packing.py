@@ -5,7 +5,8 @@ rest). The planner sees only how many pieces have each length: at most ``capacit
 length to the shortest and puts all pieces of a length into the open sequences with the least room that fits, counts at a time. Its plan says
 for each length which ranks go to which sequences and places, and pieces take their slots by their rank within their length.
 
-Ranks are taken in sub-groups of a length, so that a length which many documents have is dealt over tasks.
+Ranks are taken in sub-groups of a length, as many as its count asks for, so that a length which many documents have is dealt over tasks. Full
+pieces, most of a corpus of long texts, need no plan: each is a sequence.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from waymark.llm.common import located, small_batches, staged
+from waymark.llm.common import BROADCAST_ROWS, located, small_batches, staged
 
 CAPACITY = 2048
-#: Sub-groups of a length; offsets of (length, sub-group) are broadcast: CAPACITY * SUBGROUPS rows at most.
-SUBGROUPS = 128
+#: Pieces of one length that a task ranks: longer lists are dealt into sub-groups of about this size.
+RANKED_ROWS = 65_536
 END_OF_TEXT = "<|endoftext|>"
 #: What splits a text before merges: the vocabulary's own pattern, without backing up inside words.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -165,15 +166,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "slots", "per", "base", "offset"]).sort_values(["length", "first"], ignore_index=True)
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """Add ``rank``, the number of the row among those of its length."""
-    dealt = pieces.withColumn("sub", F.pmod(F.xxhash64("id", "file", "row", "piece"), F.lit(SUBGROUPS)).cast("int"))
+def ranked(pieces: DataFrame, counts: dict[int, int], rows: int) -> DataFrame:
+    """Add ``rank``, the number of the row among those of its length; ``counts`` has the number of rows of each length."""
+    parts = {n: -(-k // rows) for n, k in counts.items()}
+    groups = F.broadcast(pieces.sparkSession.createDataFrame(sorted(parts.items()), "length long, parts long"))  # a row per length
+    dealt = pieces.join(groups, "length").withColumn("sub", F.pmod(F.xxhash64("id", "file", "row", "piece"), F.col("parts")).cast("int")).drop("parts")
     sizes = dealt.groupBy("length", "sub").agg(F.count(F.lit(1)).alias("size"))
     before = Window.partitionBy("length").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "sub", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "sub").orderBy("id", "file", "row", "piece")
     own = dealt.withColumn("__own", F.row_number().over(inside) - 1)
-    return own.join(F.broadcast(offsets), ["length", "sub"]).withColumn("rank", F.col("before") + F.col("__own")).drop("sub", "before", "__own")
+    side = F.broadcast(offsets) if sum(parts.values()) <= BROADCAST_ROWS else offsets
+    return own.join(side, ["length", "sub"]).withColumn("rank", F.col("before") + F.col("__own")).drop("sub", "before", "__own")
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0, path: str | None = None, ranks: str | None = None, ids: bool = False) -> DataFrame:
@@ -185,6 +189,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     rows = located(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))
     pieces = staged(token_pieces(rows, capacity, end, path, ranks, ids), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    counts.pop(capacity, None)
     slots = plan(counts, capacity)
     starts = (slots["length"].to_numpy(np.int64) << 44) + slots["first"].to_numpy(np.int64)
     table = slots[["first", "per", "base", "offset", "length"]].to_numpy(np.int64)
@@ -195,5 +200,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
         first, per, base, offset, size = table[np.searchsorted(starts, (n << 44) + r, "right") - 1].T
         return pd.DataFrame({"sequence_id": base + (r - first) // per, "offset": offset + (r - first) % per * size})
 
-    placed = ranked(pieces).withColumn("slot", slot("length", "rank"))
+    # a full piece is a sequence of its own, numbered downwards from -1; the others take their slots by rank
+    full = pieces.where(F.col("length") == capacity).withColumn("slot", F.struct((-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    part = pieces.where(F.col("length") < capacity)
+    placed = full
+    if counts:
+        placed = full.unionByName(ranked(part, counts, RANKED_ROWS).withColumn("slot", slot("length", "rank")).drop("rank"))
     return placed.select(F.col("id").alias(key), "piece", "start", "length", "ids_crc32", *(["ids"] if ids else []), "slot.sequence_id", "slot.offset")
