@@ -354,6 +354,25 @@ def test_url_templates_learn_from_labels(spark):
     assert all(got[i] == ("block" if i % 2 else "allow") for i in range(400))
 
 
+def test_deep_branches_get_their_own_verdicts(spark):
+    deep = "/".join("abcdef")
+    rows = [(i, f"http://h/{deep}/{'spam' if i % 2 else 'news'}/{'x' * (i % 5 + 1)}/end", bool(i % 2 == 0)) for i in range(80)]
+    rows += [(200, "http://h/" + "y/" * 400, None), (201, "http://h/" + "s" * 50_000, None)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, good boolean"), [], label=F.col("good")).collect()}
+    assert {i: r.verdict for i, r in got.items()} == {i: "block" if i < 200 and i % 2 else "allow" for i, _u, _g in rows}
+    assert len({got[i].template for i in range(80)}) >= 2
+
+
+def test_a_node_with_most_urls(spark):
+    """Slugs are one variable branch, whatever their number; the branch beside them keeps its own purity."""
+    rows = [(i, f"http://hot/en/title-{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}", None if i % 3 else i % 2 == 0) for i in range(1000)]
+    rows += [(2000 + i, f"http://hot/ads/{i % 7}", False) for i in range(50)] + [(3000, "http://hot/en/title-new", None)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, good boolean"), [], label=F.col("good")).collect()}
+    assert {got[i].template for i in range(1000)} == {got[3000].template}
+    assert got[3000].template.endswith("/*")
+    assert all(got[2000 + i].verdict == "block" for i in range(50))
+
+
 # --- chat ----------------------------------------------------------------------------------
 
 
