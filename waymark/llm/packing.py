@@ -29,7 +29,7 @@ from waymark.llm.common import BROADCAST_ROWS, located, small_batches, staged
 
 CAPACITY = 2048
 #: Pieces of one length that a task ranks: longer lists are dealt into sub-groups of about this size.
-RANKED_ROWS = 65_536
+RANKED_ROWS = 1024
 END_OF_TEXT = "<|endoftext|>"
 #: What splits a text before merges: the vocabulary's own pattern, without backing up inside words.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
