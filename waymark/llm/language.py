@@ -46,7 +46,7 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", label_rows: int = 5000, entries: int = 300_000, languages: int = 50) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", label_rows: int = 5000, entries: int = 120_000, languages: int = 50) -> Model:
     """Learn from the rows that have a key that isn't held out, a text and a label; of more than ``languages`` labels, the most frequent."""
     seen = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("lang"))
     seen = seen.where(F.col("key").isNotNull() & ~held_out(F.col("key")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
