@@ -220,3 +220,28 @@ DIAMONDS = [
     ("weather_precip", "location", "geocode_weather_historical", "geocode_weather_precipitation"),
 ]
 DIAMONDS_PER_LEVEL = [("easy", 1, 1), ("medium", 1, 2), ("hard", 2, 3), ("extreme", 3, 5)]
+
+# Infobox rows, bold pairs, headings and links of a page's markdown.
+TABLE_ROW = r"(?Umd)^\|\s*\*?\*?([^|*]+?)\*?\*?\s*\|\s*(.+?)\s*\|?\s*$"
+BOLD_PAIR = r"(?Umd)\*\*([^*]+?)\*\*\s*:?\s+(.+?)(?:\n|$)"
+HEADING = r"(?Umd)^#{1,6}\s+(.+)"
+MARKDOWN_LINK = r"\[([^\]]+)\]\((/wiki/(?:[^()\s\"#]++|\([^()]*\))++)(?:#[^\s)\"]*)?(?:\s[^)]*)?\)"
+
+# Round-trip plans: tool kinds and the words that name them in a plan step (plain substrings).
+TOOL_WORDS = {
+    "elevation": ["elevation", "altitude", "height above sea"],
+    "weather": ["weather", "temperature", "precipitation", "rain"],
+    "snowfall": ["snow", "snowfall"],
+    "sunshine": ["sunshine", "sunlight", "daylight duration"],
+    "distance": ["distance", "how far"],
+    "directions": ["driving time", "duration", "travel time", "drive"],
+    "places": ["nearby", "poi", "how many.*near", "count.*near", "museums", "restaurants", "parks"],
+    "rating": ["rating", "star", "review"],
+    "population": ["population", "people", "inhabitants"],
+    "area": ["area", "square kilometer", "km²", "sq km", "land area"],
+    "conversion": ["convert", "conversion", "unit"],
+    "computation": ["arithmetic", "comput", "calculat", "days between", "date", "formula", "modulo", "digit"],
+    "reasoning": ["transform", "digital root", "prime", "divisor", "scrabble", "vowel", "binary", "roman numeral", "leap year", "day of week", "reverse", "alphabetical position", "digit sum"],
+}
+FORMULA_WORDS = ["arithmetic", "comput", "mod", "digit", "formula", "passcode", "final"]
+PLAN_FIELDS = ["page_or_topic", "what_to_find", "tool_or_method", "result_used_for"]

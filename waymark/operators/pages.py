@@ -193,10 +193,6 @@ def _pairs(text: Column, pattern: str) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct(x.alias("key"), y.alias("value")))
 
 
-_TABLE_ROW = r"(?Umd)^\|\s*\*?\*?([^|*]+?)\*?\*?\s*\|\s*(.+?)\s*\|?\s*$"
-_BOLD_PAIR = r"(?Umd)\*\*([^*]+?)\*\*\s*:?\s+(.+?)(?:\n|$)"
-
-
 def _fields(pairs: Column, strip_key) -> Column:
     """Trimmed, non-empty key-value pairs; coordinates hidden in the key become the value."""
 
@@ -228,10 +224,10 @@ def infobox(markdown: Column, window: int | None = None) -> Column:
     def read(article: Column) -> Column:
         text = article if window is None else F.substring(article, 1, window)
         table = F.filter(
-            _fields(_pairs(text, _TABLE_ROW), lambda k: strip(strip_chars(strip(k), "*"))),
+            _fields(_pairs(text, fixed.TABLE_ROW), lambda k: strip(strip_chars(strip(k), "*"))),
             lambda f: ~F.startswith(f["key"], F.lit("---")),
         )
-        bold = _fields(_pairs(text, _BOLD_PAIR), strip)
+        bold = _fields(_pairs(text, fixed.BOLD_PAIR), strip)
         rows = F.transform(F.concat(table, bold), lambda f: F.struct(F.lower(f["key"]).alias("low"), f["key"].alias("key"), f["value"].alias("value")))
         return F.transform(
             _first_by_key(rows, "low"),
@@ -241,10 +237,6 @@ def infobox(markdown: Column, window: int | None = None) -> Column:
     return let(article_body(markdown), read)
 
 
-_HEADING = r"(?Umd)^#{1,6}\s+(.+)"
-_LINK = r"\[([^\]]+)\]\((/wiki/(?:[^()\s\"#]++|\([^()]*\))++)(?:#[^\s)\"]*)?(?:\s[^)]*)?\)"
-
-
 def links(markdown: Column) -> Column:
     """Article links as an array of (text, target_title, target_url, section), first one per URL."""
     parts = F.split(markdown, r"(?Umd)(?=^#{1,6}\s+.)")
@@ -256,7 +248,7 @@ def links(markdown: Column) -> Column:
             url = drop_fragment(F.concat(F.lit(fixed.SITE), m["value"]))
             return F.struct(strip(m["key"]).alias("text"), url.alias("target_url"), section.alias("section"))
 
-        return F.transform(_pairs(p, _LINK), row)
+        return F.transform(_pairs(p, fixed.MARKDOWN_LINK), row)
 
     found = F.filter(F.flatten(F.transform(parts, of_part)), lambda l: is_article(l["target_url"]))
     titled = F.transform(
@@ -268,7 +260,7 @@ def links(markdown: Column) -> Column:
 
 def sections(markdown: Column) -> Column:
     """Section headings in order."""
-    return F.transform(F.regexp_extract_all(markdown, F.lit(_HEADING), 1), strip)
+    return F.transform(F.regexp_extract_all(markdown, F.lit(fixed.HEADING), 1), strip)
 
 
 def lead_paragraph(markdown: Column, max_chars: int = 2000) -> Column:

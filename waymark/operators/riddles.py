@@ -5,31 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark import fixed
 from waymark.functions.skew import first_per_key
 from waymark.functions.text import drop_final_parenthesis, strip, tail_title, unfence
 from waymark.operators.dims import texts
 
 K = ["trail_id", "stop_index"]
 
-# Tool kinds and the words that name them in a plan step (plain substrings).
-TOOL_WORDS = {
-    "elevation": ["elevation", "altitude", "height above sea"],
-    "weather": ["weather", "temperature", "precipitation", "rain"],
-    "snowfall": ["snow", "snowfall"],
-    "sunshine": ["sunshine", "sunlight", "daylight duration"],
-    "distance": ["distance", "how far"],
-    "directions": ["driving time", "duration", "travel time", "drive"],
-    "places": ["nearby", "poi", "how many.*near", "count.*near", "museums", "restaurants", "parks"],
-    "rating": ["rating", "star", "review"],
-    "population": ["population", "people", "inhabitants"],
-    "area": ["area", "square kilometer", "km²", "sq km", "land area"],
-    "conversion": ["convert", "conversion", "unit"],
-    "computation": ["arithmetic", "comput", "calculat", "days between", "date", "formula", "modulo", "digit"],
-    "reasoning": ["transform", "digital root", "prime", "divisor", "scrabble", "vowel", "binary", "roman numeral", "leap year", "day of week", "reverse", "alphabetical position", "digit sum"],
-}
-FORMULA_WORDS = ["arithmetic", "comput", "mod", "digit", "formula", "passcode", "final"]
-PLAN_FIELDS = ["page_or_topic", "what_to_find", "tool_or_method", "result_used_for"]
-
 
 def forbidden_titles(stops: DataFrame) -> DataFrame:
     """Titles a riddle must not name: pages of all stops but the first, longer than three characters."""
@@ -78,7 +60,7 @@ def plan_steps(plans: DataFrame) -> DataFrame:
     """Steps of round-trip plans (a JSON list, possibly fenced): ``plans(trail_id, reply)``."""
     items = F.try_variant_get(F.try_parse_json(unfence(F.col("reply"))), "$", "array<variant>")
     rows = plans.select("trail_id", F.posexplode(items).alias("pos", "item"))
-    return rows.select("trail_id", "pos", *[F.coalesce(F.try_variant_get("item", f"$.{f}", "string"), F.lit("")).alias(f) for f in PLAN_FIELDS])
+    return rows.select("trail_id", "pos", *[F.coalesce(F.try_variant_get("item", f"$.{f}", "string"), F.lit("")).alias(f) for f in fixed.PLAN_FIELDS])
 
 
 def trail_tool_types(stops: DataFrame, chain: DataFrame) -> DataFrame:
@@ -110,14 +92,14 @@ def step_tool_types(steps: DataFrame) -> DataFrame:
     """Distinct kinds of tools the plan steps name."""
     text = F.concat(F.lower("tool_or_method"), F.lit(" "), F.lower("what_to_find"))
     named = steps.withColumn("__text", text)
-    hits = [F.when(F.exists(texts(words), lambda w: F.contains(F.col("__text"), w)), F.lit(kind)) for kind, words in TOOL_WORDS.items()]
+    hits = [F.when(F.exists(texts(words), lambda w: F.contains(F.col("__text"), w)), F.lit(kind)) for kind, words in fixed.TOOL_WORDS.items()]
     return named.select("trail_id", F.explode(F.array_compact(F.array(*hits))).alias("kind")).distinct()
 
 
 def alignment(stops: DataFrame, chain: DataFrame, plans: DataFrame) -> DataFrame:
     """Agreement of a plan with its trail in 0..1: step count, topics, tool kinds, a formula; no steps give 0."""
     steps = plan_steps(plans)
-    formula = F.exists(texts(FORMULA_WORDS), lambda w: F.exists(F.array(*[F.lower(f) for f in PLAN_FIELDS[1:]]), lambda t: F.contains(t, w)))
+    formula = F.exists(texts(fixed.FORMULA_WORDS), lambda w: F.exists(F.array(*[F.lower(f) for f in fixed.PLAN_FIELDS[1:]]), lambda t: F.contains(t, w)))
     # a plan is one reply document, so its topics fit one row
     per_plan = steps.groupBy("trail_id").agg(
         F.count(F.lit(1)).alias("n_steps"), F.max(formula).alias("formula"), F.collect_set(F.when(F.col("page_or_topic") != "", F.lower("page_or_topic"))).alias("topics")
