@@ -308,7 +308,8 @@ def build_page_info(pages: DataFrame, pageviews: DataFrame | None = None, window
 
 def link_table(page_info: DataFrame) -> DataFrame:
     """Edge list of page rows: (url, pos, text, target_title, target_url, section)."""
-    return page_info.select("url", F.posexplode("outgoing_links").alias("pos", "l")).select("url", "pos", "l.*")
+    # the outer form keeps Spark from working the array out a second time, for a filter on its size
+    return page_info.select("url", F.posexplode_outer("outgoing_links").alias("pos", "l")).where("pos IS NOT NULL").select("url", "pos", "l.*")
 
 
 def monthly_pageviews(daily: DataFrame, today: Column | None = None) -> DataFrame:
