@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.functions.skew import dense_index, draw_int, first_per_key, running_sum
+from waymark.functions.skew import dense_index, draw_int, first_per_key, join_counted, running_sum, shuffled
 from waymark.functions.text import clean_markdown, strip, strip_chars, unfence, unquote, words
 from waymark.functions.values import close, let, number_text, parse_date, to_float
 from waymark.operators.dims import table, texts
@@ -35,7 +35,8 @@ def infobox_facts(page_info: DataFrame) -> DataFrame:
         ))
 
     facts = F.filter(F.transform("infobox", fact), lambda x: x["value_type"].isNotNull())
-    return page_info.select("url", F.posexplode(facts).alias("pos", "f")).select(
+    # the outer form keeps Spark from working the array out a second time, for a filter on its size
+    return page_info.select("url", F.posexplode_outer(facts).alias("pos", "f")).where("pos IS NOT NULL").select(
         "url", "pos", "f.*", F.lit("infobox").alias("section"), F.lit(1.0).alias("confidence"), F.lit("infobox").alias("source_tier")
     )
 
@@ -102,13 +103,15 @@ def hint_scores(hints: DataFrame, facts: DataFrame) -> DataFrame:
     """Every fact of the hinted page with the words it shares with the hint, plus 0.5 for numbers."""
     shared = F.size(F.array_intersect(words(F.lower("hint")), words(F.lower("description"))))
     score = shared + F.when(F.col("value_type") == "number", 0.5).otherwise(0.0)
-    return hints.join(facts, "url").withColumn("score", F.when(F.coalesce("hint", F.lit("")) != "", score))
+    return hints.join(shuffled(facts), "url").withColumn("score", F.when(F.coalesce("hint", F.lit("")) != "", score))
 
 
 def best_facts(hints: DataFrame, facts: DataFrame) -> DataFrame:
     """Best fact per hint, first one on ties: ``hints(hint_id, url, hint)``; blank hints match nothing."""
-    scored = hint_scores(hints, facts).where("score IS NOT NULL")
-    return first_per_key(scored, ["hint_id"], [F.col("score").desc(), F.col("pos")])
+    scored = hint_scores(hints.select("url", "hint").distinct(), facts).where("score IS NOT NULL")
+    best = first_per_key(scored, ["url", "hint"], [F.col("score").desc(), F.col("pos")])
+    # stops that put one hint to one page share its fact; blank hints have no score, so no hint is null here
+    return join_counted(hints, best, ["url", "hint"])
 
 
 def choose_facts(hints: DataFrame, facts: DataFrame) -> DataFrame:
@@ -116,15 +119,21 @@ def choose_facts(hints: DataFrame, facts: DataFrame) -> DataFrame:
 
     ``hints(trail_id, hint_id, url, hint)``. A trail with a stop that has no usable fact is dropped.
     """
-    cleaned = hint_scores(hints, facts).withColumn("value", clean_markdown(F.col("value")))
-    usable = cleaned.where(strip(F.col("value")) != "")
+    # stops that put one hint to one page share its fact; no hint counts as a blank one, which has no score
+    asked = hints.select("url", F.coalesce("hint", F.lit("")).alias("asked"))
+    cleaned = hint_scores(asked.distinct().withColumnRenamed("asked", "hint"), facts).withColumn("value", clean_markdown(F.col("value")))
     # the best match leads only while its own value is usable; the others follow in fact order
-    lead = first_per_key(cleaned.where("score IS NOT NULL"), ["hint_id"], [F.col("score").desc(), F.col("pos")])
-    lead = lead.select("hint_id", F.col("pos").alias("lead_pos"))
-    order = [(F.coalesce(F.col("pos") == F.col("lead_pos"), F.lit(False))).desc(), F.col("pos")]
-    chosen = first_per_key(usable.join(lead, "hint_id", "left"), ["hint_id"], order)
-    failed = hints.join(chosen.select("hint_id"), "hint_id", "left_anti").select("trail_id").distinct()
-    return chosen.join(failed, "trail_id", "left_anti").drop("lead_pos", "score")
+    place = F.struct("pos", *[c for c in facts.columns if c not in ("url", "pos")])
+    usable = strip(F.col("value")) != ""
+    best = F.max_by(F.struct(place.alias("fact"), usable.alias("usable")), F.struct("score", (-F.col("pos")).alias("back")))
+    picked = cleaned.groupBy("url", "hint").agg(
+        F.when(F.max("score").isNotNull(), best).alias("lead"), F.min_by(F.when(usable, place), F.when(usable, F.col("pos"))).alias("first")
+    )
+    fact = F.when(F.col("lead.usable"), F.col("lead.fact")).otherwise(F.col("first"))
+    picked = picked.select("url", F.col("hint").alias("asked"), fact.alias("fact")).where("fact IS NOT NULL")
+    chosen = join_counted(hints.withColumn("asked", F.coalesce("hint", F.lit(""))), picked, ["url", "asked"], "left").drop("asked")
+    failed = chosen.where("fact IS NULL").select("trail_id").distinct()
+    return chosen.join(shuffled(failed), "trail_id", "left_anti").select(*hints.columns, "fact.*")
 
 
 # --- verification against page text ----------------------------------------------------------
