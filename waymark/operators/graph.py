@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.functions.skew import first_per_key
+from waymark.functions.skew import first_per_key, shuffled
 from waymark.functions.text import article_title, drop_fragment, is_article, is_dull_title
 from waymark.session import cut_lineage
 
@@ -105,7 +105,7 @@ def with_infobox_only(pages: DataFrame) -> DataFrame:
 def link_texts(pairs: DataFrame, links: DataFrame) -> DataFrame:
     """Anchor text of the first link between two pages: ``pairs(src, dst)``."""
     first = links.groupBy(F.col("url").alias("src"), F.col("target_url").alias("dst")).agg(F.min_by("text", "pos").alias("link_text"))
-    return pairs.join(first, ["src", "dst"], "left")
+    return pairs.join(shuffled(first), ["src", "dst"], "left")
 
 
 def page_summaries(pages: DataFrame, chars: int = 300) -> DataFrame:
@@ -131,4 +131,4 @@ def links_in_values(facts: DataFrame, links: DataFrame) -> DataFrame:
     The join is on the page; a fact keeps its links as rows.
     """
     l = links.select("url", "pos", "target_url", F.lower("text").alias("low"))
-    return facts.join(l, "url").where(F.contains(F.lower("value"), F.col("low"))).drop("low")
+    return facts.join(shuffled(l), "url").where(F.contains(F.lower("value"), F.col("low"))).drop("low")
