@@ -1,9 +1,12 @@
 """Plans and results that hold at sizes the small tables don't show."""
 
+from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from waymark.functions.skew import kept_here, spread
-from waymark.operators import facts, graph
+from waymark.operators import checks, facts, graph
+from waymark.plans import catalog
+from waymark.sources import readers, writers
 
 
 def plan(df):
@@ -57,3 +60,26 @@ def test_links_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(texts) + plan(values)
     assert {(r.src, r.link_text) for r in texts.collect()} == {("a", "x"), ("b", None)}
     assert [r.pos for r in values.collect()] == [0]
+
+
+def test_documents_that_only_begin_with_json(spark):
+    good = ["{}", "[1]", " 12 ", '"a"', "null", '{"a": 1, "b": [2, {"c": "d"}]}', "-1.5e3", "true"]
+    bad = [None, "", " ", "12 monkeys", "1],[2", '1,"b":0', '1,"a":2', '1}{"a":2', "[1] x", '"a" b', "{", "true story", '{"a": 1} {"b": 2}']
+    d = spark.createDataFrame(list(enumerate(good + bad)), "trail_id int, text string")
+    assert sorted(r.trail_id for r in checks.invalid_documents(d).collect()) == list(range(len(good), len(good) + len(bad)))
+
+
+def test_values_of_pages_with_long_numbers(spark, tmp_path):
+    small = "/root/testdata/sf0.001"
+    con = connect(small)
+    part = spark.read.parquet(f"{small}/part.parquet").withColumn("p_partkey", F.col("p_partkey") % 16 + 3990).dropDuplicates(["p_partkey"])
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    con.execute(f"CREATE OR REPLACE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert compare(spark, con, catalog.QUERIES["verified_values"], catalog.SQL["verified_values"], str(tmp_path))[0] == ""
+
+
+def test_stored_documents_are_packed(spark, tmp_path):
+    documents = spark.range(100).selectExpr("'easy' level", """concat('{"stops":[],"trail_id":"', id, '","difficulty":{"level":"easy"}}') value""")
+    writers.write_trails(documents, str(tmp_path / "d"))
+    assert {p.suffix for p in (tmp_path / "d").rglob("part-*")} == {".gz"}
+    assert {r.sample_id for r in readers.read_document_lines(spark, str(tmp_path / "d")).collect()} == {f"easy/{i}" for i in range(100)}

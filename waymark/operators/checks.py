@@ -210,10 +210,16 @@ def check_depends_on(deps: DataFrame) -> DataFrame:
 
 
 def invalid_documents(documents: DataFrame) -> DataFrame:
-    """Documents that are not JSON: ``documents(trail_id, text)``."""
-    return issues_of(
-        documents, issue(F.try_parse_json("text").isNull(), "invalid_json", CRITICAL, detail=F.substring("text", 1, 80))
-    )
+    """Documents that are not JSON, null texts among them: ``documents(trail_id, text)``.
+
+    Spark's parser stops after the first value of a text ("12 monkeys" gives 12). So the text is put in front of a key that no text can hold,
+    its own digest: it is one value exactly if that leaves an object of these two fields.
+    """
+    mark = F.md5("text")
+    wrapped = F.try_parse_json(F.concat(F.lit('{"a":'), F.col("text"), F.lit(',"'), mark, F.lit('":0}')))
+    fields = F.map_keys(F.try_variant_get(wrapped, "$", "map<string,variant>"))
+    whole = F.coalesce((F.size(fields) == 2) & F.array_contains(fields, mark), F.lit(False))
+    return issues_of(documents, issue(~whole, "invalid_json", CRITICAL, detail=F.substring("text", 1, 80)))
 
 
 def check_trails(trails: DataFrame, stops: DataFrame, chain: DataFrame, deps: DataFrame) -> DataFrame:

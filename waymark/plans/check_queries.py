@@ -175,7 +175,7 @@ def quarantine(spark, sf):
 
 
 @query("invalid_documents", """SELECT doc_id AS trail_id, 'invalid_json' AS category, 'critical' AS severity FROM (
-  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE CAST(to_json({'t': text}) AS VARCHAR) END AS t FROM documents) WHERE NOT json_valid(t)""")
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE CAST(to_json({'t': text}) AS VARCHAR) END AS t FROM documents) WHERE NOT coalesce(json_valid(t), false)""")
 def invalid_documents(spark, sf):
     d = views.load(spark, sf, "documents")
     doc = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.to_json(F.struct(F.col("text").alias("t"))))
