@@ -4,7 +4,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from waymark.functions.skew import kept_here, spread
-from waymark.operators import checks, facts, graph
+from waymark.operators import checks, facts, graph, pages
 from waymark.plans import catalog
 from waymark.sources import readers, writers
 
@@ -83,3 +83,31 @@ def test_stored_documents_are_packed(spark, tmp_path):
     writers.write_trails(documents, str(tmp_path / "d"))
     assert {p.suffix for p in (tmp_path / "d").rglob("part-*")} == {".gz"}
     assert {r.sample_id for r in readers.read_document_lines(spark, str(tmp_path / "d")).collect()} == {f"easy/{i}" for i in range(100)}
+
+
+def test_a_crawl_keeps_its_budget_over_levels(spark):
+    links = spark.createDataFrame([(f"https://en.wikipedia.org/wiki/P{i}", 0, f"https://en.wikipedia.org/wiki/P{i + 1}") for i in range(6)], "url string, pos int, target_url string")
+    links = links.withColumn("section", F.lit("Body"))
+    known = spark.range(7).select(F.concat(F.lit("https://en.wikipedia.org/wiki/P"), F.col("id").cast("string")).alias("url"), (F.col("id") == 1).alias("cached"))
+    seeds = known.where("endswith(url, 'P0')").select(F.lit(1).alias("graph_id"), "url")
+    out = graph.crawl(links, known, seeds, max_depth=5, max_pages=3)
+    assert "BroadcastHashJoin" not in plan(out)
+    assert sorted((r.url[-2:], r.depth, r.fetched) for r in out.collect()) == [("P0", 0, True), ("P1", 1, False), ("P2", 2, True), ("P3", 3, True)]
+
+
+def test_pages_cross_in_small_batches(spark):
+    p = spark.range(3).selectExpr("id page_id", "'<p>a</p>' html", "'t' title")
+    pages.pages_to_markdown(p)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
+def test_trial_files_are_opened_once(spark, tmp_path):
+    for k in range(3):
+        for name, text in (("result.json", "{}"), ("verifier/reward.json", '{"status": "correct"}'), ("agent/trajectory.json", '{"steps": [{"source": "agent"}]}')):
+            file = tmp_path / f"easy-{k}__x" / name
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_text(text)
+    parts = readers.read_trials(spark, str(tmp_path))
+    assert all(str(tmp_path) not in f for p in parts for f in p.inputFiles())
+    assert [p.count() for p in parts] == [3, 3, 3, 0]
+    assert readers.read_job_config(spark, str(tmp_path)).count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark import fixed
 from waymark.functions.skew import first_per_key, shuffled
 from waymark.functions.text import article_title, drop_fragment, is_article, is_dull_title
-from waymark.session import cut_lineage
+from waymark.session import written
 
 
 def normalize_urls(df: DataFrame, url: str = "url") -> DataFrame:
@@ -32,44 +32,45 @@ def crawl(links: DataFrame, pages: DataFrame, seeds: DataFrame, max_depth: int =
     ``pages(url, cached)`` lists the pages that can be read; only pages that are not cached count
     against ``max_pages``, and a missing page costs nothing. Visit order is first-in first-out, which
     is the order of (level, path), where the path holds the link positions from the seed; so no
-    global numbering is needed. One loop round per level, cut by a checkpoint.
+    global numbering is needed. One loop round per level, cut by a write to the shared folder.
 
     Returns (graph_id, url, depth, path, fetched).
     """
-    edges = followable(links)
+    # read on every level: worked out once
+    edges = written(followable(links), "edges")
+    pages = written(pages.select("url", "cached"), "pages")
     seed = seeds.select("graph_id", drop_fragment(F.col("url")).alias("url"), F.array(F.lit(0)).alias("path"))
-    frontier = cut_lineage(first_per_key(seed, ["graph_id", "url"], [F.col("path")]))
+    frontier = written(first_per_key(seed, ["graph_id", "url"], [F.col("path")]), "frontier")
     visited = frontier.select("graph_id", "url")
     budget = frontier.select("graph_id").distinct().withColumn("left", F.lit(max_pages))
     done: list[DataFrame] = []
     for depth in range(max_depth + 1):
-        known = frontier.join(pages.select("url", "cached"), "url")
+        known = frontier.join(shuffled(pages), "url")
         fresh = first_per_key(known.where("NOT cached"), ["graph_id"], [F.col("path")], max_pages)
         # the last page the budget pays for closes the level; paths after it are not reached
         spent = (
-            fresh.join(budget, "graph_id")
+            fresh.join(shuffled(budget), "graph_id")
             .groupBy("graph_id", "left")
             .agg(F.array_sort(F.collect_list("path")).alias("paths"))
             .select("graph_id", F.get("paths", F.col("left") - 1).alias("last"), F.least(F.size("paths"), "left").alias("used"))
         )
-        reached = known.join(budget, "graph_id").where("left > 0").join(spent, "graph_id", "left")
+        reached = known.join(shuffled(budget), "graph_id").where("left > 0").join(shuffled(spent), "graph_id", "left")
         level = reached.where(F.col("last").isNull() | (F.col("path") <= F.col("last"))).select(
             "graph_id", "url", F.lit(depth).alias("depth"), "path", (~F.col("cached")).alias("fetched")
         )
-        level = cut_lineage(level)
+        level = written(level, "level")
         done.append(level)
-        budget = cut_lineage(
-            budget.join(spent, "graph_id", "left").select("graph_id", (F.col("left") - F.coalesce("used", F.lit(0))).cast("int").alias("left"))
-        )
         if depth == max_depth:
             break
+        left = (F.col("left") - F.coalesce("used", F.lit(0))).cast("int").alias("left")
+        budget = written(budget.join(shuffled(spent), "graph_id", "left").select("graph_id", left), "budget")
         sighted = (
             level.select("graph_id", "url", "path")
-            .join(edges, "url")
+            .join(shuffled(edges), "url")
             .groupBy("graph_id", F.col("target_url").alias("url"))
             .agg(F.min(F.array_append("path", F.col("pos").cast("int"))).alias("path"))
         )
-        frontier = cut_lineage(sighted.join(visited, ["graph_id", "url"], "left_anti").select("graph_id", "url", "path"))
+        frontier = written(sighted.join(shuffled(visited), ["graph_id", "url"], "left_anti").select("graph_id", "url", "path"), "frontier")
         visited = visited.unionByName(frontier.select("graph_id", "url"))
     out = done[0]
     for d in done[1:]:
