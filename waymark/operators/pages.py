@@ -60,6 +60,10 @@ def sanitize_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("html", sanitize_html(F.col("html")))
 
 
+#: Pages that cross to Python at a time.
+PAGES_PER_BATCH = 500
+
+
 class _Markdown(HTMLParser):
     """Headings, links, bold, lists, images and tables of one page as markdown text."""
 
@@ -141,6 +145,8 @@ def pages_to_markdown(pages: DataFrame, header: bool = False, max_chars: int | N
     ``header`` form: images dropped, and title and language-edition count of the row put in
     front. ``max_chars`` cuts a long text and marks the cut.
     """
+    # whole pages cross to Python a few at a time, so that a worker's memory doesn't grow with the table
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAGES_PER_BATCH))
     source = pages if header else sanitize_pages(pages)
     carried = ["page_id", "title", "language_editions"] if header else ["page_id"]
     kinds = dict(pages.dtypes)
