@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.session import written
+
 TOOL_LOG_SCHEMA = "trial_id BIGINT, seq BIGINT, tool STRING, args MAP<STRING,STRING>, success BOOLEAN, result_preview STRING, result_len BIGINT, ts DOUBLE, url STRING"
 
 
@@ -132,34 +135,40 @@ def read_tool_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOOL_LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
-def _trial_part(spark: SparkSession, path: str, pattern: str, tail: str) -> DataFrame:
-    f = _files(spark, path, pattern).where(F.endswith("rel", F.lit(tail)))
+def _trial_part(files: DataFrame, tail: str) -> DataFrame:
+    f = files.where(F.endswith("rel", F.lit(tail)))
     return f.select(F.split("rel", "/")[0].alias("trial"), "text", F.try_parse_json("text").alias("doc"))
 
 
 def read_trials(spark: SparkSession, job_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(results, rewards, steps, reward_texts) of a job folder, for :func:`waymark.operators.reports.trial_rows`."""
-    r = _trial_part(spark, job_dir, "result.json", "/result.json").where("doc IS NOT NULL")
+    # the folders are listed and the files opened once for all parts
+    files = written(_files(spark, job_dir, "{result,reward,trajectory}.{json,txt}"), "files")
+    r = _trial_part(files, "/result.json").where("doc IS NOT NULL")
     exc = _v("$.exception_info", "variant")
     results = r.select(
         "trial", F.when(F.schema_of_variant(exc) == "STRING", _v("$.exception_info", "string")).when(F.schema_of_variant(exc) != "VOID", F.to_json(exc)).alias("exception_info"),
         _v("$.agent_result.n_input_tokens", "bigint").alias("n_input_tokens"), _v("$.agent_result.n_output_tokens", "bigint").alias("n_output_tokens"),
         _v("$.agent_execution.started_at", "string").alias("started_at"), _v("$.agent_execution.finished_at", "string").alias("finished_at"),
     )
-    w = _trial_part(spark, job_dir, "reward.json", "/verifier/reward.json")
+    w = _trial_part(files, "/verifier/reward.json")
     kinds = {
         "status": "string", "status_reason": "string", "answered": "double", "agent_answer": "string", "expected_answer": "string", "total_tool_calls": "bigint",
         "valid_tool_calls": "bigint", "right_tool_calls": "bigint", "golden_chain_length": "bigint", "pages_visited": "double", "tools_used": "double",
         "intermediate_correct": "bigint", "intermediate_total": "bigint", "intermediate_rate": "double", "ground_truth_steps": "bigint",
     }
     rewards = w.select("trial", *[_v(f"$.{n}", t).alias(n) for n, t in kinds.items()])
-    t = _trial_part(spark, job_dir, "trajectory.json", "/agent/trajectory.json")
+    t = _trial_part(files, "/agent/trajectory.json")
     steps = t.select("trial", F.explode(_v("$.steps", "array<variant>")).alias("doc")).select("trial", _v("$.source", "string").alias("source"))
-    texts = _trial_part(spark, job_dir, "reward.txt", "/verifier/reward.txt").select("trial", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    texts = _trial_part(files, "/verifier/reward.txt").select("trial", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
     return results, rewards, steps, texts
 
 
 def read_job_config(spark: SparkSession, job_dir: str) -> DataFrame:
     """Name and model of the first agent of a job, else ``unknown``."""
-    c = _files(spark, job_dir, "config.json").where("rel = 'config.json'").select(F.try_parse_json("text").alias("doc"))
+    try:  # the one file, so that the folders of the trials aren't listed again
+        text = spark.read.option("wholetext", True).text(f"{job_dir.rstrip('/')}/config.json")
+    except AnalysisException:
+        text = spark.createDataFrame([], "value string")
+    c = text.select(F.try_parse_json("value").alias("doc"))
     return c.select(*[F.coalesce(_v(f"$.agents[0].{n}", "string"), F.lit("unknown")).alias(a) for n, a in (("name", "agent"), ("model_name", "model"))])
