@@ -111,3 +111,10 @@ def test_trial_files_are_opened_once(spark, tmp_path):
     assert all(str(tmp_path) not in f for p in parts for f in p.inputFiles())
     assert [p.count() for p in parts] == [3, 3, 3, 0]
     assert readers.read_job_config(spark, str(tmp_path)).count() == 0
+
+
+def test_reply_documents_are_dealt_over_tasks(spark, tmp_path):
+    spark.range(10_001).selectExpr("id c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    values = catalog.QUERIES["reply_values"](spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in plan(values)
+    assert values.groupBy("case_id").count().where("count = 10001").count() == 19

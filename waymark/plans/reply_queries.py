@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waymark.functions.skew import spread
 from waymark.operators import replay, replies
 from waymark.plans import views
 from waymark.plans.registry import query
@@ -23,14 +24,14 @@ def _status(k):
     return F.when(k % 9 == 0, "ZERO_RESULTS").otherwise("OK")
 
 
-def _suppliers(spark, sf):
-    return views.load(spark, sf, "supplier")
+def _customers(spark, sf):
+    """Customers dealt over tasks by rows: their table has few bytes, and reply documents cost much."""
+    return spread(views.load(spark, sf, "customer"), "c_custkey")
 
 
-def _replies(spark, sf, results, name="results", table="customer", key="c_custkey"):
-    """Reply documents built from a table: an OK status on most rows and one named part."""
-    d = views.load(spark, sf, table)
-    return d.select(F.col(key).alias("reply_id"), _json(("status", _status(F.col(key))), (name, results)).alias("output"))
+def _replies(spark, sf, results, name="results"):
+    """Reply documents built from customers: an OK status on most rows and one named part."""
+    return _customers(spark, sf).select(_k().alias("reply_id"), _json(("status", _status(_k())), (name, results)).alias("output"))
 
 
 def _k():
@@ -88,7 +89,7 @@ def distances(spark, sf):
 
     rows = F.array(*[F.struct(F.array(*[cell(i, j) for j in range(3)]).alias("elements")) for i in range(2)])
     doc = _json(("status", _status(_k())), ("rows", rows), ("origin_addresses", F.array(F.lit("o0"), F.lit("o1"))), ("destination_addresses", F.array(F.lit("d0"), F.lit("d1"), F.lit("d2"))))
-    return replies.distances(views.load(spark, sf, "customer").select(_k().alias("reply_id"), doc.alias("output")))
+    return replies.distances(_customers(spark, sf).select(_k().alias("reply_id"), doc.alias("output")))
 
 
 @query("elevations", "SELECT c_custkey AS reply_id, CAST(i AS INTEGER) AS pos, c_acctbal + i AS elevation, c_acctbal AS lat, i::DOUBLE AS lng, 4.5::DOUBLE AS resolution FROM customer, range(2) t(i) WHERE c_custkey % 9 <> 0")
@@ -114,7 +115,7 @@ def _weather(spark, sf, series):
     lists = [F.array(_bal() + n, _bal() - n).alias(s) for n, s in enumerate(series)]
     daily = F.struct(days.alias("time"), *lists, F.array(F.lit("06:00"), F.lit("06:01")).alias("sunrise"), F.array(F.lit("20:00"), F.lit("20:01")).alias("sunset"))
     current = F.struct(_bal().alias("temperature_2m"), (_k() % 100).alias("relative_humidity_2m"), F.lit(3).alias("weather_code"))
-    return views.load(spark, sf, "customer").select(_k().alias("reply_id"), _json(("daily", daily), ("current", current)).alias("output"))
+    return _customers(spark, sf).select(_k().alias("reply_id"), _json(("daily", daily), ("current", current)).alias("output"))
 
 
 def _series_sql(series, extra=""):
@@ -136,7 +137,7 @@ def weather_forecast(spark, sf):
 def selected_paths(spark, sf):
     daily = F.struct(F.array(_k(), _k() + 1).alias("rain_sum"), F.lit("n").alias("note"))
     wanted = F.array(*[F.lit(s) for s in ("daily.rain_sum[0]", "daily.rain_sum[9]", "daily.note", "daily..note", "none.at[0]")])
-    return replies.select_paths(views.load(spark, sf, "customer").select(_k().alias("reply_id"), _json(("daily", daily)).alias("output"), wanted.alias("selectors")))
+    return replies.select_paths(_customers(spark, sf).select(_k().alias("reply_id"), _json(("daily", daily)).alias("output"), wanted.alias("selectors")))
 
 
 @query("search_sections", """SELECT c_custkey AS reply_id, 'organic' AS section, concat('[{"link":"l', c_custkey, '"},{"link":"m"}]') AS value FROM customer UNION ALL SELECT c_custkey, 'answer', concat('{"text":"', c_name, '"}') FROM customer
@@ -144,7 +145,7 @@ UNION ALL SELECT c_custkey, 'missing', NULL FROM customer""")
 def search_sections(spark, sf):
     hits = F.array(*[F.struct(x.alias("link")) for x in (F.concat(F.lit("l"), _k().cast("string")), F.lit("m"), F.lit("n"))])
     doc = _json(("organic", hits), ("answer", F.struct(F.col("c_name").alias("text"))))
-    return replies.search_sections(views.load(spark, sf, "customer").select(_k().alias("reply_id"), doc.alias("output")), ["organic", "answer", "missing"], 2)
+    return replies.search_sections(_customers(spark, sf).select(_k().alias("reply_id"), doc.alias("output")), ["organic", "answer", "missing"], 2)
 
 
 @query("country_facts", """WITH c AS (SELECT lower(n_name) AS low, arg_min(n_nationkey, n_nationkey) AS k FROM nation GROUP BY 1)
@@ -153,7 +154,7 @@ def country_facts(spark, sf):
     n = F.col("n_nationkey")
     one = views.load(spark, sf, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.concat(F.lit("Common "), n.cast("string")).alias("common"), (n * 1000).alias("population"), (n * 1.5).alias("area"))
     again = one.withColumn("pos", F.col("pos") + 100).withColumn("common", F.lit("later"))
-    asked = views.load(spark, sf, "customer").select(_k().alias("request_id"), F.concat(F.lit("Nation_"), F.col("c_nationkey").cast("string")).alias("country"))
+    asked = _customers(spark, sf).select(_k().alias("request_id"), F.concat(F.lit("Nation_"), F.col("c_nationkey").cast("string")).alias("country"))
     out = replies.country_facts(asked, one.unionByName(again))
     return out.withColumn("area", F.col("area").cast("double"))
 
@@ -211,7 +212,7 @@ _CASES = [
 @query("reply_values", "WITH r AS (SELECT c_custkey AS k, i FROM customer, range(" + str(len(_CASES)) + ") t(i)) SELECT k, i AS case_id, CASE i " + " ".join(f"WHEN {n} THEN {c[3]}" for n, c in enumerate(_CASES)) + " END AS value FROM r")
 def reply_values(spark, sf):
     rows = F.inline(F.array(*[F.struct(F.lit(n).cast("bigint").alias("case_id"), F.lit(t).alias("tool_name"), F.lit(o).alias("output_key"), f(_k()).alias("output")) for n, (t, o, f, _s) in enumerate(_CASES)]))
-    return replies.reply_values(views.load(spark, sf, "customer").select(_k().alias("k"), rows)).select("k", "case_id", "value")
+    return replies.reply_values(_customers(spark, sf).select(_k().alias("k"), rows)).select("k", "case_id", "value")
 
 
 _CONTEXT = "context"
@@ -227,7 +228,7 @@ def threaded_args(spark, sf):
         pairs = [F.lit(x) for kv in args.items() for x in kv]
         return replies.args_key(replies.resolve_args(F.create_map(*pairs), ctx))
 
-    return views.load(spark, sf, "customer").select(
+    return _customers(spark, sf).select(
         _k().alias("k"), key(__from_previous='["a", "n", "none"]', start="x").alias("merged"), key(__from_previous_as_locations="a").alias("located"),
         key(__from_previous_as_origins_destinations='["a", "b"]').alias("matrix"),
     )
