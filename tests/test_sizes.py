@@ -4,7 +4,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from waymark.functions.skew import kept_here, spread
-from waymark.operators import checks, facts, graph, pages
+from waymark.operators import augment, checks, facts, graph, pages
 from waymark.plans import catalog
 from waymark.sources import readers, writers
 
@@ -118,3 +118,14 @@ def test_reply_documents_are_dealt_over_tasks(spark, tmp_path):
     values = catalog.QUERIES["reply_values"](spark, str(tmp_path))
     assert "REPARTITION_BY_NUM" in plan(values)
     assert values.groupBy("case_id").count().where("count = 10001").count() == 19
+
+
+def test_chains_of_stops_are_written_packed_and_not_broadcast(spark):
+    stops = spark.createDataFrame([(1, 0), (1, 1)], "trail_id bigint, stop_index bigint")
+    steps = spark.createDataFrame([(1, 1, 0, "countries_area", {"country": "France"})], "trail_id bigint, stop_index bigint, step int, tool_name string, args map<string,string>")
+    chained = augment.attach_chains(stops, steps)
+    assert "BroadcastHashJoin" not in plan(chained)
+    replies = spark.createDataFrame([("countries_area", {"country": "France"}, '{"area_km2": 5.5}', None)], "tool_name string, args map<string,string>, output string, error string")
+    got = augment._values(chained.where("chain IS NOT NULL"), replies, ["trail_id", "stop_index"])
+    assert [(r.stop_index, r.value) for r in got.collect()] == [(1, "5.5")]
+    assert any(f.endswith(".zstd.parquet") for f in got.inputFiles())
