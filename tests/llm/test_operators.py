@@ -398,6 +398,20 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.examples(frame.limit(0))).count() == 0
 
 
+def test_chat_digests_are_read_from_whole_examples(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"é{c}<|{t}&" * 5) for c in (1, 2) for t in range(7)] + [(None, 0, "user", "alone")]
+    made = chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    full = chat.expand(made)
+    assert {"text", "last"} <= set(full.columns)
+    dealt = chat.expand(made, chars=500)
+    assert sorted(map(repr, full.collect())) == sorted(map(repr, dealt.collect()))
+    for c in (1, 2):
+        texts = sorted((r for r in full.collect() if r.conv_id == c), key=lambda r: r.example)
+        assert [r.last for r in texts] == [False, False, False, True]
+        assert all(b.text.startswith(a.text) for a, b in zip(texts, texts[1:], strict=False))
+        assert sum(len(r.text) for r in texts) == next(r.formatted_chars for r in chat.digests(made).collect() if r.conv_id == c)
+
+
 # --- warc ----------------------------------------------------------------------------------
 
 
