@@ -4,7 +4,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from waymark.functions.skew import kept_here, spread
-from waymark.operators import augment, checks, facts, graph, pages
+from waymark.operators import augment, checks, facts, graph, pages, replies
 from waymark.plans import catalog
 from waymark.sources import readers, writers
 
@@ -129,3 +129,14 @@ def test_chains_of_stops_are_written_packed_and_not_broadcast(spark):
     got = augment._values(chained.where("chain IS NOT NULL"), replies, ["trail_id", "stop_index"])
     assert [(r.stop_index, r.value) for r in got.collect()] == [(1, "5.5")]
     assert any(f.endswith(".zstd.parquet") for f in got.inputFiles())
+
+
+def test_equal_chains_are_replayed_once(spark, monkeypatch):
+    seen = []
+    once = replies._replayed
+    monkeypatch.setattr(replies, "_replayed", lambda chains, *a: (seen.append(chains.count()), once(chains, *a))[1])
+    steps = spark.range(50).selectExpr("id trail_id", "id % 3 stop_index", "0 step", "'countries_area' tool_name", "map('country', if(id % 2 = 0, 'France', 'Peru')) args", "string(null) output_key")
+    known = spark.createDataFrame([("countries_area", {"country": "France"}, '{"area_km2": 5.5}', None)], "tool_name string, args map<string,string>, output string, error string")
+    got = replies.replay_chains(steps, known, max_steps=1).collect()
+    assert seen == [2]
+    assert sorted((r.trail_id, r.value) for r in got) == [(i, "5.5" if i % 2 == 0 else None) for i in range(50)]

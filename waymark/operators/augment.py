@@ -13,7 +13,7 @@ from waymark.functions.values import to_float, whole
 from waymark.operators import build, checks
 from waymark.operators.dims import level_config, table
 from waymark.operators.facts import is_geocodable, stop_places
-from waymark.operators.replies import replay_chains
+from waymark.operators.replies import packed_step, replay_packed
 from waymark.session import written
 
 K = ["trail_id", "stop_index"]
@@ -43,10 +43,14 @@ _KINDS = [
 ]
 
 
-def _source_chains(stops: DataFrame, kinds: DataFrame, seed: int) -> DataFrame:
-    """Chains for the given templates at page stops: (trail_id, stop_index, kind, chain)."""
-    placed = stop_places(stops.where("stop_type = 'page' AND page_url <> ''"))
-    s = placed.select(*K, "page_url", F.when(is_geocodable(F.col("location")), F.col("location")).alias("location"), "country")
+def _placed(stops: DataFrame) -> DataFrame:
+    """Stops with their location, where it is usable, and country."""
+    return stop_places(stops).withColumn("location", F.when(is_geocodable(F.col("location")), F.col("location")))
+
+
+def _source_chains(placed: DataFrame, kinds: DataFrame, seed: int) -> DataFrame:
+    """Chains for the given templates at page stops with their places: (trail_id, stop_index, page_url, template, chain) and the columns of ``kinds``."""
+    s = placed.select(*K, "page_url", "location", "country")
     null = F.lit(None).cast("string")
     dated = ("geocode_weather_historical", "geocode_weather_precipitation")
     days = F.create_map(*[x for t in dated for x in (F.lit(t), F.lit(fixed.AUGMENT_DATE).cast("date"))])
@@ -54,13 +58,13 @@ def _source_chains(stops: DataFrame, kinds: DataFrame, seed: int) -> DataFrame:
     return s.select(*K, "page_url", F.inline(rows)).join(kinds, "template")
 
 
-def _values(chains: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
-    """Chains with their replayed values; empty and zero values are dropped."""
-    chains = written(chains, "chains")
-    steps = chains.select(*keys, F.inline("chain"))
+def _values(chains: DataFrame, replies: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of chains with their replayed values; empty and zero values are dropped."""
+    steps = F.transform("chain", lambda c: packed_step(c["step"], c["tool_name"], c["output_key"], c["args"]))
+    packed = written(chains.select(*keep, steps.alias("steps")), "chains")
     # chains of the templates have at most three steps
-    got = replay_chains(steps, replies, max_steps=3, keys=keys).where("value IS NOT NULL").select(*keys, "value")
-    return chains.join(shuffled(got), keys).where(~F.coalesce(to_float(F.col("value")) == 0, F.lit(False)))
+    got = replay_packed(packed, replies, max_steps=3).where("value IS NOT NULL").select(*keep, "value")
+    return got.where(~F.coalesce(to_float(F.col("value")) == 0, F.lit(False)))
 
 
 def candidate_tools(stops: DataFrame, replies: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
@@ -70,8 +74,8 @@ def candidate_tools(stops: DataFrame, replies: DataFrame, targets: DataFrame, se
     first drawn sources fill the target.
     """
     kinds = table(stops.sparkSession, [(t,) for _s, t in _KINDS], "template string")
-    keys = [*K, "template"]
-    good = _values(_source_chains(stops, kinds, seed), replies, keys).withColumn("draw", draw_order(seed, "tool", *keys))
+    placed = _placed(stops.where("stop_type = 'page' AND page_url <> ''"))
+    good = _values(_source_chains(placed, kinds, seed), replies, [*K, "template", "page_url", "chain"]).withColumn("draw", draw_order(seed, "tool", *K, "template"))
     best = first_per_key(good, K, [F.col("draw"), F.col("template")]).withColumn("source_draw", draw_order(seed, "source", *K))
     first = first_upto(best.join(targets, "trail_id"), ["trail_id"], [F.col("source_draw"), F.col("stop_index")], F.col("target"))
     num = to_float(F.col("value"))
@@ -155,9 +159,7 @@ def diamond_sources(stops: DataFrame) -> DataFrame:
     """Page stops, except among the last two stops, with a usable location or a known country."""
     n = stops.groupBy("trail_id").agg(F.count(F.lit(1)).alias("n"))
     s = stops.where("stop_type = 'page'").join(n, "trail_id").where("stop_index < n - 2").drop("n")
-    placed = stop_places(s)
-    location = F.when(is_geocodable(F.col("location")), F.col("location"))
-    return placed.withColumn("location", location).where("location IS NOT NULL OR country IS NOT NULL")
+    return _placed(s).where("location IS NOT NULL OR country IS NOT NULL")
 
 
 def diamond_branches(stops: DataFrame, replies: DataFrame, seed: int = 0) -> DataFrame:
@@ -165,10 +167,8 @@ def diamond_branches(stops: DataFrame, replies: DataFrame, seed: int = 0) -> Dat
     spark = stops.sparkSession
     sides = [(name, side, t) for name, _src, a, b in fixed.DIAMONDS for side, t in (("a", a), ("b", b))]
     kinds = table(spark, sides, "diamond string, side string, template string")
-    sources = diamond_sources(stops)
-    keys = [*K, "diamond", "side"]
-    chains = _source_chains(stops.join(sources.select(*K), K, "left_semi"), kinds, seed)
-    good = _values(chains, replies, keys).withColumn("num", to_float(F.col("value"))).where("num IS NOT NULL")
+    chains = _source_chains(diamond_sources(stops).where("page_url <> ''"), kinds, seed)
+    good = _values(chains, replies, [*K, "diamond", "side", "page_url"]).withColumn("num", to_float(F.col("value"))).where("num IS NOT NULL")
     return good.groupBy(*K, "diamond").agg(
         F.first("page_url").alias("page_url"), F.max(F.when(F.col("side") == "a", F.col("num"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("num"))).alias("b")
     ).where("a IS NOT NULL AND b IS NOT NULL")

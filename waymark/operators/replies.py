@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.skew import join_counted
 from waymark.functions.text import strip
 from waymark.functions.values import let, number_text, to_float, whole
-from waymark.session import cut_lineage
+from waymark.session import cut_lineage, written
 
 # --- flattening of reply documents ---------------------------------------------------------
 
@@ -336,9 +337,29 @@ def replay_chains(
     unknown call or error, and its value is then null. The steps of one stop (a handful) travel
     in one row. Returns the keys of the chains and (value, calls, error).
     """
-    k = list(keys)
+    # a stop's chain is one bounded list of its document
+    packed = chain.groupBy(*keys).agg(F.array_sort(F.collect_list(packed_step(F.col("step"), F.col("tool_name"), F.col("output_key"), F.col("args")))).alias("steps"))
+    packed = written(packed, "steps")
     if max_steps is None:
-        max_steps = (chain.agg(F.max("step")).first()[0] or 0) + 1
+        max_steps = (packed.agg(F.max(F.element_at("steps", -1)["step"])).first()[0] or 0) + 1
+    return replay_packed(packed, replies, max_steps).select(*keys, "value", "calls", "error")
+
+
+def packed_step(step: Column, tool: Column, output_key: Column, args: Column) -> Column:
+    return F.struct(step.alias("step"), tool.alias("tool_name"), output_key.alias("output_key"), args_key(args).alias("args"))
+
+
+def replay_packed(packed: DataFrame, replies: DataFrame, max_steps: int) -> DataFrame:
+    """Rows with their chain in ``steps`` (an array of :func:`packed_step`, in order), and value, calls and error of the chain.
+
+    What a chain gives depends on its steps alone, so equal chains are replayed once; rows come to their results by a join on the steps.
+    """
+    results = _replayed(packed.select("steps").distinct(), replies, max_steps)
+    return join_counted(packed, results, ["steps"])
+
+
+def _known_replies(replies: DataFrame) -> DataFrame:
+    """One row per call (tool, canonical arguments) with its reply read."""
     # values are read once per reply; only place searches depend on the output key
     parsed = reply_values(replies.withColumn("output_key", F.lit("")))
     for key in ("poi_count", "place_rating"):
@@ -349,11 +370,14 @@ def replay_chains(
         F.col("error").isNotNull().alias("failed"), F.col("error").alias("reply_error"), F.col("value").alias("reply_value"), F.col("poi_count").alias("poi_count"), F.col("place_rating").alias("place_rating")
     )
     known = parsed.select("tool_name", args_key(F.col("args")).alias("args_key"), reply.alias("reply")).groupBy("tool_name", "args_key").agg(F.min("reply").alias("reply"))
-    known = cut_lineage(known.select("tool_name", "args_key", F.lit(True).alias("answered"), "reply.reply_error", "reply.reply_value", "reply.poi_count", "reply.place_rating"))
-    # a stop's chain is one bounded list of its document
-    state = chain.groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("step", "tool_name", "output_key", args_key(F.col("args")).alias("args")))).alias("steps"))
-    state = state.select(
-        *k, "steps", F.create_map().cast("map<string,string>").alias("context"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("calls"), F.lit(None).cast("string").alias("value"),
+    return cut_lineage(known.select("tool_name", "args_key", F.lit(True).alias("answered"), "reply.reply_error", "reply.reply_value", "reply.poi_count", "reply.place_rating"))
+
+
+def _replayed(chains: DataFrame, replies: DataFrame, max_steps: int) -> DataFrame:
+    """``chains(steps)``, different ones, with value, calls and error."""
+    known = _known_replies(replies)
+    state = chains.select(
+        "steps", F.create_map().cast("map<string,string>").alias("context"), F.lit(None).cast("string").alias("error"), F.lit(0).alias("calls"), F.lit(None).cast("string").alias("value"),
     )
     for p in range(max_steps):
         s = F.get("steps", p)
@@ -363,7 +387,7 @@ def replay_chains(
             "args_key", F.when(live, args_key(resolve_args(F.from_json(s["args"], "map<string,string>"), F.col("context"))))
         )
         # rows without a call get keys of their own, so they do not gather in one task
-        idle = F.concat_ws("|", F.lit("idle"), *[F.col(c).cast("string") for c in k])
+        idle = F.concat_ws("|", F.lit("idle"), F.xxhash64("steps").cast("string"))
         keyed = resolved.withColumn("args_key", F.coalesce("args_key", idle)).withColumn("tool_name", F.coalesce("tool_name", F.lit("")))
         joined = keyed.withColumnRenamed("value", "last_value").join(known, ["tool_name", "args_key"], "left")
         by_key = F.when(F.col("tool_name") == "maps_search_places", F.when(F.col("output_key") == "poi_count", F.col("poi_count")).when(F.col("output_key") == "place_rating", F.col("place_rating")))
@@ -375,7 +399,7 @@ def replay_chains(
         kept = F.map_filter("context", lambda key, _v: ~F.equal_null(key, F.col("output_key")))
         added = F.map_concat(kept, F.create_map(F.coalesce("output_key", F.lit("result")), F.col("value")))
         state = joined.select(
-            *k, "steps", F.when(got, added).otherwise(F.col("context")).alias("context"), F.coalesce("error", err).alias("error"),
+            "steps", F.when(got, added).otherwise(F.col("context")).alias("context"), F.coalesce("error", err).alias("error"),
             (F.col("calls") + F.col("live").cast("int")).alias("calls"), F.when(got, F.col("value")).otherwise(F.col("last_value")).alias("value"),
         )
-    return state.select(*k, F.when(F.col("error").isNull(), F.col("value")).alias("value"), "calls", "error")
+    return state.select("steps", F.when(F.col("error").isNull(), F.col("value")).alias("value"), "calls", "error")

@@ -257,7 +257,7 @@ def place_stops(spark, sf):
 def place_replies(stops):
     """Replies for those places: ratings of lakes (0 for every fourth), population and area of countries."""
     title = F.replace(F.replace("page_url", F.lit(P), F.lit("")), F.lit("_"), F.lit(" "))
-    names = stops.where("page_url IS NOT NULL").select(title.alias("name")).distinct()
+    names = cut_lineage(stops.where("page_url IS NOT NULL").select(title.alias("name")).distinct())
     lakes = names.where("name LIKE 'Lake %'").withColumn("n", F.split_part("name", F.lit(" "), F.lit(2)).cast("bigint"))
 
     def reply(df, tool, args, out):
