@@ -15,7 +15,7 @@ from waymark.functions.values import close, to_float, whole
 from waymark.operators import transforms
 from waymark.operators.facts import look_up
 from waymark.operators.replies import replay_chains
-from waymark.session import cut_lineage
+from waymark.session import cut_lineage, written
 
 K = ["trail_id", "stop_index"]
 
@@ -150,6 +150,7 @@ def refresh_store(spark: SparkSession, path: str, replayed: DataFrame) -> list[i
     Only parts with a changed row are written, by dynamic partition overwrite: the files of all others are neither read again nor touched.
     Their new content is checkpointed before it replaces the old, and a repeated refresh changes nothing more.
     """
+    replayed = written(replayed, "replayed")
     good = cut_lineage(replay_trails(replayed).where("success").select("trail_id", F.col("passcode").alias("new_passcode")))
     new = replayed.where("stop_type IN ('tool', 'compute') AND actual IS NOT NULL").join(good.select("trail_id"), "trail_id", "left_semi").select(*K, "actual")
     new = cut_lineage(new)
