@@ -140,3 +140,21 @@ def test_equal_chains_are_replayed_once(spark, monkeypatch):
     got = replies.replay_chains(steps, known, max_steps=1).collect()
     assert seen == [2]
     assert sorted((r.trail_id, r.value) for r in got) == [(i, "5.5" if i % 2 == 0 else None) for i in range(50)]
+
+
+def _dated(spark):
+    stops = spark.createDataFrame([(1, 0, "u1"), (1, 4, "u1"), (2, 3, "u1"), (2, 5, "u3")], "trail_id bigint, stop_index bigint, url string")
+    days = spark.createDataFrame([(1, i % 4, f"2020-01-{i + 1:02}") for i in range(9)] + [(2, 3, "2021-01-01"), (2, 1, "2021-01-02")], "trail_id bigint, stop_index bigint, day string")
+    return stops, days.withColumn("day", F.col("day").cast("date"))
+
+
+def test_days_of_trails_with_many_of_them(spark, monkeypatch):
+    stops, days = _dated(spark)
+    # a page that no stop names is not read
+    box = F.when(F.col("url") == "u2", F.raise_error(F.lit("read"))).otherwise(F.array(F.struct(F.lit("Founded").alias("key"), F.lit("4 May 1901").alias("value"))))
+    info = spark.createDataFrame([("u1", "In 2012."), ("u2", ""), ("u3", None)], "url string, first_paragraph string").withColumn("infobox", box)
+    arrays = sorted(facts.tool_dates(stops, info, days).collect())
+    assert {(r.trail_id, r.stop_index): r.candidates for r in arrays if r.template == "date_computation"} == {(1, 0): 1, (1, 4): 10, (2, 3): 2, (2, 5): 3}
+    for rows in (0, 5):
+        monkeypatch.setattr(facts, "ARRAY_ROWS", rows)
+        assert sorted(facts.tool_dates(stops, info, days).collect()) == arrays

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.functions.skew import dense_index, draw_int, first_per_key, join_counted, running_sum, shuffled
+from waymark.functions.skew import ARRAY_ROWS, dense_index, draw_int, first_per_key, hot_keys, join_counted, running_sum, shuffled, with_earlier
 from waymark.functions.text import clean_markdown, strip, strip_chars, unfence, unquote, words
 from waymark.functions.values import close, let, number_text, parse_date, to_float
 from waymark.operators.dims import table, texts
@@ -355,32 +355,42 @@ def tool_dates(stops: DataFrame, pages: DataFrame, earlier: DataFrame, seed: int
     ``earlier(trail_id, stop_index, day)`` days found at stops of the trail. Candidates, in this order:
     days of earlier stops, days in fitting infobox fields, the year in the lead with a fixed
     day, else the fixed day of market templates. A drawn earlier day is fetched by its ordinal in
-    the trail, so stops and earlier days are never multiplied out.
+    the trail, so stops and earlier days are never multiplied out: from the trail's array of days, or by a join where a trail has many.
+    Only pages that stops name are read for days. Both inputs of stops are read several times.
     """
+    key, at = ["trail_id"], F.floor(F.col("stop_index") / 1024)
+    earlier = earlier.select("trail_id", "stop_index", "day")
+    hot = hot_keys(earlier, key, ARRAY_ROWS)
+    few, few_days = (stops, earlier) if hot is None else (df.join(shuffled(hot), key, "left_anti") for df in (stops, earlier))
+    no_days = F.array().cast("array<date>")
+    asked = with_earlier(few.select("trail_id", "stop_index", "url"), few_days, "day").withColumn("days", F.coalesce("__all.day", no_days)).drop("__all")
+    if hot is not None:
+        many, many_days = (df.join(shuffled(hot), key, "left_semi") for df in (stops, earlier))
+        marks = many.select("trail_id", "stop_index", "url", F.lit(0).alias("is_day")).unionByName(
+            many_days.select("trail_id", "stop_index", F.lit(None).cast("string").alias("url"), F.lit(1).alias("is_day"))
+        )
+        # at equal stop_index the stop comes before its own day
+        counted = running_sum(marks, key, [F.col("stop_index"), F.col("is_day")], at, F.col("is_day"), "n_before").where("is_day = 0")
+        asked = asked.unionByName(counted.select("trail_id", "stop_index", "url", "n_before", F.lit(None).cast("array<date>").alias("days")))
+
     rules = date_rules(stops.sparkSession)
     # nine fixed rules per page; the days of a page stay in its row
     fields = F.filter("infobox", lambda f: F.rlike(F.lower(f["key"]), F.col("keys")))
     days = F.array_compact(F.transform(fields, lambda f: parse_date(f["value"])))
     year = F.regexp_substr("first_paragraph", F.col("year_pattern"))
     in_lead = F.concat(year, F.col("suffix")).try_cast("date")
-    own = pages.join(rules).select(
+    own = join_counted(pages, stops.select("url").distinct(), ["url"], "left_semi").join(rules).select(
         "url", "template", F.concat(days, F.array_compact(F.array(in_lead))).alias("own"), F.col("fallback").try_cast("date").alias("fallback")
     )
-
-    key, at = ["trail_id"], F.floor(F.col("stop_index") / 1024)
-    numbered = dense_index(earlier.select("trail_id", "stop_index", "day"), key, [F.col("stop_index"), F.col("day")], at, "ord")
-    marks = stops.select("trail_id", "stop_index", "url", F.lit(0).alias("is_day")).unionByName(
-        earlier.select("trail_id", "stop_index", F.lit(None).cast("string").alias("url"), F.lit(1).alias("is_day"))
-    )
-    # at equal stop_index the stop comes before its own day
-    counted = running_sum(marks, key, [F.col("stop_index"), F.col("is_day")], at, F.col("is_day"), "n_before").where("is_day = 0")
     n = F.col("n_before") + F.size("own")
-    rows = counted.join(own, "url").withColumn("n", n).withColumn(
+    rows = join_counted(asked, own, ["url"]).withColumn("n", n).withColumn(
         "pick", F.when(n > 0, F.pmod(draw_int(seed, "date", "trail_id", "stop_index", "template"), n))
     )
-    drawn = rows.join(
-        numbered.select("trail_id", F.col("ord").alias("pick"), F.col("day").alias("earlier_day")), ["trail_id", "pick"], "left"
-    )
+    drawn = rows.where("days IS NOT NULL").withColumn("earlier_day", F.get("days", F.col("pick").cast("int")))
+    if hot is not None:
+        numbered = dense_index(many_days, key, [F.col("stop_index"), F.col("day")], at, "ord")
+        numbered = numbered.select("trail_id", F.col("ord").alias("pick"), F.col("day").alias("earlier_day"))
+        drawn = drawn.unionByName(rows.where("days IS NULL").join(shuffled(numbered), ["trail_id", "pick"], "left"))
     day = F.when(n == 0, F.col("fallback")).when(F.col("pick") < F.col("n_before"), F.col("earlier_day")).otherwise(
         F.get("own", (F.col("pick") - F.col("n_before")).cast("int"))
     )
