@@ -3,8 +3,9 @@
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
+from waymark.functions import skew
 from waymark.functions.skew import kept_here, spread
-from waymark.operators import augment, checks, facts, graph, pages, replies
+from waymark.operators import augment, build, checks, facts, graph, pages, replies
 from waymark.plans import catalog
 from waymark.sources import readers, writers
 
@@ -158,3 +159,27 @@ def test_days_of_trails_with_many_of_them(spark, monkeypatch):
     for rows in (0, 5):
         monkeypatch.setattr(facts, "ARRAY_ROWS", rows)
         assert sorted(facts.tool_dates(stops, info, days).collect()) == arrays
+
+
+def test_drawn_values_of_trails_with_many_of_them(spark, monkeypatch):
+    stops, days = _dated(spark)
+    values = days.select("trail_id", "stop_index", F.col("day").cast("string").alias("value"))
+    arrays = sorted(build.draw_earlier(stops, values, "drawn", extra=F.col("url")).collect())
+    assert [r.drawn is not None for r in arrays] == [True] * 4 and arrays[0].drawn == "u1"
+    for rows in (0, 5):
+        monkeypatch.setattr(build, "ARRAY_ROWS", rows)
+        assert sorted(build.draw_earlier(stops, values, "drawn", extra=F.col("url")).collect()) == arrays
+
+
+def test_entities_of_pages_are_broadcast_only_when_counted(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(skew, "HELD_ROWS", 0)
+    cut = build.cut_lineage
+    monkeypatch.setattr(build, "cut_lineage", lambda df: (seen.append(plan(df)), cut(df))[1])
+    planned = spark.createDataFrame([(1, 0, "page", None, "u1"), (1, 1, "tool", "place_rating", "u1")], "trail_id bigint, stop_index bigint, type string, tool_type string, url string")
+    chosen = spark.createDataFrame([(1, 0, "d", "infobox", "5", "number")], "trail_id bigint, stop_index bigint, description string, section string, value string, value_type string")
+    info = spark.createDataFrame([("u1", "Lake City", []), ("u2", "Peru", [])], "url string, title string, infobox array<struct<key string, value string, numeric_value double>>")
+    dates = spark.createDataFrame([], "trail_id bigint, stop_index bigint, template string, day date")
+    out = build.stops_from_plan(planned, chosen, info, dates).collect()
+    assert [(r.stop_index, r.stop_type, r.template) for r in out] == [(0, "page", None), (1, "tool", "place_rating")]
+    assert len(seen) == 2 and "BroadcastHashJoin" not in "".join(seen)

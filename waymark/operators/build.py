@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark import fixed
 from waymark.functions import numbers as nums
-from waymark.functions.skew import dense_index, draw_int, draw_order, first_per_key, first_upto, running_sum
+from waymark.functions.skew import ARRAY_ROWS, counted, dense_index, draw_int, draw_order, first_per_key, first_upto, hot_keys, running_sum, shuffled, with_earlier
 from waymark.functions.text import clean_markdown, strip
 from waymark.functions.values import int_view, to_float
 from waymark.operators import transforms
@@ -56,22 +56,31 @@ def check_plans(planned: DataFrame, pages: DataFrame) -> DataFrame:
 def draw_earlier(stops: DataFrame, values: DataFrame, salt: str, seed: int = 0, extra: Column | None = None) -> DataFrame:
     """One drawn value per stop among the values of earlier stops of its trail.
 
-    ``values(trail_id, stop_index, value)``. The draw is an ordinal, fetched by an equi-join, so stops and
-    values are never multiplied out. ``extra`` is one more candidate of the stop itself, or null.
+    ``values(trail_id, stop_index, value)``. The draw is an ordinal, fetched from the trail's array of values or, where a trail
+    has many, by an equi-join, so stops and values are never multiplied out. ``extra`` is one more candidate of the stop itself, or null.
     """
     cols = stops.columns
     v = values.select("trail_id", "stop_index", "value")
+    stops = stops.withColumn("__extra", F.lit(None).cast("string") if extra is None else extra)
+    n = F.col("n_before") + F.col("__extra").isNotNull().cast("int")
+    pick = F.when(n > 0, F.pmod(draw_int(seed, salt, *K), n))
+    drawn = F.when(F.col("__pick") < F.col("n_before"), F.col("__value")).when(F.col("__pick").isNotNull(), F.col("__extra"))
+    hot = hot_keys(v, ["trail_id"], ARRAY_ROWS)
+
+    def plain(some: DataFrame, known: DataFrame) -> DataFrame:
+        s = with_earlier(some, known, "value").withColumn("__pick", pick)
+        return s.withColumn("__value", F.get("__all", F.col("__pick").cast("int"))["value"]).select(*cols, drawn.alias(salt))
+
+    if hot is None:
+        return plain(stops, v)
+    rest = plain(*(df.join(shuffled(hot), "trail_id", "left_anti") for df in (stops, v)))
+    stops, v = (df.join(shuffled(hot), "trail_id", "left_semi") for df in (stops, v))
     numbered = dense_index(v, ["trail_id"], [F.col("stop_index"), F.col("value")], _bucket(), "ord")
     marks = stops.select(*K, F.lit(0).alias("is_value")).unionByName(v.select(*K, F.lit(1).alias("is_value")))
-    counted = running_sum(marks, ["trail_id"], [F.col("stop_index"), F.col("is_value")], _bucket(), F.col("is_value"), "n_before")
-    counted = counted.where("is_value = 0").select(*K, "n_before")
-    more = F.lit(None).cast("string") if extra is None else extra
-    s = stops.withColumn("__extra", more).join(counted, K)
-    n = F.col("n_before") + F.col("__extra").isNotNull().cast("int")
-    s = s.withColumn("__pick", F.when(n > 0, F.pmod(draw_int(seed, salt, *K), n)))
+    before = running_sum(marks, ["trail_id"], [F.col("stop_index"), F.col("is_value")], _bucket(), F.col("is_value"), "n_before")
+    s = stops.join(before.where("is_value = 0").select(*K, "n_before"), K).withColumn("__pick", pick)
     picked = numbered.select("trail_id", F.col("ord").alias("__pick"), F.col("value").alias("__value"))
-    drawn = F.when(F.col("__pick") < F.col("n_before"), F.col("__value")).when(F.col("__pick").isNotNull(), F.col("__extra"))
-    return s.join(picked, ["trail_id", "__pick"], "left").select(*cols, drawn.alias(salt))
+    return rest.unionByName(s.join(picked, ["trail_id", "__pick"], "left").select(*cols, drawn.alias(salt)))
 
 
 # --- tool templates ------------------------------------------------------------------------
@@ -189,9 +198,11 @@ def stops_from_plan(planned: DataFrame, chosen: DataFrame, page_info: DataFrame,
     Trails with a page stop without fact are dropped, impossible tool stops are skipped, and the
     rest is numbered densely. Returns stops with their tool chain.
     """
-    ents = page_entities(page_info)
+    # pages are many and their texts short only in Spark's estimate: held when counted as few
+    named = planned.where("url IS NOT NULL").select("url").distinct()
+    ents = counted(page_entities(page_info).join(counted(named), "url", "left_semi"))
     pages = planned.where("type = 'page'").select(*K, "url").join(chosen.select(*K, "description", "section", "value", "value_type"), K, "left")
-    failed = pages.where("value IS NULL").select("trail_id").distinct()
+    failed = shuffled(pages.where("value IS NULL").select("trail_id").distinct())
     pages = pages.where("value IS NOT NULL").join(failed, "trail_id", "left_anti")
     plan = planned.join(failed, "trail_id", "left_anti")
 

@@ -8,7 +8,7 @@ from waymark import fixed
 from waymark.operators import augment, build, facts, pages
 from waymark.plans import views
 from waymark.plans.number_queries import TRANSFORM_SQL
-from waymark.plans.page_queries import sql_list
+from waymark.plans.page_queries import info_of, sql_list
 from waymark.plans.registry import query
 from waymark.session import cut_lineage, written
 
@@ -109,8 +109,8 @@ def plan_stops(spark, sf):
     s = views.stops(spark, sf).where("stop_type IN ('page', 'tool')")
     kinds = F.array(*[F.lit(k) for k in [*fixed.FALLBACK_TEMPLATES, *fixed.MARKET_TEMPLATES]])
     planned = s.select("trail_id", "stop_index", F.col("stop_type").alias("type"), F.get(kinds, (F.col("l_partkey") % 17).cast("int")).alias("tool_type"), F.col("page_url").alias("url"))
-    info = cut_lineage(pages.build_page_info(views.wiki(spark, sf)).drop("pageviews", "raw_markdown"))
     planned = cut_lineage(planned)
+    info = cut_lineage(info_of(spark, sf, planned.select("url")))
     at = planned.where("type = 'page'").select("trail_id", F.struct("trail_id", "stop_index").alias("hint_id"), "url", F.lit("the founding year").alias("hint"))
     chosen = facts.choose_facts(at, facts.infobox_facts(info)).select("trail_id", F.col("hint_id.stop_index").alias("stop_index"), "description", "section", "value", "value_type")
     chosen = cut_lineage(chosen)
