@@ -1,11 +1,13 @@
 """Plans and results that hold at sizes the small tables don't show."""
 
+import random
+
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from waymark.functions import skew
 from waymark.functions.skew import kept_here, spread
-from waymark.operators import augment, build, checks, facts, graph, pages, replies
+from waymark.operators import augment, build, checks, dag_checks, facts, graph, pages, replies
 from waymark.plans import catalog
 from waymark.sources import readers, writers
 
@@ -183,3 +185,32 @@ def test_entities_of_pages_are_broadcast_only_when_counted(spark, monkeypatch):
     out = build.stops_from_plan(planned, chosen, info, dates).collect()
     assert [(r.stop_index, r.stop_type, r.template) for r in out] == [(0, "page", None), (1, "tool", "place_rating")]
     assert len(seen) == 2 and "BroadcastHashJoin" not in "".join(seen)
+
+
+def test_small_trails_are_walked_in_their_row(spark, monkeypatch):
+    rnd = random.Random(5)
+    nodes, edges, expected = [], [], set()
+    for t in range(40):
+        n = rnd.choice([1, 3, 6, 20, 62])
+        mine = [i for i in range(n) if i == n - 1 or rnd.random() < 0.9]
+        links = [(i, rnd.choice([None, -1, n + 3, *range(n)])) for i in range(n + 1) for _ in range(rnd.choice([0, 1, 1, 2]))]
+        nodes += [(t, i) for i in mine]
+        edges += [(t, i, d) for i, d in links]
+        bears = {i for i, _ in links}
+        if not any(all(d is None or not 0 <= d < i for k, d in links if k == i) for i in bears):
+            continue
+        known = set(mine) | {i for i, d in links if d is not None}
+        seen = (set(mine) - bears) or ({0} & known)
+        while True:
+            more = {i for i, d in links if d in seen} - seen
+            if not more:
+                break
+            seen |= more
+        expected |= {(t, i) for i in mine if i not in seen}
+    stops = spark.createDataFrame(nodes, "trail_id bigint, stop_index bigint")
+    deps = spark.createDataFrame(edges, "trail_id bigint, stop_index bigint, dep bigint")
+    # rounds are for larger trails only
+    monkeypatch.setattr(dag_checks, "_walked", None)
+    lost = dag_checks.unreachable_stops(stops, deps)
+    assert sorted((r.trail_id, r.stop_index) for r in lost.collect()) == sorted(expected)
+    assert expected

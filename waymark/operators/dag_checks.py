@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from waymark.functions.numbers import recompute
 from waymark.functions.values import to_float, whole
 from waymark.operators.checks import CRITICAL, WARNING, clue_count, issue, issues_of, last_digit, trail_facts
-from waymark.session import cut_lineage
+from waymark.session import cut_lineage, written
 
 K = ["trail_id", "stop_index"]
 
@@ -117,15 +117,70 @@ def unreachable_stops(stops: DataFrame, deps: DataFrame) -> DataFrame:
 
     A stop with an earlier dependency inside the trail always leads back to a root or to a
     stop all of whose entries point forward or outside. Trails without such a dead-end stop are
-    reachable as a whole, so only the other trails are walked. Each round marks the stops next to a reached one, points
+    reachable as a whole, so only the other trails are walked: those of up to 63 stops in their row, as bits of a number; larger ones in
+    rounds. Each round marks the stops next to a reached one, points
     every other stop to one of its dependencies and doubles these pointers, so that a chain of any length is walked in a number of
     steps that grows with its logarithm; rounds end when nothing new is reached.
     """
-    # each dependency-bearing stop: has it an earlier, existing dependency?
-    back = F.coalesce((F.col("dep") >= 0) & (F.col("dep") < F.col("stop_index")), F.lit(False))
-    per_stop = deps.groupBy(*K).agg(F.max(back).alias("leads_back"))
-    # stop 0 with dependencies is no root, so its trail is suspect as well
-    suspects = per_stop.where("NOT leads_back").select("trail_id").distinct()
+    trails = written(_reach_masks(stops, deps).where("dead"), "dead-ends")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").cast("int"))
+    lost = trails.where("NOT large").withColumn("lost", F.col("all_stops").bitwiseAND(F.bitwise_not(_reached())))
+    lost = lost.where("lost <> 0").select("trail_id", "lost", F.explode(F.sequence(F.lit(0), F.lit(MASK_STOPS - 1))).alias("at"))
+    lost = lost.where(F.col("lost").bitwiseAND(bit) != 0).select("trail_id", F.col("at").cast("bigint").alias("stop_index"))
+    large = trails.where("large").select("trail_id")
+    return lost if large.isEmpty() else lost.unionByName(_walked(stops, deps, large))
+
+
+#: Stops that one number has bits for.
+MASK_STOPS = 63
+
+
+def _reach_masks(stops: DataFrame, deps: DataFrame) -> DataFrame:
+    """One row per trail: bits of its stops and of its roots, and an array of (at, bits of its dependencies) of the stops that have some.
+
+    ``dead`` says whether a stop has no earlier dependency though it has some; ``large`` whether a stop is beyond the bits, which such a
+    row then doesn't have. A row has at most ``MASK_STOPS`` entries, however large the trail.
+    """
+    i, dep = F.col("stop_index"), F.col("dep")
+
+    def fits(c: Column) -> Column:
+        return (c >= 0) & (c < MASK_STOPS)
+
+    def bit(c: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), c.cast("int"))
+
+    marks = stops.select(*K, F.lit(True).alias("is_stop"), F.lit(None).cast("bigint").alias("dep")).unionByName(deps.select(*K, F.lit(False).alias("is_stop"), dep.cast("bigint").alias("dep")))
+    back = F.coalesce((dep >= 0) & (dep < i), F.lit(False))
+    per_stop = marks.groupBy(*K).agg(
+        F.max("is_stop").alias("is_stop"), F.max(~F.col("is_stop")).alias("bears"), F.max(back).alias("leads_back"), F.max(dep.isNotNull()).alias("has_edge"),
+        F.coalesce(F.bit_or(F.when(fits(dep), bit(dep))), F.lit(0)).cast("bigint").alias("deps"),
+    )
+    inside = fits(i)
+    per_trail = per_stop.groupBy("trail_id").agg(
+        F.max(F.col("bears") & ~F.col("leads_back")).alias("dead"), F.max(~inside).alias("large"),
+        F.bit_or(F.when(inside & F.col("is_stop"), bit(i))).alias("all_stops"), F.bit_or(F.when(inside & F.col("is_stop") & ~F.col("bears"), bit(i))).alias("roots"),
+        F.array_sort(F.collect_list(F.when(inside & (F.col("deps") != 0), F.struct(i.alias("at"), "deps")))).alias("edges"),
+        F.max((i == 0) & (F.col("is_stop") | F.col("has_edge"))).alias("has_first"),
+    )
+    return per_trail.where("all_stops IS NOT NULL OR large")
+
+
+def _reached() -> Column:
+    """Bits of the stops of a :func:`_reach_masks` row that a root reaches.
+
+    A pass over the edges in stop order follows all that lead on; each further pass follows at least one that leads back.
+    """
+    def follow(mask: Column, e: Column) -> Column:
+        there = F.call_function("shiftleft", F.lit(1).cast("bigint"), e["at"].cast("int"))
+        return F.when(e["deps"].bitwiseAND(mask) != 0, mask.bitwiseOR(there)).otherwise(mask)
+
+    later = F.size(F.filter("edges", lambda e: F.call_function("shiftright", e["deps"], e["at"].cast("int")) != 0))
+    first = F.coalesce(F.col("roots"), F.col("has_first").cast("bigint"))
+    return F.aggregate(F.sequence(F.lit(0), later), first, lambda mask, _i: F.aggregate(F.col("edges"), mask, follow))
+
+
+def _walked(stops: DataFrame, deps: DataFrame, suspects: DataFrame) -> DataFrame:
+    """Unreachable stops of trails of any size, by pointers."""
     s = cut_lineage(stops.join(suspects, "trail_id", "left_semi").select(*K).distinct())
     e = cut_lineage(deps.join(suspects, "trail_id", "left_semi").where("dep IS NOT NULL").select("trail_id", "dep", "stop_index"))
     roots = s.join(e.select(*K).distinct(), K, "left_anti").join(deps.where("dep IS NULL").select(*K).distinct(), K, "left_anti")
