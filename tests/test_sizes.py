@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import skew
 from waymark.functions.skew import kept_here, spread
-from waymark.operators import augment, build, checks, dag_checks, facts, graph, pages, replies
+from waymark.operators import augment, build, checks, dag_checks, facts, graph, pages, replies, riddles
 from waymark.plans import catalog
 from waymark.sources import readers, writers
 
@@ -214,3 +214,16 @@ def test_small_trails_are_walked_in_their_row(spark, monkeypatch):
     lost = dag_checks.unreachable_stops(stops, deps)
     assert sorted((r.trail_id, r.stop_index) for r in lost.collect()) == sorted(expected)
     assert expected
+
+
+def test_replies_of_plans_are_parsed_once(spark):
+    replies = [(1, '```json\n[{"page_or_topic": "Lake", "what_to_find": "HEIGHT above sea", "tool_or_method": "Formula"}]\n```'), (2, "none"), (3, "[]"), (4, '[{"what_to_find": "mo", "tool_or_method": "d"}]')]
+    plans = spark.createDataFrame(replies, "trail_id bigint, reply string")
+    assert plan(riddles.plan_steps(plans)).count("try_parse_json") <= 1
+    stops = spark.createDataFrame([(t, 0, k, "x/wiki/Lake") for t, k in ((1, "compute"), (2, "page"), (3, "page"), (4, "reason"))], "trail_id bigint, stop_index bigint, stop_type string, page_url string")
+    chain = spark.createDataFrame([], "trail_id bigint, stop_index bigint, step int, tool_name string, args map<string,string>, output_key string")
+    got = riddles.alignment(stops, chain, plans)
+    assert "parse_json" not in plan(got)
+    # trail 4: step count alone; "mo" and "d" of two fields are no formula word
+    assert {r.trail_id: r.alignment for r in got.collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.25}
+    assert sorted((r.trail_id, r.kind) for r in riddles.step_tool_types(riddles.plan_steps(plans)).collect()) == [(1, "computation"), (1, "elevation")]

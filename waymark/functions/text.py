@@ -101,6 +101,9 @@ def is_specific_title(title: Column) -> Column:
 
 def unfence(c: Column) -> Column:
     """Text of a model reply without code-fence lines."""
-    t = strip(c)
-    kept = F.array_join(F.filter(F.split(t, "\n"), lambda l: ~F.rlike(l, F.lit(r"(?U)^\s*```"))), "\n")
-    return F.when(F.startswith(t, F.lit("```")), kept).otherwise(t)
+    def lines(t: Column) -> Column:
+        kept = F.array_join(F.filter(F.split(t, "\n"), lambda l: ~F.rlike(l, F.lit(r"(?U)^\s*```"))), "\n")
+        return F.when(F.startswith(t, F.lit("```")), kept).otherwise(t)
+
+    # stripped once
+    return F.get(F.transform(F.array(strip(c)), lines), 0)

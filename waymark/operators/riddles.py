@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.functions.skew import first_per_key
+from waymark.functions.skew import first_per_key, kept_here
 from waymark.functions.text import drop_final_parenthesis, strip, tail_title, unfence
-from waymark.operators.dims import texts
+from waymark.session import written
 
 K = ["trail_id", "stop_index"]
 
@@ -59,7 +59,8 @@ def accept_rewrites(before: DataFrame, rewritten: DataFrame, stops: DataFrame) -
 def plan_steps(plans: DataFrame) -> DataFrame:
     """Steps of round-trip plans (a JSON list, possibly fenced): ``plans(trail_id, reply)``."""
     items = F.try_variant_get(F.try_parse_json(unfence(F.col("reply"))), "$", "array<variant>")
-    rows = plans.select("trail_id", F.posexplode(items).alias("pos", "item"))
+    # the outer form keeps Spark from parsing a reply a second time, for a filter on its size
+    rows = plans.select("trail_id", F.posexplode_outer(items).alias("pos", "item")).where("pos IS NOT NULL")
     return rows.select("trail_id", "pos", *[F.coalesce(F.try_variant_get("item", f"$.{f}", "string"), F.lit("")).alias(f) for f in fixed.PLAN_FIELDS])
 
 
@@ -88,38 +89,48 @@ def trail_tool_types(stops: DataFrame, chain: DataFrame) -> DataFrame:
     return by_tool.unionByName(by_type).distinct()
 
 
+def _names_any(text: Column, words: list[str]) -> Column:
+    """Whether a text has one of the words anywhere in it."""
+    return F.rlike(text, F.lit("|".join(rf"\Q{w}\E" for w in words)))
+
+
+def _named_kinds(steps: DataFrame) -> DataFrame:
+    """Steps with ``named``, the kinds of tools that their method and aim name."""
+    text = kept_here(F.concat(F.lower("tool_or_method"), F.lit(" "), F.lower("what_to_find")))
+    hits = [F.when(_names_any(F.col("__text"), words), F.lit(kind)) for kind, words in fixed.TOOL_WORDS.items()]
+    return steps.withColumn("__text", text).withColumn("named", F.array_compact(F.array(*hits))).drop("__text")
+
+
 def step_tool_types(steps: DataFrame) -> DataFrame:
     """Distinct kinds of tools the plan steps name."""
-    text = F.concat(F.lower("tool_or_method"), F.lit(" "), F.lower("what_to_find"))
-    named = steps.withColumn("__text", text)
-    hits = [F.when(F.exists(texts(words), lambda w: F.contains(F.col("__text"), w)), F.lit(kind)) for kind, words in fixed.TOOL_WORDS.items()]
-    return named.select("trail_id", F.explode(F.array_compact(F.array(*hits))).alias("kind")).distinct()
+    return _named_kinds(steps).select("trail_id", F.explode_outer("named").alias("kind")).where("kind IS NOT NULL").distinct()
 
 
 def alignment(stops: DataFrame, chain: DataFrame, plans: DataFrame) -> DataFrame:
-    """Agreement of a plan with its trail in 0..1: step count, topics, tool kinds, a formula; no steps give 0."""
-    steps = plan_steps(plans)
-    formula = F.exists(texts(fixed.FORMULA_WORDS), lambda w: F.exists(F.array(*[F.lower(f) for f in fixed.PLAN_FIELDS[1:]]), lambda t: F.contains(t, w)))
-    # a plan is one reply document, so its topics fit one row
-    per_plan = steps.groupBy("trail_id").agg(
-        F.count(F.lit(1)).alias("n_steps"), F.max(formula).alias("formula"), F.collect_set(F.when(F.col("page_or_topic") != "", F.lower("page_or_topic"))).alias("topics")
+    """Agreement of a plan with its trail in 0..1: step count, topics, tool kinds, a formula; no steps give 0.
+
+    Replies are parsed once: all that their steps say is gathered in one row per trail.
+    """
+    # no word spans a line, so none is found across two fields
+    formula = _names_any(F.lower(F.concat_ws("\n", *fixed.PLAN_FIELDS[1:])), fixed.FORMULA_WORDS)
+    # a plan is one reply document, so its topics fit one row; the kinds of tools are few
+    per_plan = _named_kinds(plan_steps(plans)).groupBy("trail_id").agg(
+        F.count(F.lit(1)).alias("n_steps"), F.max(formula).alias("formula"), F.collect_set(F.when(F.col("page_or_topic") != "", F.lower("page_or_topic"))).alias("topics"),
+        F.array_distinct(F.flatten(F.collect_set("named"))).alias("named"),
     )
+    per_plan = written(per_plan, "plans")
     title = F.lower(F.replace(F.element_at(F.split("page_url", "/wiki/"), -1), F.lit("_"), F.lit(" ")))
     sizes = stops.groupBy("trail_id").agg(F.count(F.lit(1)).alias("n_stops"))
     wanted = stops.where("page_url <> ''").select("trail_id", title.alias("topic")).distinct()
     long_words = F.filter(F.split("topic", " "), lambda w: F.length(w) > 3)
     seen = F.exists("topics", lambda t: F.contains(t, F.col("topic")) | F.contains(F.col("topic"), t) | F.exists(long_words, lambda w: F.contains(t, w)))
     topic_sums = wanted.join(per_plan.select("trail_id", "topics"), "trail_id").groupBy("trail_id").agg(F.count(F.lit(1)).alias("n_topics"), F.count_if(seen).alias("seen"))
-    tagged = trail_tool_types(stops, chain).withColumn("golden", F.lit(1)).withColumn("named", F.lit(0)).unionByName(
-        step_tool_types(steps).withColumn("golden", F.lit(0)).withColumn("named", F.lit(1))
-    )
-    kinds = tagged.groupBy("trail_id", "kind").agg(F.max("golden").alias("golden"), F.max("named").alias("named"))
-    kind_sums = kinds.groupBy("trail_id").agg(F.sum("golden").alias("n_kinds"), F.count_if((F.col("golden") == 1) & (F.col("named") == 1)).alias("both"))
-    t = sizes.join(per_plan, "trail_id", "left").join(topic_sums, "trail_id", "left").join(kind_sums, "trail_id", "left")
+    golden = trail_tool_types(stops, chain).groupBy("trail_id").agg(F.collect_set("kind").alias("golden"))
+    t = sizes.join(per_plan, "trail_id", "left").join(topic_sums, "trail_id", "left").join(golden, "trail_id", "left")
     gap = F.abs(F.col("n_stops") - F.col("n_steps"))
     count_score = F.when(gap <= 2, 1.0).when(gap <= 4, 0.5).otherwise(0.0)
     topic_score = F.when(F.coalesce("n_topics", F.lit(0)) == 0, 1.0).when(F.size("topics") == 0, 0.0).otherwise(F.col("seen") / F.col("n_topics"))
-    kind_score = F.when(F.coalesce("n_kinds", F.lit(0)) == 0, 1.0).otherwise(F.col("both") / F.col("n_kinds"))
+    kind_score = F.when(F.col("golden").isNull(), 1.0).otherwise(F.size(F.array_intersect("golden", F.coalesce("named", F.array().cast("array<string>")))) / F.size("golden"))
     score = (count_score + topic_score + kind_score + F.when(F.col("formula"), 1.0).otherwise(0.0)) / 4.0
     return t.select("trail_id", F.when(F.col("n_steps").isNull(), 0.0).otherwise(score).alias("alignment"))
 

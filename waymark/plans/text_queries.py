@@ -11,7 +11,7 @@ from waymark.operators import riddles
 from waymark.plans import views
 from waymark.plans.registry import query
 from waymark.plans.reply_queries import keyed_chain
-from waymark.session import cut_lineage, scratch_path
+from waymark.session import cut_lineage, scratch_path, written
 from waymark.sources import readers, writers
 from waymark.streaming import tool_log
 
@@ -79,10 +79,14 @@ def clue_counts(spark, sf):
 
 def _plans(spark, sf):
     """Round-trip plans: a topic step per page, a height step, a closing formula on even trails; some fenced or broken."""
+    return _plans_of(views.stops(spark, sf))
+
+
+def _plans_of(stops):
     t = F.col("trail_id")
     topic = F.lower(F.replace(F.element_at(F.split("page_url", "/wiki/"), -1), F.lit("_"), F.lit(" ")))
     own = F.struct(F.when(F.col("l_partkey") % 2 == 0, topic).otherwise("other thing").alias("page_or_topic"), F.lit("altitude").alias("what_to_find"), F.lit("maps").alias("tool_or_method"), F.lit("next").alias("result_used_for"))
-    steps = views.stops(spark, sf).where("page_url IS NOT NULL").groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("stop_index", own.alias("o")))).alias("os"))
+    steps = stops.where("page_url IS NOT NULL").groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("stop_index", own.alias("o")))).alias("os"))
     last = F.struct(F.lit("").alias("page_or_topic"), F.lit("the sum").alias("what_to_find"), F.when(t % 2 == 0, "modulo").otherwise("none").alias("tool_or_method"), F.lit("answer").alias("result_used_for"))
     js = F.to_json(F.concat(F.col("os.o"), F.array(last)))
     return steps.select("trail_id", F.when(t % 7 == 0, "no plan").when(t % 3 == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).otherwise(js).alias("reply"))
@@ -122,8 +126,10 @@ kd AS (SELECT trail_id, count(*) AS n_kinds, count(*) FILTER (kind = 'elevation'
 SELECT z.trail_id, round(CASE WHEN pn.n IS NULL OR z.trail_id % 7 = 0 THEN 0.0 ELSE (CASE WHEN abs(n_stops - n - 1) <= 2 THEN 1.0 WHEN abs(n_stops - n - 1) <= 4 THEN 0.5 ELSE 0 END + seen / n_topics + coalesce(n_hit / n_kinds, 1.0) + (z.trail_id % 2 = 0)::INT) / 4 END, 9)::DOUBLE AS alignment
 FROM z LEFT JOIN pn USING (trail_id) LEFT JOIN ts2 USING (trail_id) LEFT JOIN kd USING (trail_id)""")
 def alignment(spark, sf):
-    s = views.stops(spark, sf)
-    return riddles.alignment(s, keyed_chain(s), _plans(spark, sf)).withColumn("alignment", F.round("alignment", 9))
+    # read for sizes, topics, kinds of tools and plans: numbered and written once
+    s = views.stops(spark, sf).select("trail_id", "stop_index", "stop_type", "page_url", "extracted_value", "tool_name", "tool_date", "address", "l_partkey", "l_suppkey")
+    s = written(s, "aligned-stops")
+    return riddles.alignment(s, keyed_chain(s), _plans_of(s)).withColumn("alignment", F.round("alignment", 9))
 
 
 @query("implied_digits", """WITH c AS (SELECT conv_id, turn, trim(text, chr(10) || ' ') || CASE turn % 3 WHEN 0 THEN chr(10) || 'so it is ' || (conv_id % 10) || ' now' WHEN 1 THEN '' ELSE ' 4' || chr(10) || 'done' END AS t FROM conversations)
