@@ -1,6 +1,7 @@
 """Plans and results that hold at sizes the small tables don't show."""
 
 import random
+import re
 
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -227,3 +228,15 @@ def test_replies_of_plans_are_parsed_once(spark):
     # trail 4: step count alone; "mo" and "d" of two fields are no formula word
     assert {r.trail_id: r.alignment for r in got.collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.25}
     assert sorted((r.trail_id, r.kind) for r in riddles.step_tool_types(riddles.plan_steps(plans)).collect()) == [(1, "computation"), (1, "elevation")]
+
+
+
+def test_contexts_do_not_gather_stops_of_a_page(spark):
+    stops = spark.createDataFrame([(1, 0, "page", "u1", "number", "search_query", "q", None, None), (1, 1, "page", "u2", "text", "search_query", "", None, None)], "trail_id bigint, stop_index bigint, stop_type string, page_url string, value_type string, bridge_type string, search_query string, expression string, reason_source_stop bigint")
+    pages_of = spark.createDataFrame([("u1", "A", "first"), ("u2", "B", "second"), ("u3", "C", "third")], "url string, title string, first_paragraph string")
+    links = spark.createDataFrame([("u1", 1, "link", "u2")], "url string, pos bigint, text string, target_url string")
+    chain = spark.createDataFrame([], "trail_id bigint, stop_index bigint, step int, tool_name string, args map<string,string>")
+    deps = spark.createDataFrame([], "trail_id bigint, stop_index bigint, dep bigint")
+    out = riddles.stop_contexts(stops, pages_of, links, chain, deps)
+    assert not re.search(r"SortMergeJoin \[(page|next)_url", plan(out))
+    assert {r.stop_index: r.context.count("\n") for r in out.collect()} == {0: 6, 1: 3}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.functions.skew import first_per_key, kept_here
+from waymark.functions.skew import counted, first_per_key, kept_here
 from waymark.functions.text import drop_final_parenthesis, strip, tail_title, unfence
 from waymark.session import written
 
@@ -169,6 +169,10 @@ def stop_contexts(stops: DataFrame, pages: DataFrame, links: DataFrame, chain: D
     """
     nxt = stops.select("trail_id", (F.col("stop_index") - 1).alias("stop_index"), F.col("page_url").alias("next_url"), F.lit(True).alias("has_next"))
     text = links.groupBy(F.col("url").alias("page_url"), F.col("target_url").alias("next_url")).agg(F.min_by("text", "pos").alias("link_text"))
+    # pages that stops name and links between them: held when counted as few, as all stops of such a page would meet in one task
+    named = stops.where("page_url <> ''").select(F.col("page_url").alias("url")).distinct()
+    pages = counted(pages.select("url", "title", "first_paragraph").join(counted(named), "url", "left_semi"))
+    text = counted(text)
     here = pages.select(F.col("url").alias("page_url"), "title", F.substring("first_paragraph", 1, intro_chars).alias("intro"), F.lit(True).alias("known"))
     there = pages.select(F.col("url").alias("next_url"), F.substring("first_paragraph", 1, next_chars).alias("next_intro"))
     own = F.map_filter("args", lambda k, _v: ~F.startswith(k, F.lit("__from_previous")))

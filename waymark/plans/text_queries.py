@@ -193,7 +193,12 @@ SELECT trail AS trail_id, stop_index, regexp_replace(concat_ws(chr(10), concat('
   CASE WHEN follows AND linked THEN 'Link text: link' END, CASE WHEN searches AND search_query <> '' THEN concat('Search: ', search_query) END, CASE WHEN (follows OR searches) AND next_known THEN 'Next intro: A part.' END), chr(10) || '+', chr(10), 'g') AS context
 FROM way_q""")
 def stop_contexts(spark, sf):
-    s = _full(views.stops(spark, sf))
+    # read for next stops, chains, dependencies and links: numbered and written once
+    s = views.stops(spark, sf).select(
+        "trail_id", "stop_index", "stop_type", "page_url", "value_type", "bridge_type", "search_query", "expression", "reason_source_stop",
+        "extracted_value", "tool_name", "tool_date", "address", "l_partkey", "l_suppkey",
+    )
+    s = _full(written(s, "context-stops"))
     w = views.wiki(spark, sf).select("url", F.concat(F.lit("Part "), F.col("k").cast("string")).alias("title"), F.lit("A part.").alias("first_paragraph"))
     l = views.links(s).select(F.col("src").alias("url"), "pos", F.lit("link").alias("text"), F.col("dst").alias("target_url"))
     return riddles.stop_contexts(s, w, l, views.chain(s), views.deps(s))
