@@ -230,6 +230,16 @@ def test_replies_of_plans_are_parsed_once(spark):
     assert sorted((r.trail_id, r.kind) for r in riddles.step_tool_types(riddles.plan_steps(plans)).collect()) == [(1, "computation"), (1, "elevation")]
 
 
+def test_reasons_are_drawn_once(spark, monkeypatch):
+    seen = []
+    store = build.written
+    monkeypatch.setattr(build, "written", lambda df, name: (seen.append(name), store(df, name))[1])
+    stops = spark.createDataFrame([(1, i, "page", f"u{i}", str(1000 + 7 * i), "number") for i in range(9)], "trail_id bigint, stop_index bigint, stop_type string, page_url string, value_str string, value_type string")
+    trails = spark.createDataFrame([(1, "easy")], "trail_id bigint, level string")
+    out = build.insert_reasons(stops, trails)
+    assert seen == ["reason-sources", "reasons"] and "array_sort" not in plan(out.where("reason_transform IS NOT NULL")).split("reason_transform")[0]
+    assert sorted(r.stop_index for r in out.collect()) == list(range(out.count()))
+
 
 def test_contexts_do_not_gather_stops_of_a_page(spark):
     stops = spark.createDataFrame([(1, 0, "page", "u1", "number", "search_query", "q", None, None), (1, 1, "page", "u2", "text", "search_query", "", None, None)], "trail_id bigint, stop_index bigint, stop_type string, page_url string, value_type string, bridge_type string, search_query string, expression string, reason_source_stop bigint")

@@ -16,7 +16,7 @@ from waymark.functions.values import int_view, to_float
 from waymark.operators import transforms
 from waymark.operators.dims import level_config, table, texts
 from waymark.operators.facts import is_geocodable, page_entities
-from waymark.session import cut_lineage
+from waymark.session import cut_lineage, written
 
 K = ["trail_id", "stop_index"]
 
@@ -332,13 +332,16 @@ def draw_reasons(stops: DataFrame, targets: DataFrame, seed: int = 0) -> DataFra
     """
     eligible = stops.where("stop_type IN ('page', 'tool')")
     sources = transforms.has_transform(eligible).withColumn("draw", draw_order(seed, "reason", *K))
-    picked = first_upto(sources.join(targets, "trail_id"), ["trail_id"], [F.col("draw"), F.col("stop_index")], F.col("target"))
+    sources = sources.select(*K, "page_url", "value_str", "value_type", "draw").join(targets, "trail_id")
+    picked = first_upto(sources, ["trail_id"], [F.col("draw"), F.col("stop_index")], F.col("target"))
+    # a level's maximum of stops per trail, read for transforms and for their pages
+    picked = written(picked.select(*K, "page_url", "value_str", "value_type"), "reason-sources")
 
     def drawn(name: Column) -> Column:
         return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in K], name, F.lit("transform")))
 
     best = transforms.first_valid(picked, drawn)
-    return best.join(eligible.select(*K, "page_url"), K).select(
+    return best.join(shuffled(picked.select(*K, "page_url")), K).select(
         "trail_id", F.col("stop_index").alias("after"), F.lit(0).alias("seq"), F.lit("reason").alias("stop_type"), "page_url",
         F.col("result").cast("string").alias("value_str"), F.col("result").cast("double").alias("value_num"), F.lit("int").alias("value_kind"),
         F.lit("number").alias("value_type"), F.lit("compute").alias("bridge_type"), F.col("transform").alias("reason_transform"),
@@ -354,7 +357,8 @@ def reason_targets(stops: DataFrame, trails: DataFrame) -> DataFrame:
 
 
 def insert_reasons(stops: DataFrame, trails: DataFrame, seed: int = 0) -> DataFrame:
-    return insert_stops(stops, draw_reasons(stops, reason_targets(stops, trails), seed))
+    # drawn once: the rows are inserted, and their places shift the others
+    return insert_stops(stops, written(draw_reasons(stops, reason_targets(stops, trails), seed), "reasons"))
 
 
 # --- bridges and compute stop ----------------------------------------------------------------
