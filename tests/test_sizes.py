@@ -250,3 +250,17 @@ def test_contexts_do_not_gather_stops_of_a_page(spark):
     out = riddles.stop_contexts(stops, pages_of, links, chain, deps)
     assert not re.search(r"SortMergeJoin \[(page|next)_url", plan(out))
     assert {r.stop_index: r.context.count("\n") for r in out.collect()} == {0: 6, 1: 3}
+
+
+def test_texts_of_pages_are_not_broadcast(spark, tmp_path):
+    stops = spark.createDataFrame(
+        [(1, 0, "u1", "number", "1012"), (1, 1, "u1", "text", " Harbour"), (1, 2, "u2", "url", "none"), (1, 3, "u3", "text", "lost"), (1, 4, None, "text", "x"), (1, 5, "u1", "text", None)],
+        "trail_id int, stop_index int, page_url string, value_type string, value_str string",
+    )
+    pages_of = spark.createDataFrame([("u1", "The harbour of 1,010 ships"), ("u2", "an x"), ("u4", None)], "url string, markdown string")
+    stops.withColumn("extraction_section", F.lit(None).cast("string")).write.parquet(str(tmp_path / "stops"))
+    pages_of.write.parquet(str(tmp_path / "pages"))
+    out = facts.verify_values(spark.read.parquet(str(tmp_path / "stops")), spark.read.parquet(str(tmp_path / "pages")))
+    # left are the urls of pages and the places of many values, both counted; texts, their numbers and what is found are shuffled
+    assert plan(out).count("BroadcastHashJoin") <= 2
+    assert {r.stop_index: r.found for r in out.collect()} == {0: "1010", 1: "Harbour", 2: None, 5: None}

@@ -195,7 +195,7 @@ def _find_numbers(asked: DataFrame, texts: DataFrame, place: list[str]) -> DataF
     wanted = asked.select(*place, "value_str", to_float(F.col("value_str")).alias("want")).where(~F.isnan("want") & (F.abs("want") < float("inf")))
     wanted = wanted.withColumn("bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _bucket(want) + d)))
     near = F.when(want == 0, x == 0).otherwise(F.abs(x - want) / F.greatest(F.abs(want), F.lit(1.0)) < 0.01)
-    hits = wanted.join(first, [*place, "bucket"]).where(near)
+    hits = wanted.join(shuffled(first), [*place, "bucket"]).where(near)
     return hits.groupBy(*place, "value_str").agg(number_text(F.min_by("x", "pos")).alias("found"))
 
 
@@ -204,27 +204,28 @@ def look_up(stops: DataFrame, pages: DataFrame, strict: bool = False) -> DataFra
 
     Numbers give the first number within 1 %. The whole page is searched; ``strict`` restricts the search to the stop's section. Each
     different value is looked for once per page, and a page's text is joined to arrays of such values, never to the stops. Pages
-    with one url count as one.
+    with one url count as one. Texts and their numbers are never held by every executor, the urls of pages only when counted as few.
     """
     section = F.coalesce(F.col("extraction_section"), F.lit("")) if strict else F.lit("")
     s = stops.withColumn("part", F.when(section == "infobox", "").otherwise(section))
     place = ["page_url", "part"]
     asked = s.where("page_url IS NOT NULL").select(*place, "value_type", "value_str").distinct()
-    texts = asked.select(*place).distinct().join(pages.select(F.col("url").alias("page_url"), "markdown").where("markdown IS NOT NULL"), "page_url")
+    texts = asked.select(*place).distinct().join(shuffled(pages.select(F.col("url").alias("page_url"), "markdown").where("markdown IS NOT NULL")), "page_url")
     texts = texts.select(*place, F.when(F.col("part") != "", section_text(F.col("markdown"), F.col("part"))).otherwise(F.col("markdown")).alias("text"))
     is_number = F.coalesce(F.col("value_type") == "number", F.lit(False)) & F.col("value_str").isNotNull()
     numbers = _find_numbers(asked.where(is_number), texts, place).withColumn("value_type", F.lit("number"))
 
     others = asked.where(~is_number)
-    parts = others.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / VALUES_PER_ARRAY).alias("parts"))
-    arrays = others.join(parts, place).groupBy(*place, F.pmod(F.xxhash64("value_str"), F.col("parts")).alias("array")).agg(F.collect_list(F.struct("value_type", "value_str")).alias("values"))
+    parts = others.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / VALUES_PER_ARRAY).alias("parts")).where("parts > 1")
+    dealt = join_counted(others, parts, place, "left").withColumn("array", F.pmod(F.xxhash64("value_str"), F.coalesce("parts", F.lit(1).cast("bigint"))))
+    arrays = dealt.groupBy(*place, "array").agg(F.collect_list(F.struct("value_type", "value_str")).alias("values"))
     each = F.transform("values", lambda v: F.struct(v["value_type"].alias("value_type"), v["value_str"].alias("value_str"), find_text(F.col("text"), v["value_str"], v["value_type"]).alias("found")))
-    rest = arrays.join(texts, place).select(*place, F.inline(each)).groupBy(*place, "value_type", "value_str").agg(F.max("found").alias("found"))
+    rest = arrays.join(shuffled(texts), place).select(*place, F.inline(each)).groupBy(*place, "value_type", "value_str").agg(F.max("found").alias("found"))
 
     known = numbers.unionByName(rest, allowMissingColumns=True).where("found IS NOT NULL").select(*[F.col(c).alias(f"__{c}") for c in (*place, "value_type", "value_str")], "found")
     there = pages.where("markdown IS NOT NULL").select(F.col("url").alias("page_url")).distinct().withColumn("there", F.lit(True))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*place, "value_type", "value_str")]
-    out = s.join(there, "page_url", "left").join(known, same, "left")
+    out = join_counted(s, there, ["page_url"], "left").join(shuffled(known), same, "left")
     return out.select(*stops.columns, F.coalesce("there", F.lit(False)).alias("there"), "found")
 
 
