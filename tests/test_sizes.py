@@ -264,3 +264,12 @@ def test_texts_of_pages_are_not_broadcast(spark, tmp_path):
     # left are the urls of pages and the places of many values, both counted; texts, their numbers and what is found are shuffled
     assert plan(out).count("BroadcastHashJoin") <= 2
     assert {r.stop_index: r.found for r in out.collect()} == {0: "1010", 1: "Harbour", 2: None, 5: None}
+
+
+def test_places_of_inserted_stops_are_not_broadcast(spark, tmp_path):
+    spark.sql("SELECT id DIV 4 trail_id, id % 4 stop_index, 'page' stop_type FROM range(12)").write.parquet(str(tmp_path / "stops"))
+    spark.sql("SELECT id trail_id, 1L after, 0 seq, 'tool' stop_type FROM range(2)").write.parquet(str(tmp_path / "new"))
+    out = build.insert_stops(spark.read.parquet(str(tmp_path / "stops")), spark.read.parquet(str(tmp_path / "new")))
+    assert "BroadcastHashJoin" not in plan(out)
+    assert sorted((r.trail_id, r.stop_index) for r in out.collect()) == [(t, i) for t in range(3) for i in range(5 if t < 2 else 4)]
+    assert {(r.trail_id, r.stop_index) for r in out.collect() if r.stop_type == "tool"} == {(0, 2), (1, 2)}
