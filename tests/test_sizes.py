@@ -273,3 +273,16 @@ def test_places_of_inserted_stops_are_not_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in plan(out)
     assert sorted((r.trail_id, r.stop_index) for r in out.collect()) == [(t, i) for t in range(3) for i in range(5 if t < 2 else 4)]
     assert {(r.trail_id, r.stop_index) for r in out.collect() if r.stop_type == "tool"} == {(0, 2), (1, 2)}
+
+
+def test_trial_files_are_read_as_they_are_and_packed(spark, tmp_path):
+    rows = [("a__x/result.json", '{"agent_result": {"n_input_tokens": 5}}'), ("a__x/verifier/reward.txt", " 1.0\n"), ("a__x/agent/trajectory.json", '{"steps": [{"source": "agent"}]}'), ("a__x/other.json", "{}"), ("a__x/result.json.old", "{}")]
+    files = spark.createDataFrame(rows, "rel_path string, content string")
+    plain = F.replace("rel_path", F.lit("a__x"), F.lit("b__x"))
+    writers.pack_files(files, str(tmp_path))
+    writers.write_files(files.withColumn("rel_path", plain), str(tmp_path))
+    # many small files take one file per task
+    assert len(list((tmp_path / "_packed").glob("part-*"))) <= files.rdd.getNumPartitions()
+    got = [[tuple(r) for r in part.orderBy("trial").collect()] for part in readers.read_trials(spark, str(tmp_path))]
+    assert [(r[0], r[2]) for r in got[0]] == [("a__x", 5), ("b__x", 5)]
+    assert got[1:] == [[], [("a__x", "agent"), ("b__x", "agent")], [("a__x", "1.0"), ("b__x", "1.0")]]

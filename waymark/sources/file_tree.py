@@ -20,6 +20,9 @@ from pyspark.sql.types import StructType
 
 STAGED, MANIFESTS = "_staged", "_manifest"
 
+#: Folder of a tree for files that are kept packed, many in one Parquet file.
+PACKED = "_packed"
+
 
 @dataclass
 class Attempt(WriterCommitMessage):

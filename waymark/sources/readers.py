@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.session import written
+from waymark.sources.file_tree import PACKED
 
 TOOL_LOG_SCHEMA = "trial_id BIGINT, seq BIGINT, tool STRING, args MAP<STRING,STRING>, success BOOLEAN, result_preview STRING, result_len BIGINT, ts DOUBLE, url STRING"
 
@@ -21,6 +22,17 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return df.select(F.col("value").alias("text"), rel.alias("rel"))
 
 
+def _packed_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """As :func:`_files`, for the files that :func:`waymark.sources.writers.pack_files` put below the folder; none where nothing is packed."""
+    schema = "rel_path string, content string"
+    try:
+        df = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{PACKED}")
+    except AnalysisException:
+        df = spark.createDataFrame([], schema)
+    name = re.escape(pattern).replace(r"\*", "[^/]*").replace(r"\{", "(").replace(r"\}", ")").replace(",", "|")
+    return df.where(F.rlike("rel_path", F.lit(f"(^|/){name}$"))).select(F.coalesce("content", F.lit("")).alias("text"), F.col("rel_path").alias("rel"))
+
+
 def _v(path: str, kind: str) -> Column:
     return F.try_variant_get("doc", path, kind)
 
@@ -141,9 +153,10 @@ def _trial_part(files: DataFrame, tail: str) -> DataFrame:
 
 
 def read_trials(spark: SparkSession, job_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(results, rewards, steps, reward_texts) of a job folder, for :func:`waymark.operators.reports.trial_rows`."""
+    """(results, rewards, steps, reward_texts) of a job folder, for :func:`waymark.operators.reports.trial_rows`. Its files lie there as they are or packed."""
     # the folders are listed and the files opened once for all parts
-    files = written(_files(spark, job_dir, "{result,reward,trajectory}.{json,txt}"), "files")
+    names = "{result,reward,trajectory}.{json,txt}"
+    files = written(_files(spark, job_dir, names), "files").unionByName(_packed_files(spark, job_dir, names))
     r = _trial_part(files, "/result.json").where("doc IS NOT NULL")
     exc = _v("$.exception_info", "variant")
     results = r.select(

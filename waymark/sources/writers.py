@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
-from waymark.sources.file_tree import write_tree
+from waymark.sources.file_tree import PACKED, write_tree
 
 K = ["trail_id", "stop_index"]
 
@@ -55,6 +55,12 @@ def write_files(files: DataFrame, path: str) -> None:
     write_tree(files, path)
 
 
+def pack_files(files: DataFrame, path: str) -> None:
+    """Keep rows (rel_path, content) packed below ``path``, many files in one. A small file of its own takes a block of the disk, and so does each
+    of its folders; readers of trial folders read both forms, so a path should be in one of them only."""
+    files.select("rel_path", "content").write.mode("append").option("compression", "zstd").parquet(f"{path.rstrip('/')}/{PACKED}")
+
+
 def write_trails(documents: DataFrame, path: str) -> None:
     """Trail documents as packed JSON lines (field names make most of a document), one folder per level."""
     documents.write.mode("overwrite").partitionBy("level").option("compression", "gzip").text(path)
