@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import skew
 from waymark.functions.skew import kept_here, spread
-from waymark.operators import augment, build, checks, dag_checks, facts, graph, pages, replies, riddles
+from waymark.operators import augment, build, checks, dag_checks, facts, graph, pages, replay, replies, riddles
 from waymark.plans import catalog
 from waymark.sources import readers, writers
 
@@ -286,3 +286,18 @@ def test_trial_files_are_read_as_they_are_and_packed(spark, tmp_path):
     got = [[tuple(r) for r in part.orderBy("trial").collect()] for part in readers.read_trials(spark, str(tmp_path))]
     assert [(r[0], r[2]) for r in got[0]] == [("a__x", 5), ("b__x", 5)]
     assert got[1:] == [[], [("a__x", "agent"), ("b__x", "agent")], [("a__x", "1.0"), ("b__x", "1.0")]]
+
+
+def test_a_refresh_makes_no_copy_of_a_part(spark, tmp_path, monkeypatch):
+    trails = spark.range(8).selectExpr("id trail_id", "'easy' level", "id passcode")
+    stops = trails.selectExpr("trail_id", "0L stop_index", "'tool' stop_type", "string(trail_id) value_str", "double(trail_id) value_num")
+    replay.write_store(trails, stops, str(tmp_path), parts=2)
+    asides, store = {}, replay.written
+    monkeypatch.setattr(replay, "written", lambda df, name: asides.setdefault(name, store(df, name)))
+    monkeypatch.setattr("waymark.session.cut_lineage", lambda df: 1 / 0)
+    monkeypatch.setattr(replay, "cut_lineage", lambda df: 1 / 0, raising=False)
+    replayed = stops.selectExpr("trail_id", "stop_index", "stop_type", "value_str expected", "if(trail_id = 3, '5', value_str) actual", "true match", "string(null) error")
+    assert len(replay.refresh_store(spark, str(tmp_path), replayed)) == 1
+    # written aside are the replayed rows and of the values those that differ
+    assert {k: v.count() for k, v in asides.items()} == {"replayed": 8, "good": 8, "new": 1}
+    assert {r.trail_id: (r.value_str, r.value_num) for r in spark.read.parquet(str(tmp_path / "stops")).collect()} == {t: ("5", 5.0) if t == 3 else (str(t), float(t)) for t in range(8)}

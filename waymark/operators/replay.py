@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.numbers import recompute
+from waymark.functions.skew import shuffled
 from waymark.functions.values import close, to_float, whole
 from waymark.operators import transforms
 from waymark.operators.facts import look_up
 from waymark.operators.replies import replay_chains
-from waymark.session import cut_lineage, written
+from waymark.session import written
 
 K = ["trail_id", "stop_index"]
 
@@ -126,9 +127,9 @@ def refresh(trails: DataFrame, stops: DataFrame, replayed: DataFrame) -> tuple[D
 
 
 def _with_values(trails: DataFrame, codes: DataFrame, stops: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    s = stops.join(values, K, "left").withColumn("changed", F.coalesce(~F.col("actual").eqNullSafe(F.col("value_str")) & F.col("actual").isNotNull(), F.lit(False)))
+    s = stops.join(shuffled(values), K, "left").withColumn("changed", F.coalesce(~F.col("actual").eqNullSafe(F.col("value_str")) & F.col("actual").isNotNull(), F.lit(False)))
     s = s.withColumn("value_str", F.coalesce("actual", "value_str")).withColumn("value_num", F.coalesce(to_float(F.col("actual")), F.col("value_num"))).drop("actual")
-    t = trails.join(codes, "trail_id", "left")
+    t = trails.join(shuffled(codes), "trail_id", "left")
     t = t.withColumn("changed", F.coalesce(F.col("new_passcode") != F.col("passcode"), F.lit(False))).withColumn("passcode", F.coalesce("new_passcode", "passcode").cast("bigint"))
     return t.drop("new_passcode"), s
 
@@ -148,12 +149,17 @@ def refresh_store(spark: SparkSession, path: str, replayed: DataFrame) -> list[i
     """Refresh a store in place (see :func:`refresh`); the parts that were rewritten.
 
     Only parts with a changed row are written, by dynamic partition overwrite: the files of all others are neither read again nor touched.
-    Their new content is checkpointed before it replaces the old, and a repeated refresh changes nothing more.
+    The new content lies aside, in Spark's staging folder, until all of it is written and replaces the old, so no other copy of a part is
+    made. A repeated refresh changes nothing more.
     """
-    replayed = written(replayed, "replayed")
-    good = cut_lineage(replay_trails(replayed).where("success").select("trail_id", F.col("passcode").alias("new_passcode")))
-    new = replayed.where("stop_type IN ('tool', 'compute') AND actual IS NOT NULL").join(good.select("trail_id"), "trail_id", "left_semi").select(*K, "actual")
-    new = cut_lineage(new)
+    replayed = written(replayed.select(*K, "stop_type", "actual", "match"), "replayed")
+    good = written(replay_trails(replayed).where("success").select("trail_id", F.col("passcode").alias("new_passcode")), "good")
+    new = replayed.where("stop_type IN ('tool', 'compute') AND actual IS NOT NULL").join(shuffled(good.select("trail_id")), "trail_id", "left_semi").select(*K, "actual")
+    # of the values only those that differ from the stored ones, so that little is joined to the rows of a part
+    stored = spark.read.parquet(f"{path}/stops").where("stop_type IN ('tool', 'compute')").select(*K, "value_str", "value_num")
+    number = F.coalesce(to_float(F.col("actual")), F.col("value_num"))
+    differs = ~F.col("actual").eqNullSafe(F.col("value_str")) | ~number.eqNullSafe(F.col("value_num"))
+    new = written(new.join(shuffled(stored), K).where(differs).select(*K, "actual"), "new")
 
     def now() -> tuple[DataFrame, DataFrame]:
         return _with_values(spark.read.parquet(f"{path}/trails"), good, spark.read.parquet(f"{path}/stops"), new)
@@ -162,7 +168,7 @@ def refresh_store(spark: SparkSession, path: str, replayed: DataFrame) -> list[i
     for name, rows in zip(("trails", "stops"), now(), strict=True):
         parts = [r["part"] for r in rows.where("changed").select("part").distinct().collect()]  # at most the parts of the store
         if parts:
-            fresh = cut_lineage(rows.where(F.col("part").isin(parts)).drop("changed"))
+            fresh = rows.where(F.col("part").isin(parts)).drop("changed")
             fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/{name}")
         touched.update(parts)
     return sorted(touched)

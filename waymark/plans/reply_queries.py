@@ -8,7 +8,7 @@ from waymark.functions.skew import spread
 from waymark.operators import replay, replies
 from waymark.plans import views
 from waymark.plans.registry import query
-from waymark.session import scratch_path
+from waymark.session import scratch_path, written
 
 
 def _json(*fields) -> object:
@@ -272,7 +272,12 @@ def chain_values(spark, sf):
 
 
 def _replay(spark, sf):
-    s = views.stops(spark, sf)
+    # read for every kind of stop, for sources, chains and calls: numbered and written once
+    s = views.stops(spark, sf).select(
+        "trail_id", "stop_index", "stop_type", "page_url", "value_type", "value_str", "value_num", "expression", "reason_source_stop",
+        "extracted_value", "tool_name", "tool_date", "address", "l_partkey", "l_suppkey",
+    )
+    s = written(s, "replayed-stops")
     s = s.withColumn("reason_transform", F.when((F.col("stop_type") == "reason") & (F.col("l_partkey") % 4 != 0), "digit_sum"))
     chain = keyed_chain(s)
     pages = s.select(F.col("page_url").alias("url")).distinct().where("url IS NOT NULL AND NOT endswith(url, '_7')").withColumn("markdown", F.lit("Nothing but 12345 and text."))
