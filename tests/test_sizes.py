@@ -301,3 +301,20 @@ def test_a_refresh_makes_no_copy_of_a_part(spark, tmp_path, monkeypatch):
     # written aside are the replayed rows and of the values those that differ
     assert {k: v.count() for k, v in asides.items()} == {"replayed": 8, "good": 8, "new": 1}
     assert {r.trail_id: (r.value_str, r.value_num) for r in spark.read.parquet(str(tmp_path / "stops")).collect()} == {t: ("5", 5.0) if t == 3 else (str(t), float(t)) for t in range(8)}
+
+
+def test_documents_are_not_parsed_while_they_are_built(spark, tmp_path):
+    trails = spark.createDataFrame([(1, "easy", 3), (2, "hard", None)], "trail_id bigint, level string, passcode bigint")
+    stops = spark.createDataFrame([(1, 0, 0, "tool", "string", 'a "}]', "text"), (1, 1, 1, "page", "int", "7", "number")], "trail_id bigint, stop_index bigint, stored_index bigint, stop_type string, value_kind string, value_str string, value_type string")
+    chain = spark.createDataFrame([(1, 0, 1, "t1", {"b": "}"}), (1, 0, 0, "t0", {"a": "]}"})], "trail_id bigint, stop_index bigint, step int, tool_name string, args map<string,string>")
+    deps = spark.createDataFrame([(1, 1, 0)], "trail_id bigint, stop_index bigint, dep bigint")
+    out = writers.trail_documents(trails, stops, chain, deps)
+    # left are the value of a stop and the metadata of a trail
+    assert len(re.findall("parse_?json", plan(out), re.I)) <= 3
+    writers.write_trails(out, str(tmp_path / "d"))
+    back = readers.read_document_lines(spark, str(tmp_path / "d"))
+    assert len(re.findall("parse_?json", plan(back), re.I)) == 1
+    assert sorted((r.trail_id, r.passcode) for r in readers.trails(back).collect()) == [("1", 3), ("2", -1)]
+    assert [(r.stop_index, r.value_str, r.value_kind) for r in readers.stops(back).orderBy("stop_index").collect()] == [(0, 'a "}]', "string"), (1, "7", "int")]
+    assert [(r.step, r.tool_name, r.args) for r in readers.chain(back).orderBy("step").collect()] == [(0, "t0", {"a": "]}"}), (1, "t1", {"b": "}"})]
+    assert [(r.stop_index, r.dep) for r in readers.deps(back).collect()] == [(1, 0)]

@@ -214,7 +214,8 @@ def target_lengths(spark, sf):
 
 def _stored(spark, sf):
     """The corpus written as documents to the shared folder and read back."""
-    s = _full(views.stops(spark, sf))
+    # read for stops, chains and dependencies: numbered and written once
+    s = _full(written(views.stops(spark, sf), "document-stops"))
     t = views.trails(spark, sf).withColumn("riddle", F.concat(F.lit('Say "'), "seed_title", F.lit('"')))
     t = t.withColumns({"generated_at": F.concat(F.lit("day "), F.col("trail_id").cast("string")), "metadata": F.concat(F.lit('{"sample_id":'), F.col("trail_id").cast("string"), F.lit(',"theme":"x"}'))})
     c = views.chain(s).withColumn("output_key", F.concat(F.lit("key"), F.col("step").cast("string"))).withColumn("expected_output", F.col("tool_name"))

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.functions.skew import kept_here
 from waymark.session import written
 from waymark.sources.file_tree import PACKED
 
@@ -56,7 +57,8 @@ def read_documents(spark: SparkSession, path: str, max_samples: int | None = Non
 
 def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
     """Trail documents stored one per line, as :func:`waymark.sources.writers.write_trails` does."""
-    d = spark.read.text(path).select(F.try_parse_json("value").alias("doc"))
+    # parsed once: the condition would else be moved below, with a parsing of its own
+    d = spark.read.text(path).select(kept_here(F.try_parse_json("value")).alias("doc"))
     d = d.where(_v("$.stops", "variant").isNotNull())
     level = _v("$.difficulty.level", "string")
     return d.select(F.concat_ws("/", level, _v("$.trail_id", "string")).alias("sample_id"), level.alias("level"), "doc")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark import fixed
+from waymark.functions.skew import kept_here, shuffled
 from waymark.sources.file_tree import PACKED, write_tree
 
 K = ["trail_id", "stop_index"]
@@ -16,38 +17,45 @@ def _of(df: DataFrame, name: str, kind: str = "string") -> Column:
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
 
 
-def _parsed(rows: Column) -> Column:
-    return F.transform(F.coalesce(rows, F.array().cast("array<string>")), lambda j: F.parse_json(j))
+def _with_list(text: Column, depth: int, name: str, rows: Column) -> Column:
+    """JSON text of an object with one more field, a list of JSON texts, at the end of the object that ``depth`` braces close."""
+    listed = F.concat(F.lit(f',"{name}":['), F.array_join(F.coalesce(rows, F.array().cast("array<string>")), ","), F.lit("]" + "}" * depth))
+    return F.concat(text.substr(F.lit(1), F.length(text) - depth), listed)
 
 
 def trail_documents(trails: DataFrame, stops: DataFrame, chain: DataFrame, deps: DataFrame) -> DataFrame:
     """(level, value): one JSON document per trail with every stored field. A trail is one document, so its stops share a row by definition.
 
     Fields that a table has no column for are null. A value keeps its JSON kind; one that JSON can't write as a number (NaN) is written as text.
+    Steps and stops are made to text once and put into the text of their stop and document, without being parsed again.
     """
     full = {"ignoreNullFields": "false"}
     call = F.struct("tool_name", F.col("args").alias("arguments"), _of(chain, "output_key").alias("output_key"), _of(chain, "expected_output").alias("expected_output"))
     steps = chain.select(*K, "step", F.to_json(call, full).alias("j")).groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("step", "j"))).alias("steps"))
     edges = deps.groupBy(*K).agg(F.array_sort(F.collect_list("dep")).alias("depends_on"))
-    s = stops.join(steps, K, "left").join(edges, K, "left")
+    s = stops.join(shuffled(steps), K, "left").join(shuffled(edges), K, "left")
     text = F.col("value_str").cast("variant")
     value = F.when(F.col("value_kind") == "null", F.parse_json(F.lit("null"))).when(F.col("value_kind") == "string", text).otherwise(F.coalesce(F.try_parse_json("value_str"), text))
     bridge = F.struct(
         *[_of(s, n).alias(n) for n in ("bridge_type", "target_url", "search_query", "expected_result_url", "expression", "expression_code")],
-        _of(s, "referenced_stops", "array<bigint>").alias("referenced_stops"), _parsed(F.col("steps.j")).alias("tool_chain"),
+        _of(s, "referenced_stops", "array<bigint>").alias("referenced_stops"),
     )
     stop = F.struct(
         F.col("stored_index").alias("index"), *[_of(s, n).alias(n) for n in ("stop_type", "page_url", "extraction_target", "extraction_section")],
         value.alias("extracted_value"), F.col("value_type").alias("extracted_value_type"), *[_of(s, n).alias(n) for n in ("reasoning", "reason_transform", "reason_code")],
         _of(s, "reason_source_stop", "bigint").alias("reason_source_stop"), F.coalesce("depends_on", F.array().cast("array<bigint>")).alias("depends_on"), bridge.alias("bridge"),
     )
-    packed = s.select("trail_id", "stop_index", F.to_json(stop, full).alias("j")).groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("stop_index", "j"))).alias("stops"))
-    t = trails.join(packed, "trail_id", "left")
+    # the bridge is the last field of a stop, its chain the last one of the bridge
+    rows = s.select("trail_id", "stop_index", "steps", kept_here(F.to_json(stop, full)).alias("j"))
+    rows = rows.select("trail_id", "stop_index", _with_list(F.col("j"), 2, "tool_chain", F.col("steps.j")).alias("j"))
+    packed = rows.groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("stop_index", "j"))).alias("stops"))
+    t = trails.join(shuffled(packed), "trail_id", "left")
     document = F.struct(
         F.col("trail_id").cast("string").alias("trail_id"), *[_of(t, n).alias(n) for n in ("seed_url", "seed_title", "riddle", "generated_at")], F.col("passcode"),
-        F.try_parse_json(_of(t, "metadata")).alias("metadata"), F.struct("level").alias("difficulty"), _parsed(F.col("stops.j")).alias("stops"),
+        F.try_parse_json(_of(t, "metadata")).alias("metadata"), F.struct("level").alias("difficulty"),
     )
-    return t.select("level", F.to_json(document, full).alias("value"))
+    t = t.select("level", "stops", kept_here(F.to_json(document, full)).alias("j"))
+    return t.select("level", _with_list(F.col("j"), 1, "stops", F.col("stops.j")).alias("value"))
 
 
 def write_files(files: DataFrame, path: str) -> None:
