@@ -513,3 +513,18 @@ def test_unigram_fold(spark):
             assert got[w] == [ids.get(p, 0) for p in best(w)]
         else:
             assert got[w] == [ids.get(p, 0) for p in pieces.segment(w, scores, "unigram", model.unknown_score, 3)]
+
+
+def test_words_fold_in_the_task_that_reads_their_text(spark):
+    rnd = random.Random(3)
+    model = pieces.read_model()
+    words = {"▁" * rnd.randrange(0, 3) + "".join(rnd.choice("aeinrst日🎉é'-0") for _ in range(rnd.randrange(1, 61))) for _ in range(400)} | {"▁", "▁the", "▁" + "x" * 80}
+    folds = pieces.Folds(model)
+    assert folds.fold(words) == {w: folds.alone(w) for w in words}
+    # several pieces of one score: the leftmost merges first
+    even = pieces.Model("bpe", tuple((p, i + 1, s) for i, (p, s) in enumerate({"a": -9.0, "b": -9.0, "ab": -1.0, "ba": -1.0, "aba": -2.0, "bab": -2.0}.items())), None, 0, -19.0, 3, ())
+    folds, words = pieces.Folds(even), {"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 12))) for _ in range(200)}
+    assert folds.fold(words) == {w: folds.alone(w) for w in words}
+    # no occurrence of a word is moved
+    coded = pieces.encode(docs(spark, [(1, "the end"), (2, None)]), model)
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
